@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fernglass.llm import common
-from fernglass.llm.tokens import LONGEST, encoder, texts
+from fernglass.llm.tokens import LONGEST, Encoder, encoder, texts
 
 #: Pieces of the broadcast table, and items each sketch follows.
 FREQUENT, FOLLOWED = 20_000, 50_000
@@ -19,7 +19,8 @@ def frequent_pieces(docs: DataFrame, text: str = "text", k: int = FREQUENT, foll
     """
     pieces = docs.select(F.explode(F.split(F.col(text), common.WS)).alias("w")).where(F.col("w") != "").where(F.octet_length("w") <= LONGEST)
     parts = pieces.withColumn("g", F.spark_partition_id() % 64).groupBy("g").agg(F.expr(f"approx_top_k_accumulate(w, {followed})").alias("s"))
-    top = parts.agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(s, {followed}), {k})").alias("top"))
+    # a grouped merge: a global one also merges the empty sketches of empty partitions, which fails
+    top = parts.groupBy((F.col("g") * 0).alias("g")).agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(s, {followed}), {k})").alias("top"))
     return sorted(r.w.encode() for r in top.select(F.explode("top.item").alias("w")).collect())
 
 
@@ -33,24 +34,17 @@ def count_tokens(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", tex
     """
     spark = docs.sparkSession
     common.prepare(spark)
-    enc = encoder(tokenizer)
-    table = {} if enc.whole else {w: len(enc[w]) // 4 for w in frequent_pieces(docs, text, frequent)}
+    enc = Encoder(tokenizer, count=True)
+    table = {} if enc.whole else {w: enc.length(w) for w in frequent_pieces(docs, text, frequent)}
     shared = spark.sparkContext.broadcast(table)
 
     def count(batches):
         import pyarrow as pa
 
-        known, enc = shared.value, encoder(tokenizer)
-
-        def length(piece: bytes) -> int:
-            return known[piece] if piece in known else len(enc[piece]) // 4
-
+        enc = encoder(tokenizer, True, shared.value)
         for b in batches:
             all_texts = texts(b.column(1))
-            if enc.whole:
-                n = [len(enc.encode(t)) // 4 for t in all_texts]
-            else:
-                n = [sum(map(length, t.split())) for t in all_texts]
+            n = [enc.length(t) for t in all_texts]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, all_texts), pa.int64()), pa.array(n, pa.int64()), pa.array((x > limit for x in n), pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

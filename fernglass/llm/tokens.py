@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import json
+import re
 from array import array
 
-#: Pieces that a worker keeps, and the longest piece in bytes: about 100 MB at most.
-ROOM, LONGEST = 400_000, 64
+#: Pieces that a worker keeps in each of two generations, and the longest piece in bytes: about 150 MB at most.
+ROOM, LONGEST = 350_000, 64
+#: Letters of ASCII and Latin-1 as UTF-8, then punctuation: two pre-tokens, each encoded alone.
+_LETTERS = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+"
+_WORD = re.compile(rb"(" + _LETTERS + rb")([.,;:!?$%&#*|<>)\]]*)")
 
-_encoders: dict[str, "Encoder"] = {}
+_encoders: dict[tuple, "Encoder"] = {}
 
 
 def separable(path: str) -> bool:
@@ -23,14 +27,16 @@ def separable(path: str) -> bool:
 
 
 class Encoder(dict):
-    """Piece of text (UTF-8) to its token ids as little-endian unsigned 32-bit bytes; misses ask the library.
+    """Piece of text (UTF-8) to its token ids as little-endian unsigned 32-bit bytes, or to their number.
 
-    The dictionary is bounded: a full one is emptied down to nothing and fills again from what the texts need.
+    Misses ask the library, after a piece of letters and punctuation is taken apart and its ASCII letters are lowered.
+    The dictionary has two generations: a full one becomes the old one, whose pieces come back when they are used.
+    Pieces of a text are learnt together, so one text may pass the bound by its own words.
     """
 
-    def __init__(self, path: str, room: int = ROOM):
-        super().__init__()
-        self.room, self.whole = room, not separable(path)
+    def __init__(self, path: str, count: bool = False, known: dict | None = None, room: int = ROOM):
+        super().__init__(known or {})
+        self.room, self.whole, self.old, self.known, self.count = room, not separable(path), {}, known or {}, count
         if path.endswith(".model"):
             import sentencepiece
 
@@ -40,28 +46,73 @@ class Encoder(dict):
             from tokenizers import Tokenizer
 
             model = Tokenizer.from_file(path)
-            self.ask = lambda s: model.encode(s, add_special_tokens=False).ids
-
-    def __missing__(self, piece: bytes) -> bytes:
-        ids = array("I", self.ask(piece.decode("utf-8", "replace"))).tobytes()
-        if len(piece) <= LONGEST:
-            if len(self) >= self.room:
-                self.clear()
-            self[piece] = ids
-        return ids
+            self.model, self.ask = model, lambda s: model.encode(s, add_special_tokens=False).ids
+
+    def _fold(self, ids):
+        return len(ids) if self.count else array("I", ids).tobytes()
+
+    def __missing__(self, piece: bytes):
+        """What went to the old generation meanwhile, or is too long to keep."""
+        value = self.old.get(piece)
+        if value is None:
+            return self._fold(self.ask(piece.decode("utf-8", "replace")))
+        self[piece] = value
+        return value
+
+    def _learn(self, pieces) -> None:
+        """Add the pieces; letters are encoded together, as one text of words, which costs a fraction of a call each."""
+        if len(self) + len(pieces) > self.room:
+            self.old = dict(self)
+            self.clear()
+            self.update(self.known)
+        split, letters = [], set()
+        for p in pieces:
+            if p in self.old:
+                self[p] = self.old[p]
+            elif m := _WORD.fullmatch(p):
+                split.append((p, core := m[1].lower(), m[2]))
+                if core not in self:
+                    letters.add(core)
+                if m[2] and m[2] not in self:
+                    self[m[2]] = self._fold(self.ask(m[2].decode()))
+            else:
+                self[p] = self._fold(self.ask(p.decode("utf-8", "replace")))
+        words = list(letters)
+        if words:
+            got = self.model.encode(b" ".join(words).decode(), add_special_tokens=False)
+            at, of, ids = 0, got.word_ids, got.ids
+            starts = [0, *(i for i in range(1, len(of)) if of[i] != of[i - 1]), len(ids)]
+            for at, w in enumerate(words):
+                self[w] = self._fold(ids[starts[at] : starts[at + 1]])
+        for p, core, rest in split:
+            self[p] = self[core] + self[rest] if rest else self[core]
+
+    def _values(self, text: bytes):
+        words = text.split()
+        if new := [w for w in set(words).difference(self) if len(w) <= LONGEST]:
+            self._learn(new)
+        return map(self.__getitem__, words)
 
     def encode(self, text: bytes) -> bytes:
         """The ids of a whole text, four bytes each."""
         if self.whole:
             return array("I", self.ask(text.decode("utf-8", "replace"))).tobytes()
-        return b"".join(map(self.__getitem__, text.split()))
+        return b"".join(self._values(text))
+
+    def length(self, text: bytes) -> int:
+        """The number of ids of a whole text, for an encoder that counts."""
+        if self.whole:
+            return len(self.ask(text.decode("utf-8", "replace")))
+        return sum(self._values(text))
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, count: bool = False, known: dict | None = None) -> Encoder:
     """The worker's encoder for a tokenizer file; it lasts as long as the worker."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    key = (path, count, hash(frozenset(known.items())) if known else 0)
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = Encoder(path, count, known)
+    return _encoders[key]
 
 
 def texts(column) -> list[bytes]:
