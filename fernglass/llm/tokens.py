@@ -6,11 +6,10 @@ import json
 import re
 from array import array
 
-#: Pieces that a worker keeps in each of two generations, and the longest piece in bytes: about 150 MB at most.
-ROOM, LONGEST = 350_000, 64
-#: Letters of ASCII and Latin-1 as UTF-8, then punctuation: two pre-tokens, each encoded alone.
-_LETTERS = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+"
-_WORD = re.compile(rb"(" + _LETTERS + rb")([.,;:!?$%&#*|<>)\]]*)")
+#: Pieces, and words of letters, that a worker keeps in each of two generations; the longest piece in bytes: about 200 MB at most.
+ROOM, LONGEST = 250_000, 64
+#: Letters of ASCII and Latin-1 as UTF-8, and marks that may follow them: two pre-tokens, each encoded alone.
+_LETTERS, _MARKS = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+"), b".,;:!?$%&#*|<>)]"
 
 _encoders: dict[tuple, "Encoder"] = {}
 
@@ -26,17 +25,17 @@ def separable(path: str) -> bool:
     return "\\\\s+" in norm and "[^\\\\s" in split and '" ?' not in split and "add_prefix_space\": true" not in split
 
 
-class Encoder(dict):
-    """Piece of text (UTF-8) to its token ids as little-endian unsigned 32-bit bytes, or to their number.
+class Encoder:
+    """Text (UTF-8) to its token ids as little-endian unsigned 32-bit bytes, or to their number.
 
-    Misses ask the library, after a piece of letters and punctuation is taken apart and its ASCII letters are lowered.
-    The dictionary has two generations: a full one becomes the old one, whose pieces come back when they are used.
-    Pieces of a text are learnt together, so one text may pass the bound by its own words.
+    Pieces between white space are looked up; unknown ones ask the library, after letters and punctuation are taken apart
+    and ASCII letters are lowered. The table has two generations: a full one becomes the old one, whose pieces come back
+    when they are used. Pieces of a text are learnt together, so one text may pass the bound by its own words.
     """
 
     def __init__(self, path: str, count: bool = False, known: dict | None = None, room: int = ROOM):
-        super().__init__(known or {})
-        self.room, self.whole, self.old, self.known, self.count = room, not separable(path), {}, known or {}, count
+        self.known, self.room, self.whole, self.count = known or {}, room, not separable(path), count
+        self.now, self.old, self.words, self.older, self.long = dict(self.known), {}, {}, {}, []
         if path.endswith(".model"):
             import sentencepiece
 
@@ -51,47 +50,57 @@ class Encoder(dict):
     def _fold(self, ids):
         return len(ids) if self.count else array("I", ids).tobytes()
 
-    def __missing__(self, piece: bytes):
-        """What went to the old generation meanwhile, or is too long to keep."""
-        value = self.old.get(piece)
-        if value is None:
-            return self._fold(self.ask(piece.decode("utf-8", "replace")))
-        self[piece] = value
-        return value
+    def _words(self, words: list[bytes]) -> None:
+        """Add lower-case words of letters, encoded as one text, which costs a fraction of a call each."""
+        got = self.model.encode(b" ".join(words).decode(), add_special_tokens=False)
+        of, ids = got.word_ids, got.ids
+        starts = [0, *(i for i in range(1, len(of)) if of[i] != of[i - 1]), len(ids)]
+        flat = array("I", ids).tobytes()
+        for w, i, j in zip(words, starts, starts[1:]):
+            self.words[w] = j - i if self.count else flat[4 * i : 4 * j]
 
     def _learn(self, pieces) -> None:
-        """Add the pieces; letters are encoded together, as one text of words, which costs a fraction of a call each."""
-        if len(self) + len(pieces) > self.room:
-            self.old = dict(self)
-            self.clear()
-            self.update(self.known)
-        split, letters = [], set()
+        """Add the pieces: letters, then punctuation; what is neither goes to the library as it is."""
+        now, old, words, older = self.now, self.old, self.words, self.older
+        split, new = [], set()
         for p in pieces:
-            if p in self.old:
-                self[p] = self.old[p]
-            elif m := _WORD.fullmatch(p):
-                split.append((p, core := m[1].lower(), m[2]))
-                if core not in self:
-                    letters.add(core)
-                if m[2] and m[2] not in self:
-                    self[m[2]] = self._fold(self.ask(m[2].decode()))
+            if p in old:
+                now[p] = old[p]
+                continue
+            core = p.rstrip(_MARKS)
+            if len(p) <= LONGEST and (core.isalpha() or _LETTERS.fullmatch(core)):
+                low = core.lower()
+                split.append((p, low, rest := p[len(core) :]))
+                if low not in words:
+                    if low in older:
+                        words[low] = older[low]
+                    else:
+                        new.add(low)
+                if rest and rest not in words:
+                    words[rest] = self._fold(self.ask(rest.decode()))
             else:
-                self[p] = self._fold(self.ask(p.decode("utf-8", "replace")))
-        words = list(letters)
-        if words:
-            got = self.model.encode(b" ".join(words).decode(), add_special_tokens=False)
-            at, of, ids = 0, got.word_ids, got.ids
-            starts = [0, *(i for i in range(1, len(of)) if of[i] != of[i - 1]), len(ids)]
-            for at, w in enumerate(words):
-                self[w] = self._fold(ids[starts[at] : starts[at + 1]])
-        for p, core, rest in split:
-            self[p] = self[core] + self[rest] if rest else self[core]
+                now[p] = self._fold(self.ask(p.decode("utf-8", "replace")))
+                if len(p) > LONGEST:
+                    self.long.append(p)
+        if new:
+            self._words(list(new))
+        for p, low, rest in split:
+            now[p] = words[low] + words[rest] if rest else words[low]
+        if len(words) > self.room:
+            self.older, self.words = words, {}
 
     def _values(self, text: bytes):
+        for p in self.long:
+            del self.now[p]
+        self.long = []
         words = text.split()
-        if new := [w for w in set(words).difference(self) if len(w) <= LONGEST]:
+        own = set(words)
+        if new := own.difference(self.now):
+            if len(self.now) + len(new) > self.room:
+                self.old, self.now = self.now, dict(self.known)
+                new = own.difference(self.now)
             self._learn(new)
-        return map(self.__getitem__, words)
+        return map(self.now.__getitem__, words)
 
     def encode(self, text: bytes) -> bytes:
         """The ids of a whole text, four bytes each."""
