@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernglass.llm import common, line_dedup, minhash, packing, suffix_dedup, token_counts, token_orc
+from fernglass.llm import common, fingerprint, line_dedup, minhash, mixing, packing, suffix_dedup, token_counts, token_orc
 
 
 def tokenizer(name: str = "word_bpe_49k.json") -> str:
@@ -26,10 +26,20 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited_fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer(), end_id=2)
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(_table(spark, sf_dir, "documents"))
+    taken = F.aggregate("passes", F.lit(0).cast("long"), lambda a, p: a + p["words"])
+    return mixed.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+
+
 def op6_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.prepare(spark)
     path = common.scratch(spark, "orc")
@@ -52,7 +62,9 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_fingerprint": op3_fingerprint,
     "op4_packing": op4_packing,
+    "op5_mixing": op5_mixing,
     "op6_token_orc": op6_token_orc,
     "op7_token_counts": op7_token_counts,
     "op9_minhash": op9_minhash,
