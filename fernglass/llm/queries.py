@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernglass.llm import common, fingerprint, line_dedup, minhash, mixing, packing, quality_rules, suffix_dedup, token_counts, token_orc
+from fernglass.llm import common, fingerprint, html_extract, line_dedup, minhash, mixing, packing, quality_rules, suffix_dedup, token_counts, token_orc
 
 
 def tokenizer(name: str = "word_bpe_49k.json") -> str:
@@ -20,6 +20,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(_table(spark, sf_dir, "pages"))
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["e"] - x["s"])
@@ -68,6 +72,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_extract": op1_html_extract,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_fingerprint": op3_fingerprint,
     "op4_packing": op4_packing,
