@@ -65,7 +65,7 @@ def query_variants(c: Column) -> Column:
 
 def split_list(c: Column) -> Column:
     """Items between commas and newlines, trimmed, empty ones dropped."""
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"[\n,]+"), squeeze), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"[\n,]+"), lambda x: squeeze(x)), lambda x: x != "")
 
 
 def split_query(c: Column, hyphen: bool = True) -> Column:
@@ -90,7 +90,7 @@ def grams(c: Column) -> Column:
 
 def sentences(c: Column) -> Column:
     """Pieces that end at a full stop, exclamation or question mark of either width; trimmed, none empty."""
-    return F.filter(F.transform(F.split(c, "(?<=[。．！？!?])"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(c, "(?<=[。．！？!?])"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def fragments(c: Column, limit: int = 160) -> Column:

@@ -15,7 +15,7 @@ def normalise_entries(rows: DataFrame, *, default_category: str = "other") -> Da
     for f in rows.schema.fields:
         kind = f.dataType.simpleString()
         if f.name in ("tags", "areas", "links", "payment"):
-            out[f.name] = T.split_list(F.col(f.name)) if kind == "string" else F.filter(F.transform(F.coalesce(f.name, F.expr("array()")), F.trim), lambda x: x != "")
+            out[f.name] = T.split_list(F.col(f.name)) if kind == "string" else F.filter(F.transform(F.coalesce(f.name, F.expr("cast(array() as array<string>)")), lambda x: F.trim(x)), lambda x: x != "")
         elif f.name == "area_checked":
             out[f.name] = T.truthy(F.col(f.name))
         elif kind == "string":

@@ -46,7 +46,7 @@ def index_score(groups: Column, title: Column, title_forms: Column, aux: Column,
 
 def token_groups(query: Column, synonyms: dict[str, list[str]] | None = None) -> Column:
     """Groups of alternatives for a query: each variant's tokens are groups of their own (all must match), with synonyms."""
-    tokens = F.array_distinct(F.flatten(F.transform(T.query_variants(query), T.split_query)))
+    tokens = F.array_distinct(F.flatten(F.transform(T.query_variants(query), lambda v: T.split_query(v))))
     if not synonyms:
         return F.transform(tokens, lambda t: F.array(t))
     table = F.create_map(*[x for k, v in synonyms.items() for x in (F.lit(k), F.array(*[F.lit(s) for s in v]))])
@@ -58,7 +58,7 @@ def search_index(entries: DataFrame, queries: DataFrame, *, limit: int = 10, min
     shorter than min_chars give nothing; as short as it, five at most. Order: score, then title, then ord."""
     norm = T.search_form
     q = queries.withColumn("_n", F.length(norm(F.col("query")))).where(F.col("_n") >= min_chars).select("qid", "_n", token_groups(F.col("query"), synonyms).alias("_g"))
-    listed = lambda c: F.transform(F.col(c), norm)
+    listed = lambda c: F.transform(F.col(c), lambda x: norm(x))
     e = entries.select("ord", norm(F.col("title")).alias("title"), listed("title_forms").alias("tf"), listed("aux").alias("aux"), listed("tags").alias("tags"), listed("areas").alias("areas"))
     scored = e.crossJoin(q).withColumn("score", index_score(F.col("_g"), F.col("title"), F.col("tf"), F.col("aux"), F.col("tags"), F.col("areas"), F.col("_n") <= min_chars)).where("score > 0")
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "title", "ord")
@@ -82,8 +82,8 @@ def search_tourism(entries: DataFrame, queries: DataFrame, *, limit: int = 3, th
     """qid, ord, score, direct: entries (ord, title, desc, tags, city, updated) by score, then newest, shortest title, title.
     direct says that the score decides an answer by itself."""
     norm = T.tourism_form
-    q = queries.select("qid", F.col("city").alias("_city"), F.filter(F.transform(T.split_query(norm(F.col("query"), True), hyphen=False), lambda t: t), lambda t: t != "").alias("_t"))
-    e = entries.select("ord", "city", "updated", norm(F.col("title")).alias("title"), norm(F.col("desc")).alias("desc"), F.transform("tags", norm).alias("tags"))
+    q = queries.select("qid", F.col("city").alias("_city"), T.split_query(norm(F.col("query"), True), hyphen=False).alias("_t"))
+    e = entries.select("ord", "city", "updated", norm(F.col("title")).alias("title"), norm(F.col("desc")).alias("desc"), F.transform("tags", lambda x: norm(x)).alias("tags"))
     scored = e.crossJoin(q).withColumn("score", tourism_score(F.col("_t"), F.col("title"), F.col("desc"), F.col("tags"), F.coalesce(F.col("city") == F.col("_city"), F.lit(False)))).where("score > 0")
     w = Window.partitionBy("qid").orderBy(F.desc("score"), F.desc_nulls_last("updated"), F.length("title"), "title", "ord")
     return scored.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= max(1, limit)).select("qid", "ord", "score", (F.col("score") >= threshold).alias("direct"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def closure(groups: DataFrame, *, tag: str, aliases: str) -> DataFrame:
     """form, other: each form of a row with every other form of that row; rows unite, but nothing passes from row to row."""
-    forms = groups.select(F.monotonically_increasing_id().alias("g"), F.explode(F.array_distinct(F.transform(F.concat(F.array(tag), aliases), lambda x: F.lower(F.trim(x))))).alias("form")).where(F.col("form") != "")
+    forms = groups.select(F.xxhash64(tag, aliases).alias("g"), F.explode(F.array_distinct(F.transform(F.concat(F.array(tag), aliases), lambda x: F.lower(F.trim(x))))).alias("form")).where(F.col("form") != "")
     return forms.alias("a").join(forms.alias("b"), F.expr("a.g = b.g and a.form <> b.form")).select(F.col("a.form").alias("form"), F.col("b.form").alias("other")).distinct()
 
 
