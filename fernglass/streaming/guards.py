@@ -106,12 +106,14 @@ def newest_generation(rows: DataFrame, *, key: str, generation: str) -> DataFram
 
 def _stream_state(events: DataFrame, keys: list[str], ts: str):
     """Events as a stream may be keyed: event time as TIMESTAMP, as watermarks and state need it."""
-    return events.withColumn(ts, F.col(ts).cast("timestamp")).withColumn("_t", F.unix_micros(ts)).groupBy(*keys)
+    if events.schema[ts].dataType.simpleString() != "timestamp":
+        events = events.withColumn(ts, F.col(ts).cast("timestamp"))
+    return events.withColumn("_t", F.unix_micros(ts)).groupBy(*keys)
 
 
-def ttl_dedupe_stream(events: DataFrame, keys: list[str], *, ts: str, tie: str, ttl_seconds: int = 120) -> DataFrame:
-    """The streaming twin of ttl_dedupe: keys, tie, ts of events that stay. State is one time per key, dropped by a timer when a
-    key has been silent for the ttl."""
+def ttl_dedupe_stream(events: DataFrame, keys: list[str], *, ts: str, tie: str, ttl_seconds: int = 120, lateness: str = "150 seconds") -> DataFrame:
+    """The streaming twin of ttl_dedupe: keys, tie, ts of events that stay. State is one time per key, dropped when the watermark
+    is the ttl past it; events behind the watermark are dropped."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     kinds = {f.name: f.dataType.simpleString() for f in events.schema.fields}
@@ -126,10 +128,11 @@ def ttl_dedupe_stream(events: DataFrame, keys: list[str], *, ts: str, tie: str,
         pdf = pd.concat(list(frames)).sort_values(["_t", tie], kind="stable")
         keep, last = keep_after_gap(pdf["_t"].tolist(), state.get[0] if state.exists else None, ttl_seconds * MICRO)
         state.update((last,))
-        state.setTimeoutDuration(ttl_seconds * 1000)
+        state.setTimeoutTimestamp(max(last // 1000 + ttl_seconds * 1000, state.getCurrentWatermarkMs()) + 1)
         yield pdf[keep][[*keys, tie, ts]]
 
-    return _stream_state(events, keys, ts).applyInPandasWithState(run, out, "last long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, lateness)
+    return _stream_state(timed, keys, ts).applyInPandasWithState(run, out, "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def utterance_gate_stream(events: DataFrame, *, user: str, text: str, ts: str, tie: str, ttl_seconds: int = 120) -> DataFrame:
