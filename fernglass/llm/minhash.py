@@ -188,17 +188,31 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(task, "a long, b long")
 
 
+#: 64-bit words of the bitmap of a set.
+MAP_WORDS = 32
+
+
+def bitmap(values):
+    """A set's hashes folded into MAP_WORDS * 64 bits. A bit of one map that another lacks is an element that it lacks."""
+    import numpy as np
+
+    flags = np.zeros(MAP_WORDS * 64, np.uint8)
+    flags[(values % np.uint64(MAP_WORDS * 64)).astype(np.int64)] = 1
+    return np.packbits(flags, bitorder="little").view(np.int64)
+
+
 def _shingle_sets(k: int):
     def task(batches):
         import pyarrow as pa
 
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t, k).tobytes() for t in texts(b.column(1))], pa.binary())], ["doc", "shingles"])
+            sets = [shingles(t, k) for t in texts(b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([bitmap(s) for s in sets], pa.list_(pa.int64()))], ["doc", "shingles", "bits"])
 
     return task
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", direct: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", small: int = 8) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row: component_id is the smallest id that links reach.
 
     Two documents are linked if 100 * |A and B| >= percent * |A or B| for their sets of `shingle`-word shingles (words
@@ -206,11 +220,12 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, doc
     empty set and no link. Rows with one id are one document, whose links are united; null ids are one document after
     all others.
 
-    Equal sets are one class, which its smallest id stands for. Classes that share a band are candidates. In a bucket,
-    members are compared with a few members chosen by hash; then components are formed, and buckets that still hold
-    several components go on, with more chosen members each round (these then leave, all their links being known).
-    When the pairs between different components number at most `direct` for each member, all of them are compared. So
-    every link inside a bucket is either confirmed or between documents that are connected already; no bucket is capped.
+    Equal sets are one class, which its smallest id stands for. Classes that share a band are candidates. First, buckets
+    of at most `small` classes compare all of them, larger ones compare each with the class that most others share bands
+    with and with one chosen by hash; confirmed links form components. Then larger buckets that still hold several
+    components compare classes of different components. That join bounds each pair's intersection by bitmaps of the sets
+    (a bit that the other lacks is an element that it lacks), so only pairs that may reach the threshold leave it and are
+    compared in full. Every pair of a bucket is thus linked, excluded exactly, or connected already; no bucket is capped.
     """
     spark = docs.sparkSession
     common.prepare(spark)
@@ -221,44 +236,42 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, doc
     # a signature is in at least one row of each class: the first of each batch
     classes = common.written(some.groupBy("d1", "d2").agg(F.min("doc").alias("rep"), F.first("n").alias("n"), F.first("bands", ignorenulls=True).alias("bands")), "classes")
     banded = classes.select("rep", "n", F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1").select("bucket")
-    left = common.written(banded.join(shared, "bucket"), "buckets")
-    wanted = left.select(F.col("rep").alias("doc")).distinct()
-    sets = common.written(base.join(wanted, "doc").mapInArrow(_shingle_sets(shingle), "doc long, shingles binary"), "sets")
-
-    links, labels, chosen = None, None, 4
-    while not left.isEmpty():
-        labelled = left.withColumn("component", F.col("rep")) if labels is None else left.join(labels, left.rep == labels.node, "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("component"))
-        parts = labelled.groupBy("bucket", "component").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.sum("k").alias("g"), F.sum(F.col("k") * F.col("k")).alias("s")).withColumn("cross", (F.col("g") * F.col("g") - F.col("s")) / 2).where("cross > 0")
-        total = parts.agg(F.sum("cross").alias("cross"), F.sum("g").alias("g")).first()
-        if not total.cross:
-            break
-        open_ = common.written(labelled.join(parts.select("bucket"), "bucket"), "open")
-        fits = lambda a, b: (100 * F.least(a, b) >= percent * F.greatest(a, b))
-        last = total.cross <= direct * total.g
-        if last:
-            x, y = open_.alias("x"), open_.alias("y")
-            pairs = x.join(y, F.col("x.bucket") == F.col("y.bucket")).where((F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & fits(F.col("x.n"), F.col("y.n"))).select(F.col("x.rep").alias("b"), F.col("y.rep").alias("a"))
-        else:
-            picks = open_.groupBy("bucket").agg(F.array_distinct(F.array(*[F.min(F.struct(F.xxhash64("rep", F.lit(chosen * 1000 + i)).alias("h"), "rep", "n", "component")) for i in range(chosen)])).alias("picks"))
-            picks = common.written(picks.select("bucket", F.explode("picks").alias("p")).select("bucket", F.col("p.rep").alias("b"), F.col("p.n").alias("bn"), F.col("p.component").alias("bc")).distinct(), "picks")
-            pairs = open_.join(picks, "bucket").where((F.col("rep") != F.col("b")) & (F.col("component") != F.col("bc")) & fits(F.col("n"), F.col("bn"))).select(F.col("rep").alias("a"), "b")
-        new = _verified(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), sets, percent)
-        if links is not None:
-            new = links.unionByName(new)
-        links = common.written(new, "links")
-        labels = components(links)
-        if last:
-            break
-        left = common.written(open_.select("bucket", "rep", "n").join(picks.select("bucket", F.col("b").alias("rep")), ["bucket", "rep"], "left_anti"), "buckets")
-        chosen *= 4
+    shared = banded.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1")
+    members = common.written(banded.join(shared, "bucket"), "members")
+    wanted = members.select(F.col("rep").alias("doc")).distinct()
+    sets = common.written(base.join(wanted, "doc").mapInArrow(_shingle_sets(shingle), "doc long, shingles binary, bits array<long>"), "sets")
+    fits = lambda a, b: (100 * F.least(a, b) >= percent * F.greatest(a, b))
+
+    few = members.where(F.col("k") <= small)
+    x, y = few.alias("x"), few.alias("y")
+    pairs = x.join(y, F.col("x.bucket") == F.col("y.bucket")).where((F.col("x.rep") < F.col("y.rep")) & fits(F.col("x.n"), F.col("y.n"))).select(F.col("x.rep").alias("b"), F.col("y.rep").alias("a"))
+    many = members.where(F.col("k") > small)
+    many = common.written(many.join(members.groupBy("rep").agg(F.sum("k").alias("mates")), "rep"), "many")
+    central, other = F.max(F.struct("mates", "rep", "n")), F.min(F.struct(F.xxhash64("rep").alias("h"), "rep", "n"))
+    picks = many.groupBy("bucket").agg(central.alias("c"), other.alias("o")).select("bucket", F.explode(F.array_distinct(F.array(F.struct("c.rep", "c.n"), F.struct("o.rep", "o.n")))).alias("p"))
+    picks = picks.select("bucket", F.col("p.rep").alias("b"), F.col("p.n").alias("bn"))
+    pairs = pairs.unionByName(many.join(picks, "bucket").where((F.col("rep") != F.col("b")) & fits(F.col("n"), F.col("bn"))).select(F.greatest("rep", "b").alias("a"), F.least("rep", "b").alias("b")))
+    links = common.written(_verified(pairs.distinct(), sets, percent), "links")
+    labels = common.written(components(links), "labels")
+
+    labelled = many.join(labels, many.rep == labels.node, "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("component"))
+    parts = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
+    left = labelled.join(parts, "bucket").join(sets.select(F.col("doc").alias("rep"), "bits"), "rep")
+    left = common.written(left, "left")
+    if not left.isEmpty():
+        x, y = left.alias("x"), left.alias("y")
+        # pairs of different components, once for both orders; lacks(x, y): elements of x that y surely lacks
+        lacks = lambda s, t: sum((F.bit_count(F.get(f"{s}.bits", F.lit(i)).bitwiseAND(F.bitwise_not(F.get(f"{t}.bits", F.lit(i))))) for i in range(MAP_WORDS)), F.lit(0))
+        most = F.least(F.col("x.n") - lacks("x", "y"), F.col("y.n") - lacks("y", "x"))
+        reach = (100 + percent) * most >= percent * (F.col("x.n") + F.col("y.n"))
+        apart = (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component"))
+        pairs = x.join(y, F.col("x.bucket") == F.col("y.bucket")).where(apart & fits(F.col("x.n"), F.col("y.n")) & reach).select(F.col("y.rep").alias("a"), F.col("x.rep").alias("b")).distinct()
+        more = common.written(_verified(pairs, sets, percent), "links")
+        if not more.isEmpty():
+            labels = common.written(components(links.unionByName(more)), "labels")
 
     named = classes.select("d1", "d2", "rep")
-    if labels is not None:
-        labels = common.written(labels, "labels")
-        named = named.join(labels, named.rep == labels.node, "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
-    else:
-        named = named.withColumnRenamed("rep", "component")
+    named = named.join(labels, named.rep == labels.node, "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
     out = some.select("doc", "n", "d1", "d2").join(named, ["d1", "d2"]).select("doc", "n", "component")
     out = out.unionByName(signed.where("n = 0").select("doc", "n", F.col("doc").alias("component")))
     null = lambda c: F.when(F.col(c) != top, F.col(c))
