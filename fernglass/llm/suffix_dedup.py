@@ -138,9 +138,10 @@ def _pass1(threshold: int):
             for doc, dig, text in docs:
                 if len(text) >= threshold:
                     name = hashlib.blake2b(text, digest_size=16).digest()
-                    if seen.setdefault(name, (doc, dig)) == (doc, dig):
+                    if name not in seen:
+                        seen[name] = (doc, dig)
                         todo.append(((doc, dig), text))
-                    else:
+                    elif seen[name] != (doc, dig):  # else a repeated row: the same document
                         gone.append((doc, dig, 0, len(text)))
             parts = []
             for chunk in _chunks(todo):
@@ -197,8 +198,10 @@ def _pass2(threshold: int):
             new[1:] = (h[1:] != h[:-1]) | (t[1:] != t[:-1])
             if held is not None:
                 new[0] = (h[0], t[0]) != (held[0][0], held[0][1])
-            if not new.all():
-                again = ~new
+            first = np.maximum.accumulate(np.where(new, np.arange(len(new)), -1))
+            same = np.where(first >= 0, (doc == doc[first]) & (pos == pos[first]), held is not None and (doc == held[0][3]) & (pos == held[0][4]))
+            again = ~new & ~same  # a repeated row holds the same place of the same document
+            if again.any():
                 yield batch(h[again], ((pos[again] >> 8) & ((1 << 40) - 1)) + (pos[again] & 255) - 1 + threshold, 1, doc[again], pos[again])
             h, t, kind, doc, pos = (x[new] for x in (h, t, kind, doc, pos))
             if not len(h):
@@ -255,7 +258,7 @@ def _spans(doc, pos, row, offset, threshold: int):
     new = np.ones(len(row), bool)
     new[1:] = (row[1:] != row[:-1]) | (offset[1:] != offset[:-1] + 1)
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(row)) - 1
+    last = np.append(first, len(row))[1:] - 1
     of = row[first]
     start = ((pos[of] >> 8) & ((1 << 40) - 1)) + offset[first]
     dig = pos[of] >> 48
@@ -270,6 +273,9 @@ def _pass3(threshold: int):
         import pyarrow as pa
 
         def resolve(h, doc, pos, runs):
+            once = np.ones(len(h), bool)  # repeated rows hold the same places of the same document
+            once[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1])
+            h, doc, pos, runs = h[once], doc[once], pos[once], [r for r, k in zip(runs, once.tolist()) if k]
             row, offset, hashes = _suffixes(runs, threshold)
             key = _mix(hashes + h.view(np.uint64)[row])
             order = np.argsort(key, kind="stable")
