@@ -28,10 +28,18 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the first, of each group of near duplicates by 5-word shingles (operator 9)."""
-    groups = minhash.near_duplicates(docs, shingle=5, percent=80)
-    gone = groups.where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One row, the first by id, of each group of near duplicates by 5-word shingles (operator 9).
+
+    Every row stands for itself, so that rows without an id, or of one id, are kept and dropped each by its own text. Rows
+    are numbered by id, null last, and by hashes of the text.
+    """
+    text = F.coalesce("text", F.lit(""))
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64(text), F.xxhash64(F.lit(2), text)]
+    ranged = docs.repartitionByRange(common.partitions(spark), *order).sortWithinPartitions(*order)
+    rows = common.written(ranged.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    groups = minhash.near_duplicates(rows, shingle=5, percent=80, doc_id="_row")
+    gone = groups.where("not kept").select(F.col("doc_id").alias("_row"))
+    return rows.join(gone, "_row", "left_anti").select(docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

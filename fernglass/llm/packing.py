@@ -88,7 +88,7 @@ def pack(docs: DataFrame, tokenizer: str, *, end_id: int, room: int = 4096, slac
     One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset; with_ids adds ids. Null texts
     are the end id alone. Null and repeated ids are packed as rows of their own. An empty table gives no rows.
 
-    Documents are dealt at random (by a hash of their id) to groups, one a partition. A task encodes each text once,
+    Documents are dealt at random (by a hash of their id and text) to groups, one a partition. A task encodes each text once,
     sets aside whole sequences of long texts at once, and keeps only the last parts until the group ends, so its memory
     is bounded by the documents of a group, not by their length. Results don't depend on the order of arrival.
     """
@@ -103,7 +103,7 @@ def pack(docs: DataFrame, tokenizer: str, *, end_id: int, room: int = 4096, slac
         from pyspark import TaskContext
 
         enc, end, group = encoder(tokenizer), int(end_id).to_bytes(4, "little"), TaskContext.get().partitionId()
-        whole, parts, tails, totals = [], [], {}, {}
+        whole, parts, tails, totals, copies = [], [], {}, {}, {}
         for b in batches:
             for key, t in zip(b.column(0).to_pylist(), texts(b.column(1))):
                 ids = enc.encode(t) + end
@@ -115,9 +115,9 @@ def pack(docs: DataFrame, tokenizer: str, *, end_id: int, room: int = 4096, slac
                 if cut < n:
                     tail = ids[4 * cut :]
                     # equal keys are told apart by their bytes, so that the order of arrival doesn't matter
-                    name = (key is None, key or 0, zlib.crc32(tail))
-                    while name in tails:
-                        name = (*name, 0)
+                    name = (key is None, key or 0, zlib.crc32(tail), tail, n)
+                    copies[name] = copies.get(name, 0) + 1
+                    name = (*name, copies[name])
                     tails[name], totals[name] = tail, n
                     parts.append((name, cut, n - cut))
         out = []
@@ -136,5 +136,5 @@ def pack(docs: DataFrame, tokenizer: str, *, end_id: int, room: int = 4096, slac
                 arrays, names = [*arrays, pa.array(columns[7], pa.binary())], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(arrays, names)
 
-    dealt = rows.repartition(groups, F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(seed)))
+    dealt = rows.repartition(groups, F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.coalesce("text", F.lit("")), F.lit(seed)))
     return dealt.mapInArrow(task, schema + (", ids binary" if with_ids else ""))

@@ -117,11 +117,15 @@ def _chunks(docs):
         yield now
 
 
-_RUN = "h long, t long, kind int, doc long, pos long"
+#: A row: its id, and 128 bits that tell rows of one id apart.
+_KEY = ("doc", "dig", "more")
+_PLACE = "doc long, dig long, more long, pos long"
+_RUN = f"h long, t long, kind int, {_PLACE}"
+_NAMES = ["h", "t", "kind", *_KEY, "pos"]
 
 
-def _row_pos(dig, start, n):
-    return (dig << 48) | (start << 8) | n
+def _row_pos(start, n):
+    return (start << 8) | n
 
 
 def _pass1(threshold: int):
@@ -133,16 +137,16 @@ def _pass1(threshold: int):
         import pyarrow as pa
 
         for b in batches:
-            docs = sorted(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts(b.column(2))), key=lambda x: x[:2])
+            docs = sorted(zip(zip(*(b.column(i).to_pylist() for i in range(3))), texts(b.column(3))), key=lambda x: x[0])
             seen, todo, gone = {}, [], []
-            for doc, dig, text in docs:
+            for key, text in docs:
                 if len(text) >= threshold:
                     name = hashlib.blake2b(text, digest_size=16).digest()
                     if name not in seen:
-                        seen[name] = (doc, dig)
-                        todo.append(((doc, dig), text))
-                    elif seen[name] != (doc, dig):  # else a repeated row: the same document
-                        gone.append((doc, dig, 0, len(text)))
+                        seen[name] = key
+                        todo.append((key, text))
+                    elif seen[name] != key:  # else a repeated row: the same document
+                        gone.append((*key, 0, len(text)))
             parts = []
             for chunk in _chunks(todo):
                 bounds = np.concatenate(([0], np.cumsum([len(t) for _, t in chunk])))
@@ -151,31 +155,31 @@ def _pass1(threshold: int):
                     start, size, h, t, multi = found
                     own = np.searchsorted(bounds, start, "right") - 1
                     keys = np.array([k for k, _ in chunk], np.int64)[own]
-                    parts.append((h, t, multi, keys[:, 0], keys[:, 1], start - bounds[own], size))
+                    parts.append((h, t, multi, keys, start - bounds[own], size))
             if parts:
-                h, t, multi, doc, dig, start, size = (np.concatenate(x) for x in zip(*parts))
+                h, t, multi, keys, start, size = (np.concatenate(x) for x in zip(*parts))
                 order = np.lexsort((t, h))
                 again = np.zeros(len(h), bool)
                 again[order[1:]] = (h[order[1:]] == h[order[:-1]]) & (t[order[1:]] == t[order[:-1]])
-                for d, g, s, n in zip(doc[again].tolist(), dig[again].tolist(), start[again].tolist(), size[again].tolist()):
-                    if gone and gone[-1][:2] == (d, g) and gone[-1][2] <= s <= gone[-1][3]:
-                        gone[-1] = (d, g, gone[-1][2], max(gone[-1][3], s + n - 1 + threshold))
+                for key, s, n in zip(map(tuple, keys[again].tolist()), start[again].tolist(), size[again].tolist()):
+                    if gone and gone[-1][:3] == key and gone[-1][3] <= s <= gone[-1][4]:
+                        gone[-1] = (*key, gone[-1][3], max(gone[-1][4], s + n - 1 + threshold))
                     else:
-                        gone.append((d, g, s, s + n - 1 + threshold))
+                        gone.append((*key, s, s + n - 1 + threshold))
                 k = ~again
-                arrays = [h[k].view(np.int64), t[k].view(np.int64), np.where(multi[k], 2, 0).astype(np.int32), doc[k], _row_pos(dig[k], start[k], size[k])]
-                yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["h", "t", "kind", "doc", "pos"])
+                arrays = [h[k].view(np.int64), t[k].view(np.int64), np.where(multi[k], 2, 0).astype(np.int32), *keys[k].T, _row_pos(start[k], size[k])]
+                yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], _NAMES)
             if gone:
                 d = np.array(gone, np.int64)
-                spread = _mix(d[:, 0].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + d[:, 2].view(np.uint64)).view(np.int64)
-                arrays = [spread, d[:, 3], np.ones(len(d), np.int32), d[:, 0], _row_pos(d[:, 1], d[:, 2], 0)]
-                yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["h", "t", "kind", "doc", "pos"])
+                spread = _mix((d[:, 0] ^ d[:, 1]).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + d[:, 3].view(np.uint64)).view(np.int64)
+                arrays = [spread, d[:, 4], np.ones(len(d), np.int32), *d[:, :3].T, _row_pos(d[:, 3], 0)]
+                yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], _NAMES)
 
     return task
 
 
 def _pass2(threshold: int):
-    """Sorted runs to repeats (kind 1: doc, pos, t the end) and to runs that pass 3 must look at (kind 0).
+    """Sorted runs to repeats (kind 1: the row, pos, t the end) and to runs that pass 3 must look at (kind 0).
 
     Ranges may cut a digit's rows; a range's first and last run are passed on, which costs little and loses nothing."""
 
@@ -183,15 +187,19 @@ def _pass2(threshold: int):
         import numpy as np
         import pyarrow as pa
 
-        def batch(h, t, kind, doc, pos):
-            return pa.RecordBatch.from_arrays([pa.array(h), pa.array(t), pa.array(np.full(len(h), kind, np.int32)), pa.array(doc), pa.array(pos)], ["h", "t", "kind", "doc", "pos"])
+        def batch(h, t, kind, *place):
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (h, t, np.full(len(h), kind, np.int32), *place)], _NAMES)
+
+        def one(row):
+            h, t, _, *place = (np.array([x], np.int64) for x in row)
+            return batch(h, t, 0, *place)
 
         held = None  # the last first-of-its-kind run: (row, whether the digit had another before)
         for b in batches:
-            h, t, kind, doc, pos = (b.column(i).to_numpy() for i in range(5))
+            h, t, kind, *place = (b.column(i).to_numpy() for i in range(len(_NAMES)))
             if (done := kind == 1).any():
-                yield batch(h[done], t[done], 1, doc[done], pos[done])
-                h, t, kind, doc, pos = (x[~done] for x in (h, t, kind, doc, pos))
+                yield batch(h[done], t[done], 1, *[x[done] for x in place])
+                h, t, kind, *place = (x[~done] for x in (h, t, kind, *place))
             if not len(h):
                 continue
             new = np.ones(len(h), bool)
@@ -199,24 +207,26 @@ def _pass2(threshold: int):
             if held is not None:
                 new[0] = (h[0], t[0]) != (held[0][0], held[0][1])
             first = np.maximum.accumulate(np.where(new, np.arange(len(new)), -1))
-            same = np.where(first >= 0, (doc == doc[first]) & (pos == pos[first]), held is not None and (doc == held[0][3]) & (pos == held[0][4]))
-            again = ~new & ~same  # a repeated row holds the same place of the same document
+            like = np.logical_and.reduce([x == x[first] for x in place])
+            like_held = np.logical_and.reduce([x == y for x, y in zip(place, held[0][3:])]) if held is not None else np.zeros(len(h), bool)
+            again = ~new & ~np.where(first >= 0, like, like_held)  # a repeated row holds the same place of the same document
             if again.any():
-                yield batch(h[again], ((pos[again] >> 8) & ((1 << 40) - 1)) + (pos[again] & 255) - 1 + threshold, 1, doc[again], pos[again])
-            h, t, kind, doc, pos = (x[new] for x in (h, t, kind, doc, pos))
+                pos = place[-1][again]
+                yield batch(h[again], (pos >> 8) + (pos & 255) - 1 + threshold, 1, *[x[again] for x in place])
+            h, t, kind, *place = (x[new] for x in (h, t, kind, *place))
             if not len(h):
                 continue
             before = np.empty(len(h), bool)
             before[1:] = h[1:] == h[:-1]
             before[0] = held is None or held[0][0] == h[0]
             if held is not None and (held[1] or held[0][2] == 2 or before[0]):
-                yield batch(*([np.array([x], np.int64) for x in held[0][:2]]), 0, *([np.array([x], np.int64) for x in held[0][3:]]))
+                yield one(held[0])
             keep = before[:-1] | before[1:] | (kind[:-1] == 2)
             if keep.any():
-                yield batch(h[:-1][keep], t[:-1][keep], 0, doc[:-1][keep], pos[:-1][keep])
-            held = ((int(h[-1]), int(t[-1]), int(kind[-1]), int(doc[-1]), int(pos[-1])), bool(before[-1]))
+                yield batch(h[:-1][keep], t[:-1][keep], 0, *[x[:-1][keep] for x in place])
+            held = (tuple(int(x[-1]) for x in (h, t, kind, *place)), bool(before[-1]))
         if held is not None:
-            yield batch(*([np.array([x], np.int64) for x in held[0][:2]]), 0, *([np.array([x], np.int64) for x in held[0][3:]]))
+            yield one(held[0])
 
     return task
 
@@ -229,12 +239,12 @@ def _cut_runs(threshold: int):
 
         for b in batches:
             rows = []
-            for doc, text, open_runs in zip(b.column(0).to_pylist(), texts(b.column(1)), b.column(2).to_pylist()):
+            for key, text, open_runs in zip(zip(*(b.column(i).to_pylist() for i in range(3))), texts(b.column(3)), b.column(4).to_pylist()):
                 for r in open_runs:
-                    s, n = (r["pos"] >> 8) & ((1 << 40) - 1), r["pos"] & 255
-                    rows.append((r["h"], doc, r["pos"], text[s : s + n - 1 + threshold]))
+                    s, n = r["pos"] >> 8, r["pos"] & 255
+                    rows.append((r["h"], *key, r["pos"], text[s : s + n - 1 + threshold]))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["h", "doc", "pos", "run"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (*[pa.int64()] * 5, pa.binary()))], ["h", *_KEY, "pos", "run"])
 
     return task
 
@@ -251,8 +261,8 @@ def _suffixes(rows, threshold: int):
     return row, offset, hashes[bounds[row] + offset]
 
 
-def _spans(doc, pos, row, offset, threshold: int):
-    """Repeated suffixes to (doc, pos with the first byte, end) of joined-up bytes."""
+def _spans(key, pos, row, offset, threshold: int):
+    """Repeated suffixes to (columns of the row, pos with the first byte, end) of joined-up bytes."""
     import numpy as np
 
     new = np.ones(len(row), bool)
@@ -260,9 +270,8 @@ def _spans(doc, pos, row, offset, threshold: int):
     first = np.flatnonzero(new)
     last = np.append(first, len(row))[1:] - 1
     of = row[first]
-    start = ((pos[of] >> 8) & ((1 << 40) - 1)) + offset[first]
-    dig = pos[of] >> 48
-    return doc[of], _row_pos(dig, start, 0), start + (offset[last] - offset[first]) + threshold
+    start = (pos[of] >> 8) + offset[first]
+    return [x[of] for x in key], _row_pos(start, 0), start + (offset[last] - offset[first]) + threshold
 
 
 def _pass3(threshold: int):
@@ -272,32 +281,32 @@ def _pass3(threshold: int):
         import numpy as np
         import pyarrow as pa
 
-        def resolve(h, doc, pos, runs):
+        def resolve(h, *columns):
+            place, runs = columns[:-1], columns[-1]
             once = np.ones(len(h), bool)  # repeated rows hold the same places of the same document
-            once[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1])
-            h, doc, pos, runs = h[once], doc[once], pos[once], [r for r, k in zip(runs, once.tolist()) if k]
+            once[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in (h, *place)])
+            h, place, runs = h[once], [x[once] for x in place], [r for r, k in zip(runs, once.tolist()) if k]
             row, offset, hashes = _suffixes(runs, threshold)
             key = _mix(hashes + h.view(np.uint64)[row])
             order = np.argsort(key, kind="stable")
             again = np.zeros(len(key), bool)
             again[order[1:]] = key[order[1:]] == key[order[:-1]]
-            d, p, end = _spans(doc, pos, row[again], offset[again], threshold)
-            return pa.RecordBatch.from_arrays([pa.array(d), pa.array(p), pa.array(end)], ["doc", "pos", "t"])
+            d, p, end = _spans(place[:-1], place[-1], row[again], offset[again], threshold)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (*d, p, end)], [*_KEY, "pos", "t"])
 
         held: list = []
         for b in batches:
-            held.append((b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(), b.column(3).to_pylist()))
+            held.append((*(b.column(i).to_numpy() for i in range(5)), b.column(5).to_pylist()))
             if sum(len(x[0]) for x in held) < 8192:
                 continue
-            h, doc, pos = (np.concatenate([x[i] for x in held]) for i in range(3))
-            runs = [r for x in held for r in x[3]]
+            h, *place = (np.concatenate([x[i] for x in held]) for i in range(5))
+            runs = [r for x in held for r in x[5]]
             cut = int(np.flatnonzero(h != h[-1])[-1]) + 1 if (h != h[-1]).any() else 0
             if cut:
-                yield resolve(h[:cut], doc[:cut], pos[:cut], runs[:cut])
-            held = [(h[cut:], doc[cut:], pos[cut:], runs[cut:])]
+                yield resolve(*(x[:cut] for x in (h, *place, runs)))
+            held = [tuple(x[cut:] for x in (h, *place, runs))]
         if held:
-            h, doc, pos = (np.concatenate([x[i] for x in held]) for i in range(3))
-            yield resolve(h, doc, pos, [r for x in held for r in x[3]])
+            yield resolve(*(np.concatenate([x[i] for x in held]) for i in range(5)), [r for x in held for r in x[5]])
 
     return task
 
@@ -311,24 +320,25 @@ def _explode_runs(threshold: int):
 
         for b in batches:
             if b.num_rows:
-                runs, pos = b.column(3).to_pylist(), b.column(2).to_numpy()
+                *key, pos = (b.column(i).to_numpy() for i in range(1, 5))
+                runs = b.column(5).to_pylist()
                 row, offset, a = _suffixes(runs, threshold)
                 bounds = np.concatenate(([0], np.cumsum([len(r) for r in runs])))
                 c = _window_hashes(np.frombuffer(b"".join(runs), np.uint8), threshold, 0x6C62272E)[bounds[row] + offset]
-                at = _row_pos(pos[row] >> 48, ((pos[row] >> 8) & ((1 << 40) - 1)) + offset, 0)
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), pa.array(b.column(1).to_numpy()[row]), pa.array(at)], ["a", "c", "doc", "pos"])
+                at = _row_pos((pos[row] >> 8) + offset, 0)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a.view(np.int64), c.view(np.int64), *[k[row] for k in key], at)], ["a", "c", *_KEY, "pos"])
 
     return task
 
 
 def _identity(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc (a null id is the largest), dig (15 bits that tell rows with equal ids apart), text."""
+    """doc (a null id is the largest), dig and more (two hashes of the text, 128 bits that tell rows with equal ids apart), text."""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1)).alias("doc"), F.xxhash64(t).bitwiseAND(0x7FFF).alias("dig"), t.alias("text"))
+    return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1)).alias("doc"), F.xxhash64(t).alias("dig"), F.xxhash64(F.lit(2), t).alias("more"), t.alias("text"))
 
 
 def repeated_spans(docs: DataFrame, *, threshold: int = 100, doc_id: str = "doc_id", text: str = "text", common_runs: int = 65_536) -> DataFrame:
-    """doc, dig, spans (array of first byte and end, not merged) of all bytes in a string of `threshold` bytes that also
+    """doc, dig, more, spans (array of first byte and end, not merged) of all bytes in a string of `threshold` bytes that also
     starts earlier: in a smaller id, or in the same text at a smaller place. Texts without such bytes have no row.
 
     Null texts are empty; a null id is the largest; rows with one id and different texts are ordered by a hash.
@@ -342,27 +352,27 @@ def repeated_spans(docs: DataFrame, *, threshold: int = 100, doc_id: str = "doc_
     n = common.partitions(spark)
     base = _identity(docs, doc_id, text)
     runs = base.mapInArrow(_pass1(threshold), _RUN)
-    ordered = runs.repartitionByRange(n, "h", "t").sortWithinPartitions("h", "t", "doc", "pos")
+    ordered = runs.repartitionByRange(n, "h", "t").sortWithinPartitions("h", "t", *_KEY, "pos")
     found = common.written(ordered.mapInArrow(_pass2(threshold), _RUN), "runs")
-    split = lambda df: df.select("doc", F.shiftright("pos", 48).alias("dig"), (F.shiftright("pos", 8).bitwiseAND((1 << 40) - 1)).alias("s"), F.col("t").alias("e"))
+    split = lambda df: df.select(*_KEY, F.shiftright("pos", 8).alias("s"), F.col("t").alias("e"))
 
-    open_runs = found.where("kind = 0").select("h", "doc", F.shiftright("pos", 48).alias("dig"), "pos")
-    by_doc = open_runs.groupBy("doc", "dig").agg(F.collect_list(F.struct("h", "pos")).alias("open"))
-    cut = base.join(by_doc, ["doc", "dig"]).select("doc", "text", "open").mapInArrow(_cut_runs(threshold), "h long, doc long, pos long, run binary")
+    open_runs = found.where("kind = 0").select("h", *_KEY, "pos")
+    by_doc = open_runs.groupBy(*_KEY).agg(F.collect_list(F.struct("h", "pos")).alias("open"))
+    cut = base.join(by_doc, [*_KEY]).select(*_KEY, "text", "open").mapInArrow(_cut_runs(threshold), f"h long, {_PLACE}, run binary")
     hot = open_runs.groupBy("h").count().where(F.col("count") > common_runs).select("h")
     if hot.isEmpty():
         usual, rare = cut, None
     else:
         usual, rare = cut.join(hot, "h", "left_anti"), cut.join(hot, "h", "left_semi")
-    resolved = usual.repartition(n, "h").sortWithinPartitions("h", "doc", "pos").mapInArrow(_pass3(threshold), "doc long, pos long, t long")
+    resolved = usual.repartition(n, "h").sortWithinPartitions("h", *_KEY, "pos").mapInArrow(_pass3(threshold), f"{_PLACE}, t long")
     spans = split(found.where("kind = 1")).unionByName(split(resolved))
     if rare is not None:
-        each = rare.select("h", "doc", "pos", "run").mapInArrow(_explode_runs(threshold), "a long, c long, doc long, pos long")
-        firsts = each.groupBy("a", "c").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count("*").alias("k")).where("k > 1")
-        late = each.join(firsts, ["a", "c"]).where(F.struct("doc", "pos") != F.col("first"))
-        start = F.shiftright("pos", 8).bitwiseAND((1 << 40) - 1)
-        spans = spans.unionByName(late.select("doc", F.shiftright("pos", 48).alias("dig"), start.alias("s"), (start + threshold).alias("e")))
-    return spans.groupBy("doc", "dig").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+        each = rare.select("h", *_KEY, "pos", "run").mapInArrow(_explode_runs(threshold), f"a long, c long, {_PLACE}")
+        firsts = each.groupBy("a", "c").agg(F.min(F.struct(*_KEY, "pos")).alias("first"), F.count("*").alias("k")).where("k > 1")
+        late = each.join(firsts, ["a", "c"]).where(F.struct(*_KEY, "pos") != F.col("first"))
+        start = F.shiftright("pos", 8)
+        spans = spans.unionByName(late.select(*_KEY, start.alias("s"), (start + threshold).alias("e")))
+    return spans.groupBy(*_KEY).agg(F.collect_list(F.struct("s", "e")).alias("spans"))
 
 
 def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -402,5 +412,5 @@ def remove_repeats(docs: DataFrame, *, threshold: int = 100, doc_id: str = "doc_
                 kept.append(b"".join(left))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(spans, spans_type), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
 
-    out = base.join(found, ["doc", "dig"], "left").select("doc", "text", "spans").mapInArrow(cut, "doc_id long, n_bytes long, spans array<struct<s:long,e:long>>, kept binary")
+    out = base.join(found, [*_KEY], "left").select("doc", "text", "spans").mapInArrow(cut, "doc_id long, n_bytes long, spans array<struct<s:long,e:long>>, kept binary")
     return out.withColumn("doc_id", F.expr(f"nullif(doc_id, {(1 << 63) - 1})"))

@@ -51,6 +51,18 @@ def test_repeats_of_nothing(empty):
     assert suffix_dedup.remove_repeats(empty).collect() == []
 
 
+@pytest.mark.parametrize("common_runs", [65_536, 0])
+def test_repeats_of_many_texts_under_a_null_id(spark, common_runs):
+    """2,000 different texts without an id: each keeps what is its own, and loses only the passage that all share."""
+    shared = "a passage that every one of these rows holds, so it is left in one of them and is cut from all the others; " * 2
+    words = lambda i: " ".join(f"{(i * 2654435761 + j * 40503 + i * j * 97) % 1000003:x}" for j in range(20 + i % 60))
+    rows = [(None, words(i) + (shared if i % 3 == 0 else "")) for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sorted(bytes(r.kept) for r in suffix_dedup.remove_repeats(df, common_runs=common_runs).collect())
+    order = df.select("text").orderBy(F.xxhash64("text")).collect()
+    assert got == sorted(brute_repeats([r.text.encode() for r in order]))
+
+
 def brute_lines(rows):
     key = lambda line: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in line.strip(" \t\n\r\x0b\x0c"))
     holders = {}

@@ -34,6 +34,19 @@ def test_stages(spark):
     assert {r.doc_id for r in packed} == {r.doc_id for r in mixed} and max(r.offset + r.length for r in packed) <= 4096
 
 
+def test_near_and_packed_without_ids(spark):
+    """Rows without an id, or of one id, are dropped each by its own text, and are packed in many groups."""
+    common.prepare(spark)
+    words = lambda i: " ".join(f"w{i}x{j}" for j in range(40))
+    rows = [(i, words(i)) for i in range(20)] + [(None, words(i)) for i in range(10, 60)] + [(5, words(i)) for i in range(55, 65)] + [(None, words(70)), (None, words(70) + " end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(r.doc_id, r.text) for r in P.near(spark, docs, DATA).collect()]
+    want = [(i, words(i)) for i in range(20)] + [(None, words(i)) for i in range(20, 55)] + [(5, words(i)) for i in range(55, 65)]
+    assert sorted((d or -1, t) for d, t in got if not t.startswith("w70x")) == sorted((d or -1, t) for d, t in want)
+    assert sum(t.startswith("w70x") for _, t in got) == 1
+    assert len({r.sequence_id >> 40 for r in P.packed(spark, docs.where("doc_id is null"), DATA).collect()}) > 1
+
+
 def test_stages_on_nothing(spark):
     common.prepare(spark)
     docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(0)
