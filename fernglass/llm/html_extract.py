@@ -20,7 +20,7 @@ _TOKEN = re.compile(
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|</?[a-zA-Z][^>]*>|<[!?/][^>]*>",
     re.S | re.I,
 )
-_ATTR = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+_ATTR = re.compile(r"""(?<![^\s"'/])([^\s"'>/=]++)\s*+=\s*+("[^"]*"|'[^']*'|[^\s>]+)""")
 # fixed values: element names of HTML, and names that pages give to what is not their text
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
@@ -35,25 +35,30 @@ _NOT_TEXT_NAMES = frozenset(
 _NOT_TEXT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert".split())
 _ALWAYS = frozenset("html body main article".split())
 _NEGATED = frozenset("has no with without is".split())
+_COMMENTS = frozenset("comment comments commentlist disqus respond".split())
 
 
 def _named(attrs: str) -> tuple[list[str], str]:
     """Class and id words, and the role."""
     words, role = [], ""
     for name, value in _ATTR.findall(attrs):
-        value = value.strip("\"'").lower()
-        if name.lower() == "role":
+        name, value = name.lower(), value.strip("\"'").lower()
+        if name == "role":
             role = value
-        else:
+        elif name in ("class", "id"):
             words += value.split()
     return words, role
 
 
-def _is_boilerplate(tag: str, words: list[str], role: str) -> bool:
+def _is_boilerplate(tag: str, role: str) -> bool:
+    """Whether an element is no text by its tag or role."""
+    return tag not in _ALWAYS and (tag in _NOT_TEXT or role in _NOT_TEXT_ROLES)
+
+
+def _is_marked(tag: str, words: list[str]) -> bool:
+    """Whether an element has a name of what isn't text; a wrapper of the text may have one too."""
     if tag in _ALWAYS:
         return tag == "article" and any(p in ("comment", "comments") for w in words for p in re.split("[-_]+", w))
-    if tag in _NOT_TEXT or role in _NOT_TEXT_ROLES:
-        return True
     for w in words:
         parts = re.split("[-_]+", w)
         if parts[0] not in _NEGATED and not _NOT_TEXT_NAMES.isdisjoint(parts):
@@ -61,6 +66,11 @@ def _is_boilerplate(tag: str, words: list[str], role: str) -> bool:
     return False
 
 
+def _holds_comments(words: list[str]) -> bool:
+    parts = [re.split("[-_]+", w) for w in words]
+    return any(p[0] in _COMMENTS and p[-1] not in ("open", "closed") for p in parts)
+
+
 def _general(tag: str, words: list[str]) -> str:
     """Tag and names with digits generalised, names in order: what pages of one template share."""
     names = sorted({re.sub(r"\d+", "#", w) for w in words})
@@ -70,28 +80,33 @@ def _general(tag: str, words: list[str]) -> str:
 def parse(page: str, by_name: bool = True):
     """Containers and blocks of a page: containers as (path, parent, tag); blocks as (container, text, link characters).
 
-    Scripts, styles, comments and boilerplate subtrees are left out; by_name=False trusts only tags for the latter.
+    Scripts, styles, comments and boilerplate subtrees are left out; by_name=False trusts only tags for the latter. Subtrees
+    with names of boilerplate are judged when the page has been read: see _dropped.
     """
     containers, blocks = [("", -1, "")], []
-    stack = [(0, "", False)]  # container, tag, boilerplate
+    stack = [(0, "", False, False)]  # container, tag, boilerplate, marked by name
     skip, link, seen_main = 0, 0, False
+    marks, plain = 0, 0  # open elements that are marked, blocks outside of such
+    marked: dict[int, list[str]] = {}
     buffer: list[str] = []
     linked, at = 0, 0
 
     def flush():
-        nonlocal linked
+        nonlocal linked, plain
         if buffer:
             text = " ".join("".join(buffer).split())
             if text:
+                plain += not marks
                 blocks.append((stack[-1][0], text, min(linked, len(text))))
             buffer.clear()
         linked = 0
 
     def pop_to(depth: int):
-        nonlocal skip
+        nonlocal skip, marks
         flush()
-        for _, _, bad in stack[depth:]:
+        for _, _, bad, mark in stack[depth:]:
             skip -= bad
+            marks -= mark
         del stack[depth:]
 
     for m in _TOKEN.finditer(page):
@@ -113,9 +128,11 @@ def parse(page: str, by_name: bool = True):
         elif tag in _INLINE:
             if tag == "a":
                 link = 0 if m["end"] else 1
-            elif not m["end"] and by_name and m["attrs"] and _is_boilerplate(tag, *_named(m["attrs"])):
-                stack.append((stack[-1][0], tag, True))
-                skip += 1
+            elif not m["end"] and by_name and m["attrs"]:
+                words, role = _named(m["attrs"])
+                if _is_boilerplate(tag, role) or _is_marked(tag, words):
+                    stack.append((stack[-1][0], tag, True, False))
+                    skip += 1
             if m["end"] and len(stack) > 1 and stack[-1][1] == tag and stack[-1][2]:
                 stack.pop()
                 skip -= 1
@@ -142,11 +159,11 @@ def parse(page: str, by_name: bool = True):
                     if stack[depth][1] in ("ul", "ol", "dl", "table", "div", "section", "article", "td"):
                         break
             words, role = _named(m["attrs"]) if m["attrs"] else ([], "")
-            if tag in ("article", "main") and not seen_main and not blocks and not _is_boilerplate(tag, words, role):
+            if tag in ("article", "main") and not seen_main and not plain and not _is_marked(tag, words):
                 # an unclosed menu or notice before the text ends where the text begins
                 seen_main = True
                 for depth in range(1, len(stack)):
-                    if stack[depth][2]:
+                    if stack[depth][2] or stack[depth][3]:
                         pop_to(depth)
                         break
             if tag not in _CELLS:
@@ -155,35 +172,79 @@ def parse(page: str, by_name: bool = True):
                 buffer.append(" ")
             if m["attrs"].rstrip().endswith("/") and tag not in _CLOSES_P:
                 continue
-            bad = tag in _NOT_TEXT if not by_name else _is_boilerplate(tag, words, role)
-            if skip or bad or tag in ("p", "li", "td", "th", "tr", "tbody", "thead", "h1", "h2", "h3", "h4", "h5", "h6"):
+            bad = tag in _NOT_TEXT if not by_name else _is_boilerplate(tag, role)
+            mark = by_name and not skip and not bad and _is_marked(tag, words)
+            if skip or bad or not mark and tag in ("p", "li", "td", "th", "tr", "tbody", "thead", "h1", "h2", "h3", "h4", "h5", "h6"):
                 here = stack[-1][0]
             else:
                 here = len(containers)
                 parent = stack[-1][0]
                 path = containers[parent][0]
                 containers.append((f"{path}/{_general(tag, words)}" if path else _general(tag, words), parent, tag))
-            stack.append((here, tag, bad))
+            if mark:
+                marked[here] = words
+            stack.append((here, tag, bad, mark))
             skip += bad
+            marks += mark
     if not skip and at < len(page):
         buffer.append(_html.unescape(page[at:]))
     flush()
+    if marked:
+        gone = _dropped(containers, blocks, marked)
+        blocks = [b for b in blocks if not gone[b[0]]]
     if not blocks and by_name:
         return parse(page, False)
     return containers, blocks
 
 
-def _scores(containers, blocks) -> list[tuple[float, int, int]]:
-    """(score, text, container) of each container: its share of the page's good text, how much of its own text is good,
-    and its name and depth for ties. Good text is what isn't mostly links."""
-    n = len(containers)
-    good, every = [0] * n, [0] * n
+def _good_text(containers, blocks) -> tuple[list[int], list[int]]:
+    """Good text and all text inside each container. Good text is what isn't mostly links."""
+    good, every = [0] * len(containers), [0] * len(containers)
     for c, text, linked in blocks:
         value = len(text) if 2 * linked < len(text) else 0
         while c >= 0:
             good[c] += value
             every[c] += len(text)
             c = containers[c][1]
+    return good, every
+
+
+def _dropped(containers, blocks, marked: dict[int, list[str]]) -> list[bool]:
+    """Which containers are inside one that is marked by name and stays so.
+
+    From the outside in, a mark is taken off where the container holds a main element. Where no article or main element
+    is outside of all marks, it is also taken off where the container, if not named as comments, holds one article or
+    more than half of the page's good text: a wrapper of the text may be named for a sidebar beside it.
+    """
+    good, _ = _good_text(containers, blocks)
+    within = [[] for _ in containers]  # marked containers around and at each
+    inside = [[] for _ in containers]  # article and main elements in each
+    for i, (_, parent, tag) in enumerate(containers):
+        within[i] = [*(within[parent] if parent >= 0 else []), *([i] if i in marked else [])]
+        if tag in ("article", "main") and good[i] and i not in marked:
+            while parent >= 0:
+                inside[parent].append(i)
+                parent = containers[parent][1]
+    cleared: set[int] = set()
+    gone = [False] * len(containers)
+    for i, (_, parent, _) in enumerate(containers):
+        gone[i] = parent >= 0 and gone[parent]
+        if i in marked and not gone[i]:
+            outside = any(cleared.issuperset(within[m]) for m in inside[0])
+            tags = [containers[m][2] for m in inside[i]]
+            wraps = not outside and not _holds_comments(marked[i]) and (tags.count("article") == 1 or 2 * good[i] > good[0])
+            if "main" in tags or wraps and containers[i][2] != "article":
+                cleared.add(i)
+            else:
+                gone[i] = True
+    return gone
+
+
+def _scores(containers, blocks) -> list[tuple[float, int, int]]:
+    """(score, text, container) of each container: its share of the page's good text, how much of its own text is good,
+    and its name and depth for ties. Good text is what isn't mostly links."""
+    n = len(containers)
+    good, every = _good_text(containers, blocks)
     total = good[0]
     if not total:
         return []

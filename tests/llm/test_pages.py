@@ -23,6 +23,24 @@ def test_unclosed_and_broken():
     assert H.extract("<article><p>a</p></article><article class=comment><p>b</p></article>", []) == "a"
 
 
+def test_wrappers_named_for_what_is_beside_the_text():
+    body = "<h1>Head</h1><p>" + "The story goes on here. " * 8 + "</p><p>It ends.</p>"
+    text = "Head\n" + ("The story goes on here. " * 8).strip() + "\nIt ends."
+    title, side = "<div>Site title</div>", "<div class='sidebar widget'><p>Latest posts</p></div>"
+    for wrapper in ("content-sidebar-wrap", "layout-right-sidebar", "post category-social tag-notice"):
+        assert H.extract(f"<body>{title}<div class='{wrapper}'><article>{body}</article>{side}</div></body>", []) == text
+        assert H.extract(f"<body>{title}<div class='{wrapper}'><main>{body}</main>{side}</div></body>", []) == text
+        assert H.extract(f"<body>{title}<div class='{wrapper}'><div class=entry>{body}</div>{side}</div></body>", []) in (text, f"Site title\n{text}")
+    assert H.extract(f"<table><tr><td>{title}</td></tr><tr><td class=main-sidebar><div class=entry>{body}</div></td></tr></table>", []).endswith(text)
+    assert H.extract(f"<article>{body}</article><div class=sidebar><article><p>{'A teaser. ' * 90}</p></article></div>", []) == text
+    assert H.extract(f"<div class=entry>{body}</div><section id=comments><article><p>{'I say. ' * 90}</p></article></section>", []) == text
+
+
+def test_other_attributes_are_no_names():
+    assert H.extract('<div data-id="sidebar" data-class="promo" data-role="navigation" title="x class=ad"><p>text</p></div><p>a</p>', []) == "text\na"
+    assert H._named("hidden CLASS='A b' data-id=c ID = d role=main/") == (["a", "b", "d"], "main/")
+
+
 def test_pages_vote_by_host(spark):
     rows = [(i, f"http://h.example/{i}", PAGE % i) for i in range(20)]
     odd = "<html><body><div class='content c99'><p>short</p></div><div class=other><p>" + "long text " * 30 + "</p></div></body></html>"
