@@ -29,9 +29,13 @@ def tfidf_topk(spark, d):
     return R.tfidf_search(p, R.idf(p, c), q, _tokens, k=5).select("qid", "doc", F.col("chunk_index").cast("long").alias("chunk_index"), F.round("score", 6).alias("score"))
 
 
-def _near(spark, d, k=24):
+#: The queries of the _whole forms, which rank all rows for each; those that have SQL keep the few rows that it names.
+_ASKED = "vec_id % 20 = 0"
+
+
+def _near(spark, d, k=24, asked="vec_id < 3"):
     v = table(spark, d, "embeddings")
-    q = v.where("vec_id < 3").select(F.col("vec_id").alias("qid"), "embedding")
+    q = v.where(asked).select(F.col("vec_id").alias("qid"), "embedding")
     return R.dense_search(v, q, key="vec_id", vector="embedding", k=k)
 
 
@@ -64,6 +68,36 @@ def retry_weak(spark, d):
     return R.weak(s)
 
 
+def dense_topk_whole(spark, d):
+    return _near(spark, d, asked=_ASKED).select("qid", "key", F.round("score", 5).alias("score"))
+
+
+def rrf_fusion_whole(spark, d):
+    v = table(spark, d, "embeddings")
+    one = _near(spark, d, asked=_ASKED).select("qid", F.lit("dense").alias("list"), "key", "score")
+    two = v.where(_ASKED).select(F.col("vec_id").alias("qid")).crossJoin(v.select(F.lit("label").alias("list"), F.col("vec_id").alias("key"), F.col("label").cast("double").alias("score")))
+    return R.fuse(one.unionByName(two)).select("qid", "key", F.round("score", 6).alias("score"))
+
+
+def mmr_select_whole(spark, d):
+    v = table(spark, d, "embeddings")
+    c = _near(spark, d, 12, _ASKED).join(v, F.col("key") == F.col("vec_id")).select("qid", "key", F.col("score").alias("rel"), F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
+    return R.diversify(c)
+
+
+def _near_files(spark, d):
+    v = table(spark, d, "embeddings")
+    return _near(spark, d, 8, _ASKED).join(v, F.col("key") == F.col("vec_id")).select("qid", F.col("label").alias("file"), "score")
+
+
+def confidence_whole(spark, d):
+    return R.confidence(_near_files(spark, d)).select("qid", F.round("confidence", 5).alias("confidence"))
+
+
+def retry_weak_whole(spark, d):
+    return R.weak(_near_files(spark, d))
+
+
 def scope_filter(spark, d):
     e = table(spark, d, "documents").select((F.col("doc_id") % 20).alias("qid"), F.col("doc_id").alias("key"), F.col("n_chars").cast("double").alias("score"), "text")
     style = F.element_at(F.array(F.lit("brief"), F.lit("normal"), F.lit("detailed")), (F.col("qid") % 3 + 1).cast("int"))
@@ -115,7 +149,7 @@ def file_changes(spark, d):
     return R.file_changes(o.where("path % 5 <> 0"), o.where("path % 7 <> 0").withColumn("mtime", F.when(F.col("path") % 11 == 0, F.col("mtime") + F.expr("interval 1 day")).otherwise(F.col("mtime"))))
 
 
-QUERIES = {f.__name__: f for f in (tfidf_df_idf, tfidf_topk, dense_topk, rrf_fusion, mmr_select, confidence, retry_weak, scope_filter, context_labels, citation_aggregate, unknown_labels, semi_cited, extractive_summary, model_tier, file_changes)}
+QUERIES = {f.__name__: f for f in (tfidf_df_idf, tfidf_topk, dense_topk, rrf_fusion, mmr_select, confidence, retry_weak, dense_topk_whole, rrf_fusion_whole, mmr_select_whole, confidence_whole, retry_weak_whole, scope_filter, context_labels, citation_aggregate, unknown_labels, semi_cited, extractive_summary, model_tier, file_changes)}
 
 _CHUNKS = r"""w AS (SELECT lang, doc_id, text AS body, length(text) AS n, unnest(range(0, CASE WHEN length(text) <= 700 THEN 1 ELSE CAST(ceil((length(text) - 700) / 550) AS BIGINT) + 1 END)) AS i FROM documents),
   c0 AS (SELECT lang, doc_id, i, i * 550 AS cs, least(i * 550 + 700, n) AS ce, trim(regexp_replace(substr(body, i * 550 + 1, 700), '^\s+|\s+$', '', 'g')) AS t, body FROM w),
