@@ -110,9 +110,15 @@ def context_labels(spark, d):
     return R.labelled_context(s).select("qid", F.md5("context").alias("md5"))
 
 
-def _answers(spark, d):
+def context_labels_whole(spark, d):
+    s = _chunks(spark, d).select(F.col("doc").alias("qid"), (F.col("chunk_index") + 1).alias("pick"), F.col("doc").alias("file"), "line_start", "line_end", "text")
+    return R.labelled_context(s).select("qid", F.md5("context").alias("md5"))
+
+
+def _answers(spark, d, whole=False):
     b = table(spark, d, "benchmark")
-    return b.select("item_id", F.concat(F.lit("first part [[1]] "), F.substr("text", F.lit(1), F.lit(5)), F.lit(" [[2]] and then more of it [[1]] nothing [["), (F.col("item_id") % 5).cast("string"), F.lit("]]")).alias("answer"))
+    text = F.col("text") if whole else F.substr("text", F.lit(1), F.lit(5))
+    return b.select("item_id", F.concat(F.lit("first part [[1]] "), text, F.lit(" [[2]] and then more of it [[1]] nothing [["), (F.col("item_id") % 5).cast("string"), F.lit("]]")).alias("answer"))
 
 
 def _refs(spark, d):
@@ -120,8 +126,8 @@ def _refs(spark, d):
     return b.select("item_id", "label", (F.col("label") % 2).cast("long").alias("doc"), (F.col("label") / 10).cast("double").alias("score"))
 
 
-def citation_aggregate(spark, d):
-    s = R.cited_segments(_answers(spark, d), key="item_id", answer="answer")
+def citation_aggregate(spark, d, whole=False):
+    s = R.cited_segments(_answers(spark, d, whole), key="item_id", answer="answer")
     return R.citations(s, _refs(spark, d), key="item_id", least_chars=8, least_score=0.6).select("item_id", "doc", F.array_join(F.transform("labels", lambda x: x.cast("string")), ",").alias("labels"), "chars", F.round("score", 6).alias("score"))
 
 
@@ -129,6 +135,10 @@ def unknown_labels(spark, d):
     return R.unknown_labels(R.cited_segments(_answers(spark, d), key="item_id", answer="answer"), _refs(spark, d), key="item_id").select("item_id", F.col("label").cast("long").alias("label"))
 
 
+def citation_aggregate_whole(spark, d):
+    return citation_aggregate(spark, d, True)
+
+
 def semi_cited(spark, d):
     cited = table(spark, d, "labels").where("quality = 1 and toxic = 0")
     return table(spark, d, "documents").join(cited, "doc_id", "left_semi").groupBy("lang").agg(F.count("*").alias("n"))
@@ -149,7 +159,7 @@ def file_changes(spark, d):
     return R.file_changes(o.where("path % 5 <> 0"), o.where("path % 7 <> 0").withColumn("mtime", F.when(F.col("path") % 11 == 0, F.col("mtime") + F.expr("interval 1 day")).otherwise(F.col("mtime"))))
 
 
-QUERIES = {f.__name__: f for f in (tfidf_df_idf, tfidf_topk, dense_topk, rrf_fusion, mmr_select, confidence, retry_weak, dense_topk_whole, rrf_fusion_whole, mmr_select_whole, confidence_whole, retry_weak_whole, scope_filter, context_labels, citation_aggregate, unknown_labels, semi_cited, extractive_summary, model_tier, file_changes)}
+QUERIES = {f.__name__: f for f in (tfidf_df_idf, tfidf_topk, dense_topk, rrf_fusion, mmr_select, confidence, retry_weak, dense_topk_whole, rrf_fusion_whole, mmr_select_whole, confidence_whole, retry_weak_whole, scope_filter, context_labels, context_labels_whole, citation_aggregate, citation_aggregate_whole, unknown_labels, semi_cited, extractive_summary, model_tier, file_changes)}
 
 _CHUNKS = r"""w AS (SELECT lang, doc_id, text AS body, length(text) AS n, unnest(range(0, CASE WHEN length(text) <= 700 THEN 1 ELSE CAST(ceil((length(text) - 700) / 550) AS BIGINT) + 1 END)) AS i FROM documents),
   c0 AS (SELECT lang, doc_id, i, i * 550 AS cs, least(i * 550 + 700, n) AS ce, trim(regexp_replace(substr(body, i * 550 + 1, 700), '^\s+|\s+$', '', 'g')) AS t, body FROM w),

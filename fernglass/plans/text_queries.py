@@ -93,12 +93,21 @@ def timestamp_parse(spark, d):
     return rows.unionByName(o).select("t", F.unix_micros(records.timestamp(F.col("t"))).alias("us"))
 
 
+def timestamp_parse_whole(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", F.unix_micros(records.timestamp(F.col("o_orderdate").cast("string"))).alias("us"))
+
+
 def plan_classify(spark, d):
     c = table(spark, d, "conversations").where("role = 'user'").withColumn("q", F.concat(F.when(F.col("conv_id") % 3 == 0, "briefly ").when(F.col("conv_id") % 3 == 1, "detail ").otherwise(""), F.lit("in 1998 "), F.substr("text", F.lit(1), F.lit(0))))
     p = c.select("conv_id", "turn", routing.answer_plan(F.col("q")).alias("p"))
     return p.select("conv_id", "turn", "p.style", F.array_join("p.years", ",").alias("years"))
 
 
+def plan_classify_whole(spark, d):
+    p = table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", routing.answer_plan(F.col("text")).alias("p"))
+    return p.select("conv_id", "turn", "p.style", F.array_join("p.years", ",").alias("years"), F.array_join("p.keywords", ",").alias("keywords"))
+
+
 def route_select(spark, d):
     e = table(spark, d, "events")
     r = routing.route(special=F.col("event_type") == "error", tourism=F.col("value") > 50, pamphlet=F.col("user_id") % 2 == 0)
@@ -110,7 +119,7 @@ def vector_norms(spark, d):
     return v.select("vec_id", F.round(records.dot(F.col("embedding"), F.col("embedding")), 4).alias("squared"), F.round(records.dot(records.unit(F.col("embedding")), records.unit(F.col("embedding"))), 6).alias("one"))
 
 
-QUERIES = {f.__name__: f for f in (norm_text, split_list, tokens_regex, char_bigrams, sentence_split, chunk_windows, fragment_pack, lang_id, ttl_parse, label_extract, kana_fold, json_value, text_hashes, source_parts, coord_parse, url_host, truthy_values, timestamp_parse, plan_classify, route_select, vector_norms)}
+QUERIES = {f.__name__: f for f in (norm_text, split_list, tokens_regex, char_bigrams, sentence_split, chunk_windows, fragment_pack, lang_id, ttl_parse, label_extract, kana_fold, json_value, text_hashes, source_parts, coord_parse, url_host, truthy_values, timestamp_parse, timestamp_parse_whole, plan_classify, plan_classify_whole, route_select, vector_norms)}
 
 ORACLE_SQL = {
     "norm_text": r"SELECT item_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS norm FROM benchmark",

@@ -1,5 +1,8 @@
 """Queries that do the whole job, which their SQL counterparts cut, beside brute force."""
 
+import hashlib
+import re
+
 import numpy as np
 import pytest
 
@@ -54,3 +57,24 @@ def test_every_twentieth_vector_is_asked_against_all(spark, vectors):
         top = nearest(vectors, q, 8)
         want = 0.5 * min(1, len({labels[at[i]] for i in top}) / 4) + 0.5 * min(1, np.mean([max(0, like[at[q], at[i]]) for i in top[:4]]))
         assert abs(sure[q] - want) < 2e-5
+
+
+def test_texts_are_read_to_their_end(spark):
+    read = lambda t: spark.read.parquet(f"{DATA}/{t}.parquet").collect()
+    want = {}
+    for r in read("documents"):
+        n, blocks = len(r.text), []
+        for s in range(0, max(n - 150, 1), 550):
+            if part := r.text[s : s + 700].strip():
+                lines = [r.text[:e].count("\n") + 1 for e in (s, min(s + 700, n))]
+                blocks.append(f"[[{len(blocks) + 1}]] {r.doc_id}/L{lines[0]}-{lines[1]}\n{part}")
+        want[r.doc_id] = hashlib.md5("\n\n".join(blocks).encode()).hexdigest()
+    assert {r.qid: r.md5 for r in QUERIES["context_labels_whole"](spark, DATA).collect()} == want
+    cited = {r.item_id: r.chars for r in QUERIES["citation_aggregate_whole"](spark, DATA).collect() if r.doc == 0}
+    chars = {r.item_id: len(r.text.strip(" ")) + 7 * (r.item_id % 5 == 2) for r in read("benchmark")}
+    assert cited == {i: n for i, n in chars.items() if n >= 8}
+    plans = {(r.conv_id, r.turn): (r.years, r.keywords) for r in QUERIES["plan_classify_whole"](spark, DATA).collect()}
+    words = lambda t: dict.fromkeys(w for w in re.findall(r"\w+", t.lower()) if len(w) >= 2)
+    assert plans == {(r.conv_id, r.turn): (",".join(re.findall(r"1[0-9]{3}|20[0-9]{2}", r.text)), ",".join(words(r.text))) for r in read("conversations") if r.role == "user"}
+    us = {r.o_orderkey: r.us for r in QUERIES["timestamp_parse_whole"](spark, DATA).collect()}
+    assert us == {r.k: r.us for r in spark.read.parquet(f"{DATA}/orders.parquet").selectExpr("o_orderkey k", "unix_micros(cast(o_orderdate as timestamp)) us").collect()}
