@@ -3,27 +3,33 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch that hold whole texts: a few MB for common texts.
+#: Rows that a task of whole texts works on at once: a few MB for common texts. Spark bounds its own batches by bytes.
 TEXT_ROWS = 1024
 #: White space between words, as ASCII has it.
 WS = r"[\x20\x09-\x0D]+"
 
+_tables: list[str | None] = []
+
 
 def prepare(spark: SparkSession) -> None:
-    """Set what the operators need from the session: small Arrow batches, a checkpoint folder, the package on executors.
+    """See that there is a folder for working tables, and that executors have this package.
 
-    A checkpoint folder is chosen here only where the cluster names none.
+    spark.checkpoint.dir names the folder that the driver and all executors share. Only a session whose executors are
+    this very process may go without one: it gets a temporary folder. Settings of the session stay as they are.
     """
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+    if not _shared(spark):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="fernglass-"))
     root = str(Path(__file__).resolve().parents[2])
     on_path = {os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(":") if p}
@@ -36,10 +42,29 @@ def prepare(spark: SparkSession) -> None:
         spark.sparkContext._fernglass_shipped = True
 
 
+def _shared(spark: SparkSession) -> str | None:
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder of the cluster."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return f"{base.rstrip('/')}/fernglass-{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder of the cluster, kept in mind for release."""
+    _tables.append(f"{_shared(spark).rstrip('/')}/fernglass-{name}-{uuid.uuid4().hex}")
+    return _tables[-1]
+
+
+def made() -> int:
+    """How many working tables there have been so far."""
+    return len(_tables)
+
+
+def release(spark: SparkSession, first: int = 0, last: int | None = None) -> None:
+    """Delete the working tables from number `first` to before `last`. What is read from them must be written or collected."""
+    jvm = spark._jvm
+    for i, path in list(enumerate(_tables))[first:last]:
+        if path is not None:
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            _tables[i] = None
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -48,6 +73,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small(batches: Iterator) -> Iterator:
+    """Arrow batches as slices of at most TEXT_ROWS rows, none empty."""
+    for b in batches:
+        for i in range(0, b.num_rows, TEXT_ROWS):
+            yield b.slice(i, TEXT_ROWS)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -42,7 +42,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", tex
         import pyarrow as pa
 
         enc = encoder(tokenizer, True, shared.value)
-        for b in batches:
+        for b in common.small(batches):
             all_texts = texts(b.column(1))
             n = [enc.length(t) for t in all_texts]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, all_texts), pa.int64()), pa.array(n, pa.int64()), pa.array((x > limit for x in n), pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])

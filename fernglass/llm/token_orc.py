@@ -26,7 +26,7 @@ def write_token_orc(docs: DataFrame, path: str, tokenizer: str, *, end_id: int,
         import pyarrow as pa
 
         enc, end, pos = encoder(tokenizer), int(end_id).to_bytes(4, "little"), 0
-        for b in batches:
+        for b in common.small(batches):
             ids = [enc.encode(t) + end for t in texts(b.column(1))]
             n = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
             offsets = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
