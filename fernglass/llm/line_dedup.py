@@ -31,7 +31,7 @@ def _scan(least: int):
         import pyarrow as pa
         import xxhash
 
-        for b in batches:
+        for b in common.small(batches):
             docs = sorted(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts(b.column(2))), key=lambda x: x[:2])
             first: dict[bytes, tuple] = {}
             rows = []
@@ -149,11 +149,14 @@ def _kept_text(text: bytes, keep: bytes, n: int) -> bytes:
     return b"\n".join(line for line, k in zip(lines, _unpack(keep, n).tolist()) if k)
 
 
-def drop_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least: int = 10) -> DataFrame:
+def drop_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least: int = 10, counts: bool = True) -> DataFrame:
     """The rows of docs with `text` less its dropped lines, all other columns as they are, plus n_lines and n_dropped.
 
-    A null text stays null. See line_bitmaps for what is dropped.
+    Columns of docs with the names of these two give way to them; without counts they stay, and none is added. A null
+    text stays null. See line_bitmaps for what is dropped.
     """
+    if counts:
+        docs = docs.drop("n_lines", "n_dropped")
     columns = docs.columns
     bitmaps = line_bitmaps(docs, doc_id=doc_id, text=text, least=least)
     named = _identity(docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)]), f"c{columns.index(doc_id)}", f"c{columns.index(text)}")
@@ -163,7 +166,7 @@ def drop_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", l
     def cut(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in common.small(batches):
             at = {name: i for i, name in enumerate(b.schema.names)}
             old = b.column(at[mine]).cast(pa.large_binary()).to_pylist()
             new = [None if t is None else t if not d else _kept_text(t, k or b"", n) for t, d, k, n in zip(old, b.column(at["_d"]).to_pylist(), b.column(at["_keep"]).to_pylist(), b.column(at["_n"]).to_pylist())]
@@ -172,4 +175,5 @@ def drop_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", l
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields if f.name != "_keep")
     out = joined.select([c for c in joined.columns if c not in ("_doc", "_digest")]).mapInArrow(cut, schema.replace("`_doc` bigint, `_digest` bigint, ", ""))
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)], F.col("_n").alias("n_lines"), F.col("_d").alias("n_dropped"))
+    added = [F.col("_n").alias("n_lines"), F.col("_d").alias("n_dropped")] if counts else []
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)], *added)
