@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import html as _html
 import re
+from bisect import bisect_left
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +28,8 @@ _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 _CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 _SELF_CLOSE = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _CELLS = frozenset(("td", "th"))
+_P = frozenset(("p",))
+_BOUNDS = frozenset("ul ol dl table div section article td".split())
 _NOT_TEXT = frozenset("head nav header footer aside form button select menu dialog object canvas audio video".split())
 _NOT_TEXT_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disclaimer disqus footer header masthead menu modal nav navbar "
@@ -73,18 +76,20 @@ def _holds_comments(words: list[str]) -> bool:
 
 def _general(tag: str, words: list[str]) -> str:
     """Tag and names with digits generalised, names in order: what pages of one template share."""
-    names = sorted({re.sub(r"\d+", "#", w) for w in words})
-    return tag + "".join(f".{n}" for n in names[:4])
+    return tag + "".join(f".{n}" for n in sorted({re.sub(r"\d+", "#", w) for w in words}))
 
 
 def parse(page: str, by_name: bool = True):
-    """Containers and blocks of a page: containers as (path, parent, tag); blocks as (container, text, link characters).
+    """Containers and blocks of a page: containers as (tag with names, parent, tag), in the order of their start tags;
+    blocks as (container, text, link characters). The time is linear in the page: what is open is known by tag.
 
     Scripts, styles, comments and boilerplate subtrees are left out; by_name=False trusts only tags for the latter. Subtrees
     with names of boilerplate are judged when the page has been read: see _dropped.
     """
     containers, blocks = [("", -1, "")], []
     stack = [(0, "", False, False)]  # container, tag, boilerplate, marked by name
+    open_at: dict[str, list[int]] = {}  # places in the stack of each tag's open elements
+    bounds: list[int] = []  # and of those that end tags left out don't reach beyond
     skip, link, seen_main = 0, 0, False
     marks, plain = 0, 0  # open elements that are marked, blocks outside of such
     marked: dict[int, list[str]] = {}
@@ -101,13 +106,28 @@ def parse(page: str, by_name: bool = True):
             buffer.clear()
         linked = 0
 
-    def pop_to(depth: int):
+    def push(here: int, tag: str, bad: bool, mark: bool):
+        nonlocal skip, marks
+        open_at.setdefault(tag, []).append(len(stack))
+        if tag in _BOUNDS:
+            bounds.append(len(stack))
+        stack.append((here, tag, bad, mark))
+        skip += bad
+        marks += mark
+
+    def pop():
         nonlocal skip, marks
+        _, tag, bad, mark = stack.pop()
+        open_at[tag].pop()
+        if tag in _BOUNDS:
+            bounds.pop()
+        skip -= bad
+        marks -= mark
+
+    def pop_to(depth: int):
         flush()
-        for _, _, bad, mark in stack[depth:]:
-            skip -= bad
-            marks -= mark
-        del stack[depth:]
+        while len(stack) > depth:
+            pop()
 
     for m in _TOKEN.finditer(page):
         if not skip and m.start() > at:
@@ -131,33 +151,25 @@ def parse(page: str, by_name: bool = True):
             elif not m["end"] and by_name and m["attrs"]:
                 words, role = _named(m["attrs"])
                 if _is_boilerplate(tag, role) or _is_marked(tag, words):
-                    stack.append((stack[-1][0], tag, True, False))
-                    skip += 1
+                    push(stack[-1][0], tag, True, False)
             if m["end"] and len(stack) > 1 and stack[-1][1] == tag and stack[-1][2]:
-                stack.pop()
-                skip -= 1
+                pop()
         elif tag in _VOID:
             continue
         elif m["end"]:
             link = 0
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][1] == tag:
-                    if tag in _CELLS:
-                        buffer.append(" ")
-                        stack.pop() if depth == len(stack) - 1 else pop_to(depth)
-                    else:
-                        pop_to(depth)
-                    break
+            if places := open_at.get(tag):
+                if tag in _CELLS:
+                    buffer.append(" ")
+                    pop() if places[-1] == len(stack) - 1 else pop_to(places[-1])
+                else:
+                    pop_to(places[-1])
         else:
             link = 0
             if tag in _CLOSES_P or tag in _SELF_CLOSE:
-                shuts = _SELF_CLOSE.get(tag, {"p"})
-                for depth in range(len(stack) - 1, 0, -1):
-                    if stack[depth][1] in shuts:
-                        pop_to(depth)
-                        break
-                    if stack[depth][1] in ("ul", "ol", "dl", "table", "div", "section", "article", "td"):
-                        break
+                nearest = max([open_at[t][-1] for t in _SELF_CLOSE.get(tag, _P) if open_at.get(t)], default=0)
+                if nearest and nearest >= (bounds[-1] if bounds else 0):
+                    pop_to(nearest)
             words, role = _named(m["attrs"]) if m["attrs"] else ([], "")
             if tag in ("article", "main") and not seen_main and not plain and not _is_marked(tag, words):
                 # an unclosed menu or notice before the text ends where the text begins
@@ -178,14 +190,10 @@ def parse(page: str, by_name: bool = True):
                 here = stack[-1][0]
             else:
                 here = len(containers)
-                parent = stack[-1][0]
-                path = containers[parent][0]
-                containers.append((f"{path}/{_general(tag, words)}" if path else _general(tag, words), parent, tag))
+                containers.append((_general(tag, words), stack[-1][0], tag))
             if mark:
                 marked[here] = words
-            stack.append((here, tag, bad, mark))
-            skip += bad
-            marks += mark
+            push(here, tag, bad, mark)
     if not skip and at < len(page):
         buffer.append(_html.unescape(page[at:]))
     flush()
@@ -201,11 +209,12 @@ def _good_text(containers, blocks) -> tuple[list[int], list[int]]:
     """Good text and all text inside each container. Good text is what isn't mostly links."""
     good, every = [0] * len(containers), [0] * len(containers)
     for c, text, linked in blocks:
-        value = len(text) if 2 * linked < len(text) else 0
-        while c >= 0:
-            good[c] += value
-            every[c] += len(text)
-            c = containers[c][1]
+        good[c] += len(text) if 2 * linked < len(text) else 0
+        every[c] += len(text)
+    for i in range(len(containers) - 1, 0, -1):  # a container's parent has a smaller number
+        parent = containers[i][1]
+        good[parent] += good[i]
+        every[parent] += every[i]
     return good, every
 
 
@@ -216,25 +225,29 @@ def _dropped(containers, blocks, marked: dict[int, list[str]]) -> list[bool]:
     is outside of all marks, it is also taken off where the container, if not named as comments, holds one article or
     more than half of the page's good text: a wrapper of the text may be named for a sidebar beside it.
     """
+    import numpy as np
+
     good, _ = _good_text(containers, blocks)
-    within = [[] for _ in containers]  # marked containers around and at each
-    inside = [[] for _ in containers]  # article and main elements in each
-    for i, (_, parent, tag) in enumerate(containers):
-        within[i] = [*(within[parent] if parent >= 0 else []), *([i] if i in marked else [])]
-        if tag in ("article", "main") and good[i] and i not in marked:
-            while parent >= 0:
-                inside[parent].append(i)
-                parent = containers[parent][1]
-    cleared: set[int] = set()
-    gone = [False] * len(containers)
+    n = len(containers)
+    ends = list(range(1, n + 1))  # what is inside container i has the numbers from i + 1 to before ends[i]
+    for i in range(n - 1, 0, -1):
+        parent = containers[i][1]
+        ends[parent] = max(ends[parent], ends[i])
+    standing = [0] * n  # marks around and at each container
     for i, (_, parent, _) in enumerate(containers):
+        standing[i] = (standing[parent] if parent >= 0 else 0) + (i in marked)
+    texts = [i for i, (_, _, tag) in enumerate(containers) if tag in ("article", "main") and good[i] and i not in marked]
+    mains = [i for i in texts if containers[i][2] == "main"]
+    left = np.array([standing[i] for i in texts])
+    gone = [False] * n
+    for i, (_, parent, tag) in enumerate(containers):
         gone[i] = parent >= 0 and gone[parent]
         if i in marked and not gone[i]:
-            outside = any(cleared.issuperset(within[m]) for m in inside[0])
-            tags = [containers[m][2] for m in inside[i]]
-            wraps = not outside and not _holds_comments(marked[i]) and (tags.count("article") == 1 or 2 * good[i] > good[0])
-            if "main" in tags or wraps and containers[i][2] != "article":
-                cleared.add(i)
+            first, last = bisect_left(texts, i + 1), bisect_left(texts, ends[i])
+            n_main = bisect_left(mains, ends[i]) - bisect_left(mains, i + 1)
+            wraps = (left > 0).all() and not _holds_comments(marked[i]) and (last - first - n_main == 1 or 2 * good[i] > good[0])
+            if n_main or wraps and tag != "article":
+                left[first:last] -= 1
             else:
                 gone[i] = True
     return gone
@@ -252,7 +265,30 @@ def _scores(containers, blocks) -> list[tuple[float, int, int]]:
     for i in range(1, n):
         depth[i] = depth[containers[i][1]] + 1
     bonus = lambda i: 0.25 if containers[i][2] in ("article", "main") else 0.0
-    return [(good[i] / total + good[i] / every[i] + bonus(i) + 0.001 * min(depth[i], 50), good[i], i) for i in range(n) if good[i]]
+    return [(good[i] / total + good[i] / every[i] + bonus(i) + 0.05 * depth[i] / (depth[i] + 50), good[i], i) for i in range(n) if good[i]]
+
+
+def _path(containers, i: int) -> str:
+    """Tags and names from the outermost element to the container."""
+    names = []
+    while i > 0:
+        names.append(containers[i][0])
+        i = containers[i][1]
+    return "/".join(reversed(names))
+
+
+def _by_path(containers) -> dict[int, list[int]]:
+    """Containers by the hash of their path; each is made from its parent's, so no path is held as a text."""
+    import xxhash
+
+    hashes, out = [xxhash.xxh64()], {0: [0]}
+    for i in range(1, len(containers)):
+        name, parent, _ = containers[i]
+        now = hashes[parent].copy()
+        now.update(f"/{name}".encode() if parent else name.encode())
+        hashes.append(now)
+        out.setdefault(now.intdigest(), []).append(i)
+    return out
 
 
 def best_path(page: str) -> tuple[str, int] | None:
@@ -262,21 +298,23 @@ def best_path(page: str) -> tuple[str, int] | None:
     if not scores:
         return None
     _, size, i = max(scores, key=lambda s: (s[0], -s[2]))
-    return containers[i][0], size
+    return _path(containers, i), size
 
 
 def extract(page: str, paths: list[str]) -> str:
     """Blocks inside the containers of the first winning path that holds at least half of the page's good text; a page that
     none fits is read by its own best container. Lists that are nothing but links are menus and left out."""
+    import xxhash
+
     containers, blocks = parse(page)
     scores = _scores(containers, blocks)
     if not scores:
         return "\n".join(t for _, t, linked in blocks if 2 * linked < len(t))
     size = {i: g for _, g, i in scores}
     total = size[0]
-    chosen = None
+    chosen, places = None, _by_path(containers) if paths else {}
     for p in paths:
-        same = [i for i, (path, _, _) in enumerate(containers) if path == p]
+        same = places.get(xxhash.xxh64(p.encode()).intdigest() if p else 0, [])
         if 2 * sum(size.get(i, 0) for i in same) >= total:
             chosen = set(same)
             break
@@ -304,13 +342,13 @@ def host_paths(pages: DataFrame, *, url: str = "url", html: str = "html", least_
     def vote(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in common.small(batches):
             got = [(h, best_path(p)) for h, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if p]
             got = [(h, *v) for h, v in got if v]
             yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.string()), pa.array([g[2] for g in got], pa.int64())], ["host", "path", "size"])
 
     votes = _hosted(pages, url, html).select("host", "html").mapInArrow(vote, "host string, path string, size long")
-    counted = votes.groupBy("host", "path").agg(F.count("*").alias("votes"), F.sum("size").alias("size"))
+    counted = common.written(votes.groupBy("host", "path").agg(F.count("*").alias("votes"), F.sum("size").alias("size")), "votes")
     totals = counted.groupBy("host").agg(F.sum("votes").alias("all"))
     won = counted.join(totals, "host").where(F.col("votes") >= least_share * F.col("all"))
     ranked = F.sort_array(F.collect_list(F.struct((-F.col("votes")).alias("v"), (-F.col("size")).alias("s"), "path")))
@@ -336,7 +374,7 @@ def extract_pages(pages: DataFrame, *, page_id: str = "page_id", url: str = "url
     def read(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in common.small(batches):
             got = [extract(p, w or []) if p else "" for p, w in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, pa.string()), pa.array(map(len, got), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
