@@ -41,7 +41,7 @@ def text_statistics(docs: DataFrame, *, text: str = "text") -> DataFrame:
     Words are runs without ASCII white space; a null text has none. n_words, word_chars (code points in words), n_symbols
     (of #*$%&|<>), n_dup_lines (lines with a word, equal to an earlier one), n_repeat_words (words in 3-word windows that
     the text has twice or more), and the rates of FEATURES. Windows are compared by a 64-bit hash, sorted with their
-    places inside the row: equal ones are neighbours, and no row leaves its task.
+    places inside the row where some are equal: those are neighbours then, and no row leaves its task.
     """
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *FEATURES[1:]]
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
@@ -55,8 +55,9 @@ def text_statistics(docs: DataFrame, *, text: str = "text") -> DataFrame:
         "_digits": F.regexp_count(t, F.lit(r"[0-9]")),
     })
     window = lambda i: F.xxhash64(F.get("_words", i), F.get("_words", i + 1), F.get("_words", i + 2))
-    windows = F.transform(F.sequence(F.lit(0), F.size("_words") - 3), lambda i: F.struct(window(i).alias("h"), i.alias("i")))
-    rows = rows.withColumn("_sorted", F.when(F.size("_words") >= 3, F.sort_array(windows)))
+    rows = rows.withColumn("_hashes", F.when(F.size("_words") >= 3, F.transform(F.sequence(F.lit(0), F.size("_words") - 3), window)))
+    placed = F.transform("_hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+    rows = rows.withColumn("_sorted", F.when(F.size(F.array_distinct("_hashes")) < F.size("_hashes"), F.sort_array(placed)))
     near = lambda k: F.get("_sorted", k)["h"]
     again = F.filter("_sorted", lambda x, k: F.coalesce(x["h"] == F.when(k > 0, near(k - 1)), F.lit(False)) | F.coalesce(x["h"] == near(k + 1), F.lit(False)))
     places = F.sort_array(F.transform(again, lambda x: x["i"]))
@@ -77,7 +78,7 @@ def text_statistics(docs: DataFrame, *, text: str = "text") -> DataFrame:
         "word_length": rate("word_chars", "n_words"), "symbols": rate("n_symbols", "n_words"), "marks": rate("_marks", "n_words"), "upper": rate("_upper", "word_chars"), "digits": rate("_digits", "word_chars"),
         "dup_lines": rate("n_dup_lines", "_n_lines"), "repeat_words": rate("n_repeat_words", "n_words"), "distinct_words": rate("_n_distinct", "n_words"), "line_words": rate("n_words", "_n_lines"),
     })
-    return rows.drop("_words", "_lines", "_marks", "_upper", "_digits", "_sorted", "_n_lines", "_n_distinct")
+    return rows.drop("_words", "_lines", "_marks", "_upper", "_digits", "_hashes", "_sorted", "_n_lines", "_n_distinct")
 
 
 def _cuts(values: list[float], most: int = 64) -> list[float]:
@@ -171,11 +172,13 @@ def verdict(rules: list[Rule]) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, doc_id: str = "doc_id", text: str = "text", quality: str = "quality") -> list[Rule]:
     """The list learned from labelled documents; quality 0 is low. At most `sample` labels, first in the order of a hash of
-    their id, are joined; their statistics, not texts, reach the driver. No labels, or none low: an empty list."""
+    their id, are joined; their statistics, not texts, reach the driver. Of several texts of one id one is taken, by a hash.
+    No labels, or none low: an empty list."""
     some = labels.where(F.col(quality).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(quality).cast("int").alias("quality"))
     some = some.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).join(F.broadcast(some), "doc_id")
-    stats = with_base(text_statistics(rows)).where(~F.col("base_failed"))
+    stats = with_base(text_statistics(rows.withColumn("_h", F.xxhash64("text")))).select("doc_id", F.struct("_h", "quality", "base_failed", *FEATURES).alias("s"))
+    stats = stats.groupBy("doc_id").agg(F.min("s").alias("s")).select("doc_id", "s.*").where(~F.col("base_failed"))
     key = F.xxhash64("doc_id", F.lit(8))
     got = stats.select(*FEATURES, (F.col("quality") == 0).cast("int").alias("low"), F.pmod(key, F.lit(3)).cast("int").alias("part"), key.alias("key"))
     return learn([r.asDict() for r in got.collect()])
