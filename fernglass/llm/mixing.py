@@ -2,13 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fernglass.llm import common
 
-#: Documents that one task adds up in order.
-BLOCK = 50_000
+
+@dataclass(frozen=True)
+class Mix:
+    """documents: one row per input row: row (its number), doc_id, digest, size (words), source, source_size, target.
+    served: what the mix takes, a row for each part of a pass of a document: row, doc_id, digest, size, source, pass,
+    first (words of the pass before it), words, finish (virtual time), place (words of the mix before it)."""
+
+    documents: DataFrame
+    served: DataFrame
+
+    def in_order(self) -> DataFrame:
+        """The mix itself, sorted by virtual finish time over all partitions: ranges of time hold about as many words each."""
+        return by_finish(self.served, "finish", "place")
+
+    def taken(self) -> DataFrame:
+        """The documents with `taken`: the words that the mix takes, repeats counted."""
+        words = self.served.groupBy("row").agg(F.sum("words").alias("taken"))
+        return self.documents.join(words, "row", "left").withColumn("taken", F.coalesce("taken", F.lit(0)))
+
+
+def by_finish(rows: DataFrame, finish: str, *ties: str) -> DataFrame:
+    """Rows dealt by equal ranges of a virtual time from 0 to about 1, and sorted inside them."""
+    n = common.partitions(rows.sparkSession)
+    return rows.repartitionById(n, F.least(F.lit(n - 1), F.floor(F.col(finish) * n)).cast("int")).sortWithinPartitions(finish, *ties)
 
 
 def source_targets(sizes: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: int = 2) -> DataFrame:
@@ -35,46 +59,42 @@ def source_targets(sizes: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1),
     return ranked.select("source", "n", "source_size", F.least(F.col("top"), F.col("w") * level).alias("target"))
 
 
-def mix(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, seed: int = 5, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """One row per input row: doc_id, digest (of the text), size (words), source, source_size, target, passes.
+def mix(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, seed: int = 5, doc_id: str = "doc_id", text: str = "text", source: str = "source", identity: Column | None = None) -> Mix:
+    """A mix of whole sources to target weights, each document at most `most` times; see Mix.
 
-    passes is an array of (pass, start, finish, words): the times at which the mix takes the document. Each source's
-    documents stand in an order shuffled by hash, pass after pass. A document's virtual start and finish are the words
-    its source has served before and after it, over the source's target. All sources being served at the rate of their
-    targets, the words served by virtual time v are v times the total budget, so the budget is used up at 1: passes that
-    start later are dropped and the one running at 1 is cut there (rounded to whole words). See in_order for the mix
-    itself. Null or empty texts have size 0 and no passes; a null source is a source.
+    Each source's documents stand in an order shuffled by hash, pass after pass. A document's virtual finish time is the
+    words that its source has served up to its end, over the source's target. All passes are range-sorted by that time
+    over all sources, and the mix is cut where the running total of words reaches the total budget. At time 1 every
+    source has served its target, and together they have served the budget: the document that a source is serving then is
+    parted at its target (in whole words), so that the cut leaves no source short by a long document.
 
-    A source is added up in blocks of about BLOCK documents, cut by the uniform shuffle value, so a source with a third
-    of all rows takes many tasks. Texts don't move.
+    A null or empty text has size 0 and is never taken; a null source is a source; null, equal and repeated ids keep a
+    row each; an empty table gives an empty mix. `identity` (a hash of the text unless given) becomes the digest, which
+    orders rows of one id. Texts don't move; running totals are over ranges of (source, shuffle value) and of time, so a
+    source with a third of all rows takes many tasks.
     """
     common.prepare(docs.sparkSession)
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(t).alias("digest"), F.regexp_count(t, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("size"), F.col(source).cast("string").alias("source"))
-    rows = common.written(rows, "sizes")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), (F.xxhash64(t) if identity is None else identity).alias("digest"), F.regexp_count(t, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("size"), F.col(source).cast("string").alias("source"))
+    rows = common.written(rows.withColumns({"u": F.xxhash64(F.lit(seed), "doc_id", "digest"), "row": F.monotonically_increasing_id()}), "sizes")
     sources = common.written(source_targets(rows, weights=weights, share=share, most=most), "targets")
-    named = sources.select(F.col("source").alias("_s"), "n", "source_size", "target")
-    place = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "digest"), 11) / float(1 << 53)).alias("u")
-    items = rows.select("*", place).join(named, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    items = items.withColumn("block", F.floor(F.col("u") * F.ceil(F.col("n") / BLOCK)))
-    sums = items.groupBy("source", "block").agg(F.sum("size").alias("s"))
-    earlier = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(F.col("source").alias("_s"), F.col("block").alias("_b"), F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("source", "block").orderBy("u", "doc_id", "digest").rowsBetween(Window.unboundedPreceding, -1)
-    items = items.withColumn("at", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    items = items.join(sums, F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")))
-    items = items.withColumn("at", F.col("at") + F.col("before"))
-
-    def one(k: int):
-        start = F.col("at") + k * F.col("source_size")
-        words = F.greatest(F.lit(0), F.least(F.col("size"), F.round(F.col("target") - start))).cast("long")
-        return F.struct(F.lit(k).alias("pass"), (start / F.col("target")).alias("start"), ((start + F.col("size")) / F.col("target")).alias("finish"), words.alias("words"))
-
-    passes = F.when(F.col("target") > 0, F.filter(F.array(*[one(k) for k in range(most)]), lambda p: p["words"] > 0)).otherwise(F.expr("array()"))
-    return items.select("doc_id", "digest", "size", "source", "source_size", "target", passes.alias("passes"))
-
-
-def in_order(mixed: DataFrame) -> DataFrame:
-    """The mix: one row for each pass of a document, range-sorted over all partitions by virtual finish time."""
-    rows = mixed.select("doc_id", "digest", "size", "source", F.explode("passes").alias("p")).select("doc_id", "digest", "size", "source", "p.*")
-    return rows.orderBy("finish", "source", "doc_id", "digest", "pass")
+    order = [F.col("source").asc_nulls_last(), F.col("u"), F.col("doc_id"), F.col("digest"), F.col("row")]
+    placed = common.written(common.running_total(rows, order, F.col("size"), "at"), "placed")
+    first = placed.groupBy("source").agg(F.min("at").alias("zero"))  # the words of all sources before
+    named = sources.join(first.withColumnRenamed("source", "_z"), F.col("source").eqNullSafe(F.col("_z"))).select(F.col("source").alias("_s"), "source_size", "target", "zero")
+    documents = placed.join(named, F.col("source").eqNullSafe(F.col("_s"))).withColumn("at", F.col("at") - F.col("zero"))
+    documents = documents.select("row", "doc_id", "digest", "size", "source", "source_size", "target", "at")
+
+    passes = documents.where("size > 0 and target > 0").select("*", F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("pass"))
+    start, goal = F.col("at") + F.col("pass") * F.col("source_size"), F.round("target").cast("long")
+    early = F.greatest(F.lit(0), F.least(F.col("size"), goal - start))
+    parts = F.array(
+        F.struct(F.lit(0).cast("long").alias("first"), early.alias("words"), F.least(F.lit(1.0), (start + early) / F.col("target")).alias("finish")),
+        F.struct(early.alias("first"), (F.col("size") - early).alias("words"), ((start + F.col("size")) / F.col("target")).alias("finish")),
+    )
+    parts = passes.select("row", "doc_id", "digest", "size", "source", "pass", F.explode(parts).alias("p")).select("row", "doc_id", "digest", "size", "source", "pass", "p.*").where("words > 0")
+    budget = sources.agg(F.sum(goal)).first()[0] or 0
+    order = [F.col("finish"), F.col("source").asc_nulls_last(), F.col("doc_id"), F.col("digest"), F.col("row"), F.col("pass"), F.col("first")]
+    served = common.running_total(parts, order, F.col("words"), "place").where(F.col("place") < budget)
+    served = common.written(served.withColumn("words", F.least(F.col("words"), budget - F.col("place"))), "mix")
+    return Mix(documents.drop("at"), served)

@@ -39,9 +39,7 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(_table(spark, sf_dir, "documents"))
-    taken = F.aggregate("passes", F.lit(0).cast("long"), lambda a, p: a + p["words"])
-    return mixed.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    return mixing.mix(_table(spark, sf_dir, "documents")).taken().select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op6_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:

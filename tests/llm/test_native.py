@@ -81,33 +81,40 @@ def check_mix(df):
     for _, s, n in rows:
         sizes[s] = sizes.get(s, 0) + n
     want = brute_targets(sizes)
-    got = mixing.mix(df).collect()
+    mix = mixing.mix(df)
+    got = mix.taken().collect()
     assert sorted((r.doc_id or -1, r.source or "", r.size) for r in got) == sorted((d or -1, s or "", n) for d, s, n in rows)
     taken = {}
     for r in got:
-        t = sum(p.words for p in r.passes)
-        assert t <= 2 * r.size and r.source_size == sizes[r.source] and abs(r.target - want[r.source]) < 1e-6 * (1 + want[r.source])
-        taken[r.source] = taken.get(r.source, 0) + t
+        assert r.taken <= 2 * r.size and r.source_size == sizes[r.source] and abs(r.target - want[r.source]) < 1e-6 * (1 + want[r.source])
+        taken[r.source] = taken.get(r.source, 0) + r.taken
     assert all(abs(taken[s] - want[s]) <= 1 for s in want)
-    again = mixing.mix(df.repartition(3)).collect()
-    key = lambda r: (r.doc_id or -1, r.source or "", r.size, str(r.passes))
+    again = mixing.mix(df.repartition(3)).taken().collect()
+    key = lambda r: (r.doc_id or -1, r.source or "", r.size, r.taken)
     assert sorted(map(key, got)) == sorted(map(key, again))
-    order = [r.finish for r in mixing.in_order(mixing.mix(df)).collect()]
-    assert order == sorted(order)
+    # the mix is one global order by finish time, cut where the running total reaches the budget
+    order = mix.in_order().collect()
+    assert [(r.finish, r.place) for r in order] == sorted((r.finish, r.place) for r in order)
+    at = 0
+    for r in order:
+        assert r.place == at and r.words > 0
+        at += r.words
+    assert at == sum(round(w) for w in want.values())
 
 
 def test_mix_documents(spark):
     check_mix(spark.read.parquet(f"{DATA}/documents.parquet"))
 
 
-def test_mix_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "BLOCK", 3)
-    check_mix(spark.read.parquet(f"{DATA}/documents.parquet"))
+def test_mix_with_one_long_document(spark):
+    """The document that a source serves when the budget ends is parted there, so the source gets its target."""
+    rows = [(0, "w " * 5000, "long")] + [(i, "a b c d e f g", f"s{i % 3}") for i in range(1, 400)]
+    check_mix(spark.createDataFrame(rows, "doc_id long, text string, source string"))
 
 
 def test_mix_awkward(awkward, empty):
     check_mix(awkward)
-    assert mixing.mix(empty).collect() == []
+    assert mixing.mix(empty).taken().collect() == mixing.mix(empty).served.collect() == []
 
 
 def brute_statistics(t):
