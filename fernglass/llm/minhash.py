@@ -131,7 +131,7 @@ def _sign(k: int):
             digests = np.frombuffer(b"".join(names), np.int64).reshape(-1, 2)
             return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array(bands, pa.list_(pa.int64()))], ["doc", "n", "d1", "d2", "bands"])
 
-        for b in batches:
+        for b in common.small(batches):
             rows, sets, size = [], [], 0
             for doc, text in sorted(zip(b.column(0).to_pylist(), texts(b.column(1)))):
                 rows.append(doc)
@@ -152,7 +152,7 @@ def components(edges: DataFrame) -> DataFrame:
     Each round points every node's larger neighbours, then the node itself and its smaller neighbours, at the smallest of
     them, until nothing changes. Edges stay tables; only a count and a checksum reach the driver.
     """
-    state = None
+    spark, state, before = edges.sparkSession, None, None
     now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -160,7 +160,11 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        table = common.made()
         now = common.written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        if before is not None:
+            common.release(spark, before, before + 1)
+        before = table
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == state:
             break
@@ -175,7 +179,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        for b in batches:
+        for b in common.small(batches):
             keep = []
             for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -183,49 +187,73 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep, pa.bool_())), b.column(1).filter(pa.array(keep, pa.bool_()))], ["a", "b"])
 
-    left = sets.select(F.col("doc").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("doc").alias("b"), F.col("shingles").alias("sb"))
+    left = sets.select(F.col("class").alias("a"), F.col("shingles").alias("sa"))
+    right = sets.select(F.col("class").alias("b"), F.col("shingles").alias("sb"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(task, "a long, b long")
 
 
-#: 64-bit words of the bitmap of a set.
-MAP_WORDS = 32
+def _shingle_sets(k: int):
+    def task(batches):
+        import numpy as np
+        import pyarrow as pa
+        import xxhash
 
+        for b in common.small(batches):
+            sets = [shingles(t, k).tobytes() for t in texts(b.column(1))]
+            digests = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, sets)), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array(sets, pa.binary())], ["d1", "d2", "shingles"])
 
-def bitmap(values):
-    """A set's hashes folded into MAP_WORDS * 64 bits. A bit of one map that another lacks is an element that it lacks."""
-    import numpy as np
+    return task
 
-    flags = np.zeros(MAP_WORDS * 64, np.uint8)
-    flags[(values % np.uint64(MAP_WORDS * 64)).astype(np.int64)] = 1
-    return np.packbits(flags, bitorder="little").view(np.int64)
 
+def _elements(batches):
+    """A row for each element of a set."""
+    import numpy as np
+    import pyarrow as pa
 
-def _shingle_sets(k: int):
-    def task(batches):
-        import pyarrow as pa
+    for b in common.small(batches):
+        sets = [np.frombuffer(x, np.int64) for x in b.column(1).to_pylist()]
+        of = np.repeat(b.column(0).to_numpy(), [len(x) for x in sets])
+        yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(np.concatenate(sets))], ["class", "element"])
 
-        for b in batches:
-            sets = [shingles(t, k) for t in texts(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([bitmap(s) for s in sets], pa.list_(pa.int64()))], ["doc", "shingles", "bits"])
 
-    return task
+def rare_pairs(classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: pairs of classes (class, n, component) of different components that share one of their rarest elements.
+
+    All elements have one order, the rarest first. Two sets that reach the threshold share an element among the first
+    n - ceil(t n) + 1 of the larger and the first n - ceil(2t / (1 + t) n) + 1 of the smaller: else too few are left
+    to share. So no link is lost, and sets that merely have common elements never meet. The join is by element; Spark
+    splits an element that many sets start with.
+    """
+    each = classes.join(sets, "class").select("class", "shingles").mapInArrow(_elements, "class long, element long")
+    many = each.groupBy("element").agg(F.count("*").alias("held")).where("held > 1")
+    # an element that one set alone holds joins nothing, but takes a place in the order
+    named = each.join(many, "element", "left").select("class", F.struct(F.coalesce("held", F.lit(1)).alias("held"), "element").alias("e"))
+    ordered = named.groupBy("class").agg(F.array_sort(F.collect_list("e")).alias("all")).join(classes, "class")
+    long = F.col("n") - F.ceil(percent * F.col("n") / 100) + 1
+    short = F.col("n") - F.ceil(2 * percent * F.col("n") / (100 + percent)) + 1
+    firsts = ordered.select("class", "n", "component", short.alias("short"), F.posexplode(F.slice("all", F.lit(1), long.cast("int"))).alias("at", "e")).where("e.held > 1")
+    firsts = common.written(firsts.select("class", "n", "component", "at", "short", F.col("e.element").alias("element")), "rare")
+    x, y = firsts.alias("x"), firsts.where(F.col("at") < F.col("short")).alias("y")
+    smaller = (F.col("y.n") < F.col("x.n")) | ((F.col("y.n") == F.col("x.n")) & (F.col("y.class") < F.col("x.class")))
+    near = smaller & (F.col("x.component") != F.col("y.component")) & (100 * F.col("y.n") >= percent * F.col("x.n"))
+    met = x.join(y, F.col("x.element") == F.col("y.element")).where(near)
+    return met.select(F.greatest("x.class", "y.class").alias("a"), F.least("x.class", "y.class").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", small: int = 8) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row: component_id is the smallest id that links reach.
 
-    Two documents are linked if 100 * |A and B| >= percent * |A or B| for their sets of `shingle`-word shingles (words
+    Two texts are linked if 100 * |A and B| >= percent * |A or B| for their sets of `shingle`-word shingles (words
     between ASCII white space, A-Z lowered); a text with fewer words is one shingle; one without words, or null, has an
-    empty set and no link. Rows with one id are one document, whose links are united; null ids are one document after
-    all others.
-
-    Equal sets are one class, which its smallest id stands for. Classes that share a band are candidates. First, buckets
-    of at most `small` classes compare all of them, larger ones compare each with the class that most others share bands
-    with and with one chosen by hash; confirmed links form components. Then larger buckets that still hold several
-    components compare classes of different components. That join bounds each pair's intersection by bitmaps of the sets
-    (a bit that the other lacks is an element that it lacks), so only pairs that may reach the threshold leave it and are
-    compared in full. Every pair of a bucket is thus linked, excluded exactly, or connected already; no bucket is capped.
+    empty set, no link, and its own id. A null id is the largest. Rows of one id are linked each by its own text. Other
+    columns are left out; an empty table gives no rows.
+
+    Equal sets are one class. Classes that share a band are candidates. First, buckets of at most `small` classes compare
+    all of them, larger ones compare each with the class that most others share bands with and with one chosen by hash;
+    confirmed links form components. Then larger buckets that still hold several components have their classes compared
+    with those of other components that share a rare element (see rare_pairs), which loses no link. Every pair of a
+    bucket is thus linked, excluded exactly, or connected already; no bucket is capped or paired out.
     """
     spark = docs.sparkSession
     common.prepare(spark)
@@ -234,45 +262,40 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, doc
     signed = common.written(base.mapInArrow(_sign(shingle), _SIGNED), "signed")
     some = signed.where("n > 0")
     # a signature is in at least one row of each class: the first of each batch
-    classes = common.written(some.groupBy("d1", "d2").agg(F.min("doc").alias("rep"), F.first("n").alias("n"), F.first("bands", ignorenulls=True).alias("bands")), "classes")
-    banded = classes.select("rep", "n", F.explode("bands").alias("bucket"))
+    classes = some.groupBy("d1", "d2").agg(F.min("doc").alias("first"), F.first("n").alias("n"), F.first("bands", ignorenulls=True).alias("bands"))
+    classes = common.written(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
+    banded = classes.select("class", "n", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1")
     members = common.written(banded.join(shared, "bucket"), "members")
-    wanted = members.select(F.col("rep").alias("doc")).distinct()
-    sets = common.written(base.join(wanted, "doc").mapInArrow(_shingle_sets(shingle), "doc long, shingles binary, bits array<long>"), "sets")
+    wanted = common.written(members.select("class").distinct().join(classes.select("class", "d1", "d2", "first"), "class"), "wanted")
+    whole = base.join(wanted.select(F.col("first").alias("doc")).distinct(), "doc").mapInArrow(_shingle_sets(shingle), "d1 long, d2 long, shingles binary")
+    once = whole.groupBy("d1", "d2").agg(F.first("shingles").alias("shingles"))
+    sets = common.written(once.join(wanted, ["d1", "d2"]).select("class", "shingles"), "sets")
     fits = lambda a, b: (100 * F.least(a, b) >= percent * F.greatest(a, b))
 
     few = members.where(F.col("k") <= small)
     x, y = few.alias("x"), few.alias("y")
-    pairs = x.join(y, F.col("x.bucket") == F.col("y.bucket")).where((F.col("x.rep") < F.col("y.rep")) & fits(F.col("x.n"), F.col("y.n"))).select(F.col("x.rep").alias("b"), F.col("y.rep").alias("a"))
+    pairs = x.join(y, F.col("x.bucket") == F.col("y.bucket")).where((F.col("x.class") < F.col("y.class")) & fits(F.col("x.n"), F.col("y.n"))).select(F.col("x.class").alias("b"), F.col("y.class").alias("a"))
     many = members.where(F.col("k") > small)
-    many = common.written(many.join(members.groupBy("rep").agg(F.sum("k").alias("mates")), "rep"), "many")
-    central, other = F.max(F.struct("mates", "rep", "n")), F.min(F.struct(F.xxhash64("rep").alias("h"), "rep", "n"))
-    picks = many.groupBy("bucket").agg(central.alias("c"), other.alias("o")).select("bucket", F.explode(F.array_distinct(F.array(F.struct("c.rep", "c.n"), F.struct("o.rep", "o.n")))).alias("p"))
-    picks = picks.select("bucket", F.col("p.rep").alias("b"), F.col("p.n").alias("bn"))
-    pairs = pairs.unionByName(many.join(picks, "bucket").where((F.col("rep") != F.col("b")) & fits(F.col("n"), F.col("bn"))).select(F.greatest("rep", "b").alias("a"), F.least("rep", "b").alias("b")))
+    many = common.written(many.join(members.groupBy("class").agg(F.sum("k").alias("mates")), "class"), "many")
+    central, other = F.max(F.struct("mates", "class", "n")), F.min(F.struct(F.xxhash64("class").alias("h"), "class", "n"))
+    picks = many.groupBy("bucket").agg(central.alias("c"), other.alias("o")).select("bucket", F.explode(F.array_distinct(F.array(F.struct("c.class", "c.n"), F.struct("o.class", "o.n")))).alias("p"))
+    picks = picks.select("bucket", F.col("p.class").alias("b"), F.col("p.n").alias("bn"))
+    pairs = pairs.unionByName(many.join(picks, "bucket").where((F.col("class") != F.col("b")) & fits(F.col("n"), F.col("bn"))).select(F.greatest("class", "b").alias("a"), F.least("class", "b").alias("b")))
     links = common.written(_verified(pairs.distinct(), sets, percent), "links")
     labels = common.written(components(links), "labels")
 
-    labelled = many.join(labels, many.rep == labels.node, "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("component"))
+    labelled = many.join(labels, many["class"] == labels.node, "left").select("bucket", "class", "n", F.coalesce("component", "class").alias("component"))
     parts = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-    left = labelled.join(parts, "bucket").join(sets.select(F.col("doc").alias("rep"), "bits"), "rep")
-    left = common.written(left, "left")
+    left = common.written(labelled.join(parts, "bucket").select("class", "n", "component").distinct(), "left")
     if not left.isEmpty():
-        x, y = left.alias("x"), left.alias("y")
-        # pairs of different components, once for both orders; lacks(x, y): elements of x that y surely lacks
-        lacks = lambda s, t: sum((F.bit_count(F.get(f"{s}.bits", F.lit(i)).bitwiseAND(F.bitwise_not(F.get(f"{t}.bits", F.lit(i))))) for i in range(MAP_WORDS)), F.lit(0))
-        most = F.least(F.col("x.n") - lacks("x", "y"), F.col("y.n") - lacks("y", "x"))
-        reach = (100 + percent) * most >= percent * (F.col("x.n") + F.col("y.n"))
-        apart = (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component"))
-        pairs = x.join(y, F.col("x.bucket") == F.col("y.bucket")).where(apart & fits(F.col("x.n"), F.col("y.n")) & reach).select(F.col("y.rep").alias("a"), F.col("x.rep").alias("b")).distinct()
-        more = common.written(_verified(pairs, sets, percent), "links")
+        more = common.written(_verified(rare_pairs(left, sets, percent), sets, percent), "links")
         if not more.isEmpty():
             labels = common.written(components(links.unionByName(more)), "labels")
 
-    named = classes.select("d1", "d2", "rep")
-    named = named.join(labels, named.rep == labels.node, "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
-    out = some.select("doc", "n", "d1", "d2").join(named, ["d1", "d2"]).select("doc", "n", "component")
+    named = classes.join(labels, classes["class"] == labels.node, "left").select("d1", "d2", "first", F.coalesce("component", "class").alias("component"))
+    least = named.groupBy("component").agg(F.min("first").alias("least"))
+    out = some.select("doc", "n", "d1", "d2").join(named.join(least, "component").select("d1", "d2", "least"), ["d1", "d2"]).select("doc", "n", F.col("least").alias("component"))
     out = out.unionByName(signed.where("n = 0").select("doc", "n", F.col("doc").alias("component")))
     null = lambda c: F.when(F.col(c) != top, F.col(c))
     return out.select(null("doc").alias("doc_id"), F.col("n").alias("n_shingles"), null("component").alias("component_id"), (F.col("doc") == F.col("component")).alias("kept"))
