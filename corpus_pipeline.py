@@ -15,15 +15,22 @@ from fernglass.llm.queries import tokenizer
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base and the learned rules keep (operator 8)."""
+    """Documents that the base and the learned rules keep (operator 8).
+
+    A null or empty text fails the base. Every row is judged by itself, so repeated rows stay or go alike; columns come
+    back as they were, whatever their names.
+    """
     common.prepare(spark)
     rules = quality_rules.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality_rules.judge(docs, rules).where("kept").select(docs.columns)
+    plain = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    judged = quality_rules.judge(plain, rules, text=_plain(docs, "text")).where("kept")
+    return judged.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that an earlier one holds (operator 10); those with no word left go."""
-    out = line_dedup.drop_lines(docs).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    """Documents without the lines that an earlier one holds (operator 10); those with no word left go, null and empty texts
+    among them. n_chars is that of the text that is left; other columns come back as they were."""
+    out = line_dedup.drop_lines(docs, counts=False).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
@@ -31,46 +38,67 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row, the first by id, of each group of near duplicates by 5-word shingles (operator 9).
 
     Every row stands for itself, so that rows without an id, or of one id, are kept and dropped each by its own text. Rows
-    are numbered by id, null last, and by hashes of the text.
+    are numbered by id, null last, and by hashes of the text. Texts without a word are linked with nothing and stay.
     """
-    text = F.coalesce("text", F.lit(""))
-    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64(text), F.xxhash64(F.lit(2), text)]
-    ranged = docs.repartitionByRange(common.partitions(spark), *order).sortWithinPartitions(*order)
-    rows = common.written(ranged.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    groups = minhash.near_duplicates(rows, shingle=5, percent=80, doc_id="_row")
-    gone = groups.where("not kept").select(F.col("doc_id").alias("_row"))
-    return rows.join(gone, "_row", "left_anti").select(docs.columns)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    text, key = F.coalesce(F.col(_plain(docs, "text")), F.lit("")), F.col(_plain(docs, "doc_id"))
+    order = [key.asc_nulls_last(), F.xxhash64(text), F.xxhash64(F.lit(2), text)]
+    ranged = docs.toDF(*names).repartitionByRange(common.partitions(spark), *order).sortWithinPartitions(*order)
+    rows = common.written(ranged.withColumn("row", F.monotonically_increasing_id()), "rows")
+    groups = minhash.near_duplicates(rows, shingle=5, percent=80, doc_id="row", text=_plain(docs, "text"))
+    gone = groups.where("not kept").select(F.col("doc_id").alias("row"))
+    return rows.join(gone, "row", "left_anti").select(*names).toDF(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix to target weights takes them, in its order (operator 5).
+    """Documents as often as the mix to target weights takes them, in the order of the mix (operator 5).
 
-    A row is whole: the pass that runs when the budget ends is taken if at least half of it is. Rows with equal id and
-    text are one text that is taken as often as they all are.
+    A row is whole: the pass that runs when the budget ends is taken if at least half of it is. Rows that are equal in
+    every column are one that is taken as often as they all are. Texts without a word are never taken; a null source is
+    a source.
     """
-    mixed = mixing.in_order(mixing.mix(docs))
-    taken = mixed.where(2 * F.col("words") >= F.col("size")).groupBy("doc_id", "digest").agg(F.count("*").cast("int").alias("_times"), F.min("finish").alias("_finish"))
-    text = docs.withColumn("digest", F.xxhash64(F.coalesce("text", F.lit("")))).dropDuplicates(["doc_id", "digest"])
-    key = (F.col("d.doc_id").eqNullSafe(F.col("t.doc_id"))) & (F.col("d.digest") == F.col("t.digest"))
-    both = text.alias("d").join(taken.alias("t"), key).select(*[F.col(f"d.{c}").alias(c) for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("t._times"))).alias("_pass"))
-    return both.select(docs.columns)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    plain = docs.toDF(*names)
+    digest = F.xxhash64(*names)
+    mix = mixing.mix(plain, doc_id=_plain(docs, "doc_id"), text=_plain(docs, "text"), source=_plain(docs, "source"), identity=digest)
+    passes = mix.served.groupBy("row", "pass").agg(F.first("doc_id").alias("doc_id"), F.first("digest").alias("digest"), F.first("size").alias("size"), F.sum("words").alias("words"), F.min("finish").alias("finish"), F.min("place").alias("place"))
+    last = F.lit((1 << 63) - 1)
+    passes = passes.where(2 * F.col("words") >= F.col("size")).select(F.coalesce("doc_id", last).alias("key"), "digest", "finish", "place")
+    rows = plain.select("*", F.coalesce(F.col(_plain(docs, "doc_id")).cast("long"), last).alias("key"), digest.alias("digest")).dropDuplicates(["key", "digest"])
+    both = rows.join(passes, ["key", "digest"]).select(*names, "finish", "place")
+    return mixing.by_finish(both, "finish", "place").select(*names).toDF(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 4096 tokens (operator 4): one row for each piece, with its ids' checksum."""
+    """Sequences of at most 4096 tokens (operator 4): one row for each piece, with its ids' checksum.
+
+    A null or empty text is its end id alone. Null, equal and repeated ids are packed as rows of their own.
+    """
     return packing.pack(docs, tokenizer(), end_id=2)
 
 
+def _plain(docs: DataFrame, name: str) -> str:
+    """The place of a column as a name that no column of an operator has."""
+    return f"c{docs.columns.index(name)}"
+
+
 STAGES = [("quality", quality), ("lines", lines), ("near", near), ("mixture", mixture), ("packed", packed)]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; between stages the rows are written to the cluster's shared folder."""
+    """All stages over documents; between stages the rows are written to the cluster's shared folder, and what a stage needed
+    besides is deleted."""
     common.prepare(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for i, (name, stage) in enumerate(STAGES):
+        first = common.made()
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
+            table = common.made()
             docs = common.written(docs, name)
+            common.release(spark, first, table)
+            if before is not None:
+                common.release(spark, before, before + 1)
+            before = table
     return docs
