@@ -4,7 +4,8 @@ A suffix is compared on its first `threshold` bytes only. Its most significant d
 hash is smallest; neighbouring suffixes mostly have the same one, so a *run* of suffixes (at most threshold-K+1, on
 adjacent starts) travels as one row. Pass 1 orders runs by that digit; a digit that only one run has ends there. Pass 2
 orders by the whole run; equal runs hold equal suffixes, and all but the first are repeats. Pass 3 orders the single
-suffixes of the runs that share a first digit but differ. Equal groups at the end are exactly the repeated strings.
+suffixes of the runs that share a first digit but differ, and compares the bytes of those that look equal. Equal groups at
+the end are exactly the repeated strings. Runs count as equal by 128 bits of hashes: of the digit, and of the whole run.
 """
 
 from __future__ import annotations
@@ -129,14 +130,15 @@ def _row_pos(start, n):
 
 
 def _pass1(threshold: int):
-    """Texts to runs. kind 0: a run; 2: a run that may repeat a suffix inside; 1: bytes that this batch shows to be
-    repeats (pos: first byte, t: end). Copies of a text, and equal runs, leave a batch once."""
+    """Texts to runs. kind 0: a run; 2: a run that pass 3 must see, since it may repeat a suffix inside or since its digit
+    has another run in the batch; 3: that other one; 1: bytes that this batch shows to be repeats (pos: first byte, t:
+    end). Copies of a text, and equal runs, leave a batch once."""
 
     def task(batches):
         import numpy as np
         import pyarrow as pa
 
-        for b in batches:
+        for b in common.small(batches):
             docs = sorted(zip(zip(*(b.column(i).to_pylist() for i in range(3))), texts(b.column(3))), key=lambda x: x[0])
             seen, todo, gone = {}, [], []
             for key, text in docs:
@@ -166,8 +168,13 @@ def _pass1(threshold: int):
                         gone[-1] = (*key, gone[-1][3], max(gone[-1][4], s + n - 1 + threshold))
                     else:
                         gone.append((*key, s, s + n - 1 + threshold))
+                by_digit = order[~again[order]]
+                mate = h[by_digit[1:]] == h[by_digit[:-1]]  # of the same digit as the run before
+                kinds = np.where(multi, 2, 0).astype(np.int32)
+                kinds[by_digit[:-1][mate]] = 2
+                kinds[by_digit[1:][mate]] = 3
                 k = ~again
-                arrays = [h[k].view(np.int64), t[k].view(np.int64), np.where(multi[k], 2, 0).astype(np.int32), *keys[k].T, _row_pos(start[k], size[k])]
+                arrays = [h[k].view(np.int64), t[k].view(np.int64), kinds[k], *keys[k].T, _row_pos(start[k], size[k])]
                 yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], _NAMES)
             if gone:
                 d = np.array(gone, np.int64)
@@ -179,9 +186,8 @@ def _pass1(threshold: int):
 
 
 def _pass2(threshold: int):
-    """Sorted runs to repeats (kind 1: the row, pos, t the end) and to runs that pass 3 must look at (kind 0).
-
-    Ranges may cut a digit's rows; a range's first and last run are passed on, which costs little and loses nothing."""
+    """Sorted runs to repeats (kind 1: the row, pos, t the end) and to runs that pass 3 must look at (kind 0): those whose
+    digit has another run here, or of which one was marked for it."""
 
     def task(batches):
         import numpy as np
@@ -191,10 +197,10 @@ def _pass2(threshold: int):
             return pa.RecordBatch.from_arrays([pa.array(x) for x in (h, t, np.full(len(h), kind, np.int32), *place)], _NAMES)
 
         def one(row):
-            h, t, _, *place = (np.array([x], np.int64) for x in row)
+            h, t, *place = (np.array([x], np.int64) for x in row)
             return batch(h, t, 0, *place)
 
-        held = None  # the last first-of-its-kind run: (row, whether the digit had another before)
+        row = mate = must = None  # the last group of equal runs: its first run, whether its digit had another before, its mark
         for b in batches:
             h, t, kind, *place = (b.column(i).to_numpy() for i in range(len(_NAMES)))
             if (done := kind == 1).any():
@@ -204,42 +210,51 @@ def _pass2(threshold: int):
                 continue
             new = np.ones(len(h), bool)
             new[1:] = (h[1:] != h[:-1]) | (t[1:] != t[:-1])
-            if held is not None:
-                new[0] = (h[0], t[0]) != (held[0][0], held[0][1])
+            if row is not None:
+                new[0] = (h[0], t[0]) != row[:2]
             first = np.maximum.accumulate(np.where(new, np.arange(len(new)), -1))
             like = np.logical_and.reduce([x == x[first] for x in place])
-            like_held = np.logical_and.reduce([x == y for x, y in zip(place, held[0][3:])]) if held is not None else np.zeros(len(h), bool)
+            like_held = np.logical_and.reduce([x == y for x, y in zip(place, row[2:])]) if row is not None else np.zeros(len(h), bool)
             again = ~new & ~np.where(first >= 0, like, like_held)  # a repeated row holds the same place of the same document
             if again.any():
                 pos = place[-1][again]
                 yield batch(h[again], (pos >> 8) + (pos & 255) - 1 + threshold, 1, *[x[again] for x in place])
-            h, t, kind, *place = (x[new] for x in (h, t, kind, *place))
-            if not len(h):
+            starts = np.flatnonzero(new)
+            marked = kind >= 2
+            if row is not None:
+                must = must or bool(marked[: starts[0] if len(starts) else None].any())
+            if not len(starts):
                 continue
+            marked = np.logical_or.reduceat(marked, starts)
+            h, t, *place = (x[starts] for x in (h, t, *place))
             before = np.empty(len(h), bool)
             before[1:] = h[1:] == h[:-1]
-            before[0] = held is None or held[0][0] == h[0]
-            if held is not None and (held[1] or held[0][2] == 2 or before[0]):
-                yield one(held[0])
-            keep = before[:-1] | before[1:] | (kind[:-1] == 2)
+            before[0] = row is not None and row[0] == h[0]
+            if row is not None and (mate or must or before[0]):
+                yield one(row)
+            keep = before[:-1] | before[1:] | marked[:-1]
             if keep.any():
                 yield batch(h[:-1][keep], t[:-1][keep], 0, *[x[:-1][keep] for x in place])
-            held = (tuple(int(x[-1]) for x in (h, t, kind, *place)), bool(before[-1]))
-        if held is not None:
-            yield one(held[0])
+            row, mate, must = tuple(int(x[-1]) for x in (h, t, *place)), bool(before[-1]), bool(marked[-1])
+        if row is not None and (mate or must):
+            yield one(row)
 
     return task
 
 
 def _cut_runs(threshold: int):
-    """A text with its open runs to one row for each run, with the run's bytes."""
+    """A text with its open runs to one row for each run, with the run's bytes; a row that repeats the one before gives none."""
 
     def task(batches):
         import pyarrow as pa
 
-        for b in batches:
+        last = None
+        for b in common.small(batches):
             rows = []
             for key, text, open_runs in zip(zip(*(b.column(i).to_pylist() for i in range(3))), texts(b.column(3)), b.column(4).to_pylist()):
+                if key == last:
+                    continue
+                last = key
                 for r in open_runs:
                     s, n = r["pos"] >> 8, r["pos"] & 255
                     rows.append((r["h"], *key, r["pos"], text[s : s + n - 1 + threshold]))
@@ -250,15 +265,40 @@ def _cut_runs(threshold: int):
 
 
 def _suffixes(rows, threshold: int):
-    """(row index, offset, hash) of all suffixes of the rows' bytes, in order."""
+    """(row index, offset, hash, first byte in the joined rows) of all suffixes of the rows' bytes, in order; the joined rows."""
     import numpy as np
 
     bounds = np.concatenate(([0], np.cumsum([len(r) for r in rows])))
-    hashes = _window_hashes(np.frombuffer(b"".join(rows), np.uint8), threshold, 0x2545F491)
+    data = np.frombuffer(b"".join(rows), np.uint8)
+    hashes = _window_hashes(data, threshold, 0x2545F491)
     n = np.diff(bounds) - threshold + 1
     row = np.repeat(np.arange(len(rows)), n)
     offset = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    return row, offset, hashes[bounds[row] + offset]
+    at = bounds[row] + offset
+    return row, offset, hashes[at], at, data
+
+
+def _repeats(key, at, data, threshold: int):
+    """Which suffixes equal an earlier one: by key, and where keys are equal by their bytes."""
+    import numpy as np
+
+    order = np.argsort(key, kind="stable")
+    same = key[order[1:]] == key[order[:-1]]
+    again = np.zeros(len(key), bool)
+    again[order[1:]] = same
+    wide = np.lib.stride_tricks.sliding_window_view(data, threshold)
+    left, right = at[order[:-1][same]], at[order[1:][same]]
+    for i in range(0, len(left), 1 << 15):
+        if not np.array_equal(wide[left[i : i + (1 << 15)]], wide[right[i : i + (1 << 15)]]):
+            break
+    else:
+        return again
+    seen: set[bytes] = set()  # equal keys of unequal bytes: rare, so by the bytes alone
+    for i, p in enumerate(at.tolist()):
+        text = data[p : p + threshold].tobytes()
+        again[i] = text in seen
+        seen.add(text)
+    return again
 
 
 def _spans(key, pos, row, offset, threshold: int):
@@ -286,11 +326,8 @@ def _pass3(threshold: int):
             once = np.ones(len(h), bool)  # repeated rows hold the same places of the same document
             once[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in (h, *place)])
             h, place, runs = h[once], [x[once] for x in place], [r for r, k in zip(runs, once.tolist()) if k]
-            row, offset, hashes = _suffixes(runs, threshold)
-            key = _mix(hashes + h.view(np.uint64)[row])
-            order = np.argsort(key, kind="stable")
-            again = np.zeros(len(key), bool)
-            again[order[1:]] = key[order[1:]] == key[order[:-1]]
+            row, offset, hashes, at, data = _suffixes(runs, threshold)
+            again = _repeats(_mix(hashes + h.view(np.uint64)[row]), at, data, threshold)
             d, p, end = _spans(place[:-1], place[-1], row[again], offset[again], threshold)
             return pa.RecordBatch.from_arrays([pa.array(x) for x in (*d, p, end)], [*_KEY, "pos", "t"])
 
@@ -322,9 +359,8 @@ def _explode_runs(threshold: int):
             if b.num_rows:
                 *key, pos = (b.column(i).to_numpy() for i in range(1, 5))
                 runs = b.column(5).to_pylist()
-                row, offset, a = _suffixes(runs, threshold)
-                bounds = np.concatenate(([0], np.cumsum([len(r) for r in runs])))
-                c = _window_hashes(np.frombuffer(b"".join(runs), np.uint8), threshold, 0x6C62272E)[bounds[row] + offset]
+                row, offset, a, where, data = _suffixes(runs, threshold)
+                c = _window_hashes(data, threshold, 0x6C62272E)[where]
                 at = _row_pos((pos[row] >> 8) + offset, 0)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a.view(np.int64), c.view(np.int64), *[k[row] for k in key], at)], ["a", "c", *_KEY, "pos"])
 
@@ -342,6 +378,7 @@ def repeated_spans(docs: DataFrame, *, threshold: int = 100, doc_id: str = "doc_
     starts earlier: in a smaller id, or in the same text at a smaller place. Texts without such bytes have no row.
 
     Null texts are empty; a null id is the largest; rows with one id and different texts are ordered by a hash.
+    Rows with one id and one text are one document: their places are told once.
     `common_runs` is the number of differing runs of one digit from which their suffixes are shuffled one by one, with
     partial aggregation, instead of meeting in one task; both ways give the same result.
     """
@@ -352,12 +389,14 @@ def repeated_spans(docs: DataFrame, *, threshold: int = 100, doc_id: str = "doc_
     n = common.partitions(spark)
     base = _identity(docs, doc_id, text)
     runs = base.mapInArrow(_pass1(threshold), _RUN)
-    ordered = runs.repartitionByRange(n, "h", "t").sortWithinPartitions("h", "t", *_KEY, "pos")
+    # by digit; of a digit that a batch shows to have several runs, all but one a batch by the whole run, so none is hot
+    dealt = F.when(F.col("kind") == 3, F.xxhash64("h", "t")).otherwise(F.xxhash64("h"))
+    ordered = runs.repartition(n, dealt).sortWithinPartitions("h", "t", *_KEY, "pos")
     found = common.written(ordered.mapInArrow(_pass2(threshold), _RUN), "runs")
     split = lambda df: df.select(*_KEY, F.shiftright("pos", 8).alias("s"), F.col("t").alias("e"))
 
     open_runs = found.where("kind = 0").select("h", *_KEY, "pos")
-    by_doc = open_runs.groupBy(*_KEY).agg(F.collect_list(F.struct("h", "pos")).alias("open"))
+    by_doc = open_runs.groupBy(*_KEY).agg(F.collect_set(F.struct("h", "pos")).alias("open"))
     cut = base.join(by_doc, [*_KEY]).select(*_KEY, "text", "open").mapInArrow(_cut_runs(threshold), f"h long, {_PLACE}, run binary")
     hot = open_runs.groupBy("h").count().where(F.col("count") > common_runs).select("h")
     if hot.isEmpty():
@@ -372,7 +411,7 @@ def repeated_spans(docs: DataFrame, *, threshold: int = 100, doc_id: str = "doc_
         late = each.join(firsts, ["a", "c"]).where(F.struct(*_KEY, "pos") != F.col("first"))
         start = F.shiftright("pos", 8)
         spans = spans.unionByName(late.select(*_KEY, start.alias("s"), (start + threshold).alias("e")))
-    return spans.groupBy(*_KEY).agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    return spans.groupBy(*_KEY).agg(F.collect_set(F.struct("s", "e")).alias("spans"))
 
 
 def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -398,7 +437,7 @@ def remove_repeats(docs: DataFrame, *, threshold: int = 100, doc_id: str = "doc_
         import pyarrow as pa
 
         spans_type = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
-        for b in batches:
+        for b in common.small(batches):
             size, spans, kept = [], [], []
             for t, found in zip(texts(b.column(1)), b.column(2).to_pylist()):
                 runs = merge_spans([(x["s"], x["e"]) for x in found or []])
