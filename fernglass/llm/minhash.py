@@ -222,7 +222,8 @@ def rare_pairs(classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     All elements have one order, the rarest first. Two sets that reach the threshold share an element among the first
     n - ceil(t n) + 1 of the larger and the first n - ceil(2t / (1 + t) n) + 1 of the smaller: else too few are left
-    to share. So no link is lost, and sets that merely have common elements never meet. The join is by element; Spark
+    to share. For the same reason the first element that they share isn't so late in either that what follows is too
+    little. So no link is lost, and sets that merely have common elements never leave the join, which is by element; Spark
     splits an element that many sets start with.
     """
     each = classes.join(sets, "class").select("class", "shingles").mapInArrow(_elements, "class long, element long")
@@ -236,7 +237,8 @@ def rare_pairs(classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     firsts = common.written(firsts.select("class", "n", "component", "at", "short", F.col("e.element").alias("element")), "rare")
     x, y = firsts.alias("x"), firsts.where(F.col("at") < F.col("short")).alias("y")
     smaller = (F.col("y.n") < F.col("x.n")) | ((F.col("y.n") == F.col("x.n")) & (F.col("y.class") < F.col("x.class")))
-    near = smaller & (F.col("x.component") != F.col("y.component")) & (100 * F.col("y.n") >= percent * F.col("x.n"))
+    most = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
+    near = smaller & (F.col("x.component") != F.col("y.component")) & ((100 + percent) * most >= percent * (F.col("x.n") + F.col("y.n")))
     met = x.join(y, F.col("x.element") == F.col("y.element")).where(near)
     return met.select(F.greatest("x.class", "y.class").alias("a"), F.least("x.class", "y.class").alias("b")).distinct()
 

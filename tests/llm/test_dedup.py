@@ -63,6 +63,28 @@ def test_repeats_of_many_texts_under_a_null_id(spark, common_runs):
     assert got == sorted(brute_repeats([r.text.encode() for r in order]))
 
 
+def test_equal_keys_of_unequal_bytes():
+    """Where hashes agree and bytes don't, bytes decide."""
+    import numpy as np
+
+    data = np.frombuffer(b"aaaabbbbaaaacccc", np.uint8)
+    at = np.array([0, 4, 8, 12])
+    same = np.zeros(4, np.uint64)
+    assert suffix_dedup._repeats(same, at, data, 4).tolist() == [False, False, True, False]
+    assert suffix_dedup._repeats(np.array([1, 2, 1, 3], np.uint64), at, data, 4).tolist() == [False, False, True, False]
+
+
+def test_repeats_in_repeated_rows(spark):
+    """Rows of one id and one text are one document: none of them loses what only they hold."""
+    import random
+
+    rnd = random.Random(2)
+    text = "".join(rnd.choice("abcdefghij ") for _ in range(400))
+    df = spark.createDataFrame([(1, text)] * 50 + [(2, text + "!")], "doc_id long, text string").repartition(4)
+    got = {(r.doc_id, bytes(r.kept)) for r in suffix_dedup.remove_repeats(df).collect()}
+    assert got == {(1, text.encode()), (2, b"!")}
+
+
 def brute_lines(rows):
     key = lambda line: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in line.strip(" \t\n\r\x0b\x0c"))
     holders = {}
@@ -87,6 +109,13 @@ def test_lines(spark, awkward, which):
     assert got[0].lang is None or isinstance(got[0].lang, str)
 
 
+def test_lines_with_clashing_columns(spark):
+    rows = [(1, "one line that is long\nother", 7, "x"), (2, "one line that is long\nmore", 8, "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_lines long, n_dropped string")
+    assert sorted((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in line_dedup.drop_lines(df).collect()) == [(1, rows[0][1], 2, 0), (2, "more", 2, 1)]
+    assert sorted(tuple(r) for r in line_dedup.drop_lines(df, counts=False).collect()) == [rows[0], (2, "more", 8, "y")]
+
+
 def test_lines_of_nothing(empty):
     out = line_dedup.drop_lines(empty)
     assert out.collect() == [] and out.columns[:3] == ["doc_id", "text", "lang"]
@@ -136,6 +165,59 @@ def test_groups_of_edited_copies(spark):
     assert 1 < len({c for _, _, c in want}) < 60
 
 
+def test_groups_by_rare_shingles(spark):
+    """One large bucket of texts that share most of their words: every link is found, though none is compared with all."""
+    import random
+
+    rnd = random.Random(4)
+    core = [f"c{i}" for i in range(100)]
+    rows = []
+    for i in range(240):
+        own = [f"o{i % 80}x{j}" for j in range(18 + i % 5)]  # three texts of each kind are alike, the kinds are not
+        w = core + own
+        if i >= 80:
+            w[rnd.randrange(len(w))] = f"e{i}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = minhash.near_duplicates(df, shingle=2, small=2).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_groups(rows, 2, 80)
+
+
+def test_recall_just_above_the_threshold(spark):
+    """2,000 pairs whose likeness is from 0.80 to 0.82: at least 99.9 % are linked, and none of 500 pairs just below."""
+    import random
+
+    rnd = random.Random(9)
+    rows, want = [], {}
+    for p in range(2500):
+        n = rnd.randrange(120, 300)
+        common = -(-n * (80 if p < 2000 else 78) // 100)
+        a = [f"p{p}w{j}" for j in range(n - 1 + 2)]
+        # sets of 2-word shingles: the first words are shared, what follows is not
+        size = common
+        while p < 2000 and size + 1 <= n and (size + 1) / (2 * n - size - 1) <= 0.82:
+            size += 1
+        while 100 * size < 80 * (2 * n - size) and p < 2000:
+            size += 1
+        shared = a[: size + 1]
+        x = shared + [f"p{p}x{j}" for j in range(n - size)]
+        y = shared + [f"p{p}y{j}" for j in range(n - size)]
+        rows += [(2 * p, " ".join(x)), (2 * p + 1, " ".join(y))]
+        want[p] = 100 * size >= 80 * (2 * n - size)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), shingle=2).collect()}
+    found = {p: got[2 * p] == got[2 * p + 1] for p in want}
+    assert sum(want.values()) == 2000 and sum(found[p] for p in want if want[p]) >= 1998
+    assert not any(found[p] for p in want if not want[p])
+
+
+def test_groups_with_repeated_and_null_ids(spark):
+    """Rows of one id, or without one, are linked each by its own text; the group has the smallest id that it reaches."""
+    text = lambda i: " ".join(f"t{i}w{j}" for j in range(40))
+    rows = [(5, text(1)), (5, text(2)), (None, text(2) + " end"), (None, text(3)), (9, text(3) + " end"), (7, text(1)), (None, text(4)), (8, None), (None, "")]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=2).collect()
+    assert sorted(str((r.doc_id, r.n_shingles, r.component_id)) for r in got) == sorted(str(x) for x in [(5, 39, 5), (5, 39, 5), (None, 40, 5), (None, 39, 9), (9, 40, 9), (7, 39, 5), (None, 39, None), (8, 0, 8), (None, 0, None)])
+
+
 def test_groups_in_awkward_texts(awkward, empty):
     got = minhash.near_duplicates(awkward, shingle=5).collect()
     want = brute_groups([(r.doc_id, r.text) for r in awkward.collect()], 5, 80)

@@ -55,3 +55,50 @@ def test_pages_vote_by_host(spark):
     paths = {r.host: r.paths for r in H.host_paths(df.select("page_id", "url", "html")).collect()}
     assert paths["h.example"][0] == "html/body.has-sidebar/div.c#.content"
     assert H.extract_pages(df.limit(0)).collect() == []
+
+
+def made_page(rnd, host: int):
+    """A page whose text is known: an article in a template of its host, with what isn't text around and inside it, and names
+    from the list of boilerplate on wrappers of the text."""
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randrange(3, 9)))
+    line = lambda n: " ".join(word() for _ in range(n))
+    links = lambda n: "".join(f'<li><a href="/{word()}">{line(2)}</a></li>' for _ in range(n))
+    blocks = [f"{line(rnd.randrange(12, 40))} &amp; {line(8)}." for _ in range(rnd.randrange(3, 9))]
+    body = "".join(f"<p>{b.replace(' ', chr(10) + '  ', 1)}</p>" for b in blocks)
+    junk = [f'<script>var x = "<p>{line(5)}</p>";</script>', f"<style>.x {{ }}</style><!-- {line(6)} -->", f'<div class="ad-slot"><p>{line(9)}</p></div>', f"<form><label>{line(3)}</label><input></form>"]
+    inner = body.replace("</p>", "</p>" + rnd.choice(junk), 1)
+    wrappers = ("layout-right-sidebar", "content-sidebar-wrap", "post category-social tag-notice", "share-price", "notice-board")
+    wrap = [f'<div class="{wrappers[host % 5]} a{host} b c d e f{rnd.randrange(99)}"><article>{inner}</article></div>', f'<main id="m"><div class="{wrappers[host % 5]}">{inner}</div></main>', f'<div class="page"><div class="entry-content">{inner}</div></div>'][host % 3]
+    comments = "".join(f'<div class="comment"><p>{line(14)}</p></div>' for _ in range(rnd.randrange(0, 4)))
+    title = f"<title>{line(4)}</title>"
+    page = f'<html><head>{title}</head><body><div class="logo">{line(2)}</div><nav><ul>{links(6)}</ul></nav><header><p>{line(4)}</p></header>{wrap}<section id="comments">{comments}</section><aside class="sidebar"><p>{line(10)}</p></aside><div class="cookie-notice">{line(9)}</div><footer><p>{line(6)}</p></footer></body></html>'
+    return page, "\n".join(" ".join(b.replace("&amp;", "&").split()) for b in blocks)
+
+
+def test_made_pages(spark):
+    """Pages of fifteen templates beside the text that they were made from."""
+    import random
+
+    rnd = random.Random(1)
+    made = [(i, f"https://host{i % 15}.example/{i}", *made_page(rnd, i % 15)) for i in range(300)]
+    df = spark.createDataFrame([m[:3] for m in made], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in H.extract_pages(df).collect()}
+    wrong = [i for i, _, _, text in made if got[i] != text]
+    assert not wrong, (len(wrong), wrong[:5], got[wrong[0]], made[wrong[0]][3])
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    for page in ("<div>x" * 50_000, "<div class='sidebar'>x" * 50_000, "<div>x" * 50_000 + "</p></section>" * 50_000, "<li><foo>" * 20_000 + "<li></li>" * 50_000):
+        H.extract(page, [])
+        began = time.process_time()
+        H.best_path(page)
+        H.extract(page, ["div/div"])
+        assert time.process_time() - began < 10
+
+
+def test_paths_hold_all_names():
+    page = lambda c: f'<body><div class="a b c d {c}"><p>{"word " * 30}</p></div></body>'
+    assert H.best_path(page("e"))[0] != H.best_path(page("f"))[0]
+    assert H.best_path(page("e7"))[0] == H.best_path(page("e8"))[0]

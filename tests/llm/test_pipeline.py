@@ -53,3 +53,31 @@ def test_stages_on_nothing(spark):
     for name, stage in P.STAGES:
         docs = common.written(stage(spark, docs, DATA), name)
         assert docs.count() == 0
+
+
+def test_stages_on_awkward_rows(spark, awkward):
+    """Nulls in every column, empty and long texts, repeated rows, and columns named like those that stages make."""
+    from pyspark.sql import functions as F
+
+    common.prepare(spark)
+    clash = awkward.withColumns({"_pass": F.lit("p"), "finish": F.lit(0.5), "row": F.lit(7), "key": F.lit("k"), "c0": F.lit("c"), "n_lines": F.lit("n"), "place": F.lit(1), "n_chars": F.length("text").cast("long")})
+    for name, stage in P.STAGES:
+        out = common.written(stage(spark, clash, DATA), name)
+        if name == "packed":
+            assert out.select("doc_id").distinct().count() == clash.select("doc_id").distinct().count()
+            continue
+        assert out.columns == clash.columns and out.count() > 0
+        fixed = [c for c in clash.columns if c not in ("text", "n_chars")]
+        assert {tuple(r) for r in out.select(fixed).collect()} <= {tuple(r) for r in clash.select(fixed).collect()}
+
+
+def test_mixture_is_in_the_order_of_the_mix(spark):
+    """Rows come by virtual finish time: at every tenth of the mix the sources have had about their shares."""
+    common.prepare(spark)
+    rows = [(i, "a b c d e f g h", "en", f"s{i % 3}", 15) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = [r.source for r in P.mixture(spark, docs, DATA).collect()]
+    share = {s: out.count(s) / len(out) for s in set(out)}
+    for k in range(1, 10):
+        part = out[: k * len(out) // 10]
+        assert all(abs(part.count(s) / len(part) - share[s]) < 0.02 for s in share)
