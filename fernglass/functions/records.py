@@ -26,16 +26,9 @@ def loose_json(c: Column) -> Column:
 
 
 def watermark_mode(c: Column, default: str = "none") -> Column:
-    """One of none, fullygoto, city; synonyms are folded."""
+    """One of none, full, city; synonyms are folded."""
     word = F.lower(F.trim(F.coalesce(c, F.lit(""))))
-    return F.when(word.isin("1", "on", "true", "yes", "fully", "fullygoto", "full"), "fullygoto").when(word.isin("city", "citylogo", "area"), "city").when(word.isin("0", "off", "false", "no", "none"), "none").otherwise(default)
-
-
-def merged_maps(maps: Column) -> Column:
-    """Of an array of maps, the first value that isn't blank for each key."""
-    entries = F.filter(F.flatten(F.transform(maps, F.map_entries)), lambda e: F.trim(e["value"]) != "")
-    keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
-    return F.map_from_entries(F.transform(keys, lambda k: F.struct(k.alias("key"), F.get(F.filter(entries, lambda e: e["key"] == k), F.lit(0))["value"].alias("value"))))
+    return F.when(word.isin("1", "on", "true", "yes", "fully", "full"), "full").when(word.isin("city", "citylogo", "area"), "city").when(word.isin("0", "off", "false", "no", "none"), "none").otherwise(default)
 
 
 def dot(a: Column, b: Column) -> Column:

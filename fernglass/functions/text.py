@@ -26,6 +26,11 @@ def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
+def strip(c: Column) -> Column:
+    """Without white space, Unicode's too, at both ends."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
 def hiragana(c: Column) -> Column:
     return F.translate(c, _KATA, _HIRA)
 
@@ -90,7 +95,7 @@ def grams(c: Column) -> Column:
 
 def sentences(c: Column) -> Column:
     """Pieces that end at a full stop, exclamation or question mark of either width; trimmed, none empty."""
-    return F.filter(F.transform(F.split(c, "(?<=[。．！？!?])"), lambda s: F.trim(s)), lambda s: s != "")
+    return F.filter(F.transform(F.split(c, "(?<=[。．！？!?])"), strip), lambda s: s != "")
 
 
 def fragments(c: Column, limit: int = 160) -> Column:
@@ -104,21 +109,40 @@ def fragments(c: Column, limit: int = 160) -> Column:
     return F.aggregate(sentences(c), start, step, lambda a: F.when(a["now"] == "", a["done"]).otherwise(F.concat(a["done"], F.array(a["now"]))))
 
 
-def windows(c: Column, size: int = 700, overlap: int = 150) -> Column:
+def windows(c: Column, size: int = 700, overlap: int = 150, lines: bool = True) -> Column:
     """Array of (chunk_index, text, char_start, char_end, line_start, line_end): windows of `size` characters that start every
-    size - overlap, up to the first that reaches the end. Blank windows are dropped before they are numbered."""
-    body = F.replace(c, F.lit("\r\n"), F.lit("\n"))
-    n, step = F.length(body), size - overlap
+    size - overlap, up to the first that reaches the end. Blank windows are dropped before they are numbered; without
+    `lines` the line numbers are left out.
+
+    The text is cut once into pieces as long as a step; a window is a few neighbouring pieces, and its lines are counted
+    by piece, so the work grows with the text and not with its square.
+    """
+    body, step = F.replace(c, F.lit("\r\n"), F.lit("\n")), size - overlap
+    pieces = F.regexp_extract_all(body, F.lit("(?s).{1,%d}" % step), F.lit(0))
+    n = F.length(body)
     count = F.when(n <= size, 1).otherwise(F.ceil((n - size) / step).cast("int") + 1)
-    line = lambda at: (F.length(F.substr(body, F.lit(1), at)) - F.length(F.replace(F.substr(body, F.lit(1), at), F.lit("\n"), F.lit(""))) + 1)
-
-    def one(i):
-        start = i * step
-        end = F.least(start + size, n)
-        return F.struct(F.trim(F.regexp_replace(F.substr(body, start + 1, F.lit(size)), r"^\s+|\s+$", "")).alias("text"), start.alias("char_start"), end.alias("char_end"), line(start).alias("line_start"), line(end).alias("line_end"))
-
-    kept = F.filter(F.transform(F.sequence(F.lit(0), count - 1), one), lambda x: x["text"] != "")
-    return F.transform(kept, lambda x, i: F.struct(i.alias("chunk_index"), x["text"].alias("text"), x["char_start"].alias("char_start"), x["char_end"].alias("char_end"), x["line_start"].alias("line_start"), x["line_end"].alias("line_end")))
+    newlines = lambda s: F.length(s) - F.length(F.replace(s, F.lit("\n"), F.lit("")))
+    parts = F.struct(pieces.alias("p"), n.alias("n"), count.alias("k"), F.expr("cast(array() as array<int>)").alias("l"))
+    if lines:
+        # lines before each piece
+        before = F.aggregate(pieces, F.expr("array(0)"), lambda a, s: F.array_append(a, F.element_at(a, -1) + newlines(s)))
+        parts = F.struct(pieces.alias("p"), n.alias("n"), count.alias("k"), before.alias("l"))
+
+    def of(d):
+        def one(i):
+            start = i * step
+            text = F.substr(F.array_join(F.slice(d["p"], i + 1, F.lit(-(-size // step))), ""), F.lit(1), F.lit(size))
+            fields = [strip(text).alias("text"), start.alias("char_start"), F.least(start + size, d["n"]).alias("char_end")]
+            if lines:
+                first = F.get(d["l"], i) + 1
+                fields += [first.alias("line_start"), (first + newlines(text)).alias("line_end")]
+            return F.struct(*fields)
+
+        kept = F.filter(F.transform(F.sequence(F.lit(0), d["k"] - 1), one), lambda x: x["text"] != "")
+        names = ["text", "char_start", "char_end", *(["line_start", "line_end"] if lines else [])]
+        return F.transform(kept, lambda x, i: F.struct(i.alias("chunk_index"), *[x[f].alias(f) for f in names]))
+
+    return F.element_at(F.transform(F.array(parts), of), 1)
 
 
 def clean_input(c: Column) -> Column:
@@ -143,9 +167,15 @@ def without_labels(c: Column) -> Column:
     return F.regexp_replace(c, r"\[\[\d+\]\]", "")
 
 
+# fixed values: words that tell Chinese from Japanese without kana
+CHINESE = ("今天", "天氣", "天气", "請問", "请问", "交通", "景點", "景点", "門票", "门票", "美食", "住宿", "船班", "航班", "預約", "预约", "營業", "营业")
+
+
 def language(c: Column) -> Column:
-    """ja for kana, zh-Hant for its marker characters, en for ASCII alone, else ja."""
-    return F.when(c.rlike(r"[぀-ヿ]"), "ja").when(c.rlike("[請問哪這裡嗎妳們國際會點還]"), "zh-Hant").when(c.rlike(r"^[\x00-\x7f]*$"), "en").otherwise("ja")
+    """ja for kana, zh-Hant for a word of CHINESE, en for ASCII letters, digits, spaces and common marks alone, else ja; an
+    empty or null text is ja."""
+    t = strip(F.coalesce(c, F.lit("")))
+    return F.when(t.rlike(r"[ぁ-んァ-ン]"), "ja").when(t.rlike("|".join(CHINESE)), "zh-Hant").when(t.rlike(r"^[A-Za-z0-9\s\-.,!?'\"/()]+$"), "en").otherwise("ja")
 
 
 def truthy(c: Column, permissive: bool = False) -> Column:
@@ -195,3 +225,119 @@ def user_hash(user: Column) -> Column:
 def find(text: Column, needle: Column) -> Column:
     """Place of the needle from 0, -1 for none."""
     return F.call_function("instr", text, needle) - 1
+
+
+def utf16_length(c: Column) -> Column:
+    """Code units of UTF-16: characters beyond the basic plane count twice."""
+    return F.length(c) + F.length(F.regexp_replace(c, r"[^\x{10000}-\x{10FFFF}]", ""))
+
+
+def split_message(c: Column, limit: int = 4800) -> Column:
+    """A text as parts of at most `limit` UTF-16 units: whole paragraphs (between blank lines) joined while they fit; a paragraph
+    that is too long by sentences, joined by a newline; a sentence that is too long by characters, in parts of its own. A
+    text that fits is one part, a null text an empty one."""
+    text = F.coalesce(c, F.lit(""))
+    none = F.expr("cast(array() as array<string>)")
+    unit = lambda kind, pieces: F.struct(F.lit(kind).alias("kind"), pieces.alias("pieces"))
+
+    def by_characters(s):
+        chars = F.regexp_extract_all(s, F.lit("(?s)."), F.lit(0))
+        start = F.struct(none.alias("done"), F.lit("").alias("now"))
+        step = lambda a, x: F.struct(F.when(utf16_length(F.concat(a["now"], x)) > limit, F.array_append(a["done"], a["now"])).otherwise(a["done"]).alias("done"), F.when(utf16_length(F.concat(a["now"], x)) > limit, x).otherwise(F.concat(a["now"], x)).alias("now"))
+        plain = F.regexp_extract_all(s, F.lit("(?s).{1,%d}" % limit), F.lit(0))
+        return F.when(utf16_length(s) == F.length(s), plain).otherwise(F.aggregate(chars, start, step, lambda a: F.array_append(a["done"], a["now"])))
+
+    def units(p):
+        cut = F.filter(F.split(p, "(?<=[。．！？!?])"), lambda s: s != "")
+        return F.when(utf16_length(p) <= limit, F.array(unit("paragraph", F.array(p)))).otherwise(F.transform(cut, lambda s: F.when(utf16_length(s) > limit, unit("long", by_characters(s))).otherwise(unit("sentence", F.array(s)))))
+
+    paragraphs = F.transform(F.filter(F.split(text, r"\n\s*\n"), lambda p: p != ""), lambda p: F.regexp_replace(p, r"^\n+|\n+$", ""))
+
+    def step(a, u):
+        now, piece = a["now"], F.element_at(u["pieces"], 1)
+        between = F.when(now == "", "").when(u["kind"] == "paragraph", "\n\n").when(now.endswith("\n"), "").otherwise("\n")
+        joined = F.concat(now, between, piece)
+        flushed = F.when(now == "", a["done"]).otherwise(F.array_append(a["done"], now))
+        fits = utf16_length(joined) <= limit
+        long = u["kind"] == "long"
+        return F.struct(F.when(long, F.concat(flushed, u["pieces"])).when(fits, a["done"]).otherwise(flushed).alias("done"), F.when(long, "").when(fits, joined).otherwise(piece).alias("now"))
+
+    start = F.struct(none.alias("done"), F.lit("").alias("now"))
+    parts = F.aggregate(F.flatten(F.transform(paragraphs, units)), start, step, lambda a: F.when(a["now"] == "", a["done"]).otherwise(F.array_append(a["done"], a["now"])))
+    return F.when(utf16_length(text) <= limit, F.array(text)).when(F.size(parts) == 0, F.array(F.substr(text, F.lit(1), F.lit(limit)))).otherwise(parts)
+
+
+def pack_messages(parts: Column, limit: int = 4800, most: int = 5) -> Column:
+    """Parts joined by newlines while they fit into `limit` characters; beyond `most` the rest is one last part between blank
+    lines."""
+    start = F.struct(F.expr("cast(array() as array<string>)").alias("done"), F.lit("").alias("now"))
+
+    def step(a, p):
+        fits = F.length(a["now"]) + 1 + F.length(p) <= limit
+        empty = a["now"] == ""
+        return F.struct(F.when(empty | fits, a["done"]).otherwise(F.array_append(a["done"], a["now"])).alias("done"), F.when(empty, p).when(fits, F.concat(a["now"], F.lit("\n"), p)).otherwise(p).alias("now"))
+
+    joined = F.aggregate(parts, start, step, lambda a: F.when(a["now"] == "", a["done"]).otherwise(F.array_append(a["done"], a["now"])))
+    tail = F.array_join(F.slice(joined, F.lit(most), F.greatest(F.size(joined) - most + 1, F.lit(0))), "\n\n")
+    return F.when(F.size(joined) > most, F.array_append(F.slice(joined, 1, most - 1), tail)).otherwise(joined)
+
+
+# fixed values: headers of an answer's sections
+HEADERS = {"質問の意図": "intent", "要約": "summary", "詳細": "details", "補足": "notes", "出典": "sources"}
+
+
+def _sectioned(lines: Column, header) -> Column:
+    """(section, line, head) of each line: the section that the last header named, summary before any."""
+    start = F.struct(F.lit("summary").alias("now"), F.expr("cast(array() as array<struct<section:string,line:string,head:boolean>>)").alias("all"))
+
+    def step(a, line):
+        name = header(line)
+        now = F.coalesce(name, a["now"])
+        return F.struct(now.alias("now"), F.array_append(a["all"], F.struct(now.alias("section"), line.alias("line"), name.isNotNull().alias("head"))).alias("all"))
+
+    return F.aggregate(lines, start, step, lambda a: a["all"])
+
+
+def sections(c: Column, headers: dict[str, str] = HEADERS) -> Column:
+    """(summary, details, notes) of an answer with header lines (marks # before and a colon after are ignored): summary as lines,
+    details and notes as lists without bullets and numbers. Without any header all is the summary."""
+    text = strip(F.coalesce(c, F.lit("")))
+    lines = F.split(text, r"\r\n|[\n\r]")
+    known = F.create_map(*[x for k, v in headers.items() for x in (F.lit(k), F.lit(v))])
+    header = lambda line: F.try_element_at(known, strip(F.regexp_replace(F.regexp_replace(strip(line), "^[# ]+", ""), "[：:]+$", "")))
+    all_ = _sectioned(lines, header)
+    of = lambda name: F.transform(F.filter(all_, lambda x: (x["section"] == name) & ~x["head"] & (strip(x["line"]) != "")), lambda x: strip(x["line"]))
+    bare = lambda line: strip(F.regexp_replace(F.regexp_replace(line, r"(?U)^[\s\-・*●○◆◇▶▷■□◉◎]+", ""), r"^[0-9]{1,2}[.)、](?U)\s*", ""))
+    listed = lambda name: F.filter(F.transform(of(name), bare), lambda x: x != "")
+    some = F.exists(lines, lambda line: header(line).isNotNull())
+    none = F.expr("cast(array() as array<string>)")
+    return F.struct(F.when(some, F.array_join(of("summary"), "\n")).otherwise(text).alias("summary"), F.when(some, listed("details")).otherwise(none).alias("details"), F.when(some, listed("notes")).otherwise(none).alias("notes"))
+
+
+def closed_sentence(c: Column) -> Column:
+    """A sentence with single spaces and a full stop at its end, if it has none."""
+    clean = squeeze(F.coalesce(c, F.lit("")))
+    return F.when((clean == "") | clean.rlike("[。.!?！？]$"), clean).otherwise(F.concat(clean, F.lit("。")))
+
+
+def question_keywords(c: Column) -> Column:
+    """Distinct runs of two or more letters, digits or Japanese characters of a question, kana as hiragana, in order."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(hiragana(nfkc(c))), F.lit("[a-z0-9一-龥ぁ-んー]{2,}"), F.lit(0)))
+
+
+def on_topic(c: Column, keywords: Column) -> Column:
+    """An answer without those lines of its summary and details (under ### headers) that hold none of the keywords; a header of
+    details goes if nothing is left below it. Without text or keywords, as it is."""
+    form = lambda x: F.lower(hiragana(nfkc(x)))
+    lines = F.split(c, r"\r\n|[\n\r]")
+
+    def header(line):
+        s = strip(line)
+        return F.when(s.startswith("### 要約"), "summary").when(s.startswith("### 詳細"), "detail").when(s.startswith("### 出典"), "sources").when(s.startswith("### "), "other")
+
+    marked = _sectioned(F.concat(F.array(F.lit("### ")), lines), header)
+    held = F.filter(marked, lambda x: x["head"] | (strip(x["line"]) == "") | ~x["section"].isin("summary", "detail") | F.exists(keywords, lambda k: form(x["line"]).contains(form(k))))
+    detail = F.exists(held, lambda x: (x["section"] == "detail") & ~x["head"] & (strip(x["line"]) != ""))
+    kept = F.filter(held, lambda x: detail | (x["section"] != "detail"))
+    joined = strip(F.array_join(F.transform(F.slice(kept, F.lit(2), F.greatest(F.size(kept) - 1, F.lit(0))), lambda x: F.when(x["head"], F.regexp_replace(x["line"], r"(?U)\s+$", "")).otherwise(x["line"])), "\n"))
+    return F.when((F.coalesce(c, F.lit("")) == "") | (F.coalesce(F.size(keywords), F.lit(0)) <= 0), c).otherwise(joined)

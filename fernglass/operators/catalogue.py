@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fernglass.functions import text as T
+from fernglass.operators.matching import containing
+from fernglass.session import numbered
 
 
 def normalise_entries(rows: DataFrame, *, default_category: str = "other") -> DataFrame:
@@ -31,31 +33,46 @@ def violations(rows: DataFrame, *, order: str, title: str = "title", areas: str
 
 
 def mode_or_longest(rows: DataFrame, *, key: str, value: str, order: str) -> DataFrame:
-    """key, value: of each key's values the normalised form that is most frequent, then longest, then first; of its raw forms
-    the longest, then first. Blank values don't count."""
-    forms = rows.where(F.coalesce(F.trim(value), F.lit("")) != "").select(key, F.col(value).alias("raw"), T.title_key(F.col(value)).alias("norm"), F.col(order).alias("o"))
+    """key, value: of each key's values the normalised form (NFKC, single spaces; case counts) that is most frequent, then
+    longest, then first; of its raw forms, trimmed, the longest, then first. Blank values don't count."""
+    raw = T.strip(F.col(value))
+    forms = rows.where(F.coalesce(raw, F.lit("")) != "").select(key, raw.alias("raw"), T.squeeze(T.nfkc(raw)).alias("norm"), F.col(order).alias("o"))
     per = forms.groupBy(key, "norm").agg(F.count("*").alias("n"), F.min("o").alias("f"), F.max_by("raw", F.struct(F.length("raw"), -F.col("o"))).alias("raw"))
     return per.groupBy(key).agg(F.max_by("raw", F.struct("n", F.length("norm"), -F.col("f"))).alias(value))
 
 
+# fixed values: what links of map services contain
+MAP_HOSTS = ("google.com/maps", "goo.gl/maps", "maps.app.goo.gl", "g.page", "g.co/kgs")
+
+
 def url_score(url: Column) -> Column:
-    """How much a text looks like a map link."""
-    low = F.lower(url)
+    """How much a text looks like a map link: 2 for its scheme, 10 for a map service, 2 for "maps", 1 for 20 characters."""
     yes = lambda c, n: F.when(c, n).otherwise(0)
-    return yes(low.rlike("^https?://"), 2) + yes(low.rlike(r"^https?://([^/]*\.)?(google\.[a-z.]+/maps|maps\.google\.|goo\.gl/maps|maps\.app\.goo\.gl)"), 10) + yes(low.contains("maps"), 2) + yes(F.length(url) >= 20, 1)
+    host = F.lit(False)
+    for h in MAP_HOSTS:
+        host = host | url.contains(h)
+    return yes(url.startswith("http://") | url.startswith("https://"), 2) + yes(host, 10) + yes(url.contains("maps"), 2) + yes(F.length(url) >= 20, 1)
 
 
 def best_url(rows: DataFrame, *, key: str, url: str, order: str) -> DataFrame:
     """key, url: each key's best link by score, then length, then order."""
-    some = rows.where(F.coalesce(F.trim(url), F.lit("")) != "")
+    some = rows.withColumn(url, T.strip(F.col(url))).where(F.coalesce(url, F.lit("")) != "")
     return some.groupBy(key).agg(F.max_by(url, F.struct(url_score(F.col(url)), F.length(url), -F.col(order))).alias(url))
 
 
-def merge_duplicates(rows: DataFrame, *, title: str, order: str, modal: list[str] = (), lists: list[str] = (), flags: list[str] = (), first: list[str] = (), urls: list[str] = ()) -> DataFrame:
+def merge_maps(rows: DataFrame, *, key: str, value: str, order: str) -> DataFrame:
+    """key, value: each key's maps as one; a name's value is the most frequent, then longest, then first (see mode_or_longest).
+    Names without a value are left out, and so are keys without a name."""
+    named = rows.select(key, order, F.explode(value).alias("_n", "_v")).withColumn("_k", F.struct(key, "_n"))
+    best = mode_or_longest(named, key="_k", value="_v", order=order)
+    return best.groupBy(F.col(f"_k.{key}").alias(key)).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_k._n", "_v")))).alias(value))
+
+
+def merge_duplicates(rows: DataFrame, *, title: str, order: str, modal: list[str] = (), lists: list[str] = (), flags: list[str] = (), first: list[str] = (), urls: list[str] = (), maps: list[str] = ()) -> DataFrame:
     """One row for each title key: title_key, ord (its first row), n, and the merged columns. A blank title merges with nothing.
 
     modal: most frequent, then longest; lists: items in order of first occurrence; flags: any; first: first that isn't null;
-    urls: best link. Every column is an aggregate that combines before the shuffle, so no group is held as a list; only
+    urls: best link; maps: the mode of each name. Every column is an aggregate that combines before the shuffle, so no group is held as a list; only
     the distinct items of a key's list columns are.
     """
     key = F.when(T.title_key(F.col(title)) == "", F.concat(F.lit("\0"), F.col(order).cast("string"))).otherwise(T.title_key(F.col(title)))
@@ -68,6 +85,8 @@ def merge_duplicates(rows: DataFrame, *, title: str, order: str, modal: list[str
         out = out.join(mode_or_longest(rows, key="title_key", value=c, order=order), "title_key", "left")
     for c in urls:
         out = out.join(best_url(rows, key="title_key", url=c, order=order), "title_key", "left")
+    for c in maps:
+        out = out.join(merge_maps(rows, key="title_key", value=c, order=order), "title_key", "left")
     for c in lists:
         items = rows.select("title_key", F.col(order).alias("o"), F.posexplode(c).alias("p", "item")).where(F.trim("item") != "")
         once = items.groupBy("title_key", T.title_key(F.col("item")).alias("k")).agg(F.min(F.struct("o", "p", "item")).alias("m"))
@@ -89,14 +108,15 @@ def duplicate_groups(rows: DataFrame, *, title: str, order: str) -> DataFrame:
 
 
 def bulk_merge(base: DataFrame, edits: DataFrame, *, id: str, columns: list[str], deleted: str = "deleted") -> DataFrame:
-    """Edits applied to base: listed rows take the edit's values where these aren't null, rows marked deleted go, rows with a null
-    id are added after the largest id, in their order (column `ord` of edits). Unlisted rows and columns stay."""
+    """Edits applied to base: listed rows take the edit's values where these aren't null (an empty text blanks a field), rows
+    marked deleted go, rows with a null id are added after the largest id, in their order (column `ord` of edits). Unlisted
+    rows and columns stay."""
     old, new = base.alias("b"), edits.where(F.col(id).isNotNull()).alias("e")
     kept = old.join(new, F.col(f"b.{id}") == F.col(f"e.{id}"), "left").where(~F.coalesce(F.col(f"e.{deleted}"), F.lit(False)))
     kept = kept.select(*[F.coalesce(F.col(f"e.{c}"), F.col(f"b.{c}")).alias(c) if c in columns else F.col(f"b.{c}").alias(c) for c in base.columns])
-    added = edits.where(F.col(id).isNull() & ~F.coalesce(F.col(deleted), F.lit(False))).crossJoin(F.broadcast(base.agg(F.coalesce(F.max(id), F.lit(0)).alias("_max"))))
-    number = F.col("_max") + F.row_number().over(Window.orderBy("ord"))
-    added = added.withColumn(id, number).select(*[F.col(c) if c in edits.columns else F.lit(None).cast(base.schema[c].dataType).alias(c) for c in base.columns])
+    largest = base.agg(F.coalesce(F.max(id), F.lit(0)).alias("_max"))
+    added = numbered(edits.where(F.col(id).isNull() & ~F.coalesce(F.col(deleted), F.lit(False))), F.col("ord"), name="_place").crossJoin(F.broadcast(largest))
+    added = added.withColumn(id, (F.col("_max") + F.col("_place")).cast(base.schema[id].dataType)).select(*[F.col(c) if c in edits.columns else F.lit(None).cast(base.schema[c].dataType).alias(c) for c in base.columns])
     return kept.unionByName(added)
 
 
@@ -111,3 +131,83 @@ def upsert(base: DataFrame, changes: DataFrame, *, key: str, ts: str) -> DataFra
     """The last writer of each key among base and changes."""
     value = F.struct(*[c for c in base.columns])
     return base.unionByName(changes).groupBy(key).agg(F.max_by(value, ts).alias("r")).select("r.*")
+
+
+def imported(base: DataFrame, incoming: DataFrame, *, replace: bool = False) -> DataFrame:
+    """Incoming entries, normalised, in place of the base or after it."""
+    rows = normalise_entries(incoming)
+    return rows if replace else base.unionByName(rows, allowMissingColumns=True)
+
+
+def saved(rows: DataFrame, path: str, *, title: str, order: str, merge: bool = True, **columns) -> DataFrame:
+    """A new version of the table at path: rows without a title or areas refuse the save; duplicates are merged if asked for
+    (columns as in merge_duplicates); readers see the old version until the new one is whole."""
+    from fernglass.sources.files import publish
+
+    bad = violations(rows, order=order).limit(10).collect()
+    if bad:
+        raise ValueError(f"entries without title or areas: {[tuple(r) for r in bad]}")
+    return publish(rows.sparkSession, path, merge_duplicates(rows, title=title, order=order, **columns) if merge else rows)
+
+
+def work_queue(queue: DataFrame, targets: DataFrame, *, key: str, take: int) -> DataFrame:
+    """key, place: the next `take` items. The queue (key, place) is used while it holds only targets; where it is empty or names
+    something else, it is built anew from the targets in order of key."""
+    stale = queue.join(targets.select(key).distinct(), key, "left_anti").limit(1).count() > 0
+    if stale or queue.isEmpty():
+        queue = numbered(targets.select(key).distinct(), F.col(key), name="place")
+    return queue.select(key, F.col("place").cast("long").alias("place")).orderBy("place").limit(take)
+
+
+def without_done(queue: DataFrame, done: DataFrame, *, key: str) -> DataFrame:
+    """The queue without items that succeeded, by normalised key."""
+    finished = done.select(T.title_key(F.col(key)).alias("_k")).distinct()
+    return queue.withColumn("_k", T.title_key(F.col(key))).join(finished, "_k", "left_anti").drop("_k")
+
+
+def pruned(manifest: DataFrame, *, ts: str, tie: str, keep: int) -> DataFrame:
+    """The newest rows of a manifest."""
+    return manifest.orderBy(F.desc(ts), tie).limit(keep)
+
+
+def updated(table: DataFrame, changes: DataFrame, *, key: str) -> DataFrame:
+    """The table with the values of changes (key and some of its columns) in its rows; keys that it lacks change nothing."""
+    some = [c for c in changes.columns if c != key]
+    new = changes.select(F.col(key).alias("_k"), F.struct(*some).alias("_n"))
+    both = table.join(new, F.col(key) == F.col("_k"), "left")
+    return both.select(*[F.when(F.col("_k").isNotNull(), F.col(f"_n.{c}")).otherwise(F.col(c)).alias(c) if c in some else F.col(c) for c in table.columns])
+
+
+def by_title(lines: DataFrame, entries: DataFrame, *, key: str, line: str, title: str, order: str) -> DataFrame:
+    """key and the first entry (all its columns) whose title is the line, both as title keys; lines without one are left out."""
+    first = entries.withColumn("_k", T.title_key(F.col(title))).where("_k <> ''").groupBy("_k").agg(F.min_by(F.struct(*entries.columns), order).alias("_e"))
+    return lines.select(key, T.title_key(F.col(line)).alias("_k")).join(first, "_k").select(key, "_e.*")
+
+
+def close_names(questions: DataFrame, names: DataFrame, *, key: str, text: str, name: str, cutoff: float = 0.92) -> DataFrame:
+    """key, name: the first name (column ord) that the text contains, or else the closest one by the ratio of matching blocks,
+    if that is at least the cutoff, the larger name among equals. Names and texts of such a ratio share three neighbouring
+    characters, by which they meet."""
+    texts = questions.select(F.col(key).alias("_q"), T.search_form(F.col(text)).alias("_t"))
+    forms = names.select(name, "ord", T.search_form(F.col(name)).alias("_f")).where("_f <> ''")
+    inside = containing(texts, forms, key="_q", text="_t", form="_f").groupBy("_q").agg(F.min_by(name, F.struct("ord", name)).alias(name))
+    pieces = lambda c: F.explode(F.array_distinct(F.regexp_extract_all(c, F.lit("(?s)(?=(.{3}))"), F.lit(1))))
+    left = texts.join(inside.select("_q"), "_q", "left_anti")
+    met = left.select("_q", pieces("_t").alias("_g")).join(forms.select("_f", pieces("_f").alias("_g")), "_g").select("_q", "_f").distinct()
+    size = lambda c: F.length(c)
+    pairs = met.join(left, "_q").where(2 * F.least(size("_t"), size("_f")) >= cutoff * (size("_t") + size("_f")))
+
+    def rate(batches):
+        import difflib
+
+        import pyarrow as pa
+
+        for b in batches:
+            got = [difflib.SequenceMatcher(None, f, t).ratio() for t, f in zip(b.column(2).to_pylist(), b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, pa.float64())], ["_q", "_f", "ratio"])
+
+    kind = dict(texts.dtypes)["_q"]
+    rated = pairs.select("_q", "_f", "_t").mapInArrow(rate, f"_q {kind}, _f string, ratio double").where(F.col("ratio") >= cutoff)
+    best = rated.groupBy("_q").agg(F.max_by("_f", F.struct("ratio", "_f")).alias("_f"))
+    last = forms.groupBy("_f").agg(F.max_by(name, F.struct("ord", name)).alias(name))
+    return inside.unionByName(best.join(last, "_f").select("_q", name)).withColumnRenamed("_q", key)

@@ -2,26 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fernglass.functions import geo
+from fernglass.operators.search import best_of
 
 
-def within_radius(places: DataFrame, centres: DataFrame, *, radius_m: int, limit: int = 10) -> DataFrame:
-    """cid, ord, distance_m: the nearest places (ord, lat, lng) of each centre (cid, clat, clng), by whole metres, then ord.
+def within_radius(places: DataFrame, centres: DataFrame, *, radius_m: int, limit: int = 10, categories: list[str] = ()) -> DataFrame:
+    """cid, ord, distance_m: the nearest places (ord, lat, lng) of each centre (cid, clat, clng) at most the radius away, by whole
+    metres, then ord; of some categories only, if asked. Places without coordinates are left out.
 
-    Both sides are dealt to a grid whose cells are as high as the radius; a centre looks at the cells around its own, so the
-    join is an equi-join on cells with the exact distance after it. Longitude cells are as wide as a degree needs at the
-    centre's latitude.
+    Both sides are dealt to a grid whose cells are as high and wide as the radius in degrees; a centre looks at the cells that
+    its circle may touch, around the globe at 180 degrees and over the poles, so the join is an equi-join on cells with
+    the exact distance after it.
     """
+    if categories:
+        places = places.where(F.trim("category").isin(*categories))
     step = radius_m / 111_000.0
-    cell = lambda c: F.floor(c / step)
-    width = F.greatest(F.cos(F.radians(F.least(F.abs("clat") + step, F.lit(89.0)))), F.lit(0.01))
-    c = centres.withColumn("_dx", F.ceil(1 / width)).select("cid", "clat", "clng", F.explode(F.sequence(cell(F.col("clat")) - 1, cell(F.col("clat")) + 1)).alias("_y"), "_dx")
-    c = c.select("cid", "clat", "clng", "_y", F.explode(F.sequence(cell(F.col("clng")) - F.col("_dx"), cell(F.col("clng")) + F.col("_dx"))).alias("_x"))
-    p = places.where(F.col("lat").isNotNull() & F.col("lng").isNotNull()).select("ord", "lat", "lng", cell(F.col("lat")).alias("_y"), cell(F.col("lng")).alias("_x"))
-    km = geo.haversine_km(F.col("clat"), F.col("clng"), F.col("lat"), F.col("lng"))
-    near = p.join(c, ["_y", "_x"]).withColumn("distance_m", geo.metres(km)).where(F.col("distance_m") <= radius_m)
-    w = Window.partitionBy("cid").orderBy("distance_m", "ord")
-    return near.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= max(1, limit)).select("cid", "ord", "distance_m")
+    around = max(1, int(360 / step))  # cells of a whole circle of latitude
+    angle = radius_m / (1000 * geo.EARTH_KM)
+    x = lambda lng: F.floor((lng + 180) * around / 360)
+    polar = F.abs(F.radians("clat")) + angle >= math.pi / 2
+    reach = F.when(polar, 180.0).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), math.sin(angle) / F.cos(F.radians("clat"))))) + 1e-6)
+    rows = F.sequence(F.floor(F.col("clat") / step) - 1, F.floor(F.col("clat") / step) + 1)
+    cells = F.array_distinct(F.transform(F.sequence(x(F.col("clng") - reach), x(F.col("clng") + reach)), lambda c: F.pmod(c, F.lit(around))))
+    c = centres.select("cid", "clat", "clng", F.explode(rows).alias("_y"), cells.alias("_c")).select("cid", "clat", "clng", "_y", F.explode("_c").alias("_x"))
+    p = places.where(F.col("lat").isNotNull() & F.col("lng").isNotNull()).select("ord", "lat", "lng", F.floor(F.col("lat") / step).alias("_y"), F.pmod(x(F.col("lng")), F.lit(around)).alias("_x"))
+    near = p.join(c, ["_y", "_x"]).withColumn("_km", geo.haversine_km(F.col("clat"), F.col("clng"), F.col("lat"), F.col("lng"))).where(F.col("_km") * 1000 <= radius_m)
+    ranked = best_of(near.select("cid", "ord", geo.metres(F.col("_km")).alias("distance_m")), F.col("distance_m"), F.col("ord"), limit=max(1, limit), per="cid")
+    return ranked.select("cid", "ord", "distance_m")

@@ -5,59 +5,110 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fernglass.functions import records
 from fernglass.functions import text as T
+from fernglass.operators.search import best_of
 
 
-def chunk(docs: DataFrame, *, part: str, doc: str, text: str, size: int = 700, overlap: int = 150) -> DataFrame:
-    """part, doc, chunk_index, text and offsets: the windows of each document."""
-    return docs.select(F.col(part).alias("part"), F.col(doc).alias("doc"), F.explode(T.windows(F.col(text), size, overlap)).alias("w")).select("part", "doc", "w.*")
+def chunk(docs: DataFrame, *, part: str, doc: str, text: str, size: int = 700, overlap: int = 150, lines: bool = True) -> DataFrame:
+    """part, doc, chunk_index, text and offsets: the windows of each document; line numbers only if asked for."""
+    return docs.select(F.col(part).alias("part"), F.col(doc).alias("doc"), F.explode(T.windows(F.col(text), size, overlap, lines)).alias("w")).select("part", "doc", "w.*")
 
 
-def postings(chunks: DataFrame, tokens) -> DataFrame:
-    """part, doc, chunk_index, term, tf: `tokens` makes an array of terms of a text. One row per distinct term of a window."""
-    terms = chunks.select("part", "doc", "chunk_index", F.explode(tokens(F.col("text"))).alias("term"))
+def postings(docs: DataFrame, tokens, *, part: str, doc: str, text: str, size: int = 700, overlap: int = 150) -> DataFrame:
+    """part, doc, chunk_index, term, tf of each distinct term of each window, and a row with a null term for each window:
+    `tokens` makes an array of terms of a text. Documents, not terms, are dealt out: terms are counted where their text is."""
+    windows = chunk(docs.select(part, doc, text).repartition(doc), part=part, doc=doc, text=text, size=size, overlap=overlap, lines=False)
+    terms = windows.select("part", "doc", "chunk_index", F.explode(F.concat(tokens(F.col("text")), F.expr("array(cast(null as string))"))).alias("term"))
     return terms.groupBy("part", "doc", "chunk_index", "term").agg(F.count("*").alias("tf"))
 
 
-def idf(posts: DataFrame, chunks: DataFrame) -> DataFrame:
+def idf(posts: DataFrame) -> DataFrame:
     """part, term, df, idf = ln((windows + 1) / (df + 1)) + 1."""
-    n = chunks.groupBy("part").agg(F.count("*").alias("n"))
-    return posts.groupBy("part", "term").agg(F.count("*").alias("df")).join(n, "part").select("part", "term", "df", (F.ln((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+    counted = posts.groupBy("part", "term").agg(F.count("*").alias("df"))
+    n = counted.where("term is null").select("part", F.col("df").alias("n"))
+    return counted.where("term is not null").join(n, "part").select("part", "term", "df", (F.ln((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
 
 
 def tfidf_search(posts: DataFrame, weights: DataFrame, queries: DataFrame, tokens, *, k: int = 10) -> DataFrame:
     """qid, doc, chunk_index, score: cosine of TF-IDF vectors inside the query's part, the k best; ties by place.
 
-    Norms need all terms of a window, so they are one aggregate; only postings of query terms are joined after it.
-    """
-    weighted = posts.join(weights.select("part", "term", "idf"), ["part", "term"]).withColumn("v", F.col("tf") * F.col("idf"))
-    norms = weighted.groupBy("part", "doc", "chunk_index").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
+    Windows that hold a query term are found first; only for them are norms computed, which need all their terms. posts
+    and weights are read several times: hand in tables that are written."""
+    posts = posts.where("term is not null")
     q = queries.select("qid", "part", F.explode(tokens(F.col("query"))).alias("term")).groupBy("qid", "part", "term").agg(F.count("*").alias("qtf"))
-    q = q.join(weights.select("part", "term", "idf"), ["part", "term"]).select("qid", "part", "term", (F.col("qtf") * F.col("idf")).alias("qv"))
+    q = q.join(weights, ["part", "term"]).select("qid", "part", "term", "idf", (F.col("qtf") * F.col("idf")).alias("qv"))
     qn = q.groupBy("qid").agg(F.sqrt(F.sum(F.col("qv") * F.col("qv"))).alias("qnorm"))
-    dots = weighted.join(q, ["part", "term"]).groupBy("qid", "part", "doc", "chunk_index").agg(F.sum(F.col("v") * F.col("qv")).alias("dot"))
+    dots = posts.join(q, ["part", "term"]).groupBy("qid", "part", "doc", "chunk_index").agg(F.sum(F.col("tf") * F.col("idf") * F.col("qv")).alias("dot"))
+    held = posts.join(dots.select("part", "doc", "chunk_index").distinct(), ["part", "doc", "chunk_index"], "left_semi")
+    v = F.col("tf") * F.col("idf")
+    norms = held.join(weights.select("part", "term", "idf"), ["part", "term"]).groupBy("part", "doc", "chunk_index").agg(F.sqrt(F.sum(v * v)).alias("norm"))
     scored = dots.join(norms, ["part", "doc", "chunk_index"]).join(qn, "qid").select("qid", "doc", "chunk_index", F.round(F.col("dot") / (F.col("norm") * F.col("qnorm")), 9).alias("score"))
-    w = Window.partitionBy("qid").orderBy(F.desc("score"), "doc", "chunk_index")
-    return scored.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r")
+    return best_of(scored, F.desc("score"), F.col("doc"), F.col("chunk_index"), limit=k).drop("_r")
+
+
+#: Vectors of a block.
+BLOCK = 1024
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """ids, block: rows (id, vector) as blocks of unit vectors, packed as bytes; a zero vector stays."""
+
+    def pack(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            for i in range(0, b.num_rows, BLOCK):
+                part = b.slice(i, BLOCK)
+                v = np.stack([np.asarray(x, float) for x in part.column(1).to_pylist()])
+                norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
+                v /= np.where(norm > 0, norm, 1.0)
+                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([v.tobytes()], pa.binary())], ["ids", "block"])
+
+    return rows.mapInArrow(pack, "ids array<long>, block binary")
 
 
 def dense_search(vectors: DataFrame, queries: DataFrame, *, key: str, vector: str, k: int = 24) -> DataFrame:
-    """qid, key, score: the k nearest vectors of each query vector by cosine; ties by key. Queries are the small side."""
-    v = vectors.select(F.col(key).alias("key"), records.unit(F.col(vector)).alias("v"))
-    q = queries.select("qid", records.unit(F.col(vector)).alias("q"))
-    scored = v.crossJoin(q).select("qid", "key", F.round(records.dot(F.col("v"), F.col("q")), 9).alias("score"))
-    w = Window.partitionBy("qid").orderBy(F.desc("score"), "key")
-    return scored.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r")
+    """qid, key, score: the k nearest vectors of each query vector (qid, vector) by cosine; ties by key. Rows without a vector
+    are left out.
+
+    Every query is to be held against every vector, so both travel as blocks and a task multiplies matrices; it keeps k
+    rows for each of its queries, and only those are shuffled."""
+    v = _blocks(vectors.where(F.col(vector).isNotNull()).select(F.col(key).cast("long"), vector))
+    q = _blocks(queries.where(F.col(vector).isNotNull()).select(F.col("qid").cast("long"), vector)).select(F.col("ids").alias("qids"), F.col("block").alias("queries"))
+
+    def nearest(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        best: dict[int, tuple] = {}  # of a task: k rows for each query it has seen
+        for b in batches:
+            for ids, block, qids, asked in zip(*(b.column(i).to_pylist() for i in range(4))):
+                ids = np.array(ids)
+                block = np.frombuffer(block).reshape(len(ids), -1)
+                asked = np.frombuffer(asked).reshape(len(qids), -1)
+                scores = np.round(asked @ block.T, 9)
+                for qid, s in zip(qids, scores):
+                    names, s = (ids, s) if qid not in best else (np.append(best[qid][0], ids), np.append(best[qid][1], s))
+                    if len(s) > k:
+                        some = np.flatnonzero(s >= np.partition(s, -k)[-k])
+                        names, s = names[some], s[some]
+                    order = np.lexsort((names, -s))[:k]
+                    best[qid] = names[order], s[order]
+        for qid, (names, s) in best.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names), qid)), pa.array(names), pa.array(s)], ["qid", "key", "score"])
+
+    scored = v.crossJoin(q).mapInArrow(nearest, "qid long, key long, score double")
+    return best_of(scored, F.desc("score"), F.col("key"), limit=k).drop("_r")
 
 
 def fuse(lists: DataFrame, *, k: int = 60, top: int = 12) -> DataFrame:
-    """qid, key, score of ranked lists (qid, list, key, score): the sum of 1/(k + rank) over lists; the best `top`."""
+    """qid, key, score of ranked lists (qid, list, key, score), each the best of its kind: the sum of 1/(k + rank) over lists;
+    the best `top`."""
     w = Window.partitionBy("qid", "list").orderBy(F.desc("score"), "key")
     ranked = lists.withColumn("rank", F.row_number().over(w))
     fused = ranked.groupBy("qid", "key").agg(F.round(F.sum(1 / (k + F.col("rank"))), 9).alias("score"))
-    best = Window.partitionBy("qid").orderBy(F.desc("score"), "key")
-    return fused.withColumn("r", F.row_number().over(best)).where(F.col("r") <= top).drop("r")
+    return best_of(fused, F.desc("score"), F.col("key"), limit=top).drop("_r")
 
 
 def diversify(candidates: DataFrame, *, weight: float = 0.4, picks: int = 8) -> DataFrame:
@@ -88,11 +139,11 @@ def diversify(candidates: DataFrame, *, weight: float = 0.4, picks: int = 8) ->
 
 
 def confidence(selected: DataFrame) -> DataFrame:
-    """qid, confidence of (qid, file, score): half from the number of files, up to 4, half from the mean of the four best
-    scores, negative ones as 0."""
-    best = selected.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "file")))
-    per = best.groupBy("qid").agg(F.count_distinct("file").alias("files"), F.avg(F.when(F.col("r") <= 4, F.greatest(F.lit(0.0), "score"))).alias("mean"))
-    return per.select("qid", F.round(0.5 * F.least(F.lit(1.0), F.col("files") / 4) + 0.5 * F.least(F.lit(1.0), F.col("mean")), 9).alias("confidence"))
+    """qid, confidence of (qid, file, score, key): of the four best rows (ties by key), half the share that their distinct files
+    have of their number, and half the mean of their scores, negative ones as 0; at most 1."""
+    best = best_of(selected, F.desc("score"), F.col("key"), limit=4)
+    per = best.groupBy("qid").agg((F.count_distinct("file") / F.count("*")).alias("coverage"), F.avg(F.greatest(F.lit(0.0), "score")).alias("mean"))
+    return per.select("qid", F.round(0.5 * F.col("coverage") + 0.5 * F.least(F.lit(1.0), F.col("mean")), 9).alias("confidence"))
 
 
 def weak(selected: DataFrame, *, least: int = 2, below: float = 0.42) -> DataFrame:
@@ -102,13 +153,13 @@ def weak(selected: DataFrame, *, least: int = 2, below: float = 0.42) -> DataFra
 
 
 def in_scope(candidates: DataFrame, *, text: str, keywords: str, style: str) -> DataFrame:
-    """Candidates (qid, score, ...) that contain a scope keyword, or all of a query's if none does; 4 for brief style, 8 for
-    detailed, else 6."""
-    hit = F.exists(keywords, lambda k: F.lower(F.col(text)).contains(F.lower(k))).cast("int")
-    w = Window.partitionBy("qid")
-    kept = candidates.withColumn("_h", F.coalesce(hit, F.lit(0))).withColumn("_any", F.max("_h").over(w)).where("_h = 1 or _any = 0")
-    cap = F.when(F.col(style) == "brief", 4).when(F.col(style) == "detailed", 8).otherwise(6)
-    return kept.withColumn("_r", F.row_number().over(w.orderBy(F.desc("score"), "key"))).where(F.col("_r") <= cap).drop("_h", "_any", "_r")
+    """qid, key of candidates (qid, key, score, ...) that contain a scope keyword, or of all of a query's if none does; 4 for
+    brief style, 8 for detailed, else 6. Hits come first, so the eight best tell whether there are any; texts don't move."""
+    hit = F.coalesce(F.exists(keywords, lambda k: F.lower(F.col(text)).contains(F.lower(k))), F.lit(False))
+    rows = candidates.select("qid", "key", "score", hit.alias("_h"), F.col(style).alias("_s"))
+    best = best_of(rows, F.desc("_h"), F.desc("score"), F.col("key"), limit=8).withColumn("_any", F.bool_or("_h").over(Window.partitionBy("qid")))
+    cap = F.when(F.col("_s") == "brief", 4).when(F.col("_s") == "detailed", 8).otherwise(6)
+    return best.where((F.col("_h") | ~F.col("_any")) & (F.col("_r") <= cap)).select("qid", "key")
 
 
 def labelled_context(selected: DataFrame) -> DataFrame:
@@ -137,20 +188,21 @@ def unknown_labels(segments: DataFrame, references: DataFrame, *, key: str) -> D
 
 
 def extractive_summary(docs: DataFrame, keywords: list[str], *, key: str, text: str, sentences: int = 2, limit: int = 800) -> DataFrame:
-    """key, summary: a text's first sentences with keywords (each keyword counts its length, 2 at least), in order; without one
-    the best by score; at most `limit` characters. Without keywords a sentence's score is its length over 40, 1 at least."""
-    score = F.lit(0.0)
-    for k in keywords:
-        score = score + F.when(F.lower("s").contains(k.lower()), float(max(len(k), 2))).otherwise(0.0)
-    if not keywords:
-        score = F.greatest(F.lit(1.0), F.length("s") / 40)
-    rows = docs.select(key, F.posexplode(T.sentences(F.col(text))).alias("p", "s")).withColumn("score", score)
-    w = Window.partitionBy(key)
-    rows = rows.withColumn("_any", F.max((F.col("score") > 0).cast("int")).over(w))
-    rows = rows.withColumn("_r", F.row_number().over(w.orderBy(F.desc((F.col("score") > 0).cast("int")), F.when(F.col("_any") == 0, -F.length("s")), "p")))
-    kept = rows.where(F.col("_r") <= F.when(F.col("_any") == 1, sentences).otherwise(1)).where("score > 0 or _any = 0")
-    joined = kept.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "s"))), lambda x: x["s"]), " ").alias("summary"))
-    return joined.withColumn("summary", F.substr("summary", F.lit(1), F.lit(limit)))
+    """key, summary: a text's first `sentences` that hold a keyword, in order; at most `limit` characters.
+
+    A sentence's score is the sum of its keywords' lengths, 2 at least each, case counting; without keywords its length in
+    forties, 1 at least. Where no score is above 0, the sentences of the best score, the shortest first, then the first.
+    """
+    own = lambda s: sum((F.when(s.contains(k), max(len(k), 2)).otherwise(0) for k in keywords), F.lit(0)) if keywords else F.greatest(F.lit(1), F.floor(F.length(s) / 40).cast("int"))
+    cut = F.split(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "[\r\n]", " "), "(?<=[。！？!?])")
+    rated = F.transform(F.filter(F.transform(cut, lambda s: T.strip(s)), lambda s: s != ""), lambda s, i: F.struct(own(s).alias("score"), i.alias("p"), s.alias("s")))
+    rows = docs.select(key, rated.alias("all"))
+    good = F.slice(F.filter("all", lambda x: x["score"] > 0), 1, sentences)
+    others = F.transform("all", lambda x: F.struct((-x["score"]).alias("w"), F.length(x["s"]).alias("n"), x["p"].alias("p"), x["s"].alias("s")))
+    first = F.slice(F.array_sort(others), 1, max(1, sentences))
+    plain = lambda a: F.transform(a, lambda x: F.struct(x["p"].alias("p"), x["s"].alias("s")))
+    chosen = F.array_sort(F.when(F.size(good) > 0, plain(good)).otherwise(plain(first)))
+    return rows.where(F.size("all") > 0).select(key, F.substr(F.array_join(F.transform(chosen, lambda x: x["s"]), "\n"), F.lit(1), F.lit(limit)).alias("summary"))
 
 
 def model_tier(score: Column, pieces: Column, reprompts: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from fernglass.functions import text as T
 from fernglass.operators import analytics as A
 from fernglass.plans.views import ENTRIES, LOG, entries, log
-from fernglass.session import table
+from fernglass.session import numbered, table
 
 _us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
 
@@ -88,9 +88,10 @@ def ranked_tags(spark, d):
 
 
 def locale_sort(spark, d):
-    from pyspark.sql import Window
-
-    return entries(spark, d).select("title").distinct().withColumn("place", F.row_number().over(Window.orderBy("title")).cast("long"))
+    """Titles, some with a capital or with kana before them, by the collation of Japanese."""
+    kana = F.when(F.col("ord") % 5 == 0, F.concat(F.lit("い"), "title")).when(F.col("ord") % 5 == 1, F.concat(F.lit("ア"), "title")).when(F.col("ord") % 5 == 2, F.initcap("title")).otherwise(F.col("title"))
+    t = entries(spark, d).select(kana.alias("title")).distinct()
+    return numbered(t, F.collate("title", "ja"), F.col("title"), name="place").select("title", F.col("place").cast("long").alias("place"))
 
 
 QUERIES = {f.__name__: f for f in (unhit_frequency, log_filter, log_page_filter, log_group_by_question, report_totals, recent_logs, hit_miss_daily, top_tags, facets, dashboard_counts, discriminative_tags, discriminative_tags_all, keyword_argmax, status_roll_up, interval_overlap_week, estimated_bytes, retention_newest_n, ranked_tags, locale_sort)}
@@ -121,5 +122,6 @@ ORACLE_SQL = {
     "estimated_bytes": "SELECT CAST(sum(strlen(text)) AS BIGINT) AS bytes, CAST(ceil(sum(strlen(text)) * 1.08::DOUBLE) AS BIGINT) AS needed FROM documents",
     "retention_newest_n": "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) <= 3",
     "ranked_tags": f"WITH {ENTRIES}, t AS (SELECT unnest(tags) AS tag FROM e) SELECT tag, CAST(CASE tag WHEN 'PROMO' THEN 100 WHEN 'SMALL' THEN 99 ELSE 0 END AS BIGINT) AS weight FROM t GROUP BY tag",
-    "locale_sort": "SELECT p_name AS title, row_number() OVER (ORDER BY p_name) AS place FROM (SELECT DISTINCT p_name FROM part)",
+    "locale_sort": """WITH t AS (SELECT DISTINCT CASE p_partkey % 5 WHEN 0 THEN 'い' || p_name WHEN 1 THEN 'ア' || p_name WHEN 2 THEN array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ' ') ELSE p_name END AS title FROM part)
+        SELECT title, row_number() OVER (ORDER BY CASE WHEN starts_with(title, 'ア') THEN 1 WHEN starts_with(title, 'い') THEN 2 ELSE 0 END, lower(title), CASE WHEN title = lower(title) THEN 0 ELSE 1 END) AS place FROM t""",
 }

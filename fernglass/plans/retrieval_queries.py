@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from fernglass.functions import text as T
 from fernglass.operators import retrieval as R
-from fernglass.plans.views import queries
-from fernglass.session import table
+from fernglass.session import table, written
 
 _tokens = lambda c: T.word_tokens(c)
 
@@ -16,26 +15,26 @@ def _chunks(spark, d):
     return R.chunk(table(spark, d, "documents"), part="lang", doc="doc_id", text="text")
 
 
+def _postings(spark, d):
+    """Terms of all windows, written: several steps read them."""
+    return written(R.postings(table(spark, d, "documents"), _tokens, part="lang", doc="doc_id", text="text"), "postings")
+
+
 def tfidf_df_idf(spark, d):
-    c = _chunks(spark, d)
-    w = R.idf(R.postings(c, _tokens), c)
+    w = R.idf(R.postings(table(spark, d, "documents"), _tokens, part="lang", doc="doc_id", text="text"))
     return w.select("part", "term", "df", F.round("idf", 6).alias("idf"))
 
 
 def tfidf_topk(spark, d):
-    c = _chunks(spark, d)
-    p = R.postings(c, _tokens)
+    p = _postings(spark, d)
     q = spark.createDataFrame([(1, "en", "the thing of that"), (2, "fr", "que pour la pour"), (3, "de", "und nowhereword")], "qid long, part string, query string")
-    return R.tfidf_search(p, R.idf(p, c), q, _tokens, k=5).select("qid", "doc", F.col("chunk_index").cast("long").alias("chunk_index"), F.round("score", 6).alias("score"))
-
-
-#: The queries of the _whole forms, which rank all rows for each; those that have SQL keep the few rows that it names.
-_ASKED = "vec_id % 20 = 0"
+    return R.tfidf_search(p, written(R.idf(p), "idf"), q, _tokens, k=5).select("qid", "doc", F.col("chunk_index").cast("long").alias("chunk_index"), F.round("score", 6).alias("score"))
 
 
-def _near(spark, d, k=24, asked="vec_id < 3"):
+def _near(spark, d, k=24):
+    """The vectors nearest to every twentieth one, among all."""
     v = table(spark, d, "embeddings")
-    q = v.where(asked).select(F.col("vec_id").alias("qid"), "embedding")
+    q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), "embedding")
     return R.dense_search(v, q, key="vec_id", vector="embedding", k=k)
 
 
@@ -44,10 +43,12 @@ def dense_topk(spark, d):
 
 
 def rrf_fusion(spark, d):
+    """The nearest vectors of each query fused with the first 24 by label, a list that all queries share."""
     v = table(spark, d, "embeddings")
-    one = _near(spark, d).select("qid", F.lit("dense").alias("list"), "key", "score")
-    two = spark.range(3).withColumnRenamed("id", "qid").join(v.select(F.col("vec_id").alias("key"), F.col("label").cast("double").alias("score")).where("vec_id % 7 = 0"))
-    return R.fuse(one.unionByName(two.select("qid", F.lit("label").alias("list"), "key", "score"))).select("qid", "key", F.round("score", 6).alias("score"))
+    near = _near(spark, d)
+    listed = v.select(F.col("vec_id").alias("key"), F.col("label").cast("double").alias("score")).orderBy(F.desc("score"), "key").limit(24)
+    two = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid")).crossJoin(F.broadcast(listed)).select("qid", F.lit("label").alias("list"), "key", "score")
+    return R.fuse(near.select("qid", F.lit("dense").alias("list"), "key", "score").unionByName(two)).select("qid", "key", F.round("score", 6).alias("score"))
 
 
 def mmr_select(spark, d):
@@ -56,46 +57,18 @@ def mmr_select(spark, d):
     return R.diversify(c)
 
 
-def confidence(spark, d):
-    v = table(spark, d, "embeddings")
-    s = _near(spark, d, 8).join(v, F.col("key") == F.col("vec_id")).select("qid", F.col("label").alias("file"), "score")
-    return R.confidence(s).select("qid", F.round("confidence", 5).alias("confidence"))
-
-
-def retry_weak(spark, d):
-    v = table(spark, d, "embeddings")
-    s = _near(spark, d, 8).where("key % 5 = 0").join(v, F.col("key") == F.col("vec_id")).select("qid", F.col("label").alias("file"), "score")
-    return R.weak(s)
-
-
-def dense_topk_whole(spark, d):
-    return _near(spark, d, asked=_ASKED).select("qid", "key", F.round("score", 5).alias("score"))
-
-
-def rrf_fusion_whole(spark, d):
-    v = table(spark, d, "embeddings")
-    one = _near(spark, d, asked=_ASKED).select("qid", F.lit("dense").alias("list"), "key", "score")
-    two = v.where(_ASKED).select(F.col("vec_id").alias("qid")).crossJoin(v.select(F.lit("label").alias("list"), F.col("vec_id").alias("key"), F.col("label").cast("double").alias("score")))
-    return R.fuse(one.unionByName(two)).select("qid", "key", F.round("score", 6).alias("score"))
-
-
-def mmr_select_whole(spark, d):
-    v = table(spark, d, "embeddings")
-    c = _near(spark, d, 12, _ASKED).join(v, F.col("key") == F.col("vec_id")).select("qid", "key", F.col("score").alias("rel"), F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
-    return R.diversify(c)
-
-
 def _near_files(spark, d):
-    v = table(spark, d, "embeddings")
-    return _near(spark, d, 8, _ASKED).join(v, F.col("key") == F.col("vec_id")).select("qid", F.col("label").alias("file"), "score")
+    v = table(spark, d, "embeddings").select("vec_id", F.col("label").alias("file"))
+    return _near(spark, d, 8).join(v, F.col("key") == F.col("vec_id")).select("qid", "file", "score", "key")
 
 
-def confidence_whole(spark, d):
+def confidence(spark, d):
     return R.confidence(_near_files(spark, d)).select("qid", F.round("confidence", 5).alias("confidence"))
 
 
-def retry_weak_whole(spark, d):
-    return R.weak(_near_files(spark, d))
+def retry_weak(spark, d):
+    """Queries whose own vector is the only pick of a likeness above a half, and whose confidence is low."""
+    return R.weak(_near_files(spark, d).where("score > 0.5"), least=2, below=0.9999)
 
 
 def scope_filter(spark, d):
@@ -105,20 +78,13 @@ def scope_filter(spark, d):
 
 
 def context_labels(spark, d):
-    c = _chunks(spark, d).where("chunk_index < 2").withColumn("pick", F.col("chunk_index") + 1)
-    s = c.select(F.col("doc").alias("qid"), "pick", F.col("doc").alias("file"), "line_start", "line_end", "text")
-    return R.labelled_context(s).select("qid", F.md5("context").alias("md5"))
-
-
-def context_labels_whole(spark, d):
     s = _chunks(spark, d).select(F.col("doc").alias("qid"), (F.col("chunk_index") + 1).alias("pick"), F.col("doc").alias("file"), "line_start", "line_end", "text")
     return R.labelled_context(s).select("qid", F.md5("context").alias("md5"))
 
 
-def _answers(spark, d, whole=False):
+def _answers(spark, d):
     b = table(spark, d, "benchmark")
-    text = F.col("text") if whole else F.substr("text", F.lit(1), F.lit(5))
-    return b.select("item_id", F.concat(F.lit("first part [[1]] "), text, F.lit(" [[2]] and then more of it [[1]] nothing [["), (F.col("item_id") % 5).cast("string"), F.lit("]]")).alias("answer"))
+    return b.select("item_id", F.concat(F.lit("first part [[1]] "), "text", F.lit(" [[2]] and then more of it [[1]] nothing [["), (F.col("item_id") % 5).cast("string"), F.lit("]]")).alias("answer"))
 
 
 def _refs(spark, d):
@@ -126,8 +92,8 @@ def _refs(spark, d):
     return b.select("item_id", "label", (F.col("label") % 2).cast("long").alias("doc"), (F.col("label") / 10).cast("double").alias("score"))
 
 
-def citation_aggregate(spark, d, whole=False):
-    s = R.cited_segments(_answers(spark, d, whole), key="item_id", answer="answer")
+def citation_aggregate(spark, d):
+    s = R.cited_segments(_answers(spark, d), key="item_id", answer="answer")
     return R.citations(s, _refs(spark, d), key="item_id", least_chars=8, least_score=0.6).select("item_id", "doc", F.array_join(F.transform("labels", lambda x: x.cast("string")), ",").alias("labels"), "chars", F.round("score", 6).alias("score"))
 
 
@@ -135,10 +101,6 @@ def unknown_labels(spark, d):
     return R.unknown_labels(R.cited_segments(_answers(spark, d), key="item_id", answer="answer"), _refs(spark, d), key="item_id").select("item_id", F.col("label").cast("long").alias("label"))
 
 
-def citation_aggregate_whole(spark, d):
-    return citation_aggregate(spark, d, True)
-
-
 def semi_cited(spark, d):
     cited = table(spark, d, "labels").where("quality = 1 and toxic = 0")
     return table(spark, d, "documents").join(cited, "doc_id", "left_semi").groupBy("lang").agg(F.count("*").alias("n"))
@@ -146,7 +108,7 @@ def semi_cited(spark, d):
 
 def extractive_summary(spark, d):
     docs = table(spark, d, "benchmark").withColumn("t", F.regexp_replace("text", r"\. ?", "! "))
-    return R.extractive_summary(docs, ["the", "that"], key="item_id", text="t").select("item_id", F.length("summary").cast("long").alias("chars"), F.md5("summary").alias("md5"))
+    return R.extractive_summary(docs, ["The", "that"], key="item_id", text="t").select("item_id", F.length("summary").cast("long").alias("chars"), F.md5("summary").alias("md5"))
 
 
 def model_tier(spark, d):
@@ -155,19 +117,22 @@ def model_tier(spark, d):
 
 
 def file_changes(spark, d):
-    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("path"), F.col("o_orderdate").alias("mtime"))
-    return R.file_changes(o.where("path % 5 <> 0"), o.where("path % 7 <> 0").withColumn("mtime", F.when(F.col("path") % 11 == 0, F.col("mtime") + F.expr("interval 1 day")).otherwise(F.col("mtime"))))
+    """Orders by their date beside what lineitem knows of them, by its latest shipment."""
+    old = table(spark, d, "orders").select(F.col("o_orderkey").alias("path"), F.col("o_orderdate").alias("mtime"))
+    new = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("path")).agg(F.max("l_shipdate").alias("mtime"))
+    return R.file_changes(old, new)
 
 
-QUERIES = {f.__name__: f for f in (tfidf_df_idf, tfidf_topk, dense_topk, rrf_fusion, mmr_select, confidence, retry_weak, dense_topk_whole, rrf_fusion_whole, mmr_select_whole, confidence_whole, retry_weak_whole, scope_filter, context_labels, context_labels_whole, citation_aggregate, citation_aggregate_whole, unknown_labels, semi_cited, extractive_summary, model_tier, file_changes)}
+QUERIES = {f.__name__: f for f in (tfidf_df_idf, tfidf_topk, dense_topk, rrf_fusion, mmr_select, confidence, retry_weak, scope_filter, context_labels, citation_aggregate, unknown_labels, semi_cited, extractive_summary, model_tier, file_changes)}
 
 _CHUNKS = r"""w AS (SELECT lang, doc_id, text AS body, length(text) AS n, unnest(range(0, CASE WHEN length(text) <= 700 THEN 1 ELSE CAST(ceil((length(text) - 700) / 550) AS BIGINT) + 1 END)) AS i FROM documents),
   c0 AS (SELECT lang, doc_id, i, i * 550 AS cs, least(i * 550 + 700, n) AS ce, trim(regexp_replace(substr(body, i * 550 + 1, 700), '^\s+|\s+$', '', 'g')) AS t, body FROM w),
   c AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS ci, t, length(substr(body, 1, cs)) - length(replace(substr(body, 1, cs), chr(10), '')) + 1 AS ls, length(substr(body, 1, ce)) - length(replace(substr(body, 1, ce), chr(10), '')) + 1 AS le FROM c0 WHERE t <> ''),
   p AS (SELECT lang, doc_id, ci, term, count(*) AS tf FROM (SELECT lang, doc_id, ci, unnest(regexp_extract_all(lower(t), '[\pL\pN_]+')) AS term FROM c) GROUP BY ALL),
   n AS (SELECT lang, count(*) AS n FROM c GROUP BY lang), f AS (SELECT p.lang, term, count(*) AS df, ln((any_value(n.n) + 1)::DOUBLE / (count(*) + 1)) + 1 AS idf FROM p JOIN n ON n.lang = p.lang GROUP BY p.lang, term)"""
-_V = "v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS u FROM embeddings), s AS (SELECT q.vec_id AS qid, v.vec_id AS key, v.label, round(list_inner_product(v.u, q.u), 9) AS score FROM v, v q WHERE q.vec_id < 3), k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, key) AS r FROM s)"
-_SEG = "a AS (SELECT item_id, substr(text, 1, 5) AS x, item_id % 5 AS m FROM benchmark), g AS (SELECT item_id, 1 AS label, 'first part' AS seg FROM a UNION ALL SELECT item_id, 2, trim(x, ' ') FROM a UNION ALL SELECT item_id, 1, 'and then more of it' FROM a UNION ALL SELECT item_id, m, 'nothing' FROM a)"
+_V = "v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS u FROM embeddings), s AS (SELECT q.vec_id AS qid, v.vec_id AS key, v.label, round(list_inner_product(v.u, q.u), 9) AS score FROM v, v q WHERE q.vec_id % 20 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, key) AS r FROM s)"
+_SEG = "a AS (SELECT item_id, text AS x, item_id % 5 AS m FROM benchmark), g AS (SELECT item_id, 1 AS label, 'first part' AS seg FROM a UNION ALL SELECT item_id, 2, trim(x, ' ') FROM a UNION ALL SELECT item_id, 1, 'and then more of it' FROM a UNION ALL SELECT item_id, m, 'nothing' FROM a)"
+_CONF = "t AS (SELECT qid, label, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, key) AS r2 FROM k WHERE r <= 8{more}), f AS (SELECT qid, 0.5 * count(DISTINCT label) / count(*) + 0.5 * least(1.0, avg(greatest(0.0, score))) AS c FROM t WHERE r2 <= 4 GROUP BY qid)"
 
 ORACLE_SQL = {
     "tfidf_df_idf": f"WITH {_CHUNKS} SELECT lang AS part, term, df, round(idf, 6) AS idf FROM f",
@@ -177,22 +142,22 @@ ORACLE_SQL = {
         dt AS (SELECT qid, x.lang, doc_id, ci, sum(v * qv) AS dot FROM x JOIN q ON q.lang = x.lang AND q.term = x.term GROUP BY ALL)
         SELECT qid, doc, chunk_index, round(sc, 6) AS score FROM (SELECT dt.qid, dt.doc_id AS doc, dt.ci AS chunk_index, round(dot / (norm * qnorm), 9) AS sc FROM dt JOIN m ON m.doc_id = dt.doc_id AND m.ci = dt.ci JOIN qn ON qn.qid = dt.qid) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY sc DESC, doc, chunk_index) <= 5""",
     "dense_topk": f"WITH {_V} SELECT qid, key, round(score, 5) AS score FROM k WHERE r <= 24",
-    "rrf_fusion": f"""WITH {_V}, l AS (SELECT qid, key, r FROM k WHERE r <= 24 UNION ALL SELECT q.qid, vec_id, row_number() OVER (PARTITION BY q.qid ORDER BY label DESC, vec_id) FROM embeddings, (SELECT unnest(range(0, 3)) AS qid) q WHERE vec_id % 7 = 0),
+    "rrf_fusion": f"""WITH {_V}, b AS (SELECT vec_id, row_number() OVER (ORDER BY label DESC, vec_id) AS r FROM embeddings), l AS (SELECT qid, key, r FROM k WHERE r <= 24 UNION ALL SELECT q.vec_id, b.vec_id, r FROM b, embeddings q WHERE r <= 24 AND q.vec_id % 20 = 0),
         u AS (SELECT qid, key, round(sum(1.0::DOUBLE / (60 + r)), 9) AS score FROM l GROUP BY qid, key) SELECT qid, key, round(score, 6) AS score FROM u QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, key) <= 12""",
-    "confidence": f"WITH {_V}, t AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, label) AS r2 FROM k WHERE r <= 8) SELECT qid, round(0.5 * least(1.0, count(DISTINCT label) / 4) + 0.5 * least(1.0, avg(greatest(0.0, score)) FILTER (WHERE r2 <= 4)), 5) AS confidence FROM t GROUP BY qid",
-    "retry_weak": f"WITH {_V}, t AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, label) AS r2 FROM k WHERE r <= 8 AND key % 5 = 0) SELECT qid, count(*) < 2 AND 0.5 * least(1.0, count(DISTINCT label) / 4) + 0.5 * least(1.0, avg(greatest(0.0, score)) FILTER (WHERE r2 <= 4)) < 0.42 AS retry FROM t GROUP BY qid",
+    "confidence": f"WITH {_V}, {_CONF.format(more='')} SELECT qid, round(c, 5) AS confidence FROM f",
+    "retry_weak": f"WITH {_V}, {_CONF.format(more=' AND score > 0.5')}, n AS (SELECT qid, count(*) AS n FROM t GROUP BY qid) SELECT qid, n < 2 AND c < 0.9999 AS retry FROM f JOIN n USING (qid)",
     "scope_filter": """WITH e AS (SELECT doc_id % 20 AS qid, doc_id AS key, n_chars AS score, contains(lower(text), 'idiot') OR contains(lower(text), 'worthless') AS m FROM documents), g AS (SELECT * FROM e QUALIFY m OR NOT bool_or(m) OVER (PARTITION BY qid))
         SELECT qid, key FROM g QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, key) <= CASE qid % 3 WHEN 0 THEN 4 WHEN 1 THEN 6 ELSE 8 END""",
-    "context_labels": f"WITH {_CHUNKS} SELECT doc_id AS qid, md5(string_agg('[[' || (ci + 1) || ']] ' || doc_id || '/L' || ls || '-' || le || chr(10) || t, chr(10) || chr(10) ORDER BY ci)) AS md5 FROM c WHERE ci < 2 GROUP BY doc_id",
+    "context_labels": f"WITH {_CHUNKS} SELECT doc_id AS qid, md5(string_agg('[[' || (ci + 1) || ']] ' || doc_id || '/L' || ls || '-' || le || chr(10) || t, chr(10) || chr(10) ORDER BY ci)) AS md5 FROM c GROUP BY doc_id",
     "citation_aggregate": f"""WITH {_SEG}, j AS (SELECT item_id, label, label % 2 AS doc, length(seg) AS n, label / 10 AS score FROM g WHERE label BETWEEN 1 AND 3)
         SELECT item_id, doc, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, CAST(sum(n) AS BIGINT) AS chars, round(sum(score), 6) AS score FROM j GROUP BY item_id, doc HAVING sum(n) >= 8 OR sum(score) >= 0.6""",
     "unknown_labels": f"WITH {_SEG} SELECT DISTINCT item_id, label FROM g WHERE label NOT BETWEEN 1 AND 3",
     "semi_cited": "SELECT lang, count(*) AS n FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND toxic = 0) GROUP BY lang",
-    "extractive_summary": r"""WITH b AS (SELECT item_id, string_split(regexp_replace(regexp_replace(text, '\. ?', '! ', 'g'), '([。．！？!?])', '\1' || chr(1), 'g'), chr(1)) AS ss FROM benchmark),
-        s0 AS (SELECT item_id, unnest(ss) AS raw, generate_subscripts(ss, 1) AS p FROM b), s AS (SELECT item_id, p, trim(raw, ' ') AS s FROM s0 WHERE trim(raw, ' ') <> ''),
-        k AS (SELECT *, CASE WHEN contains(lower(s), 'the') THEN 3 ELSE 0 END + CASE WHEN contains(lower(s), 'that') THEN 4 ELSE 0 END AS score FROM s), m AS (SELECT *, max(score) OVER (PARTITION BY item_id) > 0 AS anyk FROM k),
-        r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY (score > 0) DESC, CASE WHEN NOT anyk THEN -length(s) END, p) AS r FROM m), j AS (SELECT item_id, substr(string_agg(s, ' ' ORDER BY p), 1, 800) AS summary FROM r WHERE r <= CASE WHEN anyk THEN 2 ELSE 1 END AND (score > 0 OR NOT anyk) GROUP BY item_id)
+    "extractive_summary": r"""WITH b AS (SELECT item_id, string_split(regexp_replace(regexp_replace(regexp_replace(text, '\. ?', '! ', 'g'), '[\r\n]', ' ', 'g'), '([。！？!?])', '\1' || chr(1), 'g'), chr(1)) AS ss FROM benchmark),
+        s0 AS (SELECT item_id, unnest(ss) AS raw, generate_subscripts(ss, 1) AS p FROM b), s AS (SELECT item_id, p, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS s FROM s0 WHERE regexp_replace(raw, '^\s+|\s+$', '', 'g') <> ''),
+        k AS (SELECT *, CASE WHEN contains(s, 'The') THEN 3 ELSE 0 END + CASE WHEN contains(s, 'that') THEN 4 ELSE 0 END AS score FROM s), m AS (SELECT *, max(score) OVER (PARTITION BY item_id) > 0 AS anyk FROM k),
+        r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY CASE WHEN anyk THEN CAST(score > 0 AS INT) ELSE score END DESC, CASE WHEN NOT anyk THEN length(s) END, p) AS r FROM m), j AS (SELECT item_id, substr(string_agg(s, chr(10) ORDER BY p), 1, 800) AS summary FROM r WHERE r <= 2 AND (score > 0 OR NOT anyk) GROUP BY item_id)
         SELECT item_id, length(summary) AS chars, md5(summary) AS md5 FROM j""",
     "model_tier": "SELECT event_id, CASE WHEN value / 100 < 0.75 OR user_id % 8 >= 6 OR event_id % 4 >= 2 THEN 'large' ELSE 'small' END AS tier FROM events",
-    "file_changes": "SELECT o_orderkey AS path, CASE WHEN o_orderkey % 5 = 0 THEN 'added' WHEN o_orderkey % 7 = 0 THEN 'removed' ELSE 'changed' END AS change FROM orders WHERE (o_orderkey % 5 = 0 AND o_orderkey % 7 <> 0) OR (o_orderkey % 5 <> 0 AND o_orderkey % 7 = 0) OR (o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0 AND o_orderkey % 11 = 0)",
+    "file_changes": "WITH n AS (SELECT l_orderkey, max(l_shipdate) AS m FROM lineitem GROUP BY 1), b AS (SELECT coalesce(o_orderkey, l_orderkey) AS path, CASE WHEN o_orderkey IS NULL THEN 'added' WHEN l_orderkey IS NULL THEN 'removed' WHEN m > o_orderdate THEN 'changed' END AS change FROM orders FULL JOIN n ON o_orderkey = l_orderkey) SELECT path, change FROM b WHERE change IS NOT NULL",
 }

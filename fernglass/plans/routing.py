@@ -6,9 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fernglass.functions import text as T
-
-# fixed values: words that decide an intent or a command, tested in this order
-INTENTS = {"weather": ["天気", "天候", "気温", "weather", "forecast"], "transport": ["運行", "フェリー", "船", "飛行機", "欠航", "ferry", "ship", "flight"], "map": ["地図", "マップ", "map"]}
+from fernglass.operators.matching import containing
+from fernglass.operators.search import fragment_overlap
+
+# fixed values: words that decide an intent, tested in this order; names that hold one of them are left out
+INTENTS = {
+    "weather": ["天気", "天候", "予報", "weather"],
+    "transport": ["運行", "運航", "運休", "欠航", "遅延", "見合わせ", "状況", "情報", "status", "船", "フェリー", "ジェットフォイル", "太古", "飛行機", "空港", "ana", "jal", "orc", "オリエンタルエアブリッジ"],
+    "viewpoint_map": ["展望所マップ", "展望マップ", "展望所の地図", "展望台マップ", "展望台の地図"],
+}
+# fixed values: patterns that decide the intent as well
+PATTERNS = {"viewpoint_map": [r"展望\s*(?:所|台)?\s*(?:マップ|地図)", r"viewpoints?\s*map"]}
+# fixed values: words of commands
 PAUSE, RESUME = ["停止", "ストップ", "中止", "stop", "pause"], ["再開", "解除", "スタート", "resume", "start"]
 STYLES = {"brief": ["簡単", "短く", "要点", "briefly", "short"], "detailed": ["詳しく", "詳細", "detail"]}
 
@@ -20,11 +29,14 @@ def _any(text: Column, words: list[str]) -> Column:
     return out
 
 
-def intent(text: Column, intents: dict[str, list[str]] = INTENTS) -> Column:
-    """The first intent of which a word occurs; null for none."""
+def intent(text: Column, intents: dict[str, list[str]] = INTENTS, patterns: dict[str, list[str]] = PATTERNS) -> Column:
+    """The first intent of which a word or pattern occurs; null for none."""
     low, out = T.title_key(text), None
     for name, words in intents.items():
-        out = F.when(_any(low, words), name) if out is None else out.when(_any(low, words), name)
+        met = _any(low, words)
+        for p in patterns.get(name, []):
+            met = met | low.rlike(p)
+        out = F.when(met, name) if out is None else out.when(met, name)
     return out
 
 
@@ -75,10 +87,18 @@ def respond(matches: DataFrame, queries: DataFrame, *, previews: int = 3) -> Dat
     return both.select("qid", status.alias("status"), F.coalesce(shown, F.lit("")).alias("preview"))
 
 
-def ask(questions: DataFrame, entries: DataFrame, *, now: Column) -> DataFrame:
-    """qid, route, hit and ts for a table of questions (qid, question): fixed answers first, then entries whose title or tags
-    the question names, then nothing; the rows are those of the question log."""
-    named = questions.join(entries.select(F.lower("title").alias("_t")).distinct(), F.lower("question").contains(F.col("_t")), "left_semi").select("qid").withColumn("_named", F.lit(True))
-    both = questions.join(named.distinct(), "qid", "left")
-    r = route(special=intent(F.col("question")).isNotNull(), entries=F.col("_named"))
-    return both.select("qid", r.alias("route"), (r != "no_answer").alias("hit"), now.alias("ts"))
+def ask(questions: DataFrame, entries: DataFrame, fragments: DataFrame, *, now: Column, intents: dict[str, list[str]] = INTENTS) -> DataFrame:
+    """The question log's rows for a table of questions (qid, question): qid, route, hit, answer, ts.
+
+    Fixed answers come first (the answer is the intent), then entries (ord, title) whose title the question names (the first
+    of them), then the fragment (ord, text) that shares most words with it, then nothing. Questions meet titles by pieces and
+    fragments by words."""
+    titles = entries.groupBy(F.lower("title").alias("_t")).agg(F.min(F.struct("ord", "title")).alias("e"))
+    low = questions.select("qid", F.lower("question").alias("_q"))
+    named = containing(low, titles, key="qid", text="_q", form="_t").groupBy("qid").agg(F.min("e").alias("e"))
+    special = questions.withColumn("_i", intent(F.col("question"), intents)).join(named, "qid", "left")
+    rest = special.where("_i is null and e is null").select("qid", F.col("question").alias("query"))
+    found = fragment_overlap(fragments, rest, k=1).where("score > 0").select("qid", F.col("text").alias("_f"))
+    both = special.join(found, "qid", "left")
+    r = route(special=F.col("_i").isNotNull(), entries=F.col("e").isNotNull(), documents=F.col("_f").isNotNull())
+    return both.select("qid", r.alias("route"), (r != "no_answer").alias("hit"), F.coalesce("_i", "e.title", "_f", F.lit("")).alias("answer"), now.alias("ts"))

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from fernglass.functions import geo, records
 from fernglass.functions import text as T
+from fernglass.operators import answers
 from fernglass.plans import routing
+from fernglass.plans.views import ENTRIES, entries
 from fernglass.session import table
 
 
@@ -40,12 +42,17 @@ def fragment_pack(spark, d):
 
 
 def lang_id(spark, d):
-    return table(spark, d, "documents").groupBy(T.language(F.col("text")).alias("lang")).agg(F.count("*").alias("n"))
+    """Documents, and the same with a Chinese word, with kana, or without their marks."""
+    marked = F.array("text", F.concat("text", F.lit(" 交通")), F.concat("text", F.lit(" かな 交通")), F.regexp_replace("text", r"[^A-Za-z0-9 ]", " "), F.lit("  "))
+    return table(spark, d, "documents").select(F.posexplode(marked).alias("form", "t")).groupBy(F.col("form").cast("long").alias("form"), T.language(F.col("t")).alias("lang")).agg(F.count("*").alias("n"))
 
 
 def ttl_parse(spark, d):
-    rows = spark.createDataFrame([("stop 2 minutes",), ("pause 3h",), ("停止 10分",), ("２日",), ("stop",), ("1 hour 5 minutes",)], "text string")
-    return rows.select("text", T.ttl_seconds(F.col("text")).alias("seconds"))
+    """Pauses that are made of the line items' numbers, in six ways to write them."""
+    n = F.col("l_linenumber").cast("string")
+    ways = F.array(F.concat(F.lit("stop "), n, F.lit(" minutes")), F.concat(F.lit("pause "), n, F.lit("h")), F.concat(F.lit("停止 "), n, F.lit("分")), F.concat(F.translate(n, "1234567", "１２３４５６７"), F.lit("日")), F.lit("stop"), F.concat(n, F.lit(" hour 5 minutes")))
+    i = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.element_at(ways, ((F.col("l_orderkey") + F.col("l_linenumber")) % 6 + 1).cast("int")).alias("text"))
+    return i.select("l_orderkey", "l_linenumber", T.ttl_seconds(F.col("text")).alias("seconds"))
 
 
 def label_extract(spark, d):
@@ -54,8 +61,9 @@ def label_extract(spark, d):
 
 
 def kana_fold(spark, d):
-    rows = spark.createDataFrame([("カタカナ",), ("ｶﾞｲﾄﾞ",), ("ヴァイオリン",), ("Ｔｏｋｙｏ　〜",), ("ヵヶ",)], "text string")
-    return rows.select("text", T.search_form(F.col("text")).alias("folded"))
+    """Part names with words in kana of all widths behind them."""
+    words = F.array(*[F.lit(w) for w in ("カタカナ", "ｶﾞｲﾄﾞ", "ヴァイオリン", "Ｔｏｋｙｏ　〜", "ヵヶ")])
+    return table(spark, d, "part").select("p_partkey", T.search_form(F.concat("p_name", F.lit("　"), F.element_at(words, (F.col("p_partkey") % 5 + 1).cast("int")))).alias("folded"))
 
 
 def json_value(spark, d):
@@ -88,24 +96,68 @@ def truthy_values(spark, d):
 
 
 def timestamp_parse(spark, d):
-    o = table(spark, d, "orders").limit(0).select(F.col("o_orderstatus").alias("t"))
-    rows = spark.createDataFrame([("2024-01-02T03:04:05Z",), ("2024/01/02 03:04:05",), ("1704164645",), ("1704164645000",), ("never",)], "t string")
-    return rows.unionByName(o).select("t", F.unix_micros(records.timestamp(F.col("t"))).alias("us"))
+    """Order dates as text, in four ways to write them, and as no date."""
+    t = F.col("o_orderdate")
+    seconds = F.unix_micros(t.cast("timestamp")) / 1_000_000
+    ways = F.array(F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.date_format(t, "yyyy/MM/dd HH:mm:ss"), seconds.cast("long").cast("string"), F.date_format(t, "yyyy-MM-dd HH:mm"), F.lit("never"))
+    o = table(spark, d, "orders").select("o_orderkey", F.element_at(ways, (F.col("o_orderkey") % 5 + 1).cast("int")).alias("t"))
+    return o.select("o_orderkey", F.unix_micros(records.timestamp(F.col("t"))).alias("us"))
 
 
-def timestamp_parse_whole(spark, d):
-    return table(spark, d, "orders").select("o_orderkey", F.unix_micros(records.timestamp(F.col("o_orderdate").cast("string"))).alias("us"))
+def plan_classify(spark, d):
+    p = table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", routing.answer_plan(F.col("text")).alias("p"))
+    return p.select("conv_id", "turn", "p.style", F.array_join("p.years", ",").alias("years"), F.array_join("p.keywords", ",").alias("keywords"))
 
 
-def plan_classify(spark, d):
-    c = table(spark, d, "conversations").where("role = 'user'").withColumn("q", F.concat(F.when(F.col("conv_id") % 3 == 0, "briefly ").when(F.col("conv_id") % 3 == 1, "detail ").otherwise(""), F.lit("in 1998 "), F.substr("text", F.lit(1), F.lit(0))))
-    p = c.select("conv_id", "turn", routing.answer_plan(F.col("q")).alias("p"))
-    return p.select("conv_id", "turn", "p.style", F.array_join("p.years", ",").alias("years"))
+def intent_detect(spark, d):
+    """Questions as they are, and with words of an intent before them."""
+    words = F.array(*[F.lit(w) for w in ("", "フェリーの", "Weather ", "viewpoint map ", "展望 台の地図 ")])
+    c = table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", F.concat(F.element_at(words, (F.col("conv_id") % 5 + 1).cast("int")), "text").alias("q"))
+    return c.select("conv_id", "turn", routing.intent(F.col("q")).alias("intent"), F.array_join(answers.transport_sections(F.col("q")), ",").alias("sections"))
 
 
-def plan_classify_whole(spark, d):
-    p = table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", routing.answer_plan(F.col("text")).alias("p"))
-    return p.select("conv_id", "turn", "p.style", F.array_join("p.years", ",").alias("years"), F.array_join("p.keywords", ",").alias("keywords"))
+def message_split(spark, d):
+    parts = T.split_message(F.col("text"), 300)
+    return table(spark, d, "documents").select("doc_id", parts.alias("p")).select("doc_id", F.size("p").cast("long").alias("parts"), F.md5(F.array_join("p", "\x01")).alias("md5"), F.size(T.pack_messages(F.col("p"), 900)).cast("long").alias("messages"))
+
+
+def section_parse(spark, d):
+    """Answers that are made of each passage: its words under headers, with bullets and numbers."""
+    words = F.split(T.squeeze(F.col("text")), " ")
+    part = lambda a, n: F.array_join(F.slice(words, a, n), " ")
+    answer = F.concat(F.lit("# 要約：\n"), part(1, 5), F.lit("\n\n"), part(6, 3), F.lit("\n### 詳細\n- "), part(9, 4), F.lit("\n2. "), part(13, 4), F.lit("\n補足\n・"), part(17, 2), F.lit("\n出典\nx"))
+    s = table(spark, d, "benchmark").select("item_id", T.sections(answer).alias("s"))
+    return s.select("item_id", "s.summary", F.array_join("s.details", "|").alias("details"), F.array_join("s.notes", "|").alias("notes"))
+
+
+def keyword_enforce(spark, d):
+    """Each passage's sentences as lines of a summary and details, kept where they name the passage's first word of five letters."""
+    lines = F.array_join(F.transform(F.split("text", "(?<=[.!?]) "), lambda x: F.concat(F.lit("- "), x)), "\n")
+    answer = F.concat(F.lit("### 要約\n"), lines, F.lit("\n### 詳細 \n\n- zzz\n\n### 出典\n- "), "text")
+    key = F.slice(F.filter(T.question_keywords(F.col("text")), lambda w: F.length(w) == 5), 1, 1)
+    return table(spark, d, "benchmark").select("item_id", F.md5(T.on_topic(answer, key)).alias("md5"), F.length(T.on_topic(answer, key)).cast("long").alias("chars"))
+
+
+def entry_detail(spark, d):
+    e = entries(spark, d).select("ord", F.concat(F.lit(" "), "title").alias("title"), F.replace("desc", F.lit(" "), F.lit("  ")).alias("desc"), "address", F.col("price").cast("int").cast("string").alias("price"), "tags", "areas")
+    return e.select("ord", F.md5(answers.detail(dict(e.dtypes))).alias("md5"))
+
+
+def source_footer(spark, d):
+    sources = F.array(*[F.struct(F.when(F.col("item_id") % k == 0, F.concat(F.lit("note "), (F.col("item_id") % 2).cast("string"))).otherwise(" ").alias("note"), F.when(F.col("item_id") % 2 == 0, "http://x").otherwise("").alias("url")) for k in (1, 2, 3)])
+    text = F.when(F.col("item_id") % 7 == 0, F.concat("text", F.lit("— 出典 —"))).otherwise(F.concat("text", F.lit(" \n")))
+    return table(spark, d, "benchmark").select("item_id", F.md5(answers.with_footer(text, sources)).alias("md5"))
+
+
+def slot_lines(spark, d):
+    e = entries(spark, d)
+    line = answers.slot_line(F.when(F.col("ord") % 9 > 0, F.col("title")), F.col("areas")[0], F.substr("desc", F.lit(1), F.lit(80)), F.col("tags"), F.when(F.col("ord") % 2 == 0, "9-17"), F.when(F.col("ord") % 3 == 0, "http://x"))
+    return e.select("ord", F.md5(line).alias("md5"))
+
+
+def summary_bounds(spark, d):
+    b = answers.summary_bounds(F.col("text"), least=550, most=800, fallback=300)
+    return table(spark, d, "documents").select("doc_id", b.alias("b")).select("doc_id", F.col("b.min_chars").cast("long").alias("min_chars"), F.col("b.max_chars").cast("long").alias("max_chars"), "b.short")
 
 
 def route_select(spark, d):
@@ -119,7 +171,7 @@ def vector_norms(spark, d):
     return v.select("vec_id", F.round(records.dot(F.col("embedding"), F.col("embedding")), 4).alias("squared"), F.round(records.dot(records.unit(F.col("embedding")), records.unit(F.col("embedding"))), 6).alias("one"))
 
 
-QUERIES = {f.__name__: f for f in (norm_text, split_list, tokens_regex, char_bigrams, sentence_split, chunk_windows, fragment_pack, lang_id, ttl_parse, label_extract, kana_fold, json_value, text_hashes, source_parts, coord_parse, url_host, truthy_values, timestamp_parse, timestamp_parse_whole, plan_classify, plan_classify_whole, route_select, vector_norms)}
+QUERIES = {f.__name__: f for f in (norm_text, split_list, tokens_regex, char_bigrams, sentence_split, chunk_windows, fragment_pack, lang_id, ttl_parse, label_extract, kana_fold, json_value, text_hashes, source_parts, coord_parse, url_host, truthy_values, timestamp_parse, plan_classify, intent_detect, message_split, section_parse, keyword_enforce, entry_detail, source_footer, slot_lines, summary_bounds, route_select, vector_norms)}
 
 ORACLE_SQL = {
     "norm_text": r"SELECT item_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS norm FROM benchmark",
@@ -132,18 +184,32 @@ ORACLE_SQL = {
         c AS (SELECT doc_id, i, i * 550 AS char_start, least(i * 550 + 700, n) AS char_end, trim(regexp_replace(substr(body, i * 550 + 1, 700), '^\s+|\s+$', '', 'g')) AS t, body FROM w)
         SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS chunk_index, char_start, char_end, length(substr(body, 1, char_start)) - length(replace(substr(body, 1, char_start), chr(10), '')) + 1 AS line_start,
         length(substr(body, 1, char_end)) - length(replace(substr(body, 1, char_end), chr(10), '')) + 1 AS line_end, md5(t) AS md5 FROM c WHERE t <> ''""",
-    "lang_id": r"SELECT CASE WHEN regexp_matches(text, '^[\x00-\x7f]*$') THEN 'en' ELSE 'ja' END AS lang, count(*) AS n FROM documents GROUP BY 1",
-    "ttl_parse": "SELECT * FROM (VALUES ('stop 2 minutes', 120::BIGINT), ('pause 3h', 10800), ('停止 10分', 600), ('２日', 172800), ('stop', NULL), ('1 hour 5 minutes', 3600)) t(text, seconds)",
+    "lang_id": r"""WITH f AS (SELECT unnest([text, text || ' 交通', text || ' かな 交通', regexp_replace(text, '[^A-Za-z0-9 ]', ' ', 'g'), '  ']) AS t, unnest(range(0, 5)) AS form FROM documents), s AS (SELECT form, regexp_replace(t, '^\s+|\s+$', '', 'g') AS t FROM f)
+        SELECT form, CASE WHEN regexp_matches(t, '[ぁ-んァ-ン]') THEN 'ja' WHEN contains(t, '交通') THEN 'zh-Hant' WHEN regexp_full_match(t, '[A-Za-z0-9\s\-.,!?''"/()]+') THEN 'en' ELSE 'ja' END AS lang, count(*) AS n FROM s GROUP BY 1, 2""",
+    "ttl_parse": "SELECT l_orderkey, l_linenumber, CASE (l_orderkey + l_linenumber) % 6 WHEN 0 THEN 60 WHEN 1 THEN 3600 WHEN 2 THEN 60 WHEN 3 THEN 86400 WHEN 5 THEN 3600 END * CAST(l_linenumber AS BIGINT) AS seconds FROM lineitem",
     "label_extract": "SELECT item_id, (item_id % 7) || ',2' AS labels FROM benchmark",
-    "kana_fold": "SELECT * FROM (VALUES ('カタカナ', 'かたかな'), ('ｶﾞｲﾄﾞ', 'がいど'), ('ヴァイオリン', 'ゔぁいおりん'), ('Ｔｏｋｙｏ　〜', 'tokyo~'), ('ヵヶ', 'かけ')) t(text, folded)",
+    "kana_fold": "SELECT p_partkey, replace(lower(p_name), ' ', '') || ['かたかな', 'がいど', 'ゔぁいおりん', 'tokyo~', 'かけ'][p_partkey % 5 + 1] AS folded FROM part",
     "json_value": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events",
     "text_hashes": "SELECT event_id, sha1(user_id || ':' || event_type) AS text_key, sha256(CAST(user_id AS VARCHAR)) AS user_hash FROM events",
     "source_parts": "SELECT doc_id, source AS folder, CAST(doc_id AS VARCHAR) AS file, 'L1-9' AS lines FROM documents",
     "coord_parse": "SELECT s_suppkey, round(32 + (s_suppkey % 100) / 50, 4) AS lat, round(128 + (s_suppkey % 97) / 50, 4) AS lng FROM supplier",
     "url_host": "SELECT regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS host, count(*) AS n FROM pages GROUP BY 1",
     "truthy_values": "SELECT * FROM (VALUES ('yes', true, true), ('off', false, false), ('TRUE', true, true), ('', false, false), ('maybe', false, true)) t(v, strict, permissive)",
-    "timestamp_parse": "SELECT * FROM (VALUES ('2024-01-02T03:04:05Z', 1704164645000000::BIGINT), ('2024/01/02 03:04:05', 1704164645000000), ('1704164645', 1704164645000000), ('1704164645000', 1704164645000000), ('never', NULL)) t(t, us)",
-    "plan_classify": "SELECT conv_id, turn, CASE conv_id % 3 WHEN 0 THEN 'brief' WHEN 1 THEN 'detailed' ELSE 'normal' END AS style, '1998' AS years FROM conversations WHERE role = 'user'",
+    "timestamp_parse": "SELECT o_orderkey, CASE WHEN o_orderkey % 5 < 4 THEN epoch_us(o_orderdate) END AS us FROM orders",
+    "plan_classify": r"""WITH c AS (SELECT conv_id, turn, lower(text) AS low FROM conversations WHERE role = 'user'), w AS (SELECT conv_id, turn, unnest(regexp_extract_all(low, '[\pL\pN_]+')) AS w, generate_subscripts(regexp_extract_all(low, '[\pL\pN_]+'), 1) AS p FROM c),
+        f AS (SELECT conv_id, turn, w, min(p) AS p FROM w WHERE length(w) >= 2 GROUP BY ALL), k AS (SELECT conv_id, turn, string_agg(w, ',' ORDER BY p) AS keywords FROM f GROUP BY ALL)
+        SELECT c.conv_id, c.turn, CASE WHEN regexp_matches(low, '簡単|短く|要点|briefly|short') THEN 'brief' WHEN regexp_matches(low, '詳しく|詳細|detail') THEN 'detailed' ELSE 'normal' END AS style, array_to_string(regexp_extract_all(low, '1[0-9]{3}|20[0-9]{2}'), ',') AS years, coalesce(keywords, '') AS keywords
+        FROM c LEFT JOIN k ON k.conv_id = c.conv_id AND k.turn = c.turn""",
+    "intent_detect": """WITH c AS (SELECT conv_id, turn, ['', 'フェリーの', 'weather ', 'viewpoint map ', '展望 台の地図 '][conv_id % 5 + 1] || lower(text) AS q FROM conversations WHERE role = 'user'),
+        s AS (SELECT *, contains(q, 'フェリー') AS ship, regexp_matches(replace(regexp_replace(q, '[ \\t\\n\\r]', '', 'g'), chr(11), ''), 'ana|jal|orc') AS fly FROM c)
+        SELECT conv_id, turn, CASE WHEN contains(q, 'weather') THEN 'weather' WHEN contains(q, 'フェリー') OR regexp_matches(q, 'status|ana|jal|orc') THEN 'transport' WHEN regexp_matches(q, 'viewpoints?\\s*map|展望\\s*(?:所|台)?の?\\s*(?:マップ|地図)') AND NOT contains(q, '台の地図') THEN 'viewpoint_map' END AS intent,
+          CASE WHEN ship AND NOT fly THEN 'ship' WHEN fly AND NOT ship THEN 'flight' ELSE 'ship,flight' END AS sections FROM s""",
+    "section_parse": r"""WITH b AS (SELECT item_id, string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ') AS w FROM benchmark) SELECT item_id, array_to_string(w[1:5], ' ') || chr(10) || array_to_string(w[6:8], ' ') AS summary, array_to_string(w[9:12], ' ') || '|' || array_to_string(w[13:16], ' ') AS details, array_to_string(w[17:18], ' ') AS notes FROM b""",
+    "entry_detail": f"WITH {ENTRIES} SELECT ord, md5(title || chr(10) || descr || chr(10) || '料金：' || CAST(trunc(price) AS INT) || chr(10) || 'タグ：' || tags[1] || ' / ' || tags[2] || chr(10) || 'エリア：' || areas[1]) AS md5 FROM e",
+    "source_footer": r"""WITH b AS (SELECT item_id, text, 'note ' || (item_id % 2) || CASE WHEN item_id % 2 = 0 THEN ' http://x' ELSE '' END AS note FROM benchmark) SELECT item_id, md5(CASE WHEN item_id % 7 = 0 THEN text || '— 出典 —' ELSE regexp_replace(text || ' ', '\s+$', '') || chr(10) || chr(10) || '— 出典 —' || chr(10) || '・' || note END) AS md5 FROM b""",
+    "slot_lines": f"WITH {ENTRIES} SELECT ord, md5('・' || CASE WHEN ord % 9 > 0 THEN title ELSE '（名称不明）' END || '（' || areas[1] || '）— ' || substr(descr, 1, 80) || '｜' || tags[1] || ' / ' || tags[2] || CASE WHEN ord % 2 = 0 THEN '｜9-17' ELSE '' END || CASE WHEN ord % 3 = 0 THEN chr(10) || '  http://x' ELSE '' END) AS md5 FROM e",
+    "summary_bounds": r"""WITH t AS (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM documents), s AS (SELECT doc_id, length(t) <= 600 OR length(t) - length(replace(t, chr(10), '')) + 1 <= 2 AS short FROM t)
+        SELECT doc_id, CASE WHEN short THEN 300 ELSE 550 END::BIGINT AS min_chars, CASE WHEN short THEN 500 ELSE 800 END::BIGINT AS max_chars, short FROM s""",
     "route_select": "SELECT CASE WHEN event_type = 'error' THEN 'special' WHEN value > 50 THEN 'tourism' WHEN user_id % 2 = 0 THEN 'pamphlet' ELSE 'no_answer' END AS route, count(*) AS n FROM events GROUP BY 1",
     "vector_norms": "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)), 4) AS squared, 1.0::DOUBLE AS one FROM embeddings",
 }

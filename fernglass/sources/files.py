@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fernglass.session import written
+
 
 def read_json_array(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """Good records of JSON array files, and the files' broken records for quarantine."""
     full = T._parse_datatype_string(schema).add("_corrupt_record", "string") if isinstance(schema, str) else schema.add("_corrupt_record", "string")
-    rows = spark.read.schema(full).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path).cache()
+    rows = written(spark.read.schema(full).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path), "json")
     return rows.where("_corrupt_record is null").drop("_corrupt_record"), rows.where("_corrupt_record is not null").select(F.lit(path).alias("path"), "_corrupt_record")
 
 
@@ -96,22 +98,23 @@ def export_text(rows: DataFrame, path: str, *, title: str, tags: str, areas: str
 
 
 def publish(spark: SparkSession, path: str, rows: DataFrame | None = None) -> DataFrame | None:
-    """The current version of a table folder, or None; with rows, a new version is written and then made the current one.
+    """The newest version of a table folder, or None; with rows, a new version is written first.
 
-    A version is a Parquet folder; `current` is a folder of one line that names it. Versions aren't changed once written, so
-    a reader keeps what it has opened."""
+    A version is a Parquet folder whose name holds its number and a random part. It is written beside the table and moved to
+    its name as a whole. Readers take the largest name, so at every moment there is a whole version, what a reader has
+    opened isn't changed, and of two writers at the same moment one is the newest and none is lost."""
     jvm = spark._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    pointer = jvm.org.apache.hadoop.fs.Path(f"{path}/current")
+    at = lambda name: jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+    fs = at("").getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def versions() -> list[str]:
+        names = [f.getPath().getName() for f in fs.listStatus(at(""))] if fs.exists(at("")) else []
+        return sorted(n for n in names if n.startswith("version-"))
+
     if rows is not None:
-        name = f"v-{uuid.uuid4().hex}"
-        rows.write.parquet(f"{path}/{name}")
-        spark.createDataFrame([(name,)], "value string").coalesce(1).write.text(f"{path}/next-{name}")
-        if fs.exists(pointer):
-            fs.delete(pointer, True)
-        fs.rename(jvm.org.apache.hadoop.fs.Path(f"{path}/next-{name}"), pointer)
-    if not fs.exists(pointer):
-        return None
-    name = spark.read.text(f"{path}/current").first()[0]
-    return spark.read.parquet(f"{path}/{name}")
+        draft, before = f"_draft-{uuid.uuid4().hex}", versions()
+        rows.write.parquet(f"{path}/{draft}")
+        number = int(before[-1].split("-")[1]) + 1 if before else 1
+        fs.rename(at(draft), at(f"version-{number:010d}-{uuid.uuid4().hex}"))
+    found = versions()
+    return spark.read.parquet(f"{path}/{found[-1]}") if found else None

@@ -90,13 +90,8 @@ def test_loose_json(spark):
     assert [r[0] for r in got] == ["x", None]
 
 
-def test_merged_maps(spark):
-    rows = spark.createDataFrame([([{"a": " ", "b": "1"}, {"a": "2", "b": "3"}],)], "x array<map<string,string>>")
-    assert rows.select(records.merged_maps(F.col("x"))).first()[0] == {"b": "1", "a": "2"}
-
-
 def test_watermark_modes(spark):
-    assert [one(spark, x, records.watermark_mode) for x in ("Full", "CITY", "off", "?")] == ["fullygoto", "city", "none", "none"]
+    assert [one(spark, x, records.watermark_mode) for x in ("Full", "CITY", "off", "?")] == ["full", "city", "none", "none"]
 
 
 def test_commands_and_refinements(spark):
