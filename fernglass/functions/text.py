@@ -335,7 +335,7 @@ def on_topic(c: Column, keywords: Column) -> Column:
         s = strip(line)
         return F.when(s.startswith("### 要約"), "summary").when(s.startswith("### 詳細"), "detail").when(s.startswith("### 出典"), "sources").when(s.startswith("### "), "other")
 
-    marked = _sectioned(F.concat(F.array(F.lit("### ")), lines), header)
+    marked = _sectioned(F.concat(F.array(F.lit("### .")), lines), header)
     held = F.filter(marked, lambda x: x["head"] | (strip(x["line"]) == "") | ~x["section"].isin("summary", "detail") | F.exists(keywords, lambda k: form(x["line"]).contains(form(k))))
     detail = F.exists(held, lambda x: (x["section"] == "detail") & ~x["head"] & (strip(x["line"]) != ""))
     kept = F.filter(held, lambda x: detail | (x["section"] != "detail"))

@@ -33,9 +33,9 @@ def test_gap_counts_from_the_last_kept(spark):
 
 
 def test_utterance_gate(spark):
-    rows = [(1, 1, "a", 0), (2, 1, "b", 1), (3, 1, "a", 2), (4, 1, "a ", 3), (5, 1, "", 4), (6, 1, "a", 122), (7, 1, None, 123)]
+    rows = [(1, 1, "aa", 0), (2, 1, "bb", 1), (3, 1, "aa", 2), (4, 1, "aa ", 3), (5, 1, "", 4), (6, 1, "aa", 122), (7, 1, None, 123), (8, 1, "　a ", 124)]
     got = {r.id: r.reason for r in G.utterance_gate(events(spark, rows), user="user", text="text", ts="ts", tie="id").collect()}
-    assert got == {1: None, 2: None, 3: None, 4: "duplicate", 5: "empty", 6: None, 7: "empty"}
+    assert got == {1: None, 2: None, 3: None, 4: "duplicate", 5: "empty", 6: None, 7: "empty", 8: "too_short"}
 
 
 def test_lateness_bound(spark):
@@ -66,7 +66,7 @@ def test_streaming_twin_of_ttl_dedupe(spark, tmp_path):
 
 
 def test_streaming_twin_of_the_gate(spark, tmp_path):
-    batches = [[(1, 1, "a", 0), (2, 1, "b", 1)], [(3, 1, "b", 2), (4, 1, "a", 3)]]
+    batches = [[(1, 1, "aa", 0), (2, 1, "bb", 1)], [(3, 1, "bb", 2), (4, 1, "aa", 3)]]
     got = _stream(spark, tmp_path, batches, lambda s: G.utterance_gate_stream(s, user="user", text="text", ts="ts", tie="id"), "gate")
     assert {r.id: r.reason for r in got} == {1: None, 2: None, 3: "duplicate", 4: None}
 
