@@ -39,6 +39,8 @@ _NOT_TEXT_ROLES = frozenset("navigation banner contentinfo complementary search
 _ALWAYS = frozenset("html body main article".split())
 _NEGATED = frozenset("has no with without is".split())
 _COMMENTS = frozenset("comment comments commentlist disqus respond".split())
+#: Characters from which a block is text rather than a label.
+GOOD = 25
 
 
 def _named(attrs: str) -> tuple[list[str], str]:
@@ -206,10 +208,16 @@ def parse(page: str, by_name: bool = True):
 
 
 def _good_text(containers, blocks) -> tuple[list[int], list[int]]:
-    """Good text and all text inside each container. Good text is what isn't mostly links."""
+    """Good text and all text inside each container. Good text is blocks that aren't mostly links, of GOOD characters or more
+    unless they are in an article or main element, or the page has none so long: names and dates around a text don't make
+    their container its best."""
     good, every = [0] * len(containers), [0] * len(containers)
+    least = GOOD if any(len(t) >= GOOD and 2 * linked < len(t) for _, t, linked in blocks) else 0
+    within = [False] * len(containers)
+    for i, (_, parent, tag) in enumerate(containers):
+        within[i] = tag in ("article", "main") or (parent >= 0 and within[parent])
     for c, text, linked in blocks:
-        good[c] += len(text) if 2 * linked < len(text) else 0
+        good[c] += len(text) if 2 * linked < len(text) and (len(text) >= least or within[c]) else 0
         every[c] += len(text)
     for i in range(len(containers) - 1, 0, -1):  # a container's parent has a smaller number
         parent = containers[i][1]
@@ -222,8 +230,9 @@ def _dropped(containers, blocks, marked: dict[int, list[str]]) -> list[bool]:
     """Which containers are inside one that is marked by name and stays so.
 
     From the outside in, a mark is taken off where the container holds a main element. Where no article or main element
-    is outside of all marks, it is also taken off where the container, if not named as comments, holds one article or
-    more than half of the page's good text: a wrapper of the text may be named for a sidebar beside it.
+    with a fifth of its good text outside of marks is outside of all marks, it is also taken off where the container, if not
+    named as comments, holds one article or more than half of the page's good text: a wrapper of the text may be named for
+    a sidebar beside it, inside an article as well as around it.
     """
     import numpy as np
 
@@ -238,14 +247,21 @@ def _dropped(containers, blocks, marked: dict[int, list[str]]) -> list[bool]:
         standing[i] = (standing[parent] if parent >= 0 else 0) + (i in marked)
     texts = [i for i, (_, _, tag) in enumerate(containers) if tag in ("article", "main") and good[i] and i not in marked]
     mains = [i for i in texts if containers[i][2] == "main"]
+    clean = [0] * n  # good text outside of marks that are further inside
+    for c, text, linked in blocks:
+        clean[c] += len(text) if 2 * linked < len(text) else 0
+    for i in range(n - 1, 0, -1):
+        if i not in marked:
+            clean[containers[i][1]] += clean[i]
     left = np.array([standing[i] for i in texts])
+    solid = np.array([5 * clean[i] >= good[i] for i in texts], bool)
     gone = [False] * n
     for i, (_, parent, tag) in enumerate(containers):
         gone[i] = parent >= 0 and gone[parent]
         if i in marked and not gone[i]:
             first, last = bisect_left(texts, i + 1), bisect_left(texts, ends[i])
             n_main = bisect_left(mains, ends[i]) - bisect_left(mains, i + 1)
-            wraps = (left > 0).all() and not _holds_comments(marked[i]) and (last - first - n_main == 1 or 2 * good[i] > good[0])
+            wraps = not (solid & (left == 0)).any() and not _holds_comments(marked[i]) and (last - first - n_main == 1 or 2 * good[i] > good[0])
             if n_main or wraps and tag != "article":
                 left[first:last] -= 1
             else:

@@ -270,7 +270,8 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, doc
     shared = banded.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1")
     members = common.written(banded.join(shared, "bucket"), "members")
     wanted = common.written(members.select("class").distinct().join(classes.select("class", "d1", "d2", "first"), "class"), "wanted")
-    whole = base.join(wanted.select(F.col("first").alias("doc")).distinct(), "doc").mapInArrow(_shingle_sets(shingle), "d1 long, d2 long, shingles binary")
+    # these ids are a share of all, so they are shuffled at every size
+    whole = base.join(wanted.select(F.col("first").alias("doc")).distinct().hint("merge"), "doc").mapInArrow(_shingle_sets(shingle), "d1 long, d2 long, shingles binary")
     once = whole.groupBy("d1", "d2").agg(F.first("shingles").alias("shingles"))
     sets = common.written(once.join(wanted, ["d1", "d2"]).select("class", "shingles"), "sets")
     fits = lambda a, b: (100 * F.least(a, b) >= percent * F.greatest(a, b))

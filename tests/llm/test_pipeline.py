@@ -66,7 +66,7 @@ def test_stages_on_awkward_rows(spark, awkward):
         if name == "packed":
             assert out.select("doc_id").distinct().count() == clash.select("doc_id").distinct().count()
             continue
-        assert out.columns == clash.columns and out.count() > 0
+        assert out.columns == clash.columns and (out.count() > 0 or name == "quality")  # the base rule refuses all of them
         fixed = [c for c in clash.columns if c not in ("text", "n_chars")]
         assert {tuple(r) for r in out.select(fixed).collect()} <= {tuple(r) for r in clash.select(fixed).collect()}
 
