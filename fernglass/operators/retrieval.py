@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fernglass.functions import text as T
 from fernglass.operators.search import best_of
+from fernglass.session import written
 
 
 def chunk(docs: DataFrame, *, part: str, doc: str, text: str, size: int = 700, overlap: int = 150, lines: bool = True) -> DataFrame:
@@ -15,16 +16,19 @@ def chunk(docs: DataFrame, *, part: str, doc: str, text: str, size: int = 700, o
 
 
 def postings(docs: DataFrame, tokens, *, part: str, doc: str, text: str, size: int = 700, overlap: int = 150) -> DataFrame:
-    """part, doc, chunk_index, term, tf of each distinct term of each window, and a row with a null term for each window:
-    `tokens` makes an array of terms of a text. Documents, not terms, are dealt out: terms are counted where their text is."""
+    """part, doc, chunk_index, term, tf of each distinct term of each window: `tokens` makes an array of terms of a text.
+    Documents, not terms, are dealt out: terms are counted where their text is."""
     windows = chunk(docs.select(part, doc, text).repartition(doc), part=part, doc=doc, text=text, size=size, overlap=overlap, lines=False)
-    terms = windows.select("part", "doc", "chunk_index", F.explode(F.concat(tokens(F.col("text")), F.expr("array(cast(null as string))"))).alias("term"))
+    terms = windows.select("part", "doc", "chunk_index", F.explode(tokens(F.col("text"))).alias("term"))
     return terms.groupBy("part", "doc", "chunk_index", "term").agg(F.count("*").alias("tf"))
 
 
-def idf(posts: DataFrame) -> DataFrame:
-    """part, term, df, idf = ln((windows + 1) / (df + 1)) + 1."""
-    counted = posts.groupBy("part", "term").agg(F.count("*").alias("df"))
+def idf(docs: DataFrame, tokens, *, part: str, doc: str, text: str, size: int = 700, overlap: int = 150) -> DataFrame:
+    """part, term, df, idf = ln((windows + 1) / (df + 1)) + 1. A window gives each of its terms once, and a null term for itself,
+    so windows and terms are counted together, before the shuffle."""
+    windows = chunk(docs.select(part, doc, text), part=part, doc=doc, text=text, size=size, overlap=overlap, lines=False)
+    terms = windows.select("part", F.explode(F.array_append(F.array_distinct(tokens(F.col("text"))), F.lit(None).cast("string"))).alias("term"))
+    counted = written(terms.groupBy("part", "term").agg(F.count("*").alias("df")), "df")
     n = counted.where("term is null").select("part", F.col("df").alias("n"))
     return counted.where("term is not null").join(n, "part").select("part", "term", "df", (F.ln((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
 

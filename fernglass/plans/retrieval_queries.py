@@ -15,20 +15,18 @@ def _chunks(spark, d):
     return R.chunk(table(spark, d, "documents"), part="lang", doc="doc_id", text="text")
 
 
-def _postings(spark, d):
-    """Terms of all windows, written: several steps read them."""
-    return written(R.postings(table(spark, d, "documents"), _tokens, part="lang", doc="doc_id", text="text"), "postings")
+_NAMES = {"part": "lang", "doc": "doc_id", "text": "text"}
 
 
 def tfidf_df_idf(spark, d):
-    w = R.idf(R.postings(table(spark, d, "documents"), _tokens, part="lang", doc="doc_id", text="text"))
-    return w.select("part", "term", "df", F.round("idf", 6).alias("idf"))
+    return R.idf(table(spark, d, "documents"), _tokens, **_NAMES).select("part", "term", "df", F.round("idf", 6).alias("idf"))
 
 
 def tfidf_topk(spark, d):
-    p = _postings(spark, d)
+    docs = table(spark, d, "documents")
+    p = written(R.postings(docs, _tokens, **_NAMES), "postings")
     q = spark.createDataFrame([(1, "en", "the thing of that"), (2, "fr", "que pour la pour"), (3, "de", "und nowhereword")], "qid long, part string, query string")
-    return R.tfidf_search(p, written(R.idf(p), "idf"), q, _tokens, k=5).select("qid", "doc", F.col("chunk_index").cast("long").alias("chunk_index"), F.round("score", 6).alias("score"))
+    return R.tfidf_search(p, R.idf(docs, _tokens, **_NAMES), q, _tokens, k=5).select("qid", "doc", F.col("chunk_index").cast("long").alias("chunk_index"), F.round("score", 6).alias("score"))
 
 
 def _near(spark, d, k=24):
