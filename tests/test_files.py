@@ -54,3 +54,22 @@ def test_exports_and_versions(spark, tmp_path):
     assert (old.count(), new.count(), files.publish(spark, path).count()) == (2, 5, 5)
     files.export_text(spark.createDataFrame([("T", ["x"], ["y"], "body")], "t string, g array<string>, a array<string>, b string"), str(tmp_path / "txt"), title="t", tags="g", areas="a", body="b")
     assert "".join(p.read_text() for p in (tmp_path / "txt").glob("part-*")) == "T\nx\ny\n\nbody\n"
+
+
+def test_newer_files_and_saved_entries(spark, tmp_path):
+    import pytest
+
+    from fernglass.operators import catalogue
+
+    ts = lambda n: f"2024-01-0{n} 00:00:00"
+    kind = "name string, mtime string"
+    source = spark.createDataFrame([("a", ts(1)), ("b", ts(3)), ("c", ts(2))], kind)
+    target = spark.createDataFrame([("a", ts(1)), ("b", ts(2))], kind)
+    assert sorted(r.name for r in files.newer_files(source, target).collect()) == ["b", "c"]
+    rows = spark.createDataFrame([(1, "Town  Hall", ["x"], "a"), (2, "town hall", ["y"], "bb")], "ord long, title string, areas array<string>, desc string")
+    path = str(tmp_path / "entries")
+    saved = catalogue.saved(rows, path, title="title", order="ord", modal=["desc"], lists=["areas"]).collect()
+    assert [(r.ord, r.n, r.desc, r.areas) for r in saved] == [(1, 2, "bb", ["x", "y"])]
+    with pytest.raises(ValueError):
+        catalogue.saved(rows.withColumn("title", rows.desc.substr(9, 1)), path, title="title", order="ord")
+    assert files.publish(spark, path).count() == 1
