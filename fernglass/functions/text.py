@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -222,6 +224,15 @@ def user_hash(user: Column) -> Column:
     return F.sha2(user.cast("string"), 256)
 
 
+def signature(c: Column, key: bytes) -> Column:
+    """HMAC-SHA256 of a text, as base64 for URLs without padding."""
+    block = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    pad = lambda mask: F.lit(bytes(k ^ mask for k in block))
+    digest = lambda b: F.unhex(F.sha2(b, 256))
+    signed = digest(F.concat(pad(0x5C), digest(F.concat(pad(0x36), F.encode(c, "UTF-8")))))
+    return F.rtrim(F.translate(F.base64(signed), "+/=", "-_ "))
+
+
 def find(text: Column, needle: Column) -> Column:
     """Place of the needle from 0, -1 for none."""
     return F.call_function("instr", text, needle) - 1

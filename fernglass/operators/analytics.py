@@ -47,10 +47,14 @@ def group_by_question(log: DataFrame, *, question: Column, ts: str, hit: str) ->
     return log.groupBy(question.alias("question")).agg(F.count("*").alias("n"), F.count_if(is_hit).alias("hits"), F.count_if(~is_hit).alias("misses"), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts")).orderBy(F.desc("last_ts"), "question")
 
 
-def report_filter(groups: DataFrame, *, needle: str = "", least: int = 1, hide: DataFrame | None = None) -> DataFrame:
-    """Report rows by text and least count, without questions that are done (an anti-join)."""
+def report_filter(groups: DataFrame, *, needle: str = "", least: int = 1, hide: DataFrame | None = None, sort: str | None = None) -> DataFrame:
+    """Report rows by text and least count, without questions that are done (an anti-join). Sorted by cnt_desc, cnt_asc or alpha
+    if asked, questions by the collation of Japanese."""
     rows = groups.where((F.col("n") >= least) & F.lower("question").contains(needle.lower()))
-    return rows if hide is None else rows.join(hide.select("question").distinct(), "question", "left_anti")
+    rows = rows if hide is None else rows.join(hide.select("question").distinct(), "question", "left_anti")
+    name = F.collate("question", "ja")
+    orders = {"cnt_desc": [F.desc("n"), name], "cnt_asc": [F.col("n"), name], "alpha": [name]}
+    return rows.orderBy(*orders[sort]) if sort else rows
 
 
 def top_tags(entries: DataFrame, *, tags: str, order: str, k: int = 8, default: tuple[str, ...] = ()) -> DataFrame:

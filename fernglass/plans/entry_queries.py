@@ -256,7 +256,7 @@ def nearby_around_the_globe(spark, d):
 def responder_states(spark, d):
     e = entries(spark, d)
     q = queries(spark, [(1, "small ring"), (2, "nothing"), (3, "bolt")])
-    hits = search.prioritised(e, q).join(e.select("ord", "title"), "ord").select("qid", "ord", "title")
+    hits = search.prioritised(e, q).join(e.select("ord", "title", "areas", "tags"), "ord")
     return routing.respond(hits, q)
 
 
@@ -360,6 +360,8 @@ ORACLE_SQL = {
         d AS (SELECT cid, ord, 2 * 6371.0::DOUBLE * asin(sqrt(least(1.0::DOUBLE, pow(sin(radians(lat - clat) / 2), 2) + cos(radians(clat)) * cos(radians(lat)) * pow(sin(radians(lng - clng) / 2), 2)))) * 1000 AS m FROM p, c), r AS (SELECT cid, ord, CAST(round_even(m, 0) AS BIGINT) AS distance_m FROM d WHERE m <= 60000)
         SELECT cid, ord, distance_m FROM r QUALIFY row_number() OVER (PARTITION BY cid ORDER BY distance_m, ord) <= 10""",
     "responder_states": f"""WITH {ENTRIES}, {_PRIO}, x AS (SELECT qid, ord, title, row_number() OVER (PARTITION BY qid ORDER BY ord) AS r, count(*) OVER (PARTITION BY qid) AS n FROM w),
-        y AS (SELECT qid, any_value(n) AS n, string_agg(title, ' / ' ORDER BY ord) FILTER (WHERE r <= 3) AS preview FROM x GROUP BY qid)
-        SELECT z.qid, CASE WHEN n IS NULL THEN 'no_hit' WHEN n = 1 THEN 'detail' ELSE 'choices' END AS status, coalesce(preview, '') AS preview FROM (VALUES (1::BIGINT, 1::BIGINT), (2, 4), (3, 5)) z(qid, k) LEFT JOIN y ON y.qid = z.k""",
+        y AS (SELECT qid, any_value(n) AS n, string_agg(title, ' / ' ORDER BY ord) FILTER (WHERE r <= 3) AS preview FROM x GROUP BY qid),
+        v AS (SELECT w.qid, w.ord, unnest(['area', 'tag', 'tag']) AS kind, unnest([e.areas[1], e.tags[1], e.tags[2]]) AS value, unnest([0, 0, 1]) AS p FROM w JOIN e ON e.ord = w.ord), c AS (SELECT qid, kind, value, count(*) AS k, min(ord * 2 + p) AS f FROM v GROUP BY ALL),
+        t AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY kind, k DESC, f) AS r FROM c), l AS (SELECT qid, string_agg(kind || ':' || value, '|' ORDER BY r) AS facets FROM t WHERE r <= 5 GROUP BY qid)
+        SELECT z.qid, CASE WHEN n IS NULL THEN 'no_hit' WHEN n = 1 THEN 'detail' ELSE 'choices' END AS status, coalesce(preview, '') AS preview, CASE WHEN n > 1 THEN facets ELSE '' END AS facets FROM (VALUES (1::BIGINT, 1::BIGINT), (2, 4), (3, 5)) z(qid, k) LEFT JOIN y ON y.qid = z.k LEFT JOIN l ON l.qid = z.k""",
 }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fernglass.functions import text as T
 from fernglass.operators.matching import containing
-from fernglass.operators.search import fragment_overlap
+from fernglass.operators.search import best_of, fragment_overlap
 
 # fixed values: words that decide an intent, tested in this order; names that hold one of them are left out
 INTENTS = {
@@ -78,13 +78,20 @@ def answer_plan(question: Column) -> Column:
     return F.struct(style.alias("style"), F.regexp_extract_all(low, F.lit(r"(1[0-9]{3}|20[0-9]{2})"), F.lit(1)).alias("years"), words.alias("keywords"))
 
 
-def respond(matches: DataFrame, queries: DataFrame, *, previews: int = 3) -> DataFrame:
-    """qid, status, preview: no_hit for no match, detail for one, choices with the first titles for several (qid, ord, title)."""
-    per = matches.groupBy("qid").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("ord", "title"))).alias("all"))
-    both = queries.select("qid").join(per, "qid", "left")
+def respond(matches: DataFrame, queries: DataFrame, *, previews: int = 3, facets: int = 5) -> DataFrame:
+    """qid, status, preview, facets of matches (qid, ord, title, areas, tags): no_hit for no match, detail for one, choices for
+    several, with the first titles and with the areas, then the tags, that most of the matches have."""
+    n = matches.groupBy("qid").agg(F.count("*").alias("n"))
+    first = best_of(matches.select("qid", "ord", "title"), F.col("ord"), limit=previews)
+    shown = first.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "title"))), lambda x: x["title"]), " / ").alias("preview"))
+    named = lambda c, kind: F.transform(c, lambda v, i: F.struct(F.lit(kind).alias("kind"), v.alias("value"), i.alias("at")))
+    values = matches.select("qid", "ord", F.explode(F.concat(named("areas", "area"), named("tags", "tag"))).alias("v"))
+    counted = values.groupBy("qid", "v.kind", "v.value").agg(F.count("*").alias("k"), F.min(F.struct("ord", "v.at")).alias("f"))
+    top = best_of(counted, F.col("kind"), F.desc("k"), F.col("f"), limit=facets)
+    listed = top.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", F.concat_ws(":", "kind", "value").alias("t")))), lambda x: x["t"]), "|").alias("facets"))
+    both = queries.select("qid").join(n, "qid", "left").join(shown, "qid", "left").join(listed, "qid", "left")
     status = F.when(F.coalesce("n", F.lit(0)) == 0, "no_hit").when(F.col("n") == 1, "detail").otherwise("choices")
-    shown = F.array_join(F.transform(F.slice("all", 1, previews), lambda x: x["title"]), " / ")
-    return both.select("qid", status.alias("status"), F.coalesce(shown, F.lit("")).alias("preview"))
+    return both.select("qid", status.alias("status"), F.coalesce("preview", F.lit("")).alias("preview"), F.when(F.col("n") > 1, F.col("facets")).otherwise("").alias("facets"))
 
 
 def ask(questions: DataFrame, entries: DataFrame, fragments: DataFrame, *, now: Column, intents: dict[str, list[str]] = INTENTS) -> DataFrame:

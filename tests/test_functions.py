@@ -99,3 +99,24 @@ def test_commands_and_refinements(spark):
     got = rows.select(routing.command(F.col("x"), F.lit(False)).alias("c"), routing.refinement(F.col("x")).alias("r")).collect()
     assert [(r.c.action, r.c.ttl_seconds) for r in got] == [("pause", 120), ("resume", None), (None, None), (None, None), ("resume", None)]
     assert got[3].r.value == "sea view" and got[0].r is None
+
+
+def test_signatures(spark):
+    import base64
+    import hashlib
+    import hmac
+
+    from fernglass.functions import text as T
+
+    for key in (b"k", b"long key " * 20):
+        for text in ("", "a/b?c=1", "日本"):
+            want = base64.urlsafe_b64encode(hmac.new(key, text.encode(), hashlib.sha256).digest()).rstrip(b"=").decode()
+            assert one(spark, text, lambda c, key=key: T.signature(c, key)) == want
+
+
+def test_report_orders(spark):
+    from fernglass.operators import analytics as A
+
+    g = spark.createDataFrame([("い", 2), ("ア", 2), ("b", 5), ("B", 1)], "question string, n long")
+    got = {s: [r.question for r in A.report_filter(g, sort=s).collect()] for s in ("cnt_desc", "cnt_asc", "alpha")}
+    assert got == {"cnt_desc": ["b", "ア", "い"] + ["B"], "cnt_asc": ["B", "ア", "い", "b"], "alpha": ["b", "B", "ア", "い"]}
