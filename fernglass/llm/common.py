@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import threading
 import uuid
 import zipfile
 from collections.abc import Iterator
@@ -18,7 +19,12 @@ TEXT_ROWS = 1024
 #: White space between words, as ASCII has it.
 WS = r"[\x20\x09-\x0D]+"
 
-_tables: list[str | None] = []
+_made = threading.local()
+
+
+def _tables() -> list[str | None]:
+    """The working tables of this thread, so that queries in several threads leave each other's alone."""
+    return _made.__dict__.setdefault("paths", [])
 
 
 def prepare(spark: SparkSession) -> None:
@@ -48,23 +54,23 @@ def _shared(spark: SparkSession) -> str | None:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder of the cluster, kept in mind for release."""
-    _tables.append(f"{_shared(spark).rstrip('/')}/fernglass-{name}-{uuid.uuid4().hex}")
-    return _tables[-1]
+    _tables().append(f"{_shared(spark).rstrip('/')}/fernglass-{name}-{uuid.uuid4().hex}")
+    return _tables()[-1]
 
 
 def made() -> int:
     """How many working tables there have been so far."""
-    return len(_tables)
+    return len(_tables())
 
 
 def release(spark: SparkSession, first: int = 0, last: int | None = None) -> None:
     """Delete the working tables from number `first` to before `last`. What is read from them must be written or collected."""
-    jvm = spark._jvm
-    for i, path in list(enumerate(_tables))[first:last]:
+    jvm, tables = spark._jvm, _tables()
+    for i, path in list(enumerate(tables))[first:last]:
         if path is not None:
             where = jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-            _tables[i] = None
+            tables[i] = None
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

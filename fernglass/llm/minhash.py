@@ -266,6 +266,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, doc
     # a signature is in at least one row of each class: the first of each batch
     classes = some.groupBy("d1", "d2").agg(F.min("doc").alias("first"), F.first("n").alias("n"), F.first("bands", ignorenulls=True).alias("bands"))
     classes = common.written(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
+    first = common.made()
     banded = classes.select("class", "n", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1")
     members = common.written(banded.join(shared, "bucket"), "members")
@@ -286,7 +287,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, doc
     picks = picks.select("bucket", F.col("p.class").alias("b"), F.col("p.n").alias("bn"))
     pairs = pairs.unionByName(many.join(picks, "bucket").where((F.col("class") != F.col("b")) & fits(F.col("n"), F.col("bn"))).select(F.greatest("class", "b").alias("a"), F.least("class", "b").alias("b")))
     links = common.written(_verified(pairs.distinct(), sets, percent), "links")
-    labels = common.written(components(links), "labels")
+    labels, kept = common.written(components(links), "labels"), common.made() - 1
 
     labelled = many.join(labels, many["class"] == labels.node, "left").select("bucket", "class", "n", F.coalesce("component", "class").alias("component"))
     parts = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
@@ -294,7 +295,9 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, doc
     if not left.isEmpty():
         more = common.written(_verified(rare_pairs(left, sets, percent), sets, percent), "links")
         if not more.isEmpty():
-            labels = common.written(components(links.unionByName(more)), "labels")
+            labels, kept = common.written(components(links.unionByName(more)), "labels"), common.made() - 1
+    common.release(spark, first, kept)
+    common.release(spark, kept + 1)
 
     named = classes.join(labels, classes["class"] == labels.node, "left").select("d1", "d2", "first", F.coalesce("component", "class").alias("component"))
     least = named.groupBy("component").agg(F.min("first").alias("least"))
