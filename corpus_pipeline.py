@@ -59,9 +59,10 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     names = [f"c{i}" for i in range(len(docs.columns))]
     plain = docs.toDF(*names)
-    digest = F.xxhash64(*names)
+    digest, first = F.xxhash64(*names), common.made()
     mix = mixing.mix(plain, doc_id=_plain(docs, "doc_id"), text=_plain(docs, "text"), source=_plain(docs, "source"), identity=digest)
     passes = mix.served.groupBy("row", "pass").agg(F.first("doc_id").alias("doc_id"), F.first("digest").alias("digest"), F.first("size").alias("size"), F.sum("words").alias("words"), F.min("finish").alias("finish"), F.min("place").alias("place"))
+    common.release(spark, first, common.made() - 1)  # all but the mix itself
     last = F.lit((1 << 63) - 1)
     passes = passes.where(2 * F.col("words") >= F.col("size")).select(F.coalesce("doc_id", last).alias("key"), "digest", "finish", "place")
     rows = plain.select("*", F.coalesce(F.col(_plain(docs, "doc_id")).cast("long"), last).alias("key"), digest.alias("digest")).dropDuplicates(["key", "digest"])
