@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernglass.llm import common, fingerprint, html_extract, line_dedup, minhash, mixing, packing, quality_rules, suffix_dedup, token_counts, token_orc
+from fernglass.llm import clustering, common, fingerprint, html_extract, line_dedup, minhash, mixing, packing, quality_rules, suffix_dedup, token_counts, token_orc
 
 
 def tokenizer(name: str = "word_bpe_49k.json") -> str:
@@ -69,6 +69,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.report(spark, *clustering.cluster(_table(spark, sf_dir, "embeddings")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extract": op1_html_extract,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -80,8 +84,38 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_minhash": op9_minhash,
     "op10_line_dedup": op10_line_dedup,
+    "op13_centroids": op13_centroids,
 }
 
+
+def _centroid_sql(rounds: int = 5, k: int = 40, dims: int = 64) -> str:
+    """Rounds as tables that follow each other, each with the centroids so far."""
+    square = f"list_sum(list_transform(range(1, {dims + 1}), lambda i: (q.v[i] - c.v[i]) * (q.v[i] - c.v[i])))"
+    steps = [f"""
+q AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x) OR abs(x) >= 524288)) = 0),
+c0 AS (
+  SELECT CAST(row_number() OVER (ORDER BY h) - 1 AS INTEGER) AS cluster, v FROM (
+    SELECT sha256('2:' || CAST(vec_id AS VARCHAR)) AS h, v FROM q ORDER BY h LIMIT {k}))"""]
+    for r in range(rounds + 1):
+        steps.append(f"""
+a{r} AS (
+  SELECT vec_id, q_v, s // {k} AS distance, CAST(s % {k} AS INTEGER) AS cluster FROM (
+    SELECT q.vec_id, any_value(q.v) AS q_v, CAST(min({square} * {k} + c.cluster) AS BIGINT) AS s FROM q, c{r} c GROUP BY q.vec_id))""")
+        if r < rounds:
+            steps.append(f"""
+m{r} AS (
+  SELECT cluster, list(CAST(m AS BIGINT) ORDER BY i) AS v FROM (
+    SELECT cluster, i, (sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS m
+    FROM (SELECT cluster, unnest(q_v) AS x, unnest(range(1, {dims + 1})) AS i FROM a{r}) GROUP BY cluster, i) GROUP BY cluster),
+c{r + 1} AS (SELECT c.cluster, coalesce(m.v, c.v) AS v FROM c{r} c LEFT JOIN m{r} m ON m.cluster = c.cluster)""")
+    return "WITH" + ",".join(steps) + f"""
+SELECT a.vec_id, a.cluster, a.distance, CAST(sum(a.distance) OVER (PARTITION BY a.cluster) AS BIGINT) AS cluster_inertia,
+  CAST(sum(a.distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON c.cluster = a.cluster
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op10_line_dedup": r"""
 WITH l AS (
@@ -94,4 +128,5 @@ SELECT k.doc_id, count(*) AS n_lines, count(*) FILTER (WHERE g.key IS NOT NULL A
   sha256(coalesce(string_agg(k.line, chr(10) ORDER BY k.pos) FILTER (WHERE g.key IS NULL OR g.first_doc = k.doc_id), '')) AS kept_sha256
 FROM k LEFT JOIN g ON g.key = k.key GROUP BY k.doc_id
 """,
+    "op13_centroids": _centroid_sql(),
 }
