@@ -22,9 +22,9 @@ from fernglass.llm.tokens import texts
 #: longest letter sequence.
 LABELLED, FEATURES, SWAPS, SHORTEST, LONGEST = 20_000, 4000, 6, 4, 6
 #: Weight of the squared weights.
-RIDGE = 0.003
+RIDGE = 3e-5
 #: How far a feature's share in toxic texts must be from its share in others, in standard errors, and in how many texts it must be.
-FAR, LEAST = 4.0, 3
+FAR, LEAST = 5.0, 3
 #: Words that a worker keeps, and the longest of them in characters.
 ROOM, LONG = 400_000, 64
 # names of groups and, as what they may be swapped for too, words that name nobody's group
@@ -53,7 +53,7 @@ def features(word: str) -> list[int]:
 
 @dataclass(frozen=True)
 class Model:
-    """Weights by feature and a bias; `threshold` is a score of one half."""
+    """Weights by feature, and a bias."""
 
     weights: dict[int, float]
     bias: float
