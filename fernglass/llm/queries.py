@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernglass.llm import clustering, common, fingerprint, html_extract, line_dedup, minhash, mixing, packing, quality_rules, suffix_dedup, token_counts, token_orc, toxicity
+from fernglass.llm import clustering, common, fingerprint, html_extract, line_dedup, minhash, mixing, packing, quality_rules, suffix_dedup, token_alignment, token_counts, token_orc, toxicity
 
 
 def tokenizer(name: str = "word_bpe_49k.json") -> str:
@@ -69,6 +69,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.link_report(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
 def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
@@ -89,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_minhash": op9_minhash,
     "op10_line_dedup": op10_line_dedup,
+    "op11_alignment": op11_alignment,
     "op12_toxicity": op12_toxicity,
     "op13_centroids": op13_centroids,
 }
