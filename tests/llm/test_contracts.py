@@ -23,6 +23,9 @@ COLUMNS = {
     "op8_quality_rules": "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean",
     "op9_minhash": "doc_id bigint, n_shingles bigint, component_id bigint, kept boolean",
     "op10_line_dedup": "doc_id bigint, n_lines bigint, n_dropped bigint, kept_sha256 string",
+    "op11_alignment": "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string",
+    "op12_toxicity": "doc_id bigint, held_out boolean, score double, predicted int",
+    "op13_centroids": "vec_id bigint, cluster int, distance bigint, cluster_inertia bigint, inertia bigint, centroid_sha256 string",
 }
 sha = lambda b: hashlib.sha256(b).hexdigest()
 
