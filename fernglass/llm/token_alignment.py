@@ -282,14 +282,14 @@ def alignments(docs: DataFrame, tokenizer_a: str, tokenizer_b: str, *, doc_id: s
 _PART = "chunk long, kind int, at long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, links array<int>, codes array<long>, counts array<long>"
 
 
-def link_report(docs: DataFrame, tokenizer_a: str, tokenizer_b: str, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def link_report(docs: DataFrame, tokenizer_a: str, tokenizer_b: str, *, doc_id: str = "doc_id", text: str = "text", links: int = LINKS, row: int = ROW) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of every row.
 
     The count of an (A id, B id) pair is the number of links of all texts that hold it; n_best is how many of a text's links have
     the highest count of their B id, count_sum the sum of its links' counts. Texts without tokens, as in `alignments`, have
     zeros and an empty digest.
 
-    Tasks gather the links of texts in chunks of about LINKS; a chunk gives each of its pairs out once with its number, so a pair
+    Tasks gather the links of texts in chunks of about `links`; a chunk gives each of its pairs out once with its number, so a pair
     that every text has is as many rows as there are chunks, and texts keep their links as places in the chunk's list.
     Pairs are added up and come back to their chunk, sorted before its texts, and are read in a stream. What is
     broadcast is one row for each id of B at most.
@@ -317,18 +317,18 @@ def link_report(docs: DataFrame, tokenizer_a: str, tokenizer_b: str, *, doc_id:
 
             place, own = pd.factorize(np.concatenate(codes))
             counts = np.bincount(place, minlength=len(own))
-            for i in range(0, len(own), ROW):
-                of = own[i : i + ROW]
+            for i in range(0, len(own), row):
+                of = own[i : i + row]
                 edge = pa.array([0, len(of)], pa.int32())
-                yield out(1, {"chunk": pa.array([chunk]), "kind": pa.array([0], pa.int32()), "at": pa.array([i]), "codes": pa.ListArray.from_arrays(edge, pa.array(of)), "counts": pa.ListArray.from_arrays(edge, pa.array(counts[i : i + ROW]))})
-            at = row = 0
+                yield out(1, {"chunk": pa.array([chunk]), "kind": pa.array([0], pa.int32()), "at": pa.array([i]), "codes": pa.ListArray.from_arrays(edge, pa.array(of)), "counts": pa.ListArray.from_arrays(edge, pa.array(counts[i : i + row]))})
+            at = line = 0
             place = place.astype(np.int32)
             for ids, x, digests in kept:
-                k, links = len(x.n_a), int(x.n_links.sum())
+                k, m = len(x.n_a), int(x.n_links.sum())
                 edge = pa.array(np.concatenate([[0], np.cumsum(x.n_links)]), pa.int32())
-                yield out(k, {"chunk": pa.array(np.full(k, chunk)), "kind": pa.array(np.ones(k, np.int32)), "at": pa.array(np.arange(row, row + k)), "doc_id": ids, "n_a": pa.array(x.n_a), "n_b": pa.array(x.n_b), "n_groups": pa.array(x.n_groups),
-                    "n_links": pa.array(x.n_links), "groups_sha256": pa.array(digests), "links": pa.ListArray.from_arrays(edge, pa.array(place[at : at + links]))})
-                at, row = at + links, row + k
+                yield out(k, {"chunk": pa.array(np.full(k, chunk)), "kind": pa.array(np.ones(k, np.int32)), "at": pa.array(np.arange(line, line + k)), "doc_id": ids, "n_a": pa.array(x.n_a), "n_b": pa.array(x.n_b), "n_groups": pa.array(x.n_groups),
+                    "n_links": pa.array(x.n_links), "groups_sha256": pa.array(digests), "links": pa.ListArray.from_arrays(edge, pa.array(place[at : at + m]))})
+                at, line = at + m, line + k
 
         for ids, own in _slices(batches):
             x = align(pair, own)
@@ -337,7 +337,7 @@ def link_report(docs: DataFrame, tokenizer_a: str, tokenizer_b: str, *, doc_id:
             x.a = x.b = x.link_a = x.link_b = x.group_a = x.group_b = None
             kept.append((ids, x, digests))
             n += len(codes[-1])
-            if n >= LINKS:
+            if n >= links:
                 yield from flush()
                 kept, codes, n, chunk = [], [], 0, chunk + 1
         if kept:

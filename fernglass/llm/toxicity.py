@@ -27,12 +27,12 @@ RIDGE = 3e-5
 FAR, LEAST = 5.0, 3
 #: Words that a worker keeps, and the longest of them in characters.
 ROOM, LONG = 400_000, 64
-# names of groups and, as what they may be swapped for too, words that name nobody's group
+# names of groups of people
 IDENTITY = tuple(
     "women woman men man girls boys gay lesbian bisexual transgender straight queer muslim muslims christian christians jewish jews hindu buddhist atheist catholic "
     "black white asian african latino arab indian mexican chinese immigrant immigrants refugee refugees foreigners disabled blind deaf old young elderly "
     "frauen männer schwarze weiße juden muslime christen ausländer flüchtlinge femmes hommes noirs blancs juifs musulmans chrétiens immigrés "
-    "mujeres hombres negros blancos judíos musulmanes cristianos inmigrantes people persons neighbours members".split()
+    "mujeres hombres negros blancos judíos musulmanes cristianos inmigrantes".split()
 )
 _WORD, _SENTENCE = re.compile(r"[^\W\d_]+"), re.compile(r"[^.!?\n]+")
 
@@ -142,20 +142,21 @@ def _counted(np, pa, found, labels):
 
 
 def swaps_of(term: str, terms: tuple[str, ...], k: int) -> list[str]:
-    """The terms that a mention is swapped for: the next k in the list, from its end to its start, and the list's last."""
+    """What a mention is swapped for: the next k terms in the list, from its end to its start, and a word that names no group and that
+    the model knows nothing of, the empty one. Without the latter all terms might share a weight that isn't zero."""
     i = terms.index(term)
-    return sorted({terms[(i + 1 + j) % len(terms)] for j in range(min(k, len(terms) - 1))} | {terms[-1]} - {term})
+    return [*(terms[(i + 1 + j) % len(terms)] for j in range(min(k, len(terms) - 1))), ""]
 
 
 def swapped(sentence: list[str], terms: tuple[str, ...], k: int, of_word) -> list[tuple[tuple[int, ...], tuple[int, ...]]]:
-    """For each identity term in a sentence and each term it is swapped for: the features that come and those that go."""
+    """For each identity term in a sentence and each word it is swapped for: the features that come and those that go."""
     out = []
     for i, w in enumerate(sentence):
         if w in terms:
             rest = {f for j, x in enumerate(sentence) if j != i for f in of_word(x)}
             here = rest.union(of_word(w))
             for other in swaps_of(w, terms, k):
-                there = rest.union(of_word(other))
+                there = rest.union(of_word(other) if other else ())
                 if here != there:
                     out.append((tuple(sorted(there - here)), tuple(sorted(here - there))))
     return out
@@ -166,7 +167,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, rows: int = LABELLED, terms: tupl
     are no counterfactuals.
 
     Features are counted in tasks and chosen by Spark; the texts' chosen features (at most `keep` a text) are what the driver
-    gets. Identity terms are features whether chosen or not. Each pair of a term and one it is swapped for counts as one sentence
+    gets. Identity terms are features whether chosen or not. Each pair of a term and a word it is swapped for counts as one sentence
     besides those of the corpus, so that terms without labelled mentions are held still too. Without labels of both kinds
     the model is the bias alone.
     """
