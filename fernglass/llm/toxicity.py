@@ -9,7 +9,6 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-import zlib
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -25,8 +24,8 @@ LABELLED, FEATURES, SWAPS, SHORTEST, LONGEST = 20_000, 4000, 6, 4, 6
 RIDGE = 3e-5
 #: How far a feature's share in toxic texts must be from its share in others, in standard errors, and in how many texts it must be.
 FAR, LEAST = 5.0, 3
-#: Words that a worker keeps, and the longest of them in characters.
-ROOM, LONG = 400_000, 64
+#: Pieces that a worker keeps, the longest of them in characters, new ones that are read at once, and characters of texts at once.
+ROOM, LONG, CALL, SLICE = 400_000, 64, 20_000, 1 << 21
 # names of groups of people
 IDENTITY = tuple(
     "women woman men man girls boys gay lesbian bisexual transgender straight queer muslim muslims christian christians jewish jews hindu buddhist atheist catholic "
@@ -37,18 +36,55 @@ IDENTITY = tuple(
 _WORD, _SENTENCE = re.compile(r"[^\W\d_]+"), re.compile(r"[^.!?\n]+")
 
 
-def words(piece: str) -> list[str]:
-    """The words of letters in a piece of text, in one form of letters and case."""
-    return _WORD.findall(unicodedata.normalize("NFKC", piece).casefold())
+def words(pieces: list[str]) -> list[list[str]]:
+    """The words of letters in each piece of text, in one form of letters and case. Pieces have no line feed."""
+    lines = unicodedata.normalize("NFKC", "\n".join(pieces)).casefold().split("\n") if pieces else []
+    return [[x] if x.isalpha() else _WORD.findall(x) for x in lines]
 
 
-def features(word: str) -> list[int]:
-    """A word as a whole and its letter sequences with the word's bounds, each as a 32-bit number."""
-    w = f"<{word}>"
-    out = {zlib.crc32(f"={word}".encode())}
+def features(of: list[str]):
+    """Features of each word, as 64-bit numbers, and the place of each one's word: the word as a whole, and its letter sequences
+    with the word's bounds. A feature that a word has twice may come twice."""
+    import numpy as np
+
+    if not of:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    letters = np.frombuffer("".join([f"<{w}>" for w in of]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    lengths = np.array([len(w) + 2 for w in of])
+    owner = np.repeat(np.arange(len(of)), lengths)
+    starts = np.cumsum(lengths) - lengths
+    odd = (letters + np.uint64(0x9E3779B9)) * np.uint64(0xBF58476D1CE4E5B9)
+    odd ^= odd >> np.uint64(31)
+    powers = np.cumprod(np.full(int(lengths.max()), 0x94D049BB133111EB, np.uint64))
+    whole = np.add.reduceat(odd * powers[np.arange(len(owner)) - starts[owner]], starts)
+    ids, owners = [whole ^ (whole >> np.uint64(32))], [np.arange(len(of))]
     for n in range(SHORTEST, LONGEST + 1):
-        out.update(zlib.crc32(w[i : i + n].encode()) for i in range(len(w) - n + 1))
-    return sorted(out)
+        last = len(odd) - n + 1
+        h = np.full(max(0, last), n, np.uint64)
+        for i in range(n if last > 0 else 0):
+            h = (h ^ odd[i : last + i]) * np.uint64(0x9FB21C651E98DF25)
+            h ^= h >> np.uint64(29)
+        inside = owner[: max(0, last)] == owner[n - 1 :][: max(0, last)]
+        ids.append(h[inside])
+        owners.append(owner[: max(0, last)][inside])
+    return np.concatenate(ids).view(np.int64), np.concatenate(owners)
+
+
+def _of_words(of: list[str], chosen) -> dict[str, tuple[int, ...]]:
+    """The chosen features of each word, chosen: their sorted numbers."""
+    import numpy as np
+
+    ids, owner = features(of)
+    if len(chosen):
+        place = np.minimum(np.searchsorted(chosen, ids), len(chosen) - 1)
+        own = chosen[place] == ids
+        ids, owner = ids[own], owner[own]
+    else:
+        ids, owner = ids[:0], owner[:0]
+    out: dict[str, set] = {}
+    for w, f in zip(owner.tolist(), ids.tolist()):
+        out.setdefault(of[w], set()).add(f)
+    return {w: tuple(sorted(f)) for w, f in out.items()}
 
 
 @dataclass(frozen=True)
@@ -58,32 +94,36 @@ class Model:
     weights: dict[int, float]
     bias: float
 
-    def of_word(self, word: str) -> tuple[int, ...]:
-        return tuple(f for f in features(word) if f in self.weights)
-
     def score(self, found) -> float:
         z = self.bias + math.fsum(self.weights[f] for f in found)
         return 1 / (1 + math.exp(-z)) if z > -700 else 0.0
 
 
 class _Reader:
-    """What a text has of the features that count: each once. White-space-separated pieces are looked up."""
+    """What texts have of the chosen features: each once. White-space-separated pieces are looked up; new ones of a batch of texts
+    are read together."""
+
+    def __init__(self, chosen):
+        import numpy as np
 
-    def __init__(self, of_word):
-        self.of_word, self.known = of_word, {}
+        self.chosen, self.known = np.sort(np.array([*chosen], np.int64)), {}
 
-    def found(self, text: str) -> set[int]:
-        pieces = set(text.split())
-        if len(self.known) > ROOM:
+    def found(self, all_texts: list[str]) -> list[set[int]]:
+        own = [set(t.split()) for t in all_texts]
+        new = sorted(set().union(*own).difference(self.known))
+        if len(self.known) + len(new) > ROOM:
             self.known = {}
-        long = []
-        for p in pieces.difference(self.known):
-            self.known[p] = tuple({f for w in words(p) for f in self.of_word(w)})
+            new = sorted(set().union(*own))
+        for i in range(0, len(new), CALL):
+            part = new[i : i + CALL]
+            of = words(part)
+            got = _of_words([*dict.fromkeys(w for x in of for w in x)], self.chosen)
+            for p, x in zip(part, of):
+                self.known[p] = tuple({f for w in x for f in got.get(w, ())})
+        out = [set().union(*map(self.known.__getitem__, x)) for x in own]
+        for p in new:
             if len(p) > LONG:
-                long.append(p)
-        out = set().union(*map(self.known.__getitem__, pieces))
-        for p in long:
-            del self.known[p]
+                del self.known[p]
         return out
 
 
@@ -109,20 +149,24 @@ def _selected(sample: DataFrame, keep: int) -> list[int]:
         import numpy as np
         import pyarrow as pa
 
-        known, found, labels = {}, [], []
-        for b in common.small(batches):
-            for t, y in zip(texts(b.column(0)), b.column(1).to_pylist()):
-                own = {w for p in set(t.decode("utf-8", "replace").split()) for w in words(p)}
-                for w in own.difference(known):
-                    known[w] = np.array(features(w), np.uint32)
-                if own:
-                    found.append(np.unique(np.concatenate([known[w] for w in own])))
-                    labels.append(np.full(len(found[-1]), y, np.int64))
-            if known and len(known) > ROOM:
-                known = {}
+        for all_texts, y in _texts(batches, 0, 1):
+            own = [set(t.split()) for t in all_texts]
+            pieces = sorted(set().union(*own))
+            place = {p: i for i, p in enumerate(pieces)}
+            of = words(pieces)
+            names = [*dict.fromkeys(w for x in of for w in x)]
+            number = {w: i for i, w in enumerate(names)}
+            ids, owner = features(names)
+            order = np.argsort(owner, kind="stable")
+            ids, edge = ids[order], np.searchsorted(owner[order], np.arange(len(names) + 1))
+            found, labels = [], []
+            for x, label in zip(own, y):
+                mine = {number[w] for p in x for w in of[place[p]]}
+                if mine:
+                    found.append(np.unique(np.concatenate([ids[edge[i] : edge[i + 1]] for i in mine])))
+                    labels.append(np.full(len(found[-1]), label, np.int64))
             if found:
                 yield from _counted(np, pa, found, labels)
-                found, labels = [], []
 
     parts = sample.mapInArrow(count, "f long, toxic long, n long").groupBy("f").agg(F.sum("toxic").alias("a"), F.sum("n").alias("n"))
     total = sample.agg(F.sum("y").alias("a"), F.count("*").alias("n")).first()
@@ -134,11 +178,22 @@ def _selected(sample: DataFrame, keep: int) -> list[int]:
     return [r.f for r in top.select("f").collect()]
 
 
+def _texts(batches, text: int, other: int):
+    """Texts of Arrow batches and another column's values, about SLICE characters at once."""
+    for b in common.small(batches):
+        at, size, all_texts = 0, 0, [t.decode("utf-8", "replace") for t in texts(b.column(text))]
+        for i, t in enumerate(all_texts):
+            size += len(t)
+            if size >= SLICE or i + 1 == len(all_texts):
+                yield all_texts[at : i + 1], b.column(other).slice(at, i + 1 - at).to_pylist()
+                at, size = i + 1, 0
+
+
 def _counted(np, pa, found, labels):
     f, y = np.concatenate(found), np.concatenate(labels)
     own, place, n = np.unique(f, return_inverse=True, return_counts=True)
     toxic = np.bincount(place, weights=y, minlength=len(own)).astype(np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int64)), pa.array(toxic), pa.array(n.astype(np.int64))], ["f", "toxic", "n"])
+    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(toxic), pa.array(n.astype(np.int64))], ["f", "toxic", "n"])
 
 
 def swaps_of(term: str, terms: tuple[str, ...], k: int) -> list[str]:
@@ -148,15 +203,15 @@ def swaps_of(term: str, terms: tuple[str, ...], k: int) -> list[str]:
     return [*(terms[(i + 1 + j) % len(terms)] for j in range(min(k, len(terms) - 1))), ""]
 
 
-def swapped(sentence: list[str], terms: tuple[str, ...], k: int, of_word) -> list[tuple[tuple[int, ...], tuple[int, ...]]]:
+def swapped(sentence: list[str], terms: tuple[str, ...], k: int, of_word: dict[str, tuple[int, ...]]) -> list[tuple[tuple[int, ...], tuple[int, ...]]]:
     """For each identity term in a sentence and each word it is swapped for: the features that come and those that go."""
     out = []
     for i, w in enumerate(sentence):
         if w in terms:
-            rest = {f for j, x in enumerate(sentence) if j != i for f in of_word(x)}
-            here = rest.union(of_word(w))
+            rest = {f for j, x in enumerate(sentence) if j != i for f in of_word.get(x, ())}
+            here = rest.union(of_word.get(w, ()))
             for other in swaps_of(w, terms, k):
-                there = rest.union(of_word(other) if other else ())
+                there = rest.union(of_word.get(other, ()))
                 if here != there:
                     out.append((tuple(sorted(there - here)), tuple(sorted(here - there))))
     return out
@@ -174,28 +229,25 @@ def fit(docs: DataFrame, labels: DataFrame, *, rows: int = LABELLED, terms: tupl
     spark = docs.sparkSession
     common.prepare(spark)
     sample = common.written(labelled_sample(docs, labels, rows=rows, fold=fold), "labelled")
-    terms = tuple(dict.fromkeys(w for t in terms for w in words(t)))
+    terms = tuple(dict.fromkeys(w for x in words(list(terms)) for w in x))
     chosen = dict.fromkeys(_selected(sample, keep))
-    chosen.update(dict.fromkeys(zlib.crc32(f"={t}".encode()) for t in terms))
+    chosen.update(dict.fromkeys(features(list(terms))[0][: len(terms)].tolist()))  # those of whole words come first
     names = set(terms)
 
     def read(batches):
         import pyarrow as pa
 
-        of_word = _memo(lambda w: [f for f in features(w) if f in chosen])
-        reader = _Reader(of_word)
-        for b in common.small(batches):
-            found, changes = [], []
-            for t in texts(b.column(0)):
-                text, own = t.decode("utf-8", "replace"), {}
-                found.append(sorted(reader.found(text)))
-                for s in _SENTENCE.findall(text) if strength else ():
-                    sentence = words(s)
+        reader = _Reader(chosen)
+        for all_texts, y in _texts(batches, 0, 1):
+            found, changes = [sorted(x) for x in reader.found(all_texts)], []
+            for t in all_texts:
+                own = {}
+                for sentence in words(_SENTENCE.findall(t)) if strength else ():
                     if not names.isdisjoint(sentence):
-                        for change in swapped(sentence, terms, SWAPS, of_word):
+                        for change in swapped(sentence, terms, SWAPS, _of_words([*dict.fromkeys((*sentence, *terms))], reader.chosen)):
                             own[change] = own.get(change, 0) + 1
                 changes.append([{"come": list(c), "go": list(g), "n": n} for (c, g), n in own.items()])
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int64())), b.column(1), pa.array(changes, pa.list_(_CHANGE()))], ["found", "y", "changes"])
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int64())), pa.array(y, pa.int32()), pa.array(changes, pa.list_(_CHANGE()))], ["found", "y", "changes"])
 
     seen = common.written(sample.mapInArrow(read, "found array<long>, y int, changes array<struct<come: array<long>, go: array<long>, n: long>>"), "found")
     learned = sorted((r.found, r.y) for r in seen.select("found", "y").collect())
@@ -203,8 +255,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, rows: int = LABELLED, terms: tupl
     counted = seen.select(change).groupBy("c.come", "c.go").agg(F.sum("c.n").alias("n")) if strength else None
     # kinds of change number at most the terms times their swaps times the features that a sentence may share with them
     changes = sorted((tuple(r.come), tuple(r.go), r.n) for r in counted.collect()) if strength else []
-    of_word = _memo(lambda w: [f for f in features(w) if f in chosen])
     if strength:
+        of_word = _of_words(list(terms), _Reader(chosen).chosen)
         changes += [(*c, 1) for t in terms for c in swapped([t], terms, SWAPS, of_word)]
     return _regression(learned, changes, list(chosen), strength, ridge)
 
@@ -215,19 +267,6 @@ def _CHANGE():
     return pa.struct([("come", pa.list_(pa.int64())), ("go", pa.list_(pa.int64())), ("n", pa.int64())])
 
 
-def _memo(f):
-    known = {}
-
-    def get(x):
-        if x not in known:
-            if len(known) > ROOM:
-                known.clear()
-            known[x] = f(x)
-        return known[x]
-
-    return get
-
-
 def _regression(learned, changes, chosen: list[int], strength: float, ridge: float, steps: int = 600) -> Model:
     """Minimise mean log loss + ridge / 2 * |w|^2 + strength / 2 * weighted mean squared change, by accelerated gradient steps."""
     import numpy as np
@@ -292,7 +331,7 @@ def score(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str =
         model = shared.value
         reader = _reader(model)
         for b in common.small(batches):
-            got = [model.score(reader.found(t.decode("utf-8", "replace"))) for t in texts(b.column(2))]
+            got = [model.score(x) for own, _ in _texts([b], 2, 0) for x in reader.found(own)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, pa.float64()), pa.array((int(s >= 0.5) for s in got), pa.int32())], ["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), _held_out(doc_id, fold).alias("held_out"), F.col(text).cast("string").alias("text"))
@@ -307,5 +346,5 @@ def _reader(model: Model) -> _Reader:
     key = hash((model.bias, frozenset(model.weights.items())))
     if key not in _readers:
         _readers.clear()
-        _readers[key] = _Reader(model.of_word)
+        _readers[key] = _Reader(model.weights)
     return _readers[key]

@@ -37,7 +37,7 @@ def tables(spark):
 
 def score_of(model, text):
     """The model's sum, without tables of pieces."""
-    found = {f for w in toxicity.words(text) for f in toxicity.features(w) if f in model.weights}
+    found = {f for x in toxicity.words(text.split()) for w in x for f in toxicity.features([w])[0].tolist() if f in model.weights}
     return 1 / (1 + math.exp(-model.bias - sum(model.weights[f] for f in found)))
 
 
@@ -84,10 +84,9 @@ def test_swaps():
     assert toxicity.swaps_of("women", TERMS, 2) == ["muslims", "immigrants", ""]
     assert toxicity.swaps_of("sailors", TERMS, 9) == ["women", "muslims", "immigrants", "gardeners", ""]
     features = {"women": (1, 2), "muslims": (2, 3), "immigrants": (4,), "and": (3,)}
-    of_word = lambda w: features.get(w, ())
-    assert toxicity.swapped(["women", "and"], TERMS, 1, of_word) == [((), (1,)), ((), (1, 2))]
-    assert toxicity.swapped(["muslims", "x", "women"], TERMS, 1, of_word) == [((4,), (3,)), ((), (3,)), ((), (1,)), ((), (1,))]
-    assert toxicity.swapped(["no", "terms"], TERMS, 1, of_word) == []
+    assert toxicity.swapped(["women", "and"], TERMS, 1, features) == [((), (1,)), ((), (1, 2))]
+    assert toxicity.swapped(["muslims", "x", "women"], TERMS, 1, features) == [((4,), (3,)), ((), (3,)), ((), (1,)), ((), (1,))]
+    assert toxicity.swapped(["no", "terms"], TERMS, 1, features) == []
 
 
 def test_held_out_labels(spark):
