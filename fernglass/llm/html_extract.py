@@ -15,12 +15,12 @@ from pyspark.sql import functions as F
 
 from fernglass.llm import common
 
-#: A comment, a raw-text element as a whole, a tag with quoted values, any other tag or declaration.
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|textarea|svg|iframe|title)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|</?[a-zA-Z][^>]*>|<[!?/][^>]*>",
-    re.S | re.I,
-)
+#: A tag without angle brackets in its name and values: a try ends at the next bracket, so it costs no more than what it reads.
+_PLAIN = re.compile(r"""<(/?)([a-zA-Z][^\s/<>"']*+)((?:[^<>"']++|"[^"<>]*+"|'[^'<>]*+')*+)>""")
+_NAME, _STOP = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)"), re.compile("[>\"']")
+#: Elements whose content is no markup, or that are left out as a whole.
+_RAW = re.compile(r"<(script|style|noscript|template|textarea|svg|iframe|title)\b", re.I)
+_RAW_END = {t: re.compile(rf"</{t}\s*+>", re.I) for t in "script style noscript template textarea svg iframe title".split()}
 _ATTR = re.compile(r"""(?<![^\s"'/])([^\s"'>/=]++)\s*+=\s*+("[^"]*"|'[^']*'|[^\s>]+)""")
 # fixed values: element names of HTML, and names that pages give to what is not their text
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -81,6 +81,57 @@ def _general(tag: str, words: list[str]) -> str:
     return tag + "".join(f".{n}" for n in sorted({re.sub(r"\d+", "#", w) for w in words}))
 
 
+def _tokens(page: str):
+    """Markup of a page in its order: start, end, whether it is an end tag, tag, attributes; the tag is None for comments,
+    declarations, raw elements and tags that a quote breaks.
+
+    Every character is passed once: a tag that has no end is text, as is all after the last bracket; a quote that isn't closed
+    ends at the next bracket, and after one that isn't the page's tags end at their first bracket.
+    """
+    at, last, quotes = page.find("<"), page.rfind(">"), True
+    while 0 <= at < last:
+        end, closing, tag, attrs = 0, "", None, ""
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4) + 3
+            end = end if end > 2 else len(page)
+        elif m := _RAW.match(page, at):
+            inside = page.find(">", m.end()) + 1
+            close = _RAW_END[m[1].lower()].search(page, inside)
+            end = close.end() if close else len(page)
+        elif m := _PLAIN.match(page, at):
+            end, (closing, tag, attrs) = m.end(), m.groups()
+        elif m := _NAME.match(page, at):
+            stop = _end_of_tag(page, m.end()) if quotes else page.find(">", m.end())
+            if stop < 0:
+                quotes, stop = False, page.find(">", m.end())
+            else:
+                closing, tag = m.groups()
+                attrs = page[m.end() : stop]
+            end = stop + 1
+        elif page[at + 1 : at + 2] in ("!", "?", "/"):
+            end = page.find(">", at) + 1
+        if end:
+            yield at, end, closing, tag, attrs
+        at = page.find("<", max(end, at + 1))
+    # a comment or declaration that is never closed, after the last bracket
+    while at >= 0:
+        if page.startswith("<!--", at):
+            yield at, len(page), "", None, ""
+            return
+        at = page.find("<", at + 1)
+
+
+def _end_of_tag(page: str, at: int) -> int:
+    """The bracket that ends a tag, outside of quotes; -1 where a quote or the tag isn't closed."""
+    while m := _STOP.search(page, at):
+        if m[0] == ">":
+            return m.start()
+        at = page.find(m[0], m.end()) + 1
+        if not at:
+            return -1
+    return -1
+
+
 def parse(page: str, by_name: bool = True):
     """Containers and blocks of a page: containers as (tag with names, parent, tag), in the order of their start tags;
     blocks as (container, text, link characters). The time is linear in the page: what is open is known by tag.
@@ -131,14 +182,13 @@ def parse(page: str, by_name: bool = True):
         while len(stack) > depth:
             pop()
 
-    for m in _TOKEN.finditer(page):
-        if not skip and m.start() > at:
-            text = _html.unescape(page[at : m.start()])
+    for start, end, closing, tag, attrs in _tokens(page):
+        if not skip and start > at:
+            text = _html.unescape(page[at:start])
             buffer.append(text)
             if link:
                 linked += len(text)
-        at = m.end()
-        tag = m["tag"]
+        at = end
         if tag is None:
             continue
         tag = tag.lower()
@@ -149,16 +199,16 @@ def parse(page: str, by_name: bool = True):
             flush()
         elif tag in _INLINE:
             if tag == "a":
-                link = 0 if m["end"] else 1
-            elif not m["end"] and by_name and m["attrs"]:
-                words, role = _named(m["attrs"])
+                link = 0 if closing else 1
+            elif not closing and by_name and attrs:
+                words, role = _named(attrs)
                 if _is_boilerplate(tag, role) or _is_marked(tag, words):
                     push(stack[-1][0], tag, True, False)
-            if m["end"] and len(stack) > 1 and stack[-1][1] == tag and stack[-1][2]:
+            if closing and len(stack) > 1 and stack[-1][1] == tag and stack[-1][2]:
                 pop()
         elif tag in _VOID:
             continue
-        elif m["end"]:
+        elif closing:
             link = 0
             if places := open_at.get(tag):
                 if tag in _CELLS:
@@ -172,7 +222,7 @@ def parse(page: str, by_name: bool = True):
                 nearest = max([open_at[t][-1] for t in _SELF_CLOSE.get(tag, _P) if open_at.get(t)], default=0)
                 if nearest and nearest >= (bounds[-1] if bounds else 0):
                     pop_to(nearest)
-            words, role = _named(m["attrs"]) if m["attrs"] else ([], "")
+            words, role = _named(attrs) if attrs else ([], "")
             if tag in ("article", "main") and not seen_main and not plain and not _is_marked(tag, words):
                 # an unclosed menu or notice before the text ends where the text begins
                 seen_main = True
@@ -184,7 +234,7 @@ def parse(page: str, by_name: bool = True):
                 flush()
             else:
                 buffer.append(" ")
-            if m["attrs"].rstrip().endswith("/") and tag not in _CLOSES_P:
+            if attrs.rstrip().endswith("/") and tag not in _CLOSES_P:
                 continue
             bad = tag in _NOT_TEXT if not by_name else _is_boilerplate(tag, role)
             mark = by_name and not skip and not bad and _is_marked(tag, words)

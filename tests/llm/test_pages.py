@@ -102,3 +102,24 @@ def test_paths_hold_all_names():
     page = lambda c: f'<body><div class="a b c d {c}"><p>{"word " * 30}</p></div></body>'
     assert H.best_path(page("e"))[0] != H.best_path(page("f"))[0]
     assert H.best_path(page("e7"))[0] == H.best_path(page("e8"))[0]
+
+
+def test_broken_tags_take_linear_time():
+    """A megabyte of tags that nothing closes; what isn't in a tag stays text."""
+    import time
+
+    for unit in ('<a "', "<svg x", "<!-- ", '<a href="<b>', '<a "x>', "<script ", "<a b='\"", "</svg "):
+        for tail in ("", ">", '"', "'>"):
+            page = "<p>some text before</p>" + unit * (1_000_000 // len(unit)) + tail
+            began = time.process_time()
+            got = H.extract(page, [])
+            assert time.process_time() - began < 2 and got.startswith("some text before"), (unit, tail)
+
+
+def test_markup_in_order():
+    page = "a<b>c</b ><!-- <i> --><script>if (a<b) '</p>'</script><p title='x>y' id=\"<\">d<br/>&lt;<1 <x"
+    got = [(page[s:e], closing, tag) for s, e, closing, tag, _ in H._tokens(page)]
+    assert got == [("<b>", "", "b"), ("</b >", "/", "b"), ("<!-- <i> -->", "", None), ("<script>if (a<b) '</p>'</script>", "", None), ("<p title='x>y' id=\"<\">", "", "p"), ("<br/>", "", "br")]
+    # a quote that isn't closed ends at the next bracket
+    assert [tag for *_, tag, _ in H._tokens("<p class=\"q>y</p><b>z</b>")] == [None, "p", "b", "b"]
+    assert [tag for *_, tag, _ in H._tokens("x <!-- never closed <b>")] == [None]
