@@ -57,9 +57,11 @@ def _starts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _with_start(rows: DataFrame) -> DataFrame:
-    """One row for each file meets in one task: as many as the driver lists anyway."""
+    """One row for each file meets in one task: as many as the driver lists anyway. Files follow each other by the number in their
+    name, which has more digits from the hundred thousandth on."""
     totals = rows.groupBy("file").agg(F.sum("n_tokens").alias("t"))
-    before = totals.select("file", F.coalesce(F.sum("t").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("o"))
+    place = F.regexp_extract("file", r"^part-(\d+)", 1).try_cast("long")
+    before = totals.select("file", F.coalesce(F.sum("t").over(Window.orderBy(place, "file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("o"))
     inside = Window.partitionBy("file").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     return rows.withColumn("i", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(before, "file").withColumn("start", F.col("o") + F.col("i")).drop("o", "i")
 

@@ -72,6 +72,32 @@ def test_orc_round_trip(spark, awkward, empty, tmp_path):
     assert spark.read.schema("doc_id long, ids array<int>").orc(str(tmp_path / "none")).count() == 0
 
 
+def test_orc_files_follow_by_number(spark):
+    rows = spark.createDataFrame([("part-100000-x.orc", 0, 5), ("part-99999-x.orc", 0, 7), ("part-99999-x.orc", 1, 2)], "file string, pos long, n_tokens long")
+    assert sorted((r.file, r.pos, r.start) for r in token_orc._with_start(rows).collect()) == [("part-100000-x.orc", 0, 9), ("part-99999-x.orc", 0, 0), ("part-99999-x.orc", 1, 7)]
+
+
+def test_orc_reads_skip_row_groups(spark, tmp_path):
+    """A reader that asks for one id decodes one row group of those in the file: its metadata tell the others apart."""
+    import pyarrow.orc
+
+    path = str(tmp_path / "orc")
+    docs = spark.range(20_000).selectExpr("id as doc_id", "concat('word ', id) as text").repartition(1)
+    token_orc.write_token_orc(docs, path, PATH, end_id=1, index_rows=1000)
+    files = sorted(str(p) for p in tmp_path.glob("orc/part-*.orc"))
+    assert sum(pyarrow.orc.ORCFile(f).nrows for f in files) == 20_000
+    found = spark.read.orc(path).where("doc_id = 12345")
+    assert [r.doc_id for r in found.collect()] == [12345]
+    scan = found._jdf.queryExecution().executedPlan()
+    found._jdf.queryExecution().toRdd().count()
+    while not scan.metrics().contains("numOutputRows"):
+        scan = scan.children().head()
+    leaf = scan
+    while leaf.children().size():
+        leaf = leaf.children().head()
+    assert leaf.metrics().apply("numOutputRows").value() <= 2 * 4096
+
+
 @given(st.lists(st.integers(1, 16), max_size=60))
 def test_first_fit_is_first_fit(lengths):
     rooms, want = [], []
