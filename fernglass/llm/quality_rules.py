@@ -45,40 +45,44 @@ def text_statistics(docs: DataFrame, *, text: str = "text") -> DataFrame:
     """
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *FEATURES[1:]]
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    mark = "_"
+    while any(c.startswith(mark) for c in docs.columns):
+        mark += "_"
+    own = lambda name: mark + name  # noqa: E731  a working column's name, which no column of the table has
     rows = docs.drop(*[c for c in added if c in docs.columns and c != text])
     rows = rows.withColumns({
-        "_words": F.filter(F.split(t, common.WS), lambda w: w != ""),
-        "_lines": F.filter(F.split(t, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")),
+        own("words"): F.filter(F.split(t, common.WS), lambda w: w != ""),
+        own("lines"): F.filter(F.split(t, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")),
         "n_symbols": F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("long"),
-        "_marks": F.regexp_count(t, F.lit(r"[!?]")),
-        "_upper": F.regexp_count(t, F.lit(r"\p{Lu}")),
-        "_digits": F.regexp_count(t, F.lit(r"[0-9]")),
+        own("marks"): F.regexp_count(t, F.lit(r"[!?]")),
+        own("upper"): F.regexp_count(t, F.lit(r"\p{Lu}")),
+        own("digits"): F.regexp_count(t, F.lit(r"[0-9]")),
     })
-    window = lambda i: F.xxhash64(F.get("_words", i), F.get("_words", i + 1), F.get("_words", i + 2))
-    rows = rows.withColumn("_hashes", F.when(F.size("_words") >= 3, F.transform(F.sequence(F.lit(0), F.size("_words") - 3), window)))
-    placed = F.transform("_hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i")))
-    rows = rows.withColumn("_sorted", F.when(F.size(F.array_distinct("_hashes")) < F.size("_hashes"), F.sort_array(placed)))
-    near = lambda k: F.get("_sorted", k)["h"]
-    again = F.filter("_sorted", lambda x, k: F.coalesce(x["h"] == F.when(k > 0, near(k - 1)), F.lit(False)) | F.coalesce(x["h"] == near(k + 1), F.lit(False)))
+    window = lambda i: F.xxhash64(F.get(own("words"), i), F.get(own("words"), i + 1), F.get(own("words"), i + 2))
+    rows = rows.withColumn(own("hashes"), F.when(F.size(own("words")) >= 3, F.transform(F.sequence(F.lit(0), F.size(own("words")) - 3), window)))
+    placed = F.transform(own("hashes"), lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+    rows = rows.withColumn(own("sorted"), F.when(F.size(F.array_distinct(own("hashes"))) < F.size(own("hashes")), F.sort_array(placed)))
+    near = lambda k: F.get(own("sorted"), k)["h"]
+    again = F.filter(own("sorted"), lambda x, k: F.coalesce(x["h"] == F.when(k > 0, near(k - 1)), F.lit(False)) | F.coalesce(x["h"] == near(k + 1), F.lit(False)))
     places = F.sort_array(F.transform(again, lambda x: x["i"]))
     covered = F.aggregate(places, F.struct(F.lit(0).alias("n"), F.lit(-3).alias("p")), lambda a, i: F.struct((a["n"] + F.least(F.lit(3), i - a["p"])).alias("n"), i.alias("p")), lambda a: a["n"])
     # A filter on a statistic must not be pushed below this projection: that would put the sorted windows inside the
     # functions that walk over them. A condition that counts as not deterministic, though always true, keeps it above.
     held = lambda c: F.when(F.spark_partition_id() >= 0, c)
     rows = rows.withColumns({
-        "n_words": held(F.size("_words").cast("long")),
-        "word_chars": held(F.length(F.array_join("_words", "")).cast("long")),
-        "n_dup_lines": held((F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long")),
+        "n_words": held(F.size(own("words")).cast("long")),
+        "word_chars": held(F.length(F.array_join(own("words"), "")).cast("long")),
+        "n_dup_lines": held((F.size(own("lines")) - F.size(F.array_distinct(own("lines")))).cast("long")),
         "n_repeat_words": held(F.coalesce(covered, F.lit(0)).cast("long")),
-        "_n_lines": held(F.size("_lines")),
-        "_n_distinct": held(F.size(F.array_distinct("_words"))),
+        own("n_lines"): held(F.size(own("lines"))),
+        own("n_distinct"): held(F.size(F.array_distinct(own("words")))),
     })
     rate = lambda a, b: F.coalesce(F.col(a) / F.when(F.col(b) > 0, F.col(b)), F.lit(0.0)).cast("double")
     rows = rows.withColumns({
-        "word_length": rate("word_chars", "n_words"), "symbols": rate("n_symbols", "n_words"), "marks": rate("_marks", "n_words"), "upper": rate("_upper", "word_chars"), "digits": rate("_digits", "word_chars"),
-        "dup_lines": rate("n_dup_lines", "_n_lines"), "repeat_words": rate("n_repeat_words", "n_words"), "distinct_words": rate("_n_distinct", "n_words"), "line_words": rate("n_words", "_n_lines"),
+        "word_length": rate("word_chars", "n_words"), "symbols": rate("n_symbols", "n_words"), "marks": rate(own("marks"), "n_words"), "upper": rate(own("upper"), "word_chars"), "digits": rate(own("digits"), "word_chars"),
+        "dup_lines": rate("n_dup_lines", own("n_lines")), "repeat_words": rate("n_repeat_words", "n_words"), "distinct_words": rate(own("n_distinct"), "n_words"), "line_words": rate("n_words", own("n_lines")),
     })
-    return rows.drop("_words", "_lines", "_marks", "_upper", "_digits", "_hashes", "_sorted", "_n_lines", "_n_distinct")
+    return rows.drop(own("words"), own("lines"), own("marks"), own("upper"), own("digits"), own("hashes"), own("sorted"), own("n_lines"), own("n_distinct"))
 
 
 def _cuts(values: list[float], most: int = 64) -> list[float]:
@@ -177,7 +181,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, doc_id: str
     some = labels.where(F.col(quality).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(quality).cast("int").alias("quality"))
     some = some.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).join(F.broadcast(some), "doc_id")
-    stats = with_base(text_statistics(rows.withColumn("_h", F.xxhash64("text")))).select("doc_id", F.struct("_h", "quality", "base_failed", *FEATURES).alias("s"))
+    stats = with_base(text_statistics(rows.withColumn("text_hash", F.xxhash64("text")))).select("doc_id", F.struct("text_hash", "quality", "base_failed", *FEATURES).alias("s"))
     stats = stats.groupBy("doc_id").agg(F.min("s").alias("s")).select("doc_id", "s.*").where(~F.col("base_failed"))
     key = F.xxhash64("doc_id", F.lit(8))
     got = stats.select(*FEATURES, (F.col("quality") == 0).cast("int").alias("low"), F.pmod(key, F.lit(3)).cast("int").alias("part"), key.alias("key"))
