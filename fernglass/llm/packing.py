@@ -89,8 +89,8 @@ def pack(docs: DataFrame, tokenizer: str, *, end_id: int, room: int = 4096, slac
     are the end id alone. Null and repeated ids are packed as rows of their own. An empty table gives no rows.
 
     Documents are dealt at random (by a hash of their id and text) to groups, one a partition. A task encodes each text once,
-    sets aside whole sequences of long texts at once, and keeps only the last parts until the group ends, so its memory
-    is bounded by the documents of a group, not by their length. Results don't depend on the order of arrival.
+    sets aside whole sequences of long texts at once, and keeps only the last parts' ids until the group ends, and a row for each whole
+    sequence; with_ids keeps the ids of those too, so a group then takes as much memory as its documents have ids. Results don't depend on the order of arrival.
     """
     spark = docs.sparkSession
     common.prepare(spark)

@@ -22,7 +22,8 @@ def separable(path: str) -> bool:
         spec = json.load(f)
     norm = json.dumps(spec.get("normalizer") or {})
     split = json.dumps(spec.get("pre_tokenizer") or {})
-    return "\\\\s+" in norm and "[^\\\\s" in split and '" ?' not in split and "add_prefix_space\": true" not in split
+    # letters are looked up in lower case, so the tokenizer must make no difference either
+    return '"Lowercase"' in norm and "\\\\s+" in norm and "[^\\\\s" in split and '" ?' not in split and "add_prefix_space\": true" not in split
 
 
 class Encoder:
