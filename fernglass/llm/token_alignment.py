@@ -18,9 +18,9 @@ from fernglass.llm import common
 from fernglass.llm.tokens import texts
 
 #: Bytes of text that are aligned at once, about, and links after which a task gives its pairs out.
-SLICE, LINKS = 1 << 20, 4_000_000
+SLICE, LINKS = 1 << 18, 1_000_000
 #: Units that a worker keeps, the longest of them in characters, and units that are encoded in one call.
-ROOM, LONG, CALL = 250_000, 64, 4096
+ROOM, LONG, CALL = 200_000, 64, 4096
 #: Pairs of a row.
 ROW = 65_536
 _CUT = re.compile(r"(?<=\S)([ \n])(?=\S)")
