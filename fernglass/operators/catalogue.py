@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fernglass.functions import text as T
 from fernglass.operators.matching import containing
+from fernglass.operators.similarity import close_pairs
 from fernglass.session import numbered
 
 
@@ -186,28 +187,12 @@ def by_title(lines: DataFrame, entries: DataFrame, *, key: str, line: str, title
 
 def close_names(questions: DataFrame, names: DataFrame, *, key: str, text: str, name: str, cutoff: float = 0.92) -> DataFrame:
     """key, name: the first name (column ord) that the text contains, or else the closest one by the ratio of matching blocks,
-    if that is at least the cutoff, the larger name among equals. Names and texts of such a ratio share three neighbouring
-    characters, by which they meet."""
+    if that is at least the cutoff, the larger name among equals. How pairs meet is said in operators/similarity.py."""
     texts = questions.select(F.col(key).alias("_q"), T.search_form(F.col(text)).alias("_t"))
     forms = names.select(name, "ord", T.search_form(F.col(name)).alias("_f")).where("_f <> ''")
     inside = containing(texts, forms, key="_q", text="_t", form="_f").groupBy("_q").agg(F.min_by(name, F.struct("ord", name)).alias(name))
-    pieces = lambda c: F.explode(F.array_distinct(F.regexp_extract_all(c, F.lit("(?s)(?=(.{3}))"), F.lit(1))))
     left = texts.join(inside.select("_q"), "_q", "left_anti")
-    met = left.select("_q", pieces("_t").alias("_g")).join(forms.select("_f", pieces("_f").alias("_g")), "_g").select("_q", "_f").distinct()
-    size = lambda c: F.length(c)
-    pairs = met.join(left, "_q").where(2 * F.least(size("_t"), size("_f")) >= cutoff * (size("_t") + size("_f")))
-
-    def rate(batches):
-        import difflib
-
-        import pyarrow as pa
-
-        for b in batches:
-            got = [difflib.SequenceMatcher(None, f, t).ratio() for t, f in zip(b.column(2).to_pylist(), b.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, pa.float64())], ["_q", "_f", "ratio"])
-
-    kind = dict(texts.dtypes)["_q"]
-    rated = pairs.select("_q", "_f", "_t").mapInArrow(rate, f"_q {kind}, _f string, ratio double").where(F.col("ratio") >= cutoff)
-    best = rated.groupBy("_q").agg(F.max_by("_f", F.struct("ratio", "_f")).alias("_f"))
+    rated = close_pairs(left.select(F.col("_t").alias("t")), forms.select(F.col("_f").alias("t")), cutoff)
+    best = rated.groupBy("l").agg(F.max_by("r", F.struct("ratio", "r")).alias("_f"))
     last = forms.groupBy("_f").agg(F.max_by(name, F.struct("ord", name)).alias(name))
-    return inside.unionByName(best.join(last, "_f").select("_q", name)).withColumnRenamed("_q", key)
+    return inside.unionByName(left.join(best, F.col("_t") == F.col("l")).join(last, "_f").select("_q", name)).withColumnRenamed("_q", key)
