@@ -105,8 +105,8 @@ def pack(docs: DataFrame, tokenizer: str, *, end_id: int, room: int = 4096, slac
         enc, end, group = encoder(tokenizer), int(end_id).to_bytes(4, "little"), TaskContext.get().partitionId()
         whole, parts, tails, totals, copies = [], [], {}, {}, {}
         for b in common.small(batches):
-            for key, t in zip(b.column(0).to_pylist(), texts(b.column(1))):
-                ids = enc.encode(t) + end
+            for key, ids in zip(b.column(0).to_pylist(), enc.encode_all(texts(b.column(1)))):
+                ids += end
                 n = len(ids) // 4
                 cut = n - n % room
                 for s in range(0, cut, room):

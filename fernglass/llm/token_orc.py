@@ -27,7 +27,7 @@ def write_token_orc(docs: DataFrame, path: str, tokenizer: str, *, end_id: int,
 
         enc, end, pos = encoder(tokenizer), int(end_id).to_bytes(4, "little"), 0
         for b in common.small(batches):
-            ids = [enc.encode(t) + end for t in texts(b.column(1))]
+            ids = [x + end for x in enc.encode_all(texts(b.column(1)))]
             n = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
             offsets = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
             flat = pa.array(np.frombuffer(b"".join(ids), np.int32))
@@ -53,13 +53,13 @@ def read_token_orc(spark: SparkSession, path: str) -> DataFrame:
 
 def _starts(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.orc(path).select("pos", "n_tokens", F.col("_metadata.file_name").alias("file"))
-    return _with_start(rows).select("file", "pos", "start")
+    return _with_start(rows, rows).select("file", "pos", "start")
 
 
-def _with_start(rows: DataFrame) -> DataFrame:
+def _with_start(rows: DataFrame, lengths: DataFrame) -> DataFrame:
     """One row for each file meets in one task: as many as the driver lists anyway. Files follow each other by the number in their
     name, which has more digits from the hundred thousandth on."""
-    totals = rows.groupBy("file").agg(F.sum("n_tokens").alias("t"))
+    totals = lengths.groupBy("file").agg(F.sum("n_tokens").alias("t"))
     place = F.regexp_extract("file", r"^part-(\d+)", 1).try_cast("long")
     before = totals.select("file", F.coalesce(F.sum("t").over(Window.orderBy(place, "file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("o"))
     inside = Window.partitionBy("file").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
@@ -81,4 +81,5 @@ def token_digests(spark: SparkSession, path: str) -> DataFrame:
 
     rows = spark.read.orc(path).select(F.col("_metadata.file_name").alias("file"), "doc_id", "pos", "ids")
     rows = rows.mapInArrow(digest, "file string, doc_id long, pos long, n_tokens long, ids_crc32 long")
-    return _with_start(rows).select("doc_id", F.col("start").cast("long"), "n_tokens", "ids_crc32")
+    lengths = spark.read.orc(path).select("n_tokens", F.col("_metadata.file_name").alias("file"))  # so that ids are read once
+    return _with_start(rows, lengths).select("doc_id", F.col("start").cast("long"), "n_tokens", "ids_crc32")

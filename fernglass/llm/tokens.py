@@ -8,6 +8,8 @@ from array import array
 
 #: Pieces, and words of letters, that a worker keeps in each of two generations; the longest piece in bytes: about 200 MB at most.
 ROOM, LONGEST = 250_000, 64
+#: Bytes of texts whose new pieces are learnt together, about.
+SLICE = 1 << 19
 #: Letters of ASCII and Latin-1 as UTF-8, and marks that may follow them: two pre-tokens, each encoded alone.
 _LETTERS, _MARKS = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+"), b".,;:!?$%&#*|<>)]"
 
@@ -109,6 +111,30 @@ class Encoder:
             return array("I", self.ask(text.decode("utf-8", "replace"))).tobytes()
         return b"".join(self._values(text))
 
+    def encode_all(self, all_texts: list[bytes]) -> list[bytes]:
+        """The ids of several whole texts; what is new in about SLICE bytes of them is learnt together."""
+        if self.whole:
+            return [self.encode(t) for t in all_texts]
+        out, own, size = [], [], 0
+        for i, t in enumerate(all_texts):
+            own.append(t.split())
+            size += len(t)
+            if size >= SLICE or i + 1 == len(all_texts):
+                for p in self.long:
+                    del self.now[p]
+                self.long = []
+                some = set().union(*own)
+                new = some.difference(self.now)
+                if new and len(self.now) + len(new) > self.room:
+                    self.old, self.now = self.now, dict(self.known)
+                    new = some.difference(self.now)
+                if new:
+                    self._learn(new)
+                get = self.now.__getitem__
+                out += [b"".join(map(get, w)) for w in own]
+                own, size = [], 0
+        return out
+
     def length(self, text: bytes) -> int:
         """The number of ids of a whole text, for an encoder that counts."""
         if self.whole:

@@ -72,9 +72,15 @@ def test_orc_round_trip(spark, awkward, empty, tmp_path):
     assert spark.read.schema("doc_id long, ids array<int>").orc(str(tmp_path / "none")).count() == 0
 
 
+def test_texts_together_are_texts_alone(awkward):
+    own = [(r.text or "").encode() for r in awkward.collect()]
+    alone = [tokens.Encoder(PATH).encode(t) for t in own]
+    assert tokens.Encoder(PATH).encode_all(own) == alone and tokens.Encoder(PATH, room=3).encode_all(own * 2) == alone * 2
+
+
 def test_orc_files_follow_by_number(spark):
     rows = spark.createDataFrame([("part-100000-x.orc", 0, 5), ("part-99999-x.orc", 0, 7), ("part-99999-x.orc", 1, 2)], "file string, pos long, n_tokens long")
-    assert sorted((r.file, r.pos, r.start) for r in token_orc._with_start(rows).collect()) == [("part-100000-x.orc", 0, 9), ("part-99999-x.orc", 0, 0), ("part-99999-x.orc", 1, 7)]
+    assert sorted((r.file, r.pos, r.start) for r in token_orc._with_start(rows, rows).collect()) == [("part-100000-x.orc", 0, 9), ("part-99999-x.orc", 0, 0), ("part-99999-x.orc", 1, 7)]
 
 
 def test_orc_reads_skip_row_groups(spark, tmp_path):
