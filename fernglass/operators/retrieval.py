@@ -15,11 +15,12 @@ def chunk(docs: DataFrame, *, part: str, doc: str, text: str, size: int = 700, o
     return docs.select(F.col(part).alias("part"), F.col(doc).alias("doc"), F.explode(T.windows(F.col(text), size, overlap, lines)).alias("w")).select("part", "doc", "w.*")
 
 
-def postings(docs: DataFrame, tokens, *, part: str, doc: str, text: str, size: int = 700, overlap: int = 150) -> DataFrame:
+def postings(docs: DataFrame, tokens, *, part: str, doc: str, text: str, size: int = 700, overlap: int = 150, marks: bool = False) -> DataFrame:
     """part, doc, chunk_index, term, tf of each distinct term of each window: `tokens` makes an array of terms of a text.
-    Documents, not terms, are dealt out: terms are counted where their text is."""
+    Documents, not terms, are dealt out: terms are counted where their text is. With `marks` each window has a null term too."""
     windows = chunk(docs.select(part, doc, text).repartition(doc), part=part, doc=doc, text=text, size=size, overlap=overlap, lines=False)
-    terms = windows.select("part", "doc", "chunk_index", F.explode(tokens(F.col("text"))).alias("term"))
+    own = tokens(F.col("text"))
+    terms = windows.select("part", "doc", "chunk_index", F.explode(F.array_append(own, F.lit(None).cast("string")) if marks else own).alias("term"))
     return terms.groupBy("part", "doc", "chunk_index", "term").agg(F.count("*").alias("tf"))
 
 
@@ -28,6 +29,15 @@ def idf(docs: DataFrame, tokens, *, part: str, doc: str, text: str, size: int =
     so windows and terms are counted together, before the shuffle."""
     windows = chunk(docs.select(part, doc, text), part=part, doc=doc, text=text, size=size, overlap=overlap, lines=False)
     terms = windows.select("part", F.explode(F.array_append(F.array_distinct(tokens(F.col("text"))), F.lit(None).cast("string"))).alias("term"))
+    return _weights(terms)
+
+
+def weights(posts: DataFrame) -> DataFrame:
+    """As idf, of postings with marks: windows and terms are counted from what is written already."""
+    return _weights(posts.select("part", "term"))
+
+
+def _weights(terms: DataFrame) -> DataFrame:
     counted = written(terms.groupBy("part", "term").agg(F.count("*").alias("df")), "df")
     n = counted.where("term is null").select("part", F.col("df").alias("n"))
     return counted.where("term is not null").join(n, "part").select("part", "term", "df", (F.ln((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fernglass.functions import text as T
+from fernglass.operators import index
 from fernglass.operators import retrieval as R
-from fernglass.session import table, written
+from fernglass.session import scratch, table, written
 
 _tokens = lambda c: T.word_tokens(c)
 
@@ -24,9 +25,20 @@ def tfidf_df_idf(spark, d):
 
 def tfidf_topk(spark, d):
     docs = table(spark, d, "documents")
-    p = written(R.postings(docs, _tokens, **_NAMES), "postings")
+    p = written(R.postings(docs, _tokens, marks=True, **_NAMES), "postings")
     q = spark.createDataFrame([(1, "en", "the thing of that"), (2, "fr", "que pour la pour"), (3, "de", "und nowhereword")], "qid long, part string, query string")
-    return R.tfidf_search(p, R.idf(docs, _tokens, **_NAMES), q, _tokens, k=5).select("qid", "doc", F.col("chunk_index").cast("long").alias("chunk_index"), F.round("score", 6).alias("score"))
+    return R.tfidf_search(p, R.weights(p), q, _tokens, k=5).select("qid", "doc", F.col("chunk_index").cast("long").alias("chunk_index"), F.round("score", 6).alias("score"))
+
+
+def index_changes(spark, d):
+    """An index of all documents, of which those of low quality then go and every seventh gets another text; it is asked after that."""
+    docs, path = table(spark, d, "documents").select("lang", "doc_id", "text"), scratch(spark, "index")
+    index.change(spark, path, docs, _tokens, **_NAMES)
+    low = table(spark, d, "labels").where("quality = 0").select(F.col("doc_id").alias("doc"))
+    new = docs.where("doc_id % 7 = 0").join(low, F.col("doc_id") == F.col("doc"), "left_anti").withColumn("text", F.concat(F.lit("the thing that was changed\n"), "text"))
+    index.change(spark, path, new, _tokens, removed=low, **_NAMES)
+    q = spark.createDataFrame([(1, "en", "the thing of that"), (2, "fr", "que pour la pour"), (3, "de", "und nowhereword"), (4, "en", "changed")], "qid long, part string, query string")
+    return index.search(index.read(spark, path), q, _tokens, k=5).select("qid", "doc", F.col("chunk_index").cast("long").alias("chunk_index"), F.round("score", 6).alias("score"))
 
 
 def _near(spark, d, k=24):
@@ -121,7 +133,7 @@ def file_changes(spark, d):
     return R.file_changes(old, new)
 
 
-QUERIES = {f.__name__: f for f in (tfidf_df_idf, tfidf_topk, dense_topk, rrf_fusion, mmr_select, confidence, retry_weak, scope_filter, context_labels, citation_aggregate, unknown_labels, semi_cited, extractive_summary, model_tier, file_changes)}
+QUERIES = {f.__name__: f for f in (tfidf_df_idf, tfidf_topk, index_changes, dense_topk, rrf_fusion, mmr_select, confidence, retry_weak, scope_filter, context_labels, citation_aggregate, unknown_labels, semi_cited, extractive_summary, model_tier, file_changes)}
 
 _CHUNKS = r"""w AS (SELECT lang, doc_id, text AS body, length(text) AS n, unnest(range(0, CASE WHEN length(text) <= 700 THEN 1 ELSE CAST(ceil((length(text) - 700) / 550) AS BIGINT) + 1 END)) AS i FROM documents),
   c0 AS (SELECT lang, doc_id, i, i * 550 AS cs, least(i * 550 + 700, n) AS ce, trim(regexp_replace(substr(body, i * 550 + 1, 700), '^\s+|\s+$', '', 'g')) AS t, body FROM w),
@@ -132,13 +144,19 @@ _V = "v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE
 _SEG = "a AS (SELECT item_id, text AS x, item_id % 5 AS m FROM benchmark), g AS (SELECT item_id, 1 AS label, 'first part' AS seg FROM a UNION ALL SELECT item_id, 2, trim(x, ' ') FROM a UNION ALL SELECT item_id, 1, 'and then more of it' FROM a UNION ALL SELECT item_id, m, 'nothing' FROM a)"
 _CONF = "t AS (SELECT qid, label, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, key) AS r2 FROM k WHERE r <= 8{more}), f AS (SELECT qid, 0.5 * count(DISTINCT label) / count(*) + 0.5 * least(1.0, avg(greatest(0.0, score))) AS c FROM t WHERE r2 <= 4 GROUP BY qid)"
 
-ORACLE_SQL = {
-    "tfidf_df_idf": f"WITH {_CHUNKS} SELECT lang AS part, term, df, round(idf, 6) AS idf FROM f",
-    "tfidf_topk": f"""WITH {_CHUNKS}, x AS (SELECT p.*, tf * idf AS v FROM p JOIN f ON f.lang = p.lang AND f.term = p.term), m AS (SELECT lang, doc_id, ci, sqrt(sum(v * v)) AS norm FROM x GROUP BY ALL),
-        q0 AS (SELECT * FROM (VALUES (1::BIGINT, 'en', 'the', 1), (1, 'en', 'thing', 1), (1, 'en', 'of', 1), (1, 'en', 'that', 1), (2, 'fr', 'que', 1), (2, 'fr', 'pour', 2), (2, 'fr', 'la', 1), (3, 'de', 'und', 1), (3, 'de', 'nowhereword', 1)) t(qid, lang, term, tf)),
+def _topk_sql(docs: str, more: str) -> str:
+    now = """now AS (SELECT lang, doc_id, CASE WHEN doc_id % 7 = 0 THEN 'the thing that was changed' || chr(10) || text ELSE text END AS text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)), """
+    return f"""WITH {now}{_CHUNKS.replace('FROM documents', 'FROM ' + docs)}, x AS (SELECT p.*, tf * idf AS v FROM p JOIN f ON f.lang = p.lang AND f.term = p.term), m AS (SELECT lang, doc_id, ci, sqrt(sum(v * v)) AS norm FROM x GROUP BY ALL),
+        q0 AS (SELECT * FROM (VALUES (1::BIGINT, 'en', 'the', 1), (1, 'en', 'thing', 1), (1, 'en', 'of', 1), (1, 'en', 'that', 1), (2, 'fr', 'que', 1), (2, 'fr', 'pour', 2), (2, 'fr', 'la', 1), (3, 'de', 'und', 1), (3, 'de', 'nowhereword', 1){more}) t(qid, lang, term, tf)),
         q AS (SELECT qid, q0.lang, q0.term, tf * idf AS qv FROM q0 JOIN f ON f.lang = q0.lang AND f.term = q0.term), qn AS (SELECT qid, sqrt(sum(qv * qv)) AS qnorm FROM q GROUP BY qid),
         dt AS (SELECT qid, x.lang, doc_id, ci, sum(v * qv) AS dot FROM x JOIN q ON q.lang = x.lang AND q.term = x.term GROUP BY ALL)
-        SELECT qid, doc, chunk_index, round(sc, 6) AS score FROM (SELECT dt.qid, dt.doc_id AS doc, dt.ci AS chunk_index, round(dot / (norm * qnorm), 9) AS sc FROM dt JOIN m ON m.doc_id = dt.doc_id AND m.ci = dt.ci JOIN qn ON qn.qid = dt.qid) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY sc DESC, doc, chunk_index) <= 5""",
+        SELECT qid, doc, chunk_index, round(sc, 6) AS score FROM (SELECT dt.qid, dt.doc_id AS doc, dt.ci AS chunk_index, round(dot / (norm * qnorm), 9) AS sc FROM dt JOIN m ON m.doc_id = dt.doc_id AND m.ci = dt.ci JOIN qn ON qn.qid = dt.qid) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY sc DESC, doc, chunk_index) <= 5"""
+
+
+ORACLE_SQL = {
+    "tfidf_df_idf": f"WITH {_CHUNKS} SELECT lang AS part, term, df, round(idf, 6) AS idf FROM f",
+    "tfidf_topk": _topk_sql("documents", ""),
+    "index_changes": _topk_sql("now", ", (4, 'en', 'changed', 1)"),
     "dense_topk": f"WITH {_V} SELECT qid, key, round(score, 5) AS score FROM k WHERE r <= 24",
     "rrf_fusion": f"""WITH {_V}, b AS (SELECT vec_id, row_number() OVER (ORDER BY label DESC, vec_id) AS r FROM embeddings), l AS (SELECT qid, key, r FROM k WHERE r <= 24 UNION ALL SELECT q.vec_id, b.vec_id, r FROM b, embeddings q WHERE r <= 24 AND q.vec_id % 20 = 0),
         u AS (SELECT qid, key, round(sum(1.0::DOUBLE / (60 + r)), 9) AS score FROM l GROUP BY qid, key) SELECT qid, key, round(score, 6) AS score FROM u QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, key) <= 12""",
