@@ -16,13 +16,33 @@ def timestamp(c: Column) -> Column:
     )
 
 
+def first_object(c: Column) -> Column:
+    """The first JSON object in a text: from the first brace to the one that closes it; braces inside quoted strings don't count, and an
+    escaped quote doesn't end a string. Null without a brace, or where none closes it.
+
+    The text after the first brace is cut into strings, braces and what is between them; a fold over the pieces keeps the
+    depth, the length so far, and the length at which the depth came back to 0.
+    """
+    body = F.regexp_extract(c, r"(?s)(\{.*)", 1)
+    pieces = F.regexp_extract_all(body, F.lit(r'(?s)"(?:[^"\\]++|\\.)*+"?|[{}]|[^"{}]++'), F.lit(0))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("n"), F.lit(0).alias("end"))
+
+    def step(a, p):
+        depth = a["depth"] + F.when(p == "{", 1).when(p == "}", -1).otherwise(0)
+        n = a["n"] + F.length(p)
+        return F.struct(depth.alias("depth"), n.alias("n"), F.when((a["end"] == 0) & (p == "}") & (depth == 0), n).otherwise(a["end"]).alias("end"))
+
+    end = F.aggregate(pieces, start, step, lambda a: a["end"])
+    return F.when(end > 0, F.substr(body, F.lit(1), end))
+
+
 def loose_json(c: Column) -> Column:
-    """The JSON object in free text, as a variant: fences, // comments and trailing commas are removed, the text is cut from the
-    first brace to the last. Null if that isn't JSON."""
-    body = F.regexp_replace(c, r"```(?:json)?", "")
-    body = F.regexp_extract(body, r"(?s)(\{.*\})", 1)
-    body = F.regexp_replace(F.regexp_replace(body, r"(?m)^\s*//.*$", ""), r",\s*([}\]])", "$1")
-    return F.try_parse_json(F.translate(body, "“”", '""'))
+    """The first JSON object in free text, as a variant: of a fenced block if there is one, without comments and trailing commas, typographic
+    quotes as plain ones. Null if that isn't JSON."""
+    fenced = F.regexp_extract(c, r"(?si)```(?:json)?\s*(.*?)```", 1)
+    body = F.translate(F.when(fenced != "", fenced).otherwise(c), "“”‟＂’‘", "\"\"\"\"''")
+    body = F.regexp_replace(F.regexp_replace(body, r"(?m)^\s*//.*$", ""), r"(?s)/\*.*?\*/", "")
+    return F.try_parse_json(F.regexp_replace(first_object(body), r",(\s*[}\]])", "$1"))
 
 
 def watermark_mode(c: Column, default: str = "none") -> Column:

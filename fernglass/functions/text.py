@@ -59,9 +59,14 @@ def without_diacritics(c: Column) -> Column:
     return _icu("compose", F.regexp_replace(_icu("decompose", c, False), r"\p{Mn}", ""), False)
 
 
+def plain_kana(c: Column) -> Column:
+    """The search form without voicing marks."""
+    return without_diacritics(search_form(c))
+
+
 def simple_kana(c: Column) -> Column:
-    """Hiragana without voicing marks, small kana full size."""
-    return F.translate(without_diacritics(hiragana(c)), _SMALL, _FULL)
+    """The search form with small kana full size; voicing marks stay."""
+    return F.translate(search_form(c), _SMALL, _FULL)
 
 
 def query_variants(c: Column) -> Column:
@@ -85,6 +90,11 @@ def word_tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(r"(?U)\w+"), F.lit(0))
 
 
+def fragment_tokens(c: Column) -> Column:
+    """Lower-case runs of ASCII letters, digits, kanji and kana; other letters part them."""
+    return F.regexp_extract_all(F.lower(c), F.lit("[0-9a-z一-龥ぁ-んァ-ンー]+"), F.lit(0))
+
+
 def grams(c: Column) -> Column:
     """Runs of ASCII letters and digits, then all two-character pieces of the text without white space; one character stays."""
     low = F.lower(c)
@@ -101,14 +111,14 @@ def sentences(c: Column) -> Column:
 
 
 def fragments(c: Column, limit: int = 160) -> Column:
-    """Sentences joined while they fit into `limit` characters; a longer sentence stands alone."""
+    """Sentences of the text with single spaces, joined while they fit into `limit` characters; a longer sentence stands alone."""
     start = F.struct(F.expr("cast(array() as array<string>)").alias("done"), F.lit("").alias("now"))
 
     def step(a, s):
         fits = (a["now"] == "") | (F.length(a["now"]) + F.length(s) <= limit)
         return F.struct(F.when(fits, a["done"]).otherwise(F.concat(a["done"], F.array(a["now"]))).alias("done"), F.when(fits, F.concat(a["now"], s)).otherwise(s).alias("now"))
 
-    return F.aggregate(sentences(c), start, step, lambda a: F.when(a["now"] == "", a["done"]).otherwise(F.concat(a["done"], F.array(a["now"]))))
+    return F.aggregate(sentences(squeeze(c)), start, step, lambda a: F.when(a["now"] == "", a["done"]).otherwise(F.concat(a["done"], F.array(a["now"]))))
 
 
 def windows(c: Column, size: int = 700, overlap: int = 150, lines: bool = True) -> Column:
@@ -148,10 +158,13 @@ def windows(c: Column, size: int = 700, overlap: int = 150, lines: bool = True)
 
 
 def clean_input(c: Column) -> Column:
-    """A question without a leading time and name, a log prefix, or a trailing plus sign; single spaces."""
-    for pattern in (r"^\s*\d{1,2}:\d{2}\s+\S+\s+", r"^\s*\[[^\]]*\]\s*", r"\s*\++\s*$"):
+    """A question without a leading time and name in Japanese letters (two words), a log prefix (a bracket that starts with a date, or
+    `user:`), or trailing plus signs; single spaces, lines stay."""
+    letters = r"[\x{4E00}-\x{9FFF}\x{3040}-\x{30FF}]+"
+    space = r"[\s\x{3000}]+"
+    for pattern in (rf"^\s*\d{{1,2}}:\d{{2}}{space}{letters}{space}{letters}{space}", r"(?i)^(?:\s*\[\d{4}-\d{2}-\d{2}.*?\]\s*|user[:：]\s*)", r"\s*\++$"):
         c = F.regexp_replace(c, pattern, "")
-    return squeeze(c)
+    return strip(F.regexp_replace(c, r"[ \t]+", " "))
 
 
 def clip(c: Column, limit: int) -> Column:
@@ -181,11 +194,11 @@ def language(c: Column) -> Column:
 
 
 def truthy(c: Column, permissive: bool = False) -> Column:
-    """Words for true (strict set); permissively, whatever isn't empty or a word for false."""
+    """Words for true, and of a column of numbers all but 0; permissively, whatever isn't empty or a word for false."""
     word = F.lower(F.trim(c.cast("string")))
-    if permissive:
-        return F.coalesce(~word.isin("", "0", "false", "no", "off", "none", "null"), F.lit(False))
-    return F.coalesce(word.isin("1", "true", "yes", "on", "y", "t"), F.lit(False))
+    numeric = F.call_function("typeof", c).rlike("^(tinyint|smallint|int|bigint|float|double|decimal.*)$")
+    words = ~word.isin("", "0", "false", "no", "off") if permissive else word.isin("1", "true", "yes", "y", "on")
+    return F.coalesce(F.when(numeric, word.try_cast("double") != 0).otherwise(words), F.lit(False))
 
 
 def first_integer(c: Column) -> Column:

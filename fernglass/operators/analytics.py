@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fernglass.functions import text as T
+
 DAY = 86_400
 
 
@@ -58,9 +62,11 @@ def report_filter(groups: DataFrame, *, needle: str = "", least: int = 1, hide:
 
 
 def top_tags(entries: DataFrame, *, tags: str, order: str, k: int = 8, default: tuple[str, ...] = ()) -> DataFrame:
-    """tag, n for the k most frequent tags, ties by the first row that has it; the default tags with 0 for no tags at all."""
-    counted = entries.select(F.explode(tags).alias("tag"), order).where(F.trim("tag") != "").groupBy("tag").agg(F.count("*").alias("n"), F.min(order).alias("_first"))
-    top = counted.orderBy(F.desc("n"), "_first", "tag").limit(k).select("tag", "n")
+    """tag, n for the k most frequent tags, ties by the first row that has it and the place in its list; the default tags with 0 for
+    no tags at all."""
+    placed = entries.select(F.posexplode(tags).alias("_p", "tag"), order).where("tag <> ''")
+    counted = placed.groupBy("tag").agg(F.count("*").alias("n"), F.min(F.struct(order, "_p")).alias("_first"))
+    top = counted.orderBy(F.desc("n"), "_first").limit(k).select("tag", "n")
     if not default:
         return top
     rows = entries.sparkSession.createDataFrame([(t, 0) for t in default], "tag string, n long")
@@ -69,10 +75,10 @@ def top_tags(entries: DataFrame, *, tags: str, order: str, k: int = 8, default:
 
 
 def facets(matches: DataFrame, *, areas: str, tags: str, order: str, limit: int = 5) -> DataFrame:
-    """kind, value, n: areas by count, then tags by count, together `limit` at most; ties by first row."""
-    one = lambda col, kind, rank: matches.select(F.explode(col).alias("value"), order).where(F.trim("value") != "").groupBy("value").agg(F.count("*").alias("n"), F.min(order).alias("f")).select(F.lit(kind).alias("kind"), F.lit(rank).alias("rank"), "value", "n", "f")
+    """kind, value, n: areas by count, then tags by count, together `limit` at most; ties by first row and the place in its list."""
+    one = lambda col, kind, rank: matches.select(F.posexplode(col).alias("p", "value"), order).where("value is not null").groupBy("value").agg(F.count("*").alias("n"), F.min(F.struct(order, "p")).alias("f")).select(F.lit(kind).alias("kind"), F.lit(rank).alias("rank"), "value", "n", "f")
     both = one(areas, "area", 0).unionByName(one(tags, "tag", 1))
-    return both.orderBy("rank", F.desc("n"), "f", "value").limit(limit).select("kind", "value", "n")
+    return both.orderBy("rank", F.desc("n"), "f").limit(limit).select("kind", "value", "n")
 
 
 def counts(**tables: DataFrame) -> DataFrame:
@@ -101,8 +107,14 @@ def discriminative_tags(entries: DataFrame, *, group: str, tags: str, limit: int
 
 
 def keyword_argmax(docs: DataFrame, keywords: list[str], *, text: str, key: str) -> DataFrame:
-    """key, n of the document in which the keywords occur most often, not overlapping; ties by key; none for no occurrence."""
-    each = [F.regexp_count(text, F.lit("\\Q" + k.replace("\\E", "\\E\\\\E\\Q") + "\\E")) for k in keywords]
+    """key, n of the document in which the keywords of two characters or more occur most often, not overlapping; ties by key; none for
+    no occurrence. Texts and keywords are compared in NFKC, lower case and with single spaces."""
+    body = T.title_key(F.col(text))
+    keywords = [" ".join(unicodedata.normalize("NFKC", k).split()).lower() for k in keywords]
+    keywords = [k for k in keywords if len(k) > 1]
+    if not keywords:
+        return docs.select(key, F.lit(0).cast("long").alias("n")).limit(0)
+    each = [F.regexp_count(body, F.lit("\\Q" + k.replace("\\E", "\\E\\\\E\\Q") + "\\E")) for k in keywords]
     total = each[0]
     for e in each[1:]:
         total = total + e
@@ -122,17 +134,21 @@ def week_overlap(events: DataFrame, day: Column, *, start: str, end: str) -> Dat
     return events.where(~((e < monday) | (s > F.date_add(monday, 6))))
 
 
-def estimated_bytes(files: DataFrame, *, size: str, margin: float = 0.08) -> DataFrame:
-    """Bytes of all files and the sum with a margin."""
-    return files.agg(F.coalesce(F.sum(size), F.lit(0)).cast("long").alias("bytes")).withColumn("needed", F.ceil(F.col("bytes") * (1 + margin)).cast("long"))
+def estimated_bytes(files: DataFrame, *, size: str, margin: float = 0.08, more: int = 1_000_000) -> DataFrame:
+    """Bytes of all files, and the sum with a share of it, whole bytes, and a fixed number on top."""
+    return files.agg(F.coalesce(F.sum(size), F.lit(0)).cast("long").alias("bytes")).withColumn("needed", F.floor(F.col("bytes") * (1 + margin)).cast("long") + more)
 
 
-def ranked_tags(tags: DataFrame, preferences: list[str], query: str, *, tag: str, order: str) -> DataFrame:
-    """Tags, those in the preference list first when they occur in the query (weight 100 less position), else in their order."""
+def ranked_tags(tags: DataFrame, preferences: dict[str, list[str]], query: str, *, tag: str, order: str) -> DataFrame:
+    """Tags by weight, then in their order: each word of the preferences that the query contains gives the tags of its list 100 less
+    their place; weights add up."""
+    weights: dict[str, int] = {}
+    for word, listed in preferences.items():
+        for i, t in enumerate(listed if word in (query or "") else []):
+            weights[t] = weights.get(t, 0) + 100 - i
     weight = F.lit(0)
-    for i, p in reversed(list(enumerate(preferences))):
-        if p in query:
-            weight = F.when(F.col(tag) == p, 100 - i).otherwise(weight)
+    for t, w in weights.items():
+        weight = F.when(F.col(tag) == t, w).otherwise(weight)
     return tags.withColumn("weight", weight).orderBy(F.desc("weight"), order)
 
 

@@ -13,12 +13,15 @@ from fernglass.operators.search import best_of
 
 def within_radius(places: DataFrame, centres: DataFrame, *, radius_m: int, limit: int = 10, categories: list[str] = ()) -> DataFrame:
     """cid, ord, distance_m: the nearest places (ord, lat, lng) of each centre (cid, clat, clng) at most the radius away, by whole
-    metres, then ord; of some categories only, if asked. Places without coordinates are left out.
+    metres, then ord; of some categories only, if asked. Places and centres without coordinates, or with a latitude that no place on the globe has, are
+    left out.
 
     Both sides are dealt to a grid whose cells are as high and wide as the radius in degrees; a centre looks at the cells that
     its circle may touch, around the globe at 180 degrees and over the poles, so the join is an equi-join on cells with
     the exact distance after it.
     """
+    real = lambda lat, lng: F.col(lat).between(-90, 90) & F.col(lng).isNotNull() & ~F.isnan(F.col(lng).cast("double"))
+    centres = centres.where(real("clat", "clng"))
     if categories:
         places = places.where(F.trim("category").isin(*categories))
     step = radius_m / 111_000.0
@@ -30,7 +33,7 @@ def within_radius(places: DataFrame, centres: DataFrame, *, radius_m: int, limit
     rows = F.sequence(F.floor(F.col("clat") / step) - 1, F.floor(F.col("clat") / step) + 1)
     cells = F.array_distinct(F.transform(F.sequence(x(F.col("clng") - reach), x(F.col("clng") + reach)), lambda c: F.pmod(c, F.lit(around))))
     c = centres.select("cid", "clat", "clng", F.explode(rows).alias("_y"), cells.alias("_c")).select("cid", "clat", "clng", "_y", F.explode("_c").alias("_x"))
-    p = places.where(F.col("lat").isNotNull() & F.col("lng").isNotNull()).select("ord", "lat", "lng", F.floor(F.col("lat") / step).alias("_y"), F.pmod(x(F.col("lng")), F.lit(around)).alias("_x"))
+    p = places.where(real("lat", "lng")).select("ord", "lat", "lng", F.floor(F.col("lat") / step).alias("_y"), F.pmod(x(F.col("lng")), F.lit(around)).alias("_x"))
     near = p.join(c, ["_y", "_x"]).withColumn("_km", geo.haversine_km(F.col("clat"), F.col("clng"), F.col("lat"), F.col("lng"))).where(F.col("_km") * 1000 <= radius_m)
     ranked = best_of(near.select("cid", "ord", geo.metres(F.col("_km")).alias("distance_m")), F.col("distance_m"), F.col("ord"), limit=max(1, limit), per="cid")
     return ranked.select("cid", "ord", "distance_m")

@@ -127,7 +127,8 @@ def fuse(lists: DataFrame, *, k: int = 60, top: int = 12) -> DataFrame:
 
 def diversify(candidates: DataFrame, *, weight: float = 0.4, picks: int = 8) -> DataFrame:
     """qid, key, pick of candidates (qid, key, rel, vector), a dozen a query: each pick has the most weight * rel less
-    (1 - weight) * its largest likeness to earlier picks. Without vectors the first by rel are taken. Greedy, so one task
+    (1 - weight) * its largest likeness to earlier picks. Candidates without a vector aren't picked, but where none has one the
+    first by rel are taken. Greedy, so one task
     runs a query's few candidates."""
 
     def greedy(pdf):
@@ -135,8 +136,9 @@ def diversify(candidates: DataFrame, *, weight: float = 0.4, picks: int = 8) ->
         import pandas as pd
 
         pdf = pdf.sort_values(["rel", "key"], ascending=[False, True], kind="stable").reset_index(drop=True)
-        if pdf["vector"].isna().any():
+        if pdf["vector"].isna().all():
             return pd.DataFrame({"qid": pdf["qid"][:picks], "key": pdf["key"][:picks], "pick": range(1, min(picks, len(pdf)) + 1)})
+        pdf = pdf[pdf["vector"].notna()].reset_index(drop=True)
         v = np.stack(pdf["vector"].to_numpy()).astype(float)
         rel, chosen = pdf["rel"].to_numpy(), []
         nearest = np.zeros(len(pdf))
@@ -167,21 +169,59 @@ def weak(selected: DataFrame, *, least: int = 2, below: float = 0.42) -> DataFra
 
 
 def in_scope(candidates: DataFrame, *, text: str, keywords: str, style: str) -> DataFrame:
-    """qid, key of candidates (qid, key, score, ...) that contain a scope keyword, or of all of a query's if none does; 4 for
-    brief style, 8 for detailed, else 6. Hits come first, so the eight best tell whether there are any; texts don't move."""
-    hit = F.coalesce(F.exists(keywords, lambda k: F.lower(F.col(text)).contains(F.lower(k))), F.lit(False))
+    """qid, key of candidates (qid, key, score, ...) that contain a scope keyword, case counting: the best 4 for brief style, 8 for
+    detailed, else 6. Where none of a query's does, all of its candidates. Whether any does is an aggregate that combines
+    before the shuffle; texts don't move."""
+    hit = F.coalesce(F.exists(keywords, lambda k: (k != "") & F.col(text).contains(k)), F.lit(False))
     rows = candidates.select("qid", "key", "score", hit.alias("_h"), F.col(style).alias("_s"))
-    best = best_of(rows, F.desc("_h"), F.desc("score"), F.col("key"), limit=8).withColumn("_any", F.bool_or("_h").over(Window.partitionBy("qid")))
     cap = F.when(F.col("_s") == "brief", 4).when(F.col("_s") == "detailed", 8).otherwise(6)
-    return best.where((F.col("_h") | ~F.col("_any")) & (F.col("_r") <= cap)).select("qid", "key")
+    best = best_of(rows.where("_h"), F.desc("score"), F.col("key"), limit=8).where(F.col("_r") <= cap).select("qid", "key")
+    none = rows.groupBy("qid").agg(F.bool_or("_h").alias("_any")).where("not _any").select("qid")
+    return best.unionByName(rows.join(none, "qid").select("qid", "key"))
 
 
 def labelled_context(selected: DataFrame) -> DataFrame:
-    """qid, context: picks (qid, pick, file, line_start, line_end, text) as numbered blocks with their line ranges."""
-    block = F.concat(F.lit("[["), F.col("pick").cast("string"), F.lit("]] "), F.col("file").cast("string"), F.lit("/L"), F.col("line_start").cast("string"), F.lit("-"), F.col("line_end").cast("string"), F.lit("\n"), F.col("text"))
+    """qid, context: picks (qid, pick, place, file, line_start, line_end, text) as numbered blocks, with place, file name without .txt or
+    .md, and lines as their header; texts without white space around them."""
+    title = F.regexp_replace(F.col("file").cast("string"), r"(?i)\.(txt|md)$", "")
+    head = F.concat(F.lit("[["), F.col("pick").cast("string"), F.lit("]] "), F.col("place").cast("string"), F.lit("/"), title, F.lit(" L"), F.col("line_start").cast("string"), F.lit("-"), F.col("line_end").cast("string"))
+    block = F.concat(head, F.lit("\n"), T.strip(F.col("text")))
     return selected.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pick", block.alias("b")))), lambda x: x["b"]), "\n\n").alias("context"))
 
 
+# fixed value: what is added to an answer without a citation that holds
+NO_EVIDENCE = "（注：根拠ラベルが見つかりませんでした）"
+
+
+def rebuilt_answers(answers: DataFrame, references: DataFrame, *, key: str, answer: str, least_chars: int = 20, least_score: float = 0.5) -> DataFrame:
+    """key, labelled, plain, used, invalid of answers with [[n]] labels, by references (key, label, doc, score).
+
+    The text before a label, back to the label before, is the label's. Labels without a reference go with their text and are in
+    `invalid`. Documents whose text and score, over all of their labels, are both below the bounds don't count. Where
+    some do, the answer is their labels' texts in order, with labels and without; `used` has their labels by document,
+    in the order of first use. Otherwise it keeps the texts of all labels that have a reference and what follows the last
+    label, without labels, and gets the note NO_EVIDENCE. One row for each answer; its rows are what it says.
+    """
+    mark = r"\[\[(\d+)\]\]"
+    parts = answers.select(F.col(key).alias("_k"), F.split(F.coalesce(F.col(answer), F.lit("")), mark).alias("_t"), F.regexp_extract_all(F.coalesce(F.col(answer), F.lit("")), F.lit(mark), F.lit(1)).alias("_n"))
+    said = parts.select("_k", F.posexplode(F.arrays_zip(F.slice("_t", F.lit(1), F.size("_n")).alias("text"), F.transform("_n", lambda n: n.try_cast("long")).alias("label"))).alias("p", "x")).select("_k", "p", "x.text", "x.label")
+    refs = references.select(F.col(key).alias("_k"), F.col("label").cast("long").alias("label"), "doc", "score", F.lit(True).alias("known"))
+    rows = said.join(refs, ["_k", "label"], "left")
+    per = rows.where("known").groupBy("_k", "doc").agg(F.sum(F.length(T.strip(F.col("text")))).alias("chars"), F.sum("score").alias("score"), F.min("p").alias("first"), F.array_sort(F.collect_set("label")).alias("labels"))
+    held = per.where((F.col("chars") >= least_chars) | (F.col("score") >= least_score))
+    rows = rows.join(held.select("_k", "doc", F.lit(True).alias("held")), ["_k", "doc"], "left")
+    in_order = lambda when, value: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.coalesce(when, F.lit(False)), F.struct("p", value.alias("t"))))), lambda x: x["t"]), "")
+    marked = F.concat("text", F.lit("[["), F.col("label").cast("string"), F.lit("]]"))
+    told = rows.groupBy("_k").agg(in_order(F.col("held"), marked).alias("hm"), in_order(F.col("held"), F.col("text")).alias("hp"), in_order(F.col("known"), F.col("text")).alias("kp"), F.transform(F.array_sort(F.collect_list(F.when(F.col("known").isNull(), F.struct("p", "label")))), lambda x: x["label"]).alias("invalid"))
+    used = held.groupBy("_k").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("first", "labels"))), lambda x: x["labels"])).alias("used"))
+    both = parts.select("_k", F.element_at("_t", -1).alias("tail")).join(told, "_k", "left").join(used, "_k", "left")
+    none = F.expr("cast(array() as array<bigint>)")
+    fine = F.coalesce(T.strip(F.col("hm")) != "", F.lit(False))
+    rest = T.strip(F.concat(F.coalesce("kp", F.lit("")), "tail"))
+    noted = F.when(rest.endswith(NO_EVIDENCE), rest).otherwise(F.concat(rest, F.lit(NO_EVIDENCE)))
+    return both.select(F.col("_k").alias(key), F.when(fine, T.strip(F.col("hm"))).otherwise("").alias("labelled"), F.when(fine, T.strip(F.col("hp"))).otherwise(noted).alias("plain"), F.when(fine, F.col("used")).otherwise(none).alias("used"), F.coalesce("invalid", none).alias("invalid"))
+
+
 def cited_segments(answers: DataFrame, *, key: str, answer: str) -> DataFrame:
     """key, label, segment: the text before each [[n]], back to the label before; labels in a row share it."""
     parts = F.split(F.col(answer), r"(?<=\]\])")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from fernglass.functions import text as T
 from fernglass.operators.matching import containing
+from fernglass.session import written
 
 
 # fixed values: company marks that may stand before a name
@@ -148,9 +149,9 @@ def first_stage(near: DataFrame, entries: DataFrame, queries: DataFrame, stages:
 
 def prioritised(entries: DataFrame, queries: DataFrame) -> DataFrame:
     """Title equal, title contains, any other field contains the whole query; the first bucket with hits wins. A blank query has
-    no hits."""
-    q, title = F.lower(F.trim("query")), F.lower("title")
-    rest = F.lower(F.concat_ws("\n", "desc", "address", F.array_join("tags", "\n"), F.array_join("areas", "\n")))
+    no hits. Fields and query are compared in NFKC, lower case and with single spaces; tags, and areas, are one text each."""
+    q, title = T.title_key(F.col("query")), T.title_key(F.col("title"))
+    rest = F.concat_ws("\n", *[T.title_key(F.col(c)) for c in ("desc", "address")], *[T.title_key(F.array_join(c, " ")) for c in ("tags", "areas")])
     near = candidates(entries.select("ord", title.alias("t"), rest.alias("r")), queries.select("qid", q.alias("form")), "t", "r")
     return first_stage(near, entries, queries, [title == q, title.contains(q), rest.contains(q)])
 
@@ -206,19 +207,43 @@ def slot_search(entries: DataFrame, *, area: str | None = None, topic: str | Non
     return entries.where(keep).withColumn("shared", shared).orderBy(F.desc("shared"), newest.desc(), "ord").limit(limit)
 
 
-def fragment_overlap(fragments: DataFrame, queries: DataFrame, *, k: int = 3) -> DataFrame:
+def fragment_overlap(fragments: DataFrame, queries: DataFrame, *, k: int = 3, place: str | None = None) -> DataFrame:
     """qid, text, score: fragments (ord, text) that share tokens with the query (each query token counts, repeated ones again),
-    by score, then length; equal texts once; if nothing is shared, the first k distinct ones with score 0.
-
-    Fragments and queries meet by token. Only lengths and keys are ranked."""
-    once = fragments.groupBy("text").agg(F.min("ord").alias("ord"))
-    words = once.select("ord", F.length("text").alias("_l"), F.explode(F.array_distinct(T.word_tokens(F.col("text")))).alias("_w"))
-    asked = queries.select("qid", F.explode(T.word_tokens(F.col("query"))).alias("_w")).groupBy("qid", "_w").agg(F.count("*").alias("_k"))
-    scored = words.join(asked, "_w").groupBy("qid", "ord", "_l").agg(F.sum("_k").alias("score"))
-    hits = best_of(scored, F.desc("score"), F.desc("_l"), F.col("ord"), limit=k).select("qid", "ord", "score")
-    first = once.select("ord").orderBy("ord").limit(k)
-    others = queries.select("qid").join(scored.select("qid").distinct(), "qid", "left_anti").join(F.broadcast(first)).select("qid", "ord", F.lit(0).cast("long").alias("score"))
-    return hits.unionByName(others).join(once, "ord").select("qid", "text", "score")
+    by score, then length; equal texts once; if nothing is shared, the first k distinct ones with score 0. With `place`, a column
+    of both sides, inside the query's place. Fragments without a token don't count.
+
+    The k longest fragments with a query's rarest token are scored first. Tokens that together give less than their
+    k-th best score bring no fragment in alone, so what everyone says meets no query; other fragments are found by the
+    rest, and scored by their own tokens.
+    """
+    at = F.lit("") if place is None else F.col(place)
+    tokens = F.array_distinct(T.fragment_tokens(F.col("text")))
+    once = fragments.withColumn("_at", at).groupBy("_at", "text").agg(F.min("ord").alias("ord")).withColumn("_ws", tokens).where(F.size("_ws") > 0)
+    once = written(once.select("_at", "ord", "text", F.length("text").alias("_l"), "_ws"), "fragments")
+    own = queries.select("qid", at.alias("_at"), F.explode(T.fragment_tokens(F.col("query"))).alias("_w")).groupBy("qid", "_at", "_w").agg(F.count("*").alias("_k"))
+    words = once.select("_at", "ord", "_l", F.explode("_ws").alias("_w")).join(own.select("_at", "_w").distinct(), ["_at", "_w"], "left_semi")
+    words = written(words, "words")
+    per = Window.partitionBy("qid")  # a query's tokens
+    upwards = per.orderBy(F.desc("_df"), "_w").rowsBetween(Window.unboundedPreceding, 0)
+    asked = own.join(words.groupBy("_at", "_w").agg(F.count("*").alias("_df")), ["_at", "_w"])
+    asked = written(asked.withColumns({"_below": F.sum("_k").over(upwards), "_rare": F.row_number().over(per.orderBy("_df", F.desc("_w")))}), "asked")
+    whole = asked.groupBy("qid").agg(F.collect_list(F.struct("_w", "_k")).alias("_asked"))
+
+    def rated(met: DataFrame) -> DataFrame:
+        both = met.join(once.drop("text"), ["_at", "ord"]).join(whole, "qid")
+        return both.select("qid", "_at", "ord", "_l", F.aggregate("_asked", F.lit(0).cast("long"), lambda n, a: n + F.when(F.array_contains("_ws", a["_w"]), a["_k"]).otherwise(0)).alias("score"))
+
+    seeds = words.join(asked.where("_rare = 1").select("qid", "_at", "_w"), ["_at", "_w"])
+    seeds = best_of(seeds, F.desc("_l"), F.col("ord"), limit=k).select("qid", "_at", "ord")
+    first = written(rated(seeds), "first")
+    reach = first.groupBy("qid").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(0).alias("_least"))
+    may = asked.join(reach, "qid").where("_below >= _least").select("qid", "_at", "_w")
+    met = words.join(may, ["_at", "_w"]).select("qid", "_at", "ord").distinct().join(first.select("qid", "ord"), ["qid", "ord"], "left_anti")
+    scored = first.unionByName(rated(met))
+    hits = best_of(scored, F.desc("score"), F.desc("_l"), F.col("ord"), limit=k).select("qid", "_at", "ord", "score")
+    start = once.withColumn("_r", F.row_number().over(Window.partitionBy("_at").orderBy("ord"))).where(F.col("_r") <= k).select("_at", "ord") if place else once.orderBy("ord").limit(k).select("_at", "ord")
+    others = queries.select("qid", at.alias("_at")).join(asked.select("qid").distinct(), "qid", "left_anti").join(F.broadcast(start) if place is None else start, "_at").select("qid", "_at", "ord", F.lit(0).cast("long").alias("score"))
+    return hits.unionByName(others).join(once.select("_at", "ord", "text"), ["_at", "ord"]).select("qid", "text", "score")
 
 
 def keyword_in_context(docs: DataFrame, words: list[str], *, key: str, text: str, window: int = 80, limit: int = 5) -> DataFrame:

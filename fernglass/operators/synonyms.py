@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fernglass.functions import text as T
 from fernglass.operators.matching import containing
 from fernglass.operators.search import best_of
 
@@ -16,9 +17,10 @@ def closure(groups: DataFrame, *, tag: str, aliases: str) -> DataFrame:
 
 
 def tags_in_text(questions: DataFrame, groups: DataFrame, *, key: str, text: str, tag: str, aliases: str) -> DataFrame:
-    """key, tag of the tags of which a form occurs in the text (keys are distinct); see matching."""
-    forms = groups.select(F.col(tag).alias("tag"), F.explode(F.concat(F.array(tag), aliases)).alias("form")).withColumn("form", F.lower(F.trim("form"))).where(F.col("form") != "").distinct()
-    return containing(questions.select(key, F.lower(text).alias("_t")), forms, key=key, text="_t", form="form").select(key, "tag").distinct()
+    """key, tag of the tags of which a form occurs in the text (keys are distinct), both in NFKC, lower case and with single spaces;
+    see matching."""
+    forms = groups.select(F.col(tag).alias("tag"), F.explode(F.concat(F.array(tag), aliases)).alias("form")).withColumn("form", T.title_key(F.col("form"))).where(F.col("form") != "").distinct()
+    return containing(questions.select(key, T.title_key(F.col(text)).alias("_t")), forms, key=key, text="_t", form="form").select(key, "tag").distinct()
 
 
 def partition_of_text(questions: DataFrame, aliases: DataFrame, *, key: str, text: str, longest: bool = False) -> DataFrame:

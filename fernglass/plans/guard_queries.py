@@ -131,7 +131,7 @@ ORACLE_SQL = {
     "ask_pipeline": r"""WITH q AS (SELECT conv_id * 1000 + turn AS qid, CASE conv_id % 3 WHEN 0 THEN 'フェリー ' WHEN 1 THEN 'the small ring ' ELSE '' END || text AS q FROM conversations WHERE role = 'user'),
         i AS (SELECT qid, q, CASE WHEN contains(lower(q), 'weather') THEN 'weather' WHEN regexp_matches(lower(q), 'フェリー|status|ana|jal|orc') THEN 'transport' WHEN regexp_matches(lower(q), 'viewpoints?\s*map') THEN 'viewpoint_map' END AS i FROM q),
         p AS (SELECT p_name, min(p_partkey) AS o FROM part GROUP BY 1), n AS (SELECT qid, arg_min(p_name, o) AS title FROM i JOIN p ON contains(lower(q), lower(p_name)) GROUP BY qid),
-        w AS (SELECT qid, w, count(*) AS k FROM (SELECT qid, unnest(regexp_extract_all(lower(q), '[\pL\pN_]+')) AS w FROM i) GROUP BY ALL), b AS (SELECT text, min(item_id) AS o, list_distinct(regexp_extract_all(lower(text), '[\pL\pN_]+')) AS ws FROM benchmark GROUP BY text), bw AS (SELECT text, o, unnest(ws) AS w FROM b),
+        w AS (SELECT qid, w, count(*) AS k FROM (SELECT qid, unnest(regexp_extract_all(lower(q), '[0-9a-z一-龥ぁ-んァ-ンー]+')) AS w FROM i) GROUP BY ALL), b AS (SELECT text, min(item_id) AS o, list_distinct(regexp_extract_all(lower(text), '[0-9a-z一-龥ぁ-んァ-ンー]+')) AS ws FROM benchmark GROUP BY text), bw AS (SELECT text, o, unnest(ws) AS w FROM b),
         s AS (SELECT qid, text, o, sum(k) AS score FROM w JOIN bw USING (w) GROUP BY ALL), f AS (SELECT qid, text FROM s QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, length(text) DESC, o) = 1),
         r AS (SELECT i.qid, CASE WHEN i IS NOT NULL THEN 'special' WHEN title IS NOT NULL THEN 'entries' WHEN f.text IS NOT NULL THEN 'documents' ELSE 'no_answer' END AS route, coalesce(i, title, f.text, '') AS answer FROM i LEFT JOIN n ON n.qid = i.qid LEFT JOIN f ON f.qid = i.qid)
         SELECT qid, route, route <> 'no_answer' AS hit, md5(answer) AS answer_md5 FROM r""",

@@ -62,7 +62,7 @@ def discriminative_tags_all(spark, d):
 
 
 def keyword_argmax(spark, d):
-    return A.keyword_argmax(table(spark, d, "documents"), ["the", "and"], text="text", key="doc_id")
+    return A.keyword_argmax(table(spark, d, "documents"), ["Ｔhe", "AND", "a"], text="text", key="doc_id")
 
 
 def status_roll_up(spark, d):
@@ -84,7 +84,7 @@ def retention_newest_n(spark, d):
 
 def ranked_tags(spark, d):
     tags = A.top_tags(entries(spark, d), tags="tags", order="ord", k=100).withColumn("ord", F.col("n"))
-    return A.ranked_tags(tags, ["PROMO", "SMALL", "Brand#2"], "a PROMO of SMALL things", tag="tag", order="ord").select("tag", F.col("weight").cast("long").alias("weight"))
+    return A.ranked_tags(tags, {"PROMO": ["PROMO", "SMALL"], "things": ["SMALL", "Brand#12", "PROMO"], "rain": ["LARGE"]}, "a PROMO of small things", tag="tag", order="ord").select("tag", F.col("weight").cast("long").alias("weight"))
 
 
 def locale_sort(spark, d):
@@ -106,22 +106,22 @@ ORACLE_SQL = {
     "report_totals": f"WITH {LOG}, g AS ({_UNHIT.format(days=30)}) SELECT count(*) AS groups, CAST(sum(n) AS BIGINT) AS total FROM g WHERE n >= 2",
     "recent_logs": f"WITH {LOG} SELECT ord, question FROM l ORDER BY ts DESC, ord DESC LIMIT 50 OFFSET 50",
     "hit_miss_daily": f"WITH {LOG} SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) FILTER (WHERE hit) AS hits, count(*) FILTER (WHERE NOT hit) AS misses FROM l GROUP BY 1",
-    "top_tags": f"WITH {ENTRIES}, t AS (SELECT unnest(tags) AS tag, ord FROM e) SELECT tag, count(*) AS n FROM t GROUP BY tag ORDER BY n DESC, min(ord), tag LIMIT 8",
-    "facets": f"""WITH {ENTRIES}, m AS (SELECT * FROM e WHERE contains(title, 'ring')), v AS (SELECT 'area' AS kind, 0 AS r, unnest(areas) AS value, ord FROM m UNION ALL SELECT 'tag', 1, unnest(tags), ord FROM m)
-        SELECT kind, value, count(*) AS n FROM v GROUP BY kind, r, value ORDER BY r, n DESC, min(ord), value LIMIT 9""",
+    "top_tags": f"WITH {ENTRIES}, t AS (SELECT unnest(tags) AS tag, ord * 10 + unnest(range(len(tags))) AS ord FROM e) SELECT tag, count(*) AS n FROM t GROUP BY tag ORDER BY n DESC, min(ord) LIMIT 8",
+    "facets": f"""WITH {ENTRIES}, m AS (SELECT * FROM e WHERE contains(title, 'ring')), v AS (SELECT 'area' AS kind, 0 AS r, unnest(areas) AS value, ord * 10 + unnest(range(len(areas))) AS ord FROM m UNION ALL SELECT 'tag', 1, unnest(tags), ord * 10 + unnest(range(len(tags))) FROM m)
+        SELECT kind, value, count(*) AS n FROM v GROUP BY kind, r, value ORDER BY r, n DESC, min(ord) LIMIT 9""",
     "dashboard_counts": "SELECT 'entries' AS name, count(*) AS n FROM part UNION ALL SELECT 'log', count(*) FROM events UNION ALL SELECT 'documents', count(*) FROM documents",
     "discriminative_tags": f"""WITH {ENTRIES}, n AS (SELECT title, count(*) AS n FROM e GROUP BY title), t AS (SELECT title, tag, count(DISTINCT ord) AS k FROM (SELECT title, ord, unnest(tags) AS tag FROM e) GROUP BY 1, 2),
         r AS (SELECT t.title, tag, row_number() OVER (PARTITION BY t.title ORDER BY tag) AS r FROM t JOIN n ON n.title = t.title WHERE k < n.n OR n.n = 1) SELECT title, tag FROM r WHERE r <= 12""",
     "discriminative_tags_all": f"""WITH {ENTRIES}, n AS (SELECT category, count(*) AS n FROM e GROUP BY 1), t AS (SELECT category, tag, count(DISTINCT ord) AS k FROM (SELECT category, ord, unnest(tags) AS tag FROM e) GROUP BY 1, 2),
         a AS (SELECT t.*, n.n, max(CAST(k < n.n AS INT)) OVER (PARTITION BY t.category) AS anyd FROM t JOIN n ON n.category = t.category), r AS (SELECT category, tag, row_number() OVER (PARTITION BY category ORDER BY tag) AS r FROM a WHERE k < n OR anyd = 0)
         SELECT category, tag FROM r WHERE r <= 12""",
-    "keyword_argmax": "SELECT doc_id, CAST(len(string_split(text, 'the')) - 1 + len(string_split(text, 'and')) - 1 AS BIGINT) AS n FROM documents ORDER BY n DESC, doc_id LIMIT 1",
+    "keyword_argmax": "SELECT doc_id, CAST(len(string_split(lower(text), 'the')) - 1 + len(string_split(lower(text), 'and')) - 1 AS BIGINT) AS n FROM documents ORDER BY n DESC, doc_id LIMIT 1",
     "status_roll_up": f"WITH {LOG} SELECT CASE WHEN bool_or(source = 'error') THEN 'unknown' ELSE 'ready' END AS overall FROM l",
     "interval_overlap_week": """WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS s, CASE WHEN o_orderkey % 3 <> 0 THEN CAST(o_orderdate + INTERVAL 10 DAY AS DATE) ELSE CAST(o_orderdate AS DATE) END AS e FROM orders)
         SELECT o_orderkey FROM o WHERE e >= DATE '1997-06-16' AND s <= DATE '1997-06-22'""",
-    "estimated_bytes": "SELECT CAST(sum(strlen(text)) AS BIGINT) AS bytes, CAST(ceil(sum(strlen(text)) * 1.08::DOUBLE) AS BIGINT) AS needed FROM documents",
+    "estimated_bytes": "SELECT CAST(sum(strlen(text)) AS BIGINT) AS bytes, CAST(floor(sum(strlen(text)) * 1.08::DOUBLE) AS BIGINT) + 1000000 AS needed FROM documents",
     "retention_newest_n": "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) <= 3",
-    "ranked_tags": f"WITH {ENTRIES}, t AS (SELECT unnest(tags) AS tag FROM e) SELECT tag, CAST(CASE tag WHEN 'PROMO' THEN 100 WHEN 'SMALL' THEN 99 ELSE 0 END AS BIGINT) AS weight FROM t GROUP BY tag",
+    "ranked_tags": f"WITH {ENTRIES}, t AS (SELECT unnest(tags) AS tag FROM e) SELECT tag, CAST(CASE tag WHEN 'PROMO' THEN 198 WHEN 'SMALL' THEN 199 WHEN 'Brand#12' THEN 99 ELSE 0 END AS BIGINT) AS weight FROM t GROUP BY tag",
     "locale_sort": """WITH t AS (SELECT DISTINCT CASE p_partkey % 5 WHEN 0 THEN 'い' || p_name WHEN 1 THEN 'ア' || p_name WHEN 2 THEN array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ' ') ELSE p_name END AS title FROM part)
         SELECT title, row_number() OVER (ORDER BY CASE WHEN starts_with(title, 'ア') THEN 1 WHEN starts_with(title, 'い') THEN 2 ELSE 0 END, lower(title), CASE WHEN title = lower(title) THEN 0 ELSE 1 END) AS place FROM t""",
 }

@@ -84,11 +84,11 @@ def retry_weak(spark, d):
 def scope_filter(spark, d):
     e = table(spark, d, "documents").select((F.col("doc_id") % 20).alias("qid"), F.col("doc_id").alias("key"), F.col("n_chars").cast("double").alias("score"), "text")
     style = F.element_at(F.array(F.lit("brief"), F.lit("normal"), F.lit("detailed")), (F.col("qid") % 3 + 1).cast("int"))
-    return R.in_scope(e.withColumn("kw", F.array(F.lit("idiot"), F.lit("worthless"))).withColumn("style", style), text="text", keywords="kw", style="style").select("qid", "key")
+    return R.in_scope(e.withColumn("kw", F.array(F.lit("idiot"), F.lit("Worthless"), F.lit(""))).withColumn("style", style), text="text", keywords="kw", style="style").select("qid", "key")
 
 
 def context_labels(spark, d):
-    s = _chunks(spark, d).select(F.col("doc").alias("qid"), (F.col("chunk_index") + 1).alias("pick"), F.col("doc").alias("file"), "line_start", "line_end", "text")
+    s = _chunks(spark, d).select(F.col("doc").alias("qid"), (F.col("chunk_index") + 1).alias("pick"), F.col("part").alias("place"), F.concat(F.lit("d"), F.col("doc").cast("string"), F.when(F.col("doc") % 3 == 0, ".TXT").when(F.col("doc") % 3 == 1, ".md").otherwise(".csv")).alias("file"), "line_start", "line_end", "text")
     return R.labelled_context(s).select("qid", F.md5("context").alias("md5"))
 
 
@@ -107,6 +107,15 @@ def citation_aggregate(spark, d):
     return R.citations(s, _refs(spark, d), key="item_id", least_chars=8, least_score=0.6).select("item_id", "doc", F.array_join(F.transform("labels", lambda x: x.cast("string")), ",").alias("labels"), "chars", F.round("score", 6).alias("score"))
 
 
+def rebuilt_answers(spark, d):
+    """Answers that cite two documents, one of which often says and weighs too little, and labels that mean nothing."""
+    said = F.concat(F.lit("First part [[1]] "), "text", F.lit(" [[2]] and then more of it[[1]] nothing [["), (F.col("item_id") % 5).cast("string"), F.lit("]] at the end "))
+    b = table(spark, d, "benchmark").select("item_id", F.when(F.col("item_id") % 4 == 3, F.lit(" no label at all ")).otherwise(said).alias("answer"))
+    got = R.rebuilt_answers(b, _refs(spark, d), key="item_id", answer="answer", least_chars=200, least_score=0.45)
+    joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
+    return got.select("item_id", F.md5("labelled").alias("labelled"), F.md5("plain").alias("plain"), joined("used"), joined("invalid"))
+
+
 def unknown_labels(spark, d):
     return R.unknown_labels(R.cited_segments(_answers(spark, d), key="item_id", answer="answer"), _refs(spark, d), key="item_id").select("item_id", F.col("label").cast("long").alias("label"))
 
@@ -133,7 +142,7 @@ def file_changes(spark, d):
     return R.file_changes(old, new)
 
 
-QUERIES = {f.__name__: f for f in (tfidf_df_idf, tfidf_topk, index_changes, dense_topk, rrf_fusion, mmr_select, confidence, retry_weak, scope_filter, context_labels, citation_aggregate, unknown_labels, semi_cited, extractive_summary, model_tier, file_changes)}
+QUERIES = {f.__name__: f for f in (tfidf_df_idf, tfidf_topk, index_changes, dense_topk, rrf_fusion, mmr_select, confidence, retry_weak, scope_filter, context_labels, citation_aggregate, rebuilt_answers, unknown_labels, semi_cited, extractive_summary, model_tier, file_changes)}
 
 _CHUNKS = r"""w AS (SELECT lang, doc_id, text AS body, length(text) AS n, unnest(range(0, CASE WHEN length(text) <= 700 THEN 1 ELSE CAST(ceil((length(text) - 700) / 550) AS BIGINT) + 1 END)) AS i FROM documents),
   c0 AS (SELECT lang, doc_id, i, i * 550 AS cs, least(i * 550 + 700, n) AS ce, trim(regexp_replace(substr(body, i * 550 + 1, 700), '^\s+|\s+$', '', 'g')) AS t, body FROM w),
@@ -162,11 +171,17 @@ ORACLE_SQL = {
         u AS (SELECT qid, key, round(sum(1.0::DOUBLE / (60 + r)), 9) AS score FROM l GROUP BY qid, key) SELECT qid, key, round(score, 6) AS score FROM u QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, key) <= 12""",
     "confidence": f"WITH {_V}, {_CONF.format(more='')} SELECT qid, round(c, 5) AS confidence FROM f",
     "retry_weak": f"WITH {_V}, {_CONF.format(more=' AND score > 0.5')}, n AS (SELECT qid, count(*) AS n FROM t GROUP BY qid) SELECT qid, n < 2 AND c < 0.9999 AS retry FROM f JOIN n USING (qid)",
-    "scope_filter": """WITH e AS (SELECT doc_id % 20 AS qid, doc_id AS key, n_chars AS score, contains(lower(text), 'idiot') OR contains(lower(text), 'worthless') AS m FROM documents), g AS (SELECT * FROM e QUALIFY m OR NOT bool_or(m) OVER (PARTITION BY qid))
-        SELECT qid, key FROM g QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, key) <= CASE qid % 3 WHEN 0 THEN 4 WHEN 1 THEN 6 ELSE 8 END""",
-    "context_labels": f"WITH {_CHUNKS} SELECT doc_id AS qid, md5(string_agg('[[' || (ci + 1) || ']] ' || doc_id || '/L' || ls || '-' || le || chr(10) || t, chr(10) || chr(10) ORDER BY ci)) AS md5 FROM c GROUP BY doc_id",
+    "scope_filter": """WITH e AS (SELECT doc_id % 20 AS qid, doc_id AS key, n_chars AS score, contains(text, 'idiot') OR contains(text, 'Worthless') AS m FROM documents), g AS (SELECT *, bool_or(m) OVER (PARTITION BY qid) AS hits FROM e QUALIFY m OR NOT bool_or(m) OVER (PARTITION BY qid))
+        SELECT qid, key FROM g QUALIFY NOT hits OR row_number() OVER (PARTITION BY qid ORDER BY score DESC, key) <= CASE qid % 3 WHEN 0 THEN 4 WHEN 1 THEN 6 ELSE 8 END""",
+    "context_labels": f"WITH {_CHUNKS} SELECT doc_id AS qid, md5(string_agg('[[' || (ci + 1) || ']] ' || lang || '/d' || doc_id || CASE WHEN doc_id % 3 = 2 THEN '.csv' ELSE '' END || ' L' || ls || '-' || le || chr(10) || t, chr(10) || chr(10) ORDER BY ci)) AS md5 FROM c GROUP BY doc_id",
     "citation_aggregate": f"""WITH {_SEG}, j AS (SELECT item_id, label, label % 2 AS doc, length(seg) AS n, label / 10 AS score FROM g WHERE label BETWEEN 1 AND 3)
         SELECT item_id, doc, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, CAST(sum(n) AS BIGINT) AS chars, round(sum(score), 6) AS score FROM j GROUP BY item_id, doc HAVING sum(n) >= 8 OR sum(score) >= 0.6""",
+    "rebuilt_answers": """WITH b AS (SELECT item_id, text AS x, item_id % 5 AS m FROM benchmark WHERE item_id % 4 <> 3), g AS (SELECT item_id, 1 AS p, 1 AS label, 'First part ' AS seg FROM b UNION ALL SELECT item_id, 2, 2, ' ' || x || ' ' FROM b UNION ALL SELECT item_id, 3, 1, ' and then more of it' FROM b UNION ALL SELECT item_id, 4, m, ' nothing ' FROM b),
+        k AS (SELECT *, label BETWEEN 1 AND 3 AS known, label % 2 AS doc FROM g), d AS (SELECT item_id, doc, min(p) AS f, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM k WHERE known GROUP BY ALL HAVING sum(length(trim(seg, ' '||chr(10)))) >= 200 OR sum(label / 10) >= 0.45),
+        a AS (SELECT k.item_id, trim(string_agg(seg || '[[' || label || ']]', '' ORDER BY p) FILTER (WHERE known AND d.doc IS NOT NULL), ' '||chr(10)) AS hm, trim(string_agg(seg, '' ORDER BY p) FILTER (WHERE known AND d.doc IS NOT NULL), ' '||chr(10)) AS hp, coalesce(string_agg(seg, '' ORDER BY p) FILTER (WHERE known), '') AS kp, coalesce(string_agg(label, ',' ORDER BY p) FILTER (WHERE NOT known), '') AS invalid
+          FROM k LEFT JOIN d ON d.item_id = k.item_id AND d.doc = k.doc GROUP BY k.item_id), u AS (SELECT item_id, string_agg(labels, ',' ORDER BY f) AS used FROM d GROUP BY item_id)
+        SELECT a.item_id, md5(coalesce(hm, '')) AS labelled, md5(CASE WHEN hm IS NULL THEN trim(kp || ' at the end ', ' '||chr(10)) || '（注：根拠ラベルが見つかりませんでした）' ELSE hp END) AS plain, CASE WHEN hm IS NULL THEN '' ELSE used END AS used, invalid FROM a LEFT JOIN u ON u.item_id = a.item_id
+        UNION ALL SELECT item_id, md5(''), md5('no label at all（注：根拠ラベルが見つかりませんでした）'), '', '' FROM benchmark WHERE item_id % 4 = 3""",
     "unknown_labels": f"WITH {_SEG} SELECT DISTINCT item_id, label FROM g WHERE label NOT BETWEEN 1 AND 3",
     "semi_cited": "SELECT lang, count(*) AS n FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND toxic = 0) GROUP BY lang",
     "extractive_summary": r"""WITH b AS (SELECT item_id, string_split(regexp_replace(regexp_replace(regexp_replace(text, '\. ?', '! ', 'g'), '[\r\n]', ' ', 'g'), '([。！？!?])', '\1' || chr(1), 'g'), chr(1)) AS ss FROM benchmark),

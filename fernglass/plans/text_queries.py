@@ -91,7 +91,7 @@ def url_host(spark, d):
 
 
 def truthy_values(spark, d):
-    e = table(spark, d, "events").select("event_id", F.element_at(F.array(*[F.lit(x) for x in ("yes", "off", "TRUE", "", "maybe")]), (F.col("event_id") % 5 + 1).cast("int")).alias("v"))
+    e = table(spark, d, "events").select("event_id", F.element_at(F.array(*[F.lit(x) for x in ("yes", "off", "TRUE", "", "maybe", "t", "null", "2")]), (F.col("event_id") % 8 + 1).cast("int")).alias("v"))
     return e.groupBy("v").agg(F.bool_and(T.truthy(F.col("v"))).alias("strict"), F.bool_and(T.truthy(F.col("v"), True)).alias("permissive"))
 
 
@@ -194,7 +194,7 @@ ORACLE_SQL = {
     "source_parts": "SELECT doc_id, source AS folder, CAST(doc_id AS VARCHAR) AS file, 'L1-9' AS lines FROM documents",
     "coord_parse": "SELECT s_suppkey, round(32 + (s_suppkey % 100) / 50, 4) AS lat, round(128 + (s_suppkey % 97) / 50, 4) AS lng FROM supplier",
     "url_host": "SELECT regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS host, count(*) AS n FROM pages GROUP BY 1",
-    "truthy_values": "SELECT * FROM (VALUES ('yes', true, true), ('off', false, false), ('TRUE', true, true), ('', false, false), ('maybe', false, true)) t(v, strict, permissive)",
+    "truthy_values": "SELECT * FROM (VALUES ('yes', true, true), ('off', false, false), ('TRUE', true, true), ('', false, false), ('maybe', false, true), ('t', false, true), ('null', false, true), ('2', false, true)) t(v, strict, permissive)",
     "timestamp_parse": "SELECT o_orderkey, CASE WHEN o_orderkey % 5 < 4 THEN epoch_us(o_orderdate) END AS us FROM orders",
     "plan_classify": r"""WITH c AS (SELECT conv_id, turn, lower(text) AS low FROM conversations WHERE role = 'user'), w AS (SELECT conv_id, turn, unnest(regexp_extract_all(low, '[\pL\pN_]+')) AS w, generate_subscripts(regexp_extract_all(low, '[\pL\pN_]+'), 1) AS p FROM c),
         f AS (SELECT conv_id, turn, w, min(p) AS p FROM w WHERE length(w) >= 2 GROUP BY ALL), k AS (SELECT conv_id, turn, string_agg(w, ',' ORDER BY p) AS keywords FROM f GROUP BY ALL)

@@ -42,7 +42,8 @@ def test_two_search_forms_differ(spark):
 def test_diacritics_and_variants(spark):
     assert one(spark, "Ünï が", T.without_diacritics) == "Uni か"
     assert one(spark, "é a", T.query_variants) == ["é a", "e a", "éa"]
-    assert one(spark, "ガッコウ", T.simple_kana) == "かつこう"
+    assert one(spark, "ガッ コウ", T.simple_kana) == "がつこう"
+    assert one(spark, "ガッ コウ", T.plain_kana) == "かっこう"
 
 
 def test_grams(spark):
@@ -54,6 +55,9 @@ def test_grams(spark):
 def test_fragments(spark):
     text = "a" * 100 + "。" + "b" * 58 + "。" + "c" * 200 + "。"
     assert [len(x) for x in one(spark, text, T.fragments)] == [160, 201]
+    # white space is single before lengths count
+    assert one(spark, "a" * 100 + "!" + " \n " * 30 + "b  b" * 10 + "!\n", T.fragments) == ["a" * 100 + "!" + "b b" * 10 + "!"]
+    assert one(spark, " \n ", T.fragments) == []
 
 
 def test_small_values(spark):
@@ -61,7 +65,12 @@ def test_small_values(spark):
     assert one(spark, "no number", T.ttl_seconds) is None
     assert one(spark, "a１２b", T.first_integer) == 12
     assert one(spark, "[[1]] x [[9]]", T.labels) == [1, 9]
-    assert one(spark, "12:30 Bob  hello +", T.clean_input) == "hello"
+    assert one(spark, "12:30 Bob  hello +", T.clean_input) == "12:30 Bob hello"
+    assert one(spark, " 15:19 山田　たろう 教会は? ++", T.clean_input) == "教会は?"
+    assert one(spark, "[2024-01-05 10:00] hello\n  there", T.clean_input) == "hello\n there"
+    assert one(spark, "[note] hello", T.clean_input) == "[note] hello"
+    assert one(spark, "User： hello", T.clean_input) == "hello"
+    assert one(spark, "Éa 日本-x ガイド", T.fragment_tokens) == ["a", "日本", "x", "ガイド"]
     assert one(spark, "abcdef, x", lambda c: T.clip(c, 7)) == "abcdef…"
     assert one(spark, "a/b/c.txt", T.file_slug) == "a_b_c.txt"
     assert tuple(one(spark, "city/file.txt/L3-9", T.source_parts)) == ("city", "file", "L3-9")
