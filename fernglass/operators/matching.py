@@ -9,16 +9,33 @@ from pyspark.sql import functions as F
 GRAM = 3
 
 
+def _pieces(text: str, lengths: list[int]):
+    return F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(text, F.lit("(?s)(?=(.{%d}))" % n), F.lit(1)) for n in lengths])))
+
+
 def containing(texts: DataFrame, forms: DataFrame, *, key: str, text: str, form: str) -> DataFrame:
     """key and the columns of forms, for texts (key, text) that contain the form. Empty forms and null texts match nothing.
 
-    A form waits under its first GRAM characters (all of it, if it is shorter), a text asks for each of its distinct pieces
-    of up to so many, so a pair meets once and only where it may match. Only keys travel with the pieces; texts come
-    back for pairs that met. Spark sends the forms to every task while they are small.
+    A text has pieces of GRAM characters, and of as many as shorter forms have; those that a form has too are counted over
+    all texts. A form waits under its piece that fewest texts have (all of it, if it is no longer than GRAM), and
+    texts ask for their pieces, so a pair meets once and only where it may match: a common beginning that many forms share
+    is nothing they are looked up by. Only keys travel with the pieces; texts come back for pairs that met. Spark
+    sends the forms to every task while they are small.
     """
-    pieces = F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(text, F.lit("(?s)(?=(.{%d}))" % n), F.lit(1)) for n in range(1, GRAM + 1)])))
-    asked = texts.where(F.col(text).isNotNull()).select(F.col(key).alias("_key"), F.explode(pieces).alias("_gram"))
-    waiting = forms.where(F.length(form) > 0).withColumn("_gram", F.substr(form, F.lit(1), F.lit(GRAM)))
+    forms = forms.where(F.length(form) > 0)
+    size = F.least(F.length(form), F.lit(GRAM))
+    lengths = sorted(r.n for r in forms.select(size.alias("n")).distinct().collect())  # GRAM numbers at most
+    if not lengths:
+        return texts.select(key).limit(0).join(forms, F.lit(False))
+    own = forms.select(form).distinct()
+    # forms of GRAM characters or less are their own piece
+    of_forms = own.select(form, F.explode(F.when(F.length(form) <= GRAM, F.array(form)).otherwise(_pieces(form, [GRAM]))).alias("_gram"))
+    asked = texts.where(F.col(text).isNotNull()).select(F.col(key).alias("_key"), F.explode(_pieces(text, lengths)).alias("_gram"))
+    found = asked.join(of_forms.select("_gram").distinct(), "_gram", "left_semi")
+    many = found.groupBy("_gram").agg(F.count("*").alias("_n"))
+    # a piece that no text has is no row here: its form is in no text
+    rarest = of_forms.join(many, "_gram", "left").groupBy(form).agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_gram")).alias("_r")).where("_r.n > 0").select(F.col(form).alias("_form"), F.col("_r._gram").alias("_gram"))
+    waiting = rarest.join(forms, F.col("_form") == F.col(form)).drop("_form")
     met = asked.join(waiting, "_gram").drop("_gram")
     whole = texts.select(F.col(key).alias("_k"), F.col(text).alias("_text"))
     both = met.join(whole, F.col("_key") == F.col("_k")).where(F.col("_text").contains(F.col(form)))
