@@ -57,6 +57,73 @@ def read_texts(spark: SparkSession, base: str, *, suffixes: tuple[str, ...] = ("
     return files.select(F.element_at(parts, -2).alias("part"), F.element_at(parts, -1).alias("file"), F.regexp_replace(F.regexp_replace(text, "^﻿", ""), "\r\n", "\n").alias("text"), F.col("modificationTime").alias("mtime")).dropDuplicates(["part", "file"])
 
 
+#: Encodings that bytes are tried in, in this order, each strictly; the last resort replaces what it can't read.
+CSV_ENCODINGS, TEXT_ENCODINGS, LAST = ("utf-8-sig", "utf-8", "cp932", "shift_jis"), ("utf-8-sig", "utf-8", "cp932", "shift_jis", "utf-16"), "cp932"
+
+
+def decoded(raw: bytes | None, encodings: tuple[str, ...] = TEXT_ENCODINGS) -> tuple[str | None, str | None]:
+    """Text and encoding of bytes: the first of the encodings that reads them all, or the last resort with replacements."""
+    if raw is None:
+        return None, None
+    for name in encodings:
+        try:
+            return raw.decode(name), name
+        except UnicodeDecodeError:
+            continue
+    return raw.decode(LAST, "replace"), f"{LAST}(replace)"
+
+
+def read_any_texts(spark: SparkSession, base: str, *, glob: str = "*", encodings: tuple[str, ...] = TEXT_ENCODINGS) -> DataFrame:
+    """path, part, file, text, encoding, mtime of all files below a folder, whatever encodings they are in: one read of their bytes, each
+    file decoded where it was read. Files with a byte order mark lose it; files of no bytes are no rows, since Spark reads none of them."""
+
+    def decode(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            got = [decoded(x, encodings) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([g[0] for g in got], pa.large_string()).cast(pa.string()), pa.array([g[1] for g in got], pa.string())], ["path", "mtime", "text", "encoding"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(base).select("path", "content", F.col("modificationTime").alias("mtime"))
+    rows = files.mapInArrow(decode, "path string, mtime timestamp, text string, encoding string")
+    parts = F.split("path", "/")
+    return rows.select("path", F.element_at(parts, -2).alias("part"), F.element_at(parts, -1).alias("file"), "text", "encoding", "mtime")
+
+
+def import_any_csv(spark: SparkSession, base: str, *, glob: str = "*.csv", default_category: str = "other") -> DataFrame:
+    """As import_entries_csv, of files whose encodings differ and aren't known, with the `encoding` that was found.
+
+    A file is one CSV with its own header; its records are read where its bytes are, and columns are found by name.
+    """
+
+    def read(batches):
+        import csv
+        import io
+        import json
+
+        import pyarrow as pa
+
+        for b in batches:
+            out = []
+            for raw in b.column(0).to_pylist():
+                text, encoding = decoded(raw, CSV_ENCODINGS)
+                for r in csv.DictReader(io.StringIO(text, newline="")):
+                    r = {(k or "").strip(): v for k, v in r.items() if isinstance(v, str)}
+                    side = {k[6:]: v for k, v in r.items() if k.startswith(("extra_", "extra:")) and v != ""}
+                    out.append((r.get("title"), r.get("desc"), r.get("areas"), r.get("category"), r.get("extras"), json.dumps(side), encoding))
+            columns = list(zip(*out)) or [[]] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["title", "desc", "areas", "category", "extras", "side", "encoding"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(base).select("content")
+    rows = files.mapInArrow(read, "title string, desc string, areas string, category string, extras string, side string, encoding string")
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    side = F.from_json("side", "map<string,string>")
+    own = F.coalesce(F.from_json("extras", "map<string,string>"), F.expr("cast(map() as map<string,string>)"))
+    joined = F.map_concat(F.map_filter(own, lambda k, v: ~F.map_contains_key(side, k)), side)
+    kept = rows.where(~blank("title") & ~blank("desc") & ~blank("areas"))
+    return kept.select("title", "desc", "areas", F.when(blank("category"), default_category).otherwise(F.trim("category")).alias("category"), joined.alias("extras"), "encoding")
+
+
 def list_files(spark: SparkSession, base: str, glob: str = "*") -> DataFrame:
     """path, name, ext, folder, bytes, mtime; contents aren't read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(base).drop("content")
