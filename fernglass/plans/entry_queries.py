@@ -10,7 +10,7 @@ from fernglass.operators import nearby, search
 from fernglass.operators import synonyms as S
 from fernglass.plans import routing
 from fernglass.plans.views import ENTRIES, entries, queries
-from fernglass.session import table
+from fernglass.session import numbered, table
 
 _joined = lambda c: F.array_join(c, "|")
 
@@ -208,9 +208,11 @@ def import_entries(spark, d):
 
 
 def queue_take(spark, d):
-    done = table(spark, d, "part").where("p_size > 25").select(F.upper("p_name").alias("title"))
+    """The next items of a queue that was kept, those after the first five, without what has been done since."""
+    done = table(spark, d, "part").where("p_size % 5 = 0 and p_retailprice < 950").select(F.concat(F.lit(" "), F.upper("p_name")).alias("title"))
     targets = entries(spark, d).select("title")
-    return C.without_done(C.work_queue(targets.limit(0).withColumn("place", F.lit(0)), targets, key="title", take=100), done, key="title")
+    kept = numbered(targets.distinct(), F.col("title"), name="place").where("place > 5")
+    return C.without_done(C.work_queue(kept, targets, key="title", take=100), done, key="title")
 
 
 def manifest_prune(spark, d):
@@ -329,7 +331,7 @@ ORACLE_SQL = {
     "title_lookup": "WITH f AS (SELECT lower(p_name) AS k, min(p_partkey) AS ord, arg_min(p_type, p_partkey) AS category FROM part GROUP BY 1) SELECT l_orderkey, l_linenumber, ord, category FROM lineitem JOIN part ON l_partkey = p_partkey JOIN f ON f.k = lower(p_name)",
     "vector_lookup": "SELECT doc_id, lang, label, CAST(len(embedding) AS BIGINT) AS size FROM documents JOIN embeddings ON doc_id = vec_id",
     "import_entries": "SELECT p_partkey AS ord, p_name AS title, p_type AS category FROM part UNION ALL SELECT -s_suppkey - 1, s_name, 'other' FROM supplier",
-    "queue_take": "WITH q AS (SELECT title, row_number() OVER (ORDER BY title) AS place FROM (SELECT DISTINCT p_name AS title FROM part) ORDER BY title LIMIT 100) SELECT title, place FROM q WHERE lower(title) NOT IN (SELECT lower(p_name) FROM part WHERE p_size > 25)",
+    "queue_take": "WITH q AS (SELECT title, row_number() OVER (ORDER BY title) AS place FROM (SELECT DISTINCT p_name AS title FROM part)), k AS (SELECT * FROM q WHERE place > 5 ORDER BY place LIMIT 100) SELECT title, place FROM k WHERE lower(title) NOT IN (SELECT lower(p_name) FROM part WHERE p_size % 5 = 0 AND p_retailprice < 950)",
     "manifest_prune": "SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN 'done' ELSE o_orderstatus END AS o_orderstatus FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 200",
     "kwic": r"""WITH d AS (SELECT doc_id, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS t FROM documents), h AS (SELECT doc_id, t, regexp_extract_all(t, '(?i)clown|idiot') AS h, regexp_split_to_array(t, '(?i)clown|idiot') AS b FROM d),
         x AS (SELECT doc_id, t, unnest(h) AS h, unnest(b[:len(h)]) AS b, generate_subscripts(h, 1) AS p FROM h WHERE len(h) > 0),

@@ -8,6 +8,7 @@ from fernglass.plans import routing
 from fernglass.plans.views import entries
 from fernglass.session import table
 from fernglass.streaming import guards as G
+from fernglass.streaming import outbound
 
 _us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
 _kind = lambda: F.col("event_type")
@@ -48,6 +49,17 @@ def outbound_ways(spark, d):
     return G.outbound(_responses(spark, d), scope="user_id", request="request", payload="payload", token_until="until", ts="ts", tie="event_id").select("event_id", "way")
 
 
+def outbound_guard(spark, d):
+    """All events as what is sent to their users, with failures and pauses among them, each with what becomes of it."""
+    e, kind = _responses(spark, d), F.col("event_id") % 10
+    control, fails = kind.isin(3, 4), kind == 5
+    rows = e.select(
+        "event_id", "user_id", "ts", F.when(control, "control").when(fails, "failed").otherwise("send").alias("kind"), F.concat(F.lit("e"), F.floor(F.col("event_id") / 20).cast("string")).alias("event"), "request", "payload",
+        F.col("until").alias("token_until"), F.when(F.col("event_id") % 20 == 3, "admin").otherwise("user").alias("who"), F.when(kind == 3, "pause").otherwise("resume").alias("action"), (F.col("ts") + F.expr("interval 1 hour")).alias("until"),
+    )
+    return outbound.outcomes(rows, target="user_id", ts="ts", tie="event_id").select("event_id", "outcome")
+
+
 def answered_before(spark, d):
     q = _events(spark, d).select("event_id", "user_id", "ts", F.get_json_object("props", "$.k").alias("key"))
     return G.answered_before(q, user="user_id", key="key", ts="ts", tie="event_id", depth=10).select("event_id", "repeated")
@@ -101,7 +113,7 @@ def ask_pipeline(spark, d):
     return got.select("qid", "route", "hit", F.md5("answer").alias("answer_md5"))
 
 
-QUERIES = {f.__name__: f for f in (ttl_dedupe, notice_once, consecutive_duplicate, late_drop, session_windows, rate_limit_day, rate_limit_minute, latest_control_asof, newest_generation, accepted_events, response_suppression, outbound_ways, answered_before, remembered_value, user_flags, ask_pipeline)}
+QUERIES = {f.__name__: f for f in (ttl_dedupe, notice_once, consecutive_duplicate, late_drop, session_windows, rate_limit_day, rate_limit_minute, latest_control_asof, newest_generation, accepted_events, response_suppression, outbound_ways, outbound_guard, answered_before, remembered_value, user_flags, ask_pipeline)}
 
 _GAP = """WITH RECURSIVE e AS (SELECT {keys} AS k, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY {keys} ORDER BY ts, event_id) AS r FROM events),
   g AS (SELECT k, event_id, t, r, t AS last, true AS keep FROM e WHERE r = 1

@@ -122,10 +122,11 @@ def message_split(spark, d):
 
 
 def section_parse(spark, d):
-    """Answers that are made of each passage: its words under headers, with bullets and numbers."""
+    """Answers that are made of each whole passage: its words under headers, with bullets and numbers."""
     words = F.split(T.squeeze(F.col("text")), " ")
     part = lambda a, n: F.array_join(F.slice(words, a, n), " ")
-    answer = F.concat(F.lit("# 要約：\n"), part(1, 5), F.lit("\n\n"), part(6, 3), F.lit("\n### 詳細\n- "), part(9, 4), F.lit("\n2. "), part(13, 4), F.lit("\n補足\n・"), part(17, 2), F.lit("\n出典\nx"))
+    rest = F.array_join(F.slice(words, F.lit(17), F.greatest(F.lit(0), F.size(words) - 16)), " ")
+    answer = F.concat(F.lit("# 要約：\n"), part(1, 5), F.lit("\n\n"), part(6, 3), F.lit("\n### 詳細\n- "), part(9, 4), F.lit("\n2. "), part(13, 4), F.lit("\n補足\n・"), rest, F.lit("\n出典\nx"))
     s = table(spark, d, "benchmark").select("item_id", T.sections(answer).alias("s"))
     return s.select("item_id", "s.summary", F.array_join("s.details", "|").alias("details"), F.array_join("s.notes", "|").alias("notes"))
 
@@ -204,7 +205,7 @@ ORACLE_SQL = {
         s AS (SELECT *, contains(q, 'フェリー') AS ship, regexp_matches(replace(regexp_replace(q, '[ \\t\\n\\r]', '', 'g'), chr(11), ''), 'ana|jal|orc') AS fly FROM c)
         SELECT conv_id, turn, CASE WHEN contains(q, 'weather') THEN 'weather' WHEN contains(q, 'フェリー') OR regexp_matches(q, 'status|ana|jal|orc') THEN 'transport' WHEN regexp_matches(q, 'viewpoints?\\s*map|展望\\s*(?:所|台)?の?\\s*(?:マップ|地図)') AND NOT contains(q, '台の地図') THEN 'viewpoint_map' END AS intent,
           CASE WHEN ship AND NOT fly THEN 'ship' WHEN fly AND NOT ship THEN 'flight' ELSE 'ship,flight' END AS sections FROM s""",
-    "section_parse": r"""WITH b AS (SELECT item_id, string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ') AS w FROM benchmark) SELECT item_id, array_to_string(w[1:5], ' ') || chr(10) || array_to_string(w[6:8], ' ') AS summary, array_to_string(w[9:12], ' ') || '|' || array_to_string(w[13:16], ' ') AS details, array_to_string(w[17:18], ' ') AS notes FROM b""",
+    "section_parse": r"""WITH b AS (SELECT item_id, string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ') AS w FROM benchmark) SELECT item_id, array_to_string(w[1:5], ' ') || chr(10) || array_to_string(w[6:8], ' ') AS summary, array_to_string(w[9:12], ' ') || '|' || array_to_string(w[13:16], ' ') AS details, array_to_string(w[17:], ' ') AS notes FROM b""",
     "entry_detail": f"WITH {ENTRIES} SELECT ord, md5(title || chr(10) || descr || chr(10) || '料金：' || CAST(trunc(price) AS INT) || chr(10) || 'タグ：' || tags[1] || ' / ' || tags[2] || chr(10) || 'エリア：' || areas[1]) AS md5 FROM e",
     "source_footer": r"""WITH b AS (SELECT item_id, text, 'note ' || (item_id % 2) || CASE WHEN item_id % 2 = 0 THEN ' http://x' ELSE '' END AS note FROM benchmark) SELECT item_id, md5(CASE WHEN item_id % 7 = 0 THEN text || '— 出典 —' ELSE regexp_replace(text || ' ', '\s+$', '') || chr(10) || chr(10) || '— 出典 —' || chr(10) || '・' || note END) AS md5 FROM b""",
     "slot_lines": f"WITH {ENTRIES} SELECT ord, md5('・' || CASE WHEN ord % 9 > 0 THEN title ELSE '（名称不明）' END || '（' || areas[1] || '）— ' || substr(descr, 1, 80) || '｜' || tags[1] || ' / ' || tags[2] || CASE WHEN ord % 2 = 0 THEN '｜9-17' ELSE '' END || CASE WHEN ord % 3 = 0 THEN chr(10) || '  http://x' ELSE '' END) AS md5 FROM e",
