@@ -360,7 +360,7 @@ ORACLE_SQL = {
         SELECT cid, ord, distance_m FROM r QUALIFY row_number() OVER (PARTITION BY cid ORDER BY distance_m, ord) <= 10""",
     "nearby_around_the_globe": f"""WITH {ENTRIES}, p AS (SELECT ord, CASE WHEN ord % 2 = 0 THEN lat + 56.9 ELSE lat END AS lat, lng + CASE WHEN lng > 129 THEN 50 ELSE -308 END AS lng FROM e WHERE category IN ('PROMO', 'SMALL')),
         c AS (SELECT s_suppkey AS cid, CASE WHEN s_suppkey % 2 = 0 THEN 89.9 ELSE 33.0 END AS clat, CASE WHEN s_suppkey % 3 = 0 THEN 179.99 ELSE -179.99 END AS clng FROM supplier),
-        d AS (SELECT cid, ord, 2 * 6371.0::DOUBLE * asin(sqrt(least(1.0::DOUBLE, pow(sin(radians(lat - clat) / 2), 2) + cos(radians(clat)) * cos(radians(lat)) * pow(sin(radians(lng - clng) / 2), 2)))) * 1000 AS m FROM p, c), r AS (SELECT cid, ord, CAST(round_even(m, 0) AS BIGINT) AS distance_m FROM d WHERE m <= 60000)
+        d AS (SELECT cid, ord, 2 * 6371.0::DOUBLE * asin(sqrt(least(1.0::DOUBLE, pow(sin(radians(lat - clat) / 2), 2) + cos(radians(clat)) * cos(radians(lat)) * pow(sin(radians(lng - clng) / 2), 2)))) * 1000 AS m FROM p, c WHERE lat BETWEEN -90 AND 90), r AS (SELECT cid, ord, CAST(round_even(m, 0) AS BIGINT) AS distance_m FROM d WHERE m <= 60000)
         SELECT cid, ord, distance_m FROM r QUALIFY row_number() OVER (PARTITION BY cid ORDER BY distance_m, ord) <= 10""",
     "responder_states": f"""WITH {ENTRIES}, {_PRIO}, x AS (SELECT qid, ord, title, row_number() OVER (PARTITION BY qid ORDER BY ord) AS r, count(*) OVER (PARTITION BY qid) AS n FROM w),
         y AS (SELECT qid, any_value(n) AS n, string_agg(title, ' / ' ORDER BY ord) FILTER (WHERE r <= 3) AS preview FROM x GROUP BY qid),
