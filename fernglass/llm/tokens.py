@@ -28,6 +28,19 @@ def separable(path: str) -> bool:
     return '"Lowercase"' in norm and "\\\\s+" in norm and "[^\\\\s" in split and '" ?' not in split and "add_prefix_space\": true" not in split
 
 
+def _word_ends(path: str, model) -> bytes:
+    """For each id whether it ends a word, as the file marks them; empty where it marks none."""
+    with open(path, encoding="utf-8") as f:
+        mark = json.load(f)["model"].get("end_of_word_suffix")
+    if not mark:
+        return b""
+    vocabulary = model.get_vocab()
+    out = bytearray(max(vocabulary.values()) + 1)
+    for token, i in vocabulary.items():
+        out[i] = token.endswith(mark)
+    return bytes(out)
+
+
 class Encoder:
     """Text (UTF-8) to its token ids as little-endian unsigned 32-bit bytes, or to their number.
 
@@ -49,46 +62,51 @@ class Encoder:
 
             model = Tokenizer.from_file(path)
             self.model, self.ask = model, lambda s: model.encode(s, add_special_tokens=False).ids
+            self.ends = _word_ends(path, model)
 
     def _fold(self, ids):
         return len(ids) if self.count else array("I", ids).tobytes()
 
     def _words(self, words: list[bytes]) -> None:
         """Add lower-case words of letters, encoded as one text, which costs a fraction of a call each."""
-        got = self.model.encode(b" ".join(words).decode(), add_special_tokens=False)
-        of, ids = got.word_ids, got.ids
-        starts = [0, *(i for i in range(1, len(of)) if of[i] != of[i - 1]), len(ids)]
-        flat = array("I", ids).tobytes()
+        text = b" ".join(words).decode()
+        ids = self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids if self.ends else []
+        flat, ends = array("I", ids).tobytes(), self.ends
+        starts = [0, *(i for i, x in enumerate(ids, 1) if ends[x])]
+        if len(starts) != len(words) + 1 or starts[-1] != len(ids):  # a vocabulary that doesn't mark words' ends
+            got = self.model.encode(text, add_special_tokens=False)
+            of, ids = got.word_ids, got.ids
+            starts = [0, *(i for i in range(1, len(of)) if of[i] != of[i - 1]), len(ids)]
+            flat = array("I", ids).tobytes()
         for w, i, j in zip(words, starts, starts[1:]):
             self.words[w] = j - i if self.count else flat[4 * i : 4 * j]
 
     def _learn(self, pieces) -> None:
         """Add the pieces: letters, then punctuation; what is neither goes to the library as it is."""
         now, old, words, older = self.now, self.old, self.words, self.older
-        split, new = [], set()
-        for p in pieces:
-            if p in old:
-                now[p] = old[p]
-                continue
-            core = p.rstrip(_MARKS)
-            if len(p) <= LONGEST and (core.isalpha() or _LETTERS.fullmatch(core)):
-                low = core.lower()
-                split.append((p, low, rest := p[len(core) :]))
-                if low not in words:
-                    if low in older:
-                        words[low] = older[low]
-                    else:
-                        new.add(low)
-                if rest and rest not in words:
-                    words[rest] = self._fold(self.ask(rest.decode()))
-            else:
+        known = old.keys() & pieces
+        now.update((p, old[p]) for p in known)
+        pieces = [*pieces.difference(known)] if known else [*pieces]
+        lows = b" ".join(pieces).lower().split(b" ") if pieces else []
+        cores = [w.rstrip(_MARKS) for w in lows]
+        odd = [p for p, core in zip(pieces, cores) if len(p) > LONGEST or not (core.isalpha() or _LETTERS.fullmatch(core))]
+        if odd:
+            for p in odd:
                 now[p] = self._fold(self.ask(p.decode("utf-8", "replace")))
                 if len(p) > LONGEST:
                     self.long.append(p)
-        if new:
-            self._words(list(new))
-        for p, low, rest in split:
-            now[p] = words[low] + words[rest] if rest else words[low]
+            some = set(odd)
+            pieces, lows, cores = map(list, zip(*[x for x in zip(pieces, lows, cores) if x[0] not in some])) if len(some) < len(pieces) else ([], [], [])
+        new = {*cores}.difference(words)
+        back = older.keys() & new
+        words.update((w, older[w]) for w in back)
+        if new := [*new.difference(back)]:
+            self._words(new)
+        rests = [low[len(core) :] for low, core in zip(lows, cores)]
+        for rest in {*rests}.difference(words, (b"",)):
+            words[rest] = self._fold(self.ask(rest.decode()))
+        words[b""] = 0 if self.count else b""
+        now.update((p, words[core] + words[rest]) for p, core, rest in zip(pieces, cores, rests))
         if len(words) > self.room:
             self.older, self.words = words, {}
 
