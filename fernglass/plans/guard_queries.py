@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fernglass.plans import routing
+from fernglass.operators import search
+from fernglass.plans import dialogue, routing
 from fernglass.plans.views import entries
 from fernglass.session import table
 from fernglass.streaming import guards as G
@@ -104,6 +105,16 @@ def newest_generation(spark, d):
     return G.newest_generation(_events(spark, d).withColumn("g", F.floor(F.col("value")).cast("long")), key="user_id", generation="g").select("event_id")
 
 
+def narrowed_dialogues(spark, d):
+    """All conversations, whose turns search the entries and narrow what was found."""
+    said = ["small ring", "@area:area1", "@tag:PROMO", "ring", "@tag: SMALL", "@area:Area2", "bolt red", None]
+    c = table(spark, d, "conversations")
+    turns = c.select("conv_id", "turn", F.coalesce(F.get(F.array(*[F.lit(x) for x in said]), F.pmod(F.xxhash64("conv_id", "turn"), F.lit(len(said))).cast("int")), "text").alias("text"))
+    e = entries(spark, d).withColumns({"title_forms": F.expr("cast(array() as array<string>)"), "aux": F.array("desc")})
+    got = dialogue.replies(turns, e, lambda q: search.search_index(e, q, limit=1000, facets=True), conv="conv_id", turn="turn", text="text")
+    return got.select("conv_id", "turn", "kind", "n", "first", F.md5("preview").alias("preview"), "options")
+
+
 def ask_pipeline(spark, d):
     """All users' questions, some of them about a fixed topic or a part, answered from intents, parts and passages."""
     before = F.when(F.col("conv_id") % 3 == 0, "フェリー ").when(F.col("conv_id") % 3 == 1, "the small ring ").otherwise("")
@@ -113,7 +124,7 @@ def ask_pipeline(spark, d):
     return got.select("qid", "route", "hit", F.md5("answer").alias("answer_md5"))
 
 
-QUERIES = {f.__name__: f for f in (ttl_dedupe, notice_once, consecutive_duplicate, late_drop, session_windows, rate_limit_day, rate_limit_minute, latest_control_asof, newest_generation, accepted_events, response_suppression, outbound_ways, outbound_guard, answered_before, remembered_value, user_flags, ask_pipeline)}
+QUERIES = {f.__name__: f for f in (ttl_dedupe, notice_once, consecutive_duplicate, late_drop, session_windows, rate_limit_day, rate_limit_minute, latest_control_asof, newest_generation, accepted_events, response_suppression, outbound_ways, outbound_guard, answered_before, remembered_value, user_flags, ask_pipeline, narrowed_dialogues)}
 
 _GAP = """WITH RECURSIVE e AS (SELECT {keys} AS k, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY {keys} ORDER BY ts, event_id) AS r FROM events),
   g AS (SELECT k, event_id, t, r, t AS last, true AS keep FROM e WHERE r = 1

@@ -18,8 +18,18 @@ INTENTS = {
 # fixed values: patterns that decide the intent as well
 PATTERNS = {"viewpoint_map": [r"展望\s*(?:所|台)?\s*(?:マップ|地図)", r"viewpoints?\s*map"]}
 # fixed values: words of commands
-PAUSE, RESUME = ["停止", "ストップ", "中止", "stop", "pause"], ["再開", "解除", "スタート", "resume", "start"]
-STYLES = {"brief": ["簡単", "短く", "要点", "briefly", "short"], "detailed": ["詳しく", "詳細", "detail"]}
+PAUSE, RESUME = ["停止", "一時停止", "ストップ", "ミュート", "pause", "stop"], ["解除", "再開", "応答再開", "ミュート解除", "resume", "unpause"]
+# fixed values: words that ask for a long answer, for a fact, and that make a short question one for a fact
+DETAILS = ["詳しく", "ポイント", "楽しみ方", "モデルコース", "おすすめ", "初めて", "注意点", "過ごし方", "体験", "計画", "見どころ", "魅力"]
+FACTS = ["いつ", "どこ", "時期", "期間", "開催日", "何年", "年代", "誰", "だれ", "料金", "値段", "費用", "アクセス", "行き方", "所要", "時間", "住所", "電話", "人数", "規模"]
+ASKING = ["いつ", "どこ", "何", "なに", "なぜ", "どう", "どんな", "どの", "だれ", "誰"]
+# fixed values: words of the kinds of a question, tested in this order before FACTS
+KINDS = {"compare": ["違い", "比較", "比べ"], "list": ["一覧", "リスト"], "howto": ["どうやって", "方法", "行き方", "アクセス", "参加", "申し込み"]}
+# fixed values: words that aren't keywords
+STOP = ["について", "こと", "もの", "教えて", "ください", "出来ます", "できます", "です", "ます", "よう", "したい", "下さい", "とは", "を", "が", "は", "に", "で", "と", "へ", "も", "の", "や", "より", "など", "って", "ってる"]
+# fixed values: eras, and the sections of an answer by style and kind
+ERAS = ["奈良", "平安", "鎌倉", "室町", "江戸", "明治", "大正", "昭和", "平成", "令和"]
+SECTIONS = {"brief": ["結論", "補足"], "normal": ["結論", "要点", "補足"], "detailed": ["結論", "要点", "注意"], "detailed howto": ["結論", "手順", "注意"]}
 
 
 def _any(text: Column, words: list[str]) -> Column:
@@ -71,11 +81,27 @@ def refinement(text: Column) -> Column:
 
 
 def answer_plan(question: Column) -> Column:
-    """(style, years, keywords): how long an answer should be, years named, and words of two characters or more."""
-    low = T.title_key(question)
-    style = F.when(_any(low, STYLES["brief"]), "brief").when(_any(low, STYLES["detailed"]), "detailed").otherwise("normal")
-    words = F.array_distinct(F.filter(T.word_tokens(question), lambda w: F.length(w) >= 2))
-    return F.struct(style.alias("style"), F.regexp_extract_all(low, F.lit(r"(1[0-9]{3}|20[0-9]{2})"), F.lit(1)).alias("years"), words.alias("keywords"))
+    """(query, kind, style, sections, keywords, times): a question without its sender's name, what it asks for, how long the answer should
+    be and of which sections, the words it should be about, and eras and years (each once, in order).
+
+    Words of FACTS make an answer brief, and so do those of ASKING in at most 15 characters; words of DETAILS come first and make it
+    detailed. Keywords are runs of two or more ASCII letters, digits, kanji and kana that are in neither STOP nor ASKING, as often
+    as they occur; the long vowel mark and hyphens part them.
+    """
+    query = T.strip(F.regexp_replace(T.strip(F.coalesce(question, F.lit(""))), r"(?U)^(?:[A-Za-z]+|[\wぁ-んァ-ン一-龠々〆ゝゞ]+)[:：]\s*", ""))
+    kind = F.lit("overview")
+    for name, words in reversed([*KINDS.items(), ("fact", FACTS)]):
+        kind = F.when(_any(query, words), name).otherwise(kind)
+    brief = _any(query, FACTS) | (F.length(query) <= 15) & _any(query, ASKING)
+    style = F.when(_any(query, DETAILS), "detailed").when(brief, "brief").otherwise("normal")
+    listed = lambda name: F.array(*[F.lit(x) for x in SECTIONS[name]])
+    sections = F.when(style == "brief", listed("brief")).when(style == "normal", listed("normal")).when(kind == "howto", listed("detailed howto")).otherwise(listed("detailed"))
+    cleaned = F.regexp_replace(query, r"(?U)[\s、。,.!?！？\-ー（）()\[\]【】『』]+", " ")
+    words = F.regexp_extract_all(cleaned, F.lit("[A-Za-z0-9一-龠々〆ヵヶぁ-んァ-ンゝゞー]{2,}"), F.lit(0))
+    keywords = F.filter(words, lambda w: ~w.isin(*STOP, *ASKING))
+    found = lambda p: F.array_sort(F.array_distinct(F.regexp_extract_all(query, F.lit(p), F.lit(0))))
+    times = F.concat(found("|".join(ERAS)), found("[0-9]{3,4}年"))
+    return F.struct(query.alias("query"), kind.alias("kind"), style.alias("style"), sections.alias("sections"), keywords.alias("keywords"), times.alias("times"))
 
 
 def respond(matches: DataFrame, queries: DataFrame, *, previews: int = 3, facets: int = 5) -> DataFrame:

@@ -104,9 +104,16 @@ def timestamp_parse(spark, d):
     return o.select("o_orderkey", F.unix_micros(records.timestamp(F.col("t"))).alias("us"))
 
 
+#: What questions of plan_classify begin with.
+PLANNED = ("", "user: ", "どんな 島 ", "明治 1899年 と 昭和、明治の 1899年 ", "比較 おすすめ ", "一覧 カフェー巡り ", "山田：行き方 について 詳しく ", "料金 の-時間 ", "概要 なに ")
+
+
 def plan_classify(spark, d):
-    p = table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", routing.answer_plan(F.col("text")).alias("p"))
-    return p.select("conv_id", "turn", "p.style", F.array_join("p.years", ",").alias("years"), F.array_join("p.keywords", ",").alias("keywords"))
+    """Questions of the conversations with words before them that change the plan, behind a sender's name in some."""
+    said = F.array(*[F.lit(x) for x in PLANNED])
+    q = table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", F.concat(F.get(said, ((F.col("conv_id") + F.col("turn")) % len(PLANNED)).cast("int")), F.when(F.col("conv_id") % 3 == 0, "").otherwise(F.col("text"))).alias("text"))
+    p = q.select("conv_id", "turn", routing.answer_plan(F.col("text")).alias("p"))
+    return p.select("conv_id", "turn", "p.kind", "p.style", *[F.array_join(f"p.{c}", ",").alias(c) for c in ("sections", "times", "keywords")])
 
 
 def intent_detect(spark, d):
@@ -174,6 +181,20 @@ def vector_norms(spark, d):
 
 QUERIES = {f.__name__: f for f in (norm_text, split_list, tokens_regex, char_bigrams, sentence_split, chunk_windows, fragment_pack, lang_id, ttl_parse, label_extract, kana_fold, json_value, text_hashes, source_parts, coord_parse, url_host, truthy_values, timestamp_parse, plan_classify, intent_detect, message_split, section_parse, keyword_enforce, entry_detail, source_footer, slot_lines, summary_bounds, route_select, vector_norms)}
 
+def _plan_sql() -> str:
+    """The words of the plan are the fixed values that both sides need; the rules are written out."""
+    words = lambda w: "regexp_matches(q, '" + "|".join(w) + "')"
+    listed = lambda w: ", ".join(f"'{x}'" for x in w)
+    said = listed(PLANNED)
+    kinds = " ".join(f"WHEN {words(w)} THEN '{k}'" for k, w in routing.KINDS.items())
+    return rf"""WITH a AS (SELECT conv_id, turn, regexp_replace([{said}][(conv_id + turn) % {len(PLANNED)} + 1] || CASE WHEN conv_id % 3 = 0 THEN '' ELSE text END, '^\s+|\s+$', '', 'g') AS t FROM conversations WHERE role = 'user'),
+        b AS (SELECT conv_id, turn, regexp_replace(regexp_replace(t, '^(?:[A-Za-z]+|[\pL\pN\pM_々〆ゝゞ]+)[:：]\s*', ''), '^\s+|\s+$', '', 'g') AS q FROM a),
+        c AS (SELECT *, CASE {kinds} WHEN {words(routing.FACTS)} THEN 'fact' ELSE 'overview' END AS kind, CASE WHEN {words(routing.DETAILS)} THEN 'detailed' WHEN {words(routing.FACTS)} OR length(q) <= 15 AND {words(routing.ASKING)} THEN 'brief' ELSE 'normal' END AS style,
+          list_filter(regexp_extract_all(regexp_replace(q, '[\s、。,.!?！？\-ー（）()\[\]【】『』]+', ' ', 'g'), '[A-Za-z0-9一-龠々〆ヵヶぁ-んァ-ンゝゞー]{{2,}}'), lambda w: w NOT IN ({listed([*routing.STOP, *routing.ASKING])})) AS k,
+          list_concat(list_sort(list_distinct(regexp_extract_all(q, '{"|".join(routing.ERAS)}'))), list_sort(list_distinct(regexp_extract_all(q, '[0-9]{{3,4}}年')))) AS times FROM b)
+        SELECT conv_id, turn, kind, style, CASE style WHEN 'brief' THEN '結論,補足' WHEN 'normal' THEN '結論,要点,補足' ELSE CASE kind WHEN 'howto' THEN '結論,手順,注意' ELSE '結論,要点,注意' END END AS sections, array_to_string(times, ',') AS times, array_to_string(k, ',') AS keywords FROM c"""
+
+
 ORACLE_SQL = {
     "norm_text": r"SELECT item_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS norm FROM benchmark",
     "split_list": r"SELECT item_id, item FROM (SELECT item_id, trim(regexp_replace(unnest(regexp_split_to_array(text, '[\n,]+')), '\s+', ' ', 'g')) AS item FROM benchmark) WHERE item <> ''",
@@ -197,10 +218,7 @@ ORACLE_SQL = {
     "url_host": "SELECT regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS host, count(*) AS n FROM pages GROUP BY 1",
     "truthy_values": "SELECT * FROM (VALUES ('yes', true, true), ('off', false, false), ('TRUE', true, true), ('', false, false), ('maybe', false, true), ('t', false, true), ('null', false, true), ('2', false, true)) t(v, strict, permissive)",
     "timestamp_parse": "SELECT o_orderkey, CASE WHEN o_orderkey % 5 < 4 THEN epoch_us(o_orderdate) END AS us FROM orders",
-    "plan_classify": r"""WITH c AS (SELECT conv_id, turn, lower(text) AS low FROM conversations WHERE role = 'user'), w AS (SELECT conv_id, turn, unnest(regexp_extract_all(low, '[\pL\pN_]+')) AS w, generate_subscripts(regexp_extract_all(low, '[\pL\pN_]+'), 1) AS p FROM c),
-        f AS (SELECT conv_id, turn, w, min(p) AS p FROM w WHERE length(w) >= 2 GROUP BY ALL), k AS (SELECT conv_id, turn, string_agg(w, ',' ORDER BY p) AS keywords FROM f GROUP BY ALL)
-        SELECT c.conv_id, c.turn, CASE WHEN regexp_matches(low, '簡単|短く|要点|briefly|short') THEN 'brief' WHEN regexp_matches(low, '詳しく|詳細|detail') THEN 'detailed' ELSE 'normal' END AS style, array_to_string(regexp_extract_all(low, '1[0-9]{3}|20[0-9]{2}'), ',') AS years, coalesce(keywords, '') AS keywords
-        FROM c LEFT JOIN k ON k.conv_id = c.conv_id AND k.turn = c.turn""",
+    "plan_classify": _plan_sql(),
     "intent_detect": """WITH c AS (SELECT conv_id, turn, ['', 'フェリーの', 'weather ', 'viewpoint map ', '展望 台の地図 '][conv_id % 5 + 1] || lower(text) AS q FROM conversations WHERE role = 'user'),
         s AS (SELECT *, contains(q, 'フェリー') AS ship, regexp_matches(replace(regexp_replace(q, '[ \\t\\n\\r]', '', 'g'), chr(11), ''), 'ana|jal|orc') AS fly FROM c)
         SELECT conv_id, turn, CASE WHEN contains(q, 'weather') THEN 'weather' WHEN contains(q, 'フェリー') OR regexp_matches(q, 'status|ana|jal|orc') THEN 'transport' WHEN regexp_matches(q, 'viewpoints?\\s*map|展望\\s*(?:所|台)?の?\\s*(?:マップ|地図)') AND NOT contains(q, '台の地図') THEN 'viewpoint_map' END AS intent,

@@ -108,6 +108,20 @@ def test_commands_and_refinements(spark):
     got = rows.select(routing.command(F.col("x"), F.lit(False)).alias("c"), routing.refinement(F.col("x")).alias("r")).collect()
     assert [(r.c.action, r.c.ttl_seconds) for r in got] == [("pause", 120), ("resume", None), (None, None), (None, None), ("resume", None)]
     assert got[3].r.value == "sea view" and got[0].r is None
+    said = {"ＭＵＴＥ": None, "ミュート": "pause", "ミュート解除": "resume", "一時停止 30分": "pause", "中止": None, "start": None, "スタート": None, "unpause": "resume", "応答再開 ": "resume", "停止して": None, "": None}
+    rows = spark.createDataFrame([(x,) for x in said], "x string")
+    assert {r.x: r.c.action for r in rows.select("x", routing.command(F.col("x"), F.lit(False)).alias("c")).collect()} == said
+
+
+def test_plans(spark):
+    said = {
+        "user: 教会について詳しく教えて": ("overview", "detailed", ["結論", "要点", "注意"], ["教会について詳しく教えて"], []), "カフェー どこ": ("fact", "brief", ["結論", "補足"], ["カフェ"], []),
+        "島の概要": ("overview", "normal", ["結論", "要点", "補足"], ["島の概要"], []), "それは何": ("overview", "brief", ["結論", "補足"], ["それは何"], []), "それは何かということをもう一度ゆっくり": ("overview", "normal", ["結論", "要点", "補足"], ["それは何かということをもう一度ゆっくり"], []),
+        "行き方 と 体験": ("howto", "detailed", ["結論", "手順", "注意"], ["行き方", "体験"], []), "江戸 と 明治 と 江戸 1899年 12年": ("overview", "normal", ["結論", "要点", "補足"], ["江戸", "明治", "江戸", "1899年", "12年"], ["明治", "江戸", "1899年"]),
+        "briefly please": ("overview", "normal", ["結論", "要点", "補足"], ["briefly", "please"], []), None: ("overview", "normal", ["結論", "要点", "補足"], [], []),
+    }
+    rows = spark.createDataFrame([(x,) for x in said], "x string").select("x", routing.answer_plan(F.col("x")).alias("p"))
+    assert {r.x: (r.p.kind, r.p.style, r.p.sections, r.p.keywords, sorted(r.p.times)) for r in rows.collect()} == {k: (*v[:4], sorted(v[4])) for k, v in said.items()}
 
 
 def test_signatures(spark):
