@@ -50,8 +50,8 @@ def test_scope(spark):
 
 
 def test_context_header(spark):
-    rows = spark.createDataFrame([(1, 2, "Goto", "guide.TXT", 4, 9, " b "), (1, 1, "Goto", "a.txt.csv", 1, 3, "a\n")], "qid int, pick int, place string, file string, line_start int, line_end int, text string")
-    assert retrieval.labelled_context(rows).first().context == "[[1]] Goto/a.txt.csv L1-3\na\n\n[[2]] Goto/guide L4-9\nb"
+    rows = spark.createDataFrame([(1, 2, "North", "guide.TXT", 4, 9, " b "), (1, 1, "North", "a.txt.csv", 1, 3, "a\n")], "qid int, pick int, place string, file string, line_start int, line_end int, text string")
+    assert retrieval.labelled_context(rows).first().context == "[[1]] North/a.txt.csv L1-3\na\n\n[[2]] North/guide L4-9\nb"
 
 
 def test_rows_without_vectors_are_not_picked(spark):

@@ -10,7 +10,7 @@ def rows(tables):
 
 
 def test_encodings_of_a_mixed_folder(spark, tmp_path):
-    folder = tmp_path / "texts" / "goto"
+    folder = tmp_path / "texts" / "north"
     folder.mkdir(parents=True)
     text = "教会とカフェ\r\n2"
     written = {"a.txt": ("utf-8-sig", text), "b.txt": ("utf-8", text), "c.txt": ("cp932", text + "①"), "d.txt": ("shift_jis", text), "e.txt": ("utf-16", "é日本")}
@@ -30,7 +30,7 @@ def test_encodings_of_a_mixed_folder(spark, tmp_path):
 
 
 def test_csv_of_several_encodings(spark, tmp_path):
-    table = 'title,desc,areas,category,extras,extra_tel,extra:fax\n教会,"古い\n教会",五島市, ,"{""tel"": ""1"", ""x"": ""2""}",9,\n,no title,a,b,,,\nカフェ,d,a,food,not json,,7\n'
+    table = 'title,desc,areas,category,extras,extra_tel,extra:fax\n教会,"古い\n教会",北の島, ,"{""tel"": ""1"", ""x"": ""2""}",9,\n,no title,a,b,,,\nカフェ,d,a,food,not json,,7\n'
     for name, encoding in (("a.csv", "utf-8-sig"), ("b.csv", "cp932"), ("c.csv", "utf-8")):
         (tmp_path / name).write_bytes(table.encode(encoding))
     (tmp_path / "empty.csv").write_bytes(b"")
