@@ -168,6 +168,25 @@ def weak(selected: DataFrame, *, least: int = 2, below: float = 0.42) -> DataFra
     return confidence(selected).join(n, "qid").select("qid", ((F.col("n") < least) & (F.col("confidence") < below)).alias("retry"))
 
 
+def reused_success(attempts: DataFrame, chunks: DataFrame, *, ttl_seconds: int = 1800, most: int = 4) -> DataFrame:
+    """id, since_us, keys of attempts (id, place, question, ts, success, keys) that failed, but whose question (single spaces, lower case)
+    succeeded before in the place, at most ttl ago: the first `most` chunks of its latest success, in order, that are still
+    among the chunks (place, key). Attempts of which none is left, and those of a blank place or question, are left out.
+
+    An as-of join: a question's attempts in one order, the last success carried forward; then a join of single chunks, in
+    which a chunk of many attempts may be hot and is split by Spark.
+    """
+    question = F.lower(T.squeeze(F.coalesce("question", F.lit(""))))
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = attempts.select("id", "place", question.alias("_q"), micros.alias("_t"), F.coalesce("success", F.lit(False)).alias("_ok"), F.slice("keys", 1, most).alias("_keys")).where((F.coalesce("place", F.lit("")) != "") & (F.col("_q") != "") & F.col("_t").isNotNull())
+    before = Window.partitionBy("place", "_q").orderBy("_t", "id").rowsBetween(Window.unboundedPreceding, -1)
+    held = rows.withColumn("_last", F.last(F.when(F.col("_ok") & (F.size("_keys") > 0), F.struct("_t", "_keys")), ignorenulls=True).over(before))
+    since = F.col("_t") - F.col("_last._t")
+    found = held.where(~F.col("_ok") & (since <= ttl_seconds * 1_000_000)).select("id", "place", since.alias("since_us"), F.posexplode("_last._keys").alias("_p", "key"))
+    there = found.join(chunks.select("place", "key").distinct(), ["place", "key"])
+    return there.groupBy("id", "since_us").agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", "key"))), lambda x: x["key"]).alias("keys"))
+
+
 def in_scope(candidates: DataFrame, *, text: str, keywords: str, style: str) -> DataFrame:
     """qid, key of candidates (qid, key, score, ...) that contain a scope keyword, case counting: the best 4 for brief style, 8 for
     detailed, else 6. Where none of a query's does, all of its candidates. Whether any does is an aggregate that combines

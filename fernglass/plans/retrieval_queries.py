@@ -81,6 +81,15 @@ def retry_weak(spark, d):
     return R.weak(_near_files(spark, d).where("score > 0.5"), least=2, below=0.9999)
 
 
+def reused_success(spark, d):
+    """Events as attempts at questions, some in capitals or with more spaces; two thirds of the documents are there to be used again."""
+    e = table(spark, d, "events")
+    n = F.col("event_id")
+    attempts = e.select(n.alias("id"), F.col("event_type").alias("place"), F.concat(F.when(n % 2 == 0, "Which  ").otherwise(" which "), (F.col("user_id") % 7).cast("string")).alias("question"), "ts", (F.col("value") > 60).alias("success"), F.array(*[(n * k) % 200 for k in (1, 3, 7, 11, 13)]).alias("keys"))
+    chunks = e.select(F.col("event_type").alias("place")).distinct().join(table(spark, d, "documents").where("doc_id % 3 <> 0").select(F.col("doc_id").alias("key")))
+    return R.reused_success(attempts, chunks, ttl_seconds=6 * 3600).select("id", "since_us", F.array_join(F.transform("keys", lambda x: x.cast("string")), ",").alias("keys"))
+
+
 def scope_filter(spark, d):
     e = table(spark, d, "documents").select((F.col("doc_id") % 20).alias("qid"), F.col("doc_id").alias("key"), F.col("n_chars").cast("double").alias("score"), "text")
     style = F.element_at(F.array(F.lit("brief"), F.lit("normal"), F.lit("detailed")), (F.col("qid") % 3 + 1).cast("int"))
@@ -142,7 +151,7 @@ def file_changes(spark, d):
     return R.file_changes(old, new)
 
 
-QUERIES = {f.__name__: f for f in (tfidf_df_idf, tfidf_topk, index_changes, dense_topk, rrf_fusion, mmr_select, confidence, retry_weak, scope_filter, context_labels, citation_aggregate, rebuilt_answers, unknown_labels, semi_cited, extractive_summary, model_tier, file_changes)}
+QUERIES = {f.__name__: f for f in (tfidf_df_idf, tfidf_topk, index_changes, dense_topk, rrf_fusion, mmr_select, confidence, retry_weak, reused_success, scope_filter, context_labels, citation_aggregate, rebuilt_answers, unknown_labels, semi_cited, extractive_summary, model_tier, file_changes)}
 
 _CHUNKS = r"""w AS (SELECT lang, doc_id, text AS body, length(text) AS n, unnest(range(0, CASE WHEN length(text) <= 700 THEN 1 ELSE CAST(ceil((length(text) - 700) / 550) AS BIGINT) + 1 END)) AS i FROM documents),
   c0 AS (SELECT lang, doc_id, i, i * 550 AS cs, least(i * 550 + 700, n) AS ce, trim(regexp_replace(substr(body, i * 550 + 1, 700), '^\s+|\s+$', '', 'g')) AS t, body FROM w),
@@ -171,6 +180,10 @@ ORACLE_SQL = {
         u AS (SELECT qid, key, round(sum(1.0::DOUBLE / (60 + r)), 9) AS score FROM l GROUP BY qid, key) SELECT qid, key, round(score, 6) AS score FROM u QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, key) <= 12""",
     "confidence": f"WITH {_V}, {_CONF.format(more='')} SELECT qid, round(c, 5) AS confidence FROM f",
     "retry_weak": f"WITH {_V}, {_CONF.format(more=' AND score > 0.5')}, n AS (SELECT qid, count(*) AS n FROM t GROUP BY qid) SELECT qid, n < 2 AND c < 0.9999 AS retry FROM f JOIN n USING (qid)",
+    "reused_success": """WITH a AS (SELECT event_id AS id, event_type AS place, user_id % 7 AS q, epoch_us(ts) AS t, value > 60 AS ok, row_number() OVER (PARTITION BY event_type, user_id % 7 ORDER BY ts, event_id) AS o, [event_id % 200, event_id * 3 % 200, event_id * 7 % 200, event_id * 11 % 200] AS keys FROM events),
+        f AS (SELECT a.id, a.t - s.t AS since_us, s.keys FROM a ASOF JOIN (SELECT * FROM a WHERE ok) s ON a.place = s.place AND a.q = s.q AND a.o > s.o WHERE NOT coalesce(a.ok, false) AND a.t - s.t <= 6 * 3600 * 1000000::BIGINT),
+        k AS (SELECT id, since_us, unnest(keys) AS key, generate_subscripts(keys, 1) AS p FROM f)
+        SELECT id, since_us, string_agg(key, ',' ORDER BY p) AS keys FROM k WHERE key IN (SELECT doc_id FROM documents WHERE doc_id % 3 <> 0) GROUP BY id, since_us""",
     "scope_filter": """WITH e AS (SELECT doc_id % 20 AS qid, doc_id AS key, n_chars AS score, contains(text, 'idiot') OR contains(text, 'Worthless') AS m FROM documents), g AS (SELECT *, bool_or(m) OVER (PARTITION BY qid) AS hits FROM e QUALIFY m OR NOT bool_or(m) OVER (PARTITION BY qid))
         SELECT qid, key FROM g QUALIFY NOT hits OR row_number() OVER (PARTITION BY qid ORDER BY score DESC, key) <= CASE qid % 3 WHEN 0 THEN 4 WHEN 1 THEN 6 ELSE 8 END""",
     "context_labels": f"WITH {_CHUNKS} SELECT doc_id AS qid, md5(string_agg('[[' || (ci + 1) || ']] ' || lang || '/d' || doc_id || CASE WHEN doc_id % 3 = 2 THEN '.csv' ELSE '' END || ' L' || ls || '-' || le || chr(10) || t, chr(10) || chr(10) ORDER BY ci)) AS md5 FROM c GROUP BY doc_id",

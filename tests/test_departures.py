@@ -117,3 +117,15 @@ def test_latitudes_off_the_globe(spark):
     places = spark.createDataFrame([(1, 33.0, 129.0), (2, 100.0, 129.0), (3, None, 1.0), (4, 33.0, float("nan"))], "ord int, lat double, lng double")
     centres = spark.createDataFrame([(1, 33.0, 129.0), (2, 100.0, 129.0), (3, -200.0, 0.0), (4, None, None)], "cid int, clat double, clng double")
     assert [(r.cid, r.ord) for r in nearby.within_radius(places, centres, radius_m=9000).collect()] == [(1, 1)]
+
+
+def test_a_success_is_used_again(spark):
+    import datetime as dt
+
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(1, "a", "Old  church", 0, True, [1, 2, 3, 4, 5]), (2, "a", " old church ", 1800, False, None), (3, "a", "old church", 1801, False, []), (4, "b", "old church", 10, False, None), (5, "a", "tower", 0, True, [9]), (6, "a", "tower", 5, False, None),
+            (7, "a", "gate", 0, True, [1]), (8, "a", "gate", 1, True, [2]), (9, "a", "gate", 2, None, [3]), (10, None, "gate", 3, False, None), (11, "a", " ", 3, False, None), (12, "a", "lamp", 0, True, []), (13, "a", "lamp", 1, False, None)]
+    df = spark.createDataFrame([(i, p, q, t0 + dt.timedelta(seconds=s), ok, k) for i, p, q, s, ok, k in rows], "id int, place string, question string, ts timestamp_ntz, success boolean, keys array<int>")
+    chunks = spark.createDataFrame([("a", k) for k in (4, 2, 1, 5, 2)] + [("b", 3)], "place string, key int")
+    got = {r.id: (r.since_us, r["keys"]) for r in retrieval.reused_success(df, chunks).collect()}
+    assert got == {2: (1_800_000_000, [1, 2, 4]), 9: (1_000_000, [2])}
