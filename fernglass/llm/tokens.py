@@ -9,7 +9,7 @@ from array import array
 #: Pieces, and words of letters, that a worker keeps in each of two generations; the longest piece in bytes: about 200 MB at most.
 ROOM, LONGEST = 250_000, 64
 #: Bytes of texts whose new pieces are learnt together, about.
-SLICE = 1 << 19
+SLICE = 1 << 13
 #: Letters of ASCII and Latin-1 as UTF-8, and marks that may follow them: two pre-tokens, each encoded alone.
 _LETTERS, _MARKS = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+"), b".,;:!?$%&#*|<>)]"
 
