@@ -129,3 +129,26 @@ def test_a_success_is_used_again(spark):
     chunks = spark.createDataFrame([("a", k) for k in (4, 2, 1, 5, 2)] + [("b", 3)], "place string, key int")
     got = {r.id: (r.since_us, r["keys"]) for r in retrieval.reused_success(df, chunks).collect()}
     assert got == {2: (1_800_000_000, [1, 2, 4]), 9: (1_000_000, [2])}
+
+
+def test_copies_of_centres_and_places_meet_once(spark):
+    """2,000 centres at one point beside 2,000 places at another: 10 rows a centre, and few pairs before the distance is known."""
+    places = spark.range(2000).select((5000 - F.col("id")).alias("ord"), F.lit(33.0).alias("lat"), F.lit(129.0).alias("lng"))
+    centres = spark.range(2000).select(F.col("id").alias("cid"), F.lit(33.01).alias("clat"), F.lit(129.0).alias("clng"))
+    got = nearby.within_radius(places, centres.unionByName(centres.where("cid = 7")), radius_m=9000, limit=3)
+    found = got.collect()
+    assert len(found) == 6000 and sorted({r.ord for r in found}) == [3001, 3002, 3003]
+    assert sorted(r.ord for r in found if r.cid == 7) == [3001, 3001, 3002]
+    joins, todo = [], [got._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            node = node.executedPlan()
+            name = node.nodeName()
+        if name.endswith("QueryStage"):
+            todo.append(node.plan())
+        elif "Join" in name and node.metrics().contains("numOutputRows"):
+            joins.append(node.metrics().apply("numOutputRows").value())
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    assert joins and max(joins) <= 6003
