@@ -79,19 +79,21 @@ def replies(turns: DataFrame, entries: DataFrame, find: Callable[[DataFrame], Da
     told = told.select("conv", "turn", F.split("said", ":")[0].alias("kind"), F.split("said", ":")[1].cast("long").alias("b"))
     used = alone.select("conv", "turn", F.lit(-1).cast("long").alias("b"), "query", none.alias("area"), none.alias("tag"), "key").unionByName(narrowed.select("conv", "turn", "b", "query", "area", "tag", "key"))
     told = written(told.join(used, ["conv", "turn", "b"]), "told")
-    matches = written(told.select("conv", "turn", "key", "kind").join(own.unionByName(more).distinct(), "key").join(entries.select("ord", "title", "desc", "areas", "tags"), "ord"), "matches")
-    per_turn = matches.groupBy("conv", "turn").agg(F.count("*").alias("n"), F.min("ord").alias("first"))
-    several = matches.where("kind = 'choices'").withColumn("at", F.struct("conv", "turn"))
+    # what a search found is told once for all turns that say it
+    found = own.unionByName(more).distinct().join(told.select("key").distinct(), "key", "left_semi")
+    matches = written(found.join(entries.select("ord", "title", "desc", "areas", "tags").hint("merge"), "ord"), "matches")
+    per_key = written(matches.groupBy("key").agg(F.count("*").alias("n"), F.min("ord").alias("first")), "counted")
+    several = matches.join(per_key.where("n > 1").select("key"), "key", "left_semi")
     snippet = F.regexp_replace(F.substr(T.squeeze(F.coalesce("desc", F.lit(""))), F.lit(1), F.lit(60)), "[、。・ ]+$", "")
     areas = F.array_join("areas", " / ")
     line = F.concat(F.lit("- "), F.trim("title"), F.when(areas != "", F.concat(F.lit("（"), areas, F.lit("）"))).otherwise(""), F.when(snippet != "", F.concat(F.lit("："), snippet)).otherwise(""))
-    in_order = lambda rows, value, by: rows.groupBy("at").agg(F.transform(F.array_sort(F.collect_list(F.struct(by, value.alias("v")))), lambda x: x["v"]).alias("all"))
-    shown = in_order(best_of(several, F.col("ord"), limit=previews, per="at"), line, "ord").select("at.*", F.array_join("all", "\n").alias("preview"))
+    in_order = lambda rows, value, by: rows.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct(by, value.alias("v")))), lambda x: x["v"]).alias("all"))
+    shown = in_order(best_of(several, F.col("ord"), limit=previews, per="key"), line, "ord").select("key", F.array_join("all", "\n").alias("preview"))
     named = lambda c, kind: F.transform(c, lambda v, i: F.struct(F.lit(kind).alias("kind"), v.alias("value"), i.alias("i")))
-    values = several.select("at", "ord", F.explode(F.concat(named("areas", "area"), named("tags", "tag"))).alias("v"))
-    ranked = best_of(values.groupBy("at", "v.kind", "v.value").agg(F.count("*").alias("k"), F.min(F.struct("ord", "v.i")).alias("f")), F.col("kind"), F.desc("k"), F.col("f"), limit=options, per="at")
-    listed = in_order(ranked, F.concat(F.lit("@"), "kind", F.lit(":"), "value"), "_r").select("at.*", F.array_join("all", "|").alias("options"))
-    both = told.join(per_turn, ["conv", "turn"], "left").join(shown, ["conv", "turn"], "left").join(listed, ["conv", "turn"], "left")
+    values = several.select("key", "ord", F.explode(F.concat(named("areas", "area"), named("tags", "tag"))).alias("v"))
+    ranked = best_of(values.groupBy("key", "v.kind", "v.value").agg(F.count("*").alias("k"), F.min(F.struct("ord", "v.i")).alias("f")), F.col("kind"), F.desc("k"), F.col("f"), limit=options, per="key")
+    listed = in_order(ranked, F.concat(F.lit("@"), "kind", F.lit(":"), "value"), "_r").select("key", F.array_join("all", "|").alias("options"))
+    both = told.join(written(per_key.join(shown, "key", "left").join(listed, "key", "left"), "said"), "key", "left")
     return both.select(F.col("conv").alias(conv), F.col("turn").alias(turn), "kind", "query", "area", "tag", F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("kind") == "detail", F.col("first")).alias("first"), F.coalesce("preview", F.lit("")).alias("preview"), F.coalesce("options", F.lit("")).alias("options"))
 
 

@@ -5,6 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from fernglass.operators import search
 from fernglass.plans import dialogue
 
 ENTRIES = [
@@ -75,3 +76,16 @@ def test_choices_show_their_first_matches(spark):
 def test_no_turns(spark):
     e, by_title = find(spark)
     assert dialogue.replies(spark.createDataFrame([], "conv int, turn int, text string"), e, by_title, conv="conv", turn="turn", text="text").collect() == []
+
+
+def test_what_a_search_found_is_told_once(spark, monkeypatch):
+    """Forty conversations ask the same: entries come to the search, not to each turn."""
+    made = {}
+    kept = dialogue.written
+    monkeypatch.setattr(dialogue, "written", lambda df, name: made.setdefault(name, kept(df, name)))
+    turns = spark.range(40).select("id", F.lit(1).alias("turn"), F.lit("ring").alias("text"))
+    none = F.expr("cast(array() as array<string>)")
+    entries = spark.range(30).select(F.col("id").alias("ord"), F.lit("small ring").alias("title"), F.lit("x").alias("desc"), F.array(F.lit("here")).alias("areas"), F.array(F.lit("t")).alias("tags"), none.alias("title_forms"), none.alias("aux"))
+    got = dialogue.replies(turns, entries, lambda q: search.search_index(entries, q, limit=20, facets=True), conv="id", turn="turn", text="text").collect()
+    assert {(r.kind, r.n, r.preview.count("\n"), r.options) for r in got} == {("choices", 20, 2, "@area:here|@tag:t")} and len(got) == 40
+    assert made["matches"].count() == 20
