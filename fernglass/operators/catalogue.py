@@ -189,10 +189,13 @@ def close_names(questions: DataFrame, names: DataFrame, *, key: str, text: str,
     """key, name: the first name (column ord) that the text contains, or else the closest one by the ratio of matching blocks,
     if that is at least the cutoff, the larger name among equals. How pairs meet is said in operators/similarity.py."""
     texts = questions.select(F.col(key).alias("_q"), T.search_form(F.col(text)).alias("_t"))
-    forms = names.select(name, "ord", T.search_form(F.col(name)).alias("_f")).where("_f <> ''")
-    inside = containing(texts, forms, key="_q", text="_t", form="_f").groupBy("_q").agg(F.min_by(name, F.struct("ord", name)).alias(name))
-    left = texts.join(inside.select("_q"), "_q", "left_anti")
+    # equal texts and equal names are compared once
+    once = texts.where("_t is not null").select("_t").distinct()
+    by = F.struct("ord", name)
+    forms = names.select(name, "ord", T.search_form(F.col(name)).alias("_f")).where("_f <> ''").groupBy("_f").agg(F.min(by).alias("_first"), F.max_by(name, by).alias(name))
+    inside = containing(once, forms.select("_f", "_first"), key="_t", text="_t", form="_f").groupBy("_t").agg(F.min("_first").alias("_m")).select("_t", F.col(f"_m.{name}").alias(name))
+    left = once.join(inside.select("_t").hint("merge"), "_t", "left_anti")
     rated = close_pairs(left.select(F.col("_t").alias("t")), forms.select(F.col("_f").alias("t")), cutoff)
-    best = rated.groupBy("l").agg(F.max_by("r", F.struct("ratio", "r")).alias("_f"))
-    last = forms.groupBy("_f").agg(F.max_by(name, F.struct("ord", name)).alias(name))
-    return inside.unionByName(left.join(best, F.col("_t") == F.col("l")).join(last, "_f").select("_q", name)).withColumnRenamed("_q", key)
+    best = rated.groupBy(F.col("l").alias("_t")).agg(F.max_by("r", F.struct("ratio", "r")).alias("_f"))
+    found = inside.unionByName(best.join(forms.select("_f", name).hint("merge"), "_f").select("_t", name))
+    return texts.hint("merge").join(found, "_t").select(F.col("_q").alias(key), name)

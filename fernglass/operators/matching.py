@@ -33,16 +33,16 @@ def containing(texts: DataFrame, forms: DataFrame, *, key: str, text: str, form:
         return texts.select(key).limit(0).join(forms, F.lit(False))
     if rows <= FEW and chars <= SMALL:
         return texts.where(F.col(text).isNotNull()).select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(forms), F.col("_text").contains(F.col(form))).select(F.col("_key").alias(key), *forms.columns)
-    sent = F.broadcast if chars + 100 * rows <= SMALL else (lambda df: df)
+    small = chars + 100 * rows <= SMALL
+    sent = F.broadcast if small else (lambda df: df.hint("merge"))
     own = forms.select(form).distinct()
     # forms of GRAM characters or less are their own piece
     of_forms = own.select(form, F.explode(F.when(F.length(form) <= GRAM, F.array(form)).otherwise(_pieces(form, [GRAM]))).alias("_gram"))
     asked = texts.where(F.col(text).isNotNull()).select(F.col(key).alias("_key"), F.explode(_pieces(text, lengths)).alias("_gram"))
-    asked = asked if sent is F.broadcast else asked.hint("merge")
     found = asked.join(sent(of_forms.select("_gram").distinct()), "_gram", "left_semi")
     many = found.groupBy("_gram").agg(F.count("*").alias("_n"))
     # a piece that no text has is no row here: its form is in no text
-    rarest = of_forms.join(many, "_gram", "left").groupBy(form).agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_gram")).alias("_r")).where("_r.n > 0").select(F.col(form).alias("_form"), F.col("_r._gram").alias("_gram"))
+    rarest = of_forms.join(many.hint("merge"), "_gram", "left").groupBy(form).agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_gram")).alias("_r")).where("_r.n > 0").select(F.col(form).alias("_form"), F.col("_r._gram").alias("_gram"))
     # pairs meet by the form alone; rows that share it come in for pairs that match
     met = asked.join(sent(rarest), "_gram").drop("_gram")
     whole = texts.select(F.col(key).alias("_k"), F.col(text).alias("_text")).hint("merge")

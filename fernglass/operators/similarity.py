@@ -8,6 +8,8 @@ The ratio is twice the characters in matching blocks over both lengths. The bloc
 * Longer texts share most of their grams. Grams are put in order of how many texts have them, and a text is looked up
   by its rarest ones only: as many as the differing characters may spoil, and one more. Pairs whose lengths or numbers of shared
   grams can't reach the cutoff are dropped before they are rated.
+
+A short text has some thousand remainders, of which Spark's guess by the files' size knows nothing, so joins are by merging.
 """
 
 from __future__ import annotations
@@ -60,7 +62,7 @@ def _short_pairs(left: DataFrame, right: DataFrame, cutoff: float, longest: int)
         parts = parts.where(most >= 0).select(F.col("t").alias(own), F.xxhash64("x.rest").alias("h"), F.col("x.rest").alias("rest"), F.col("x.lost").alias(f"lost_{own}"), F.explode(F.sequence(F.lit(0), most)).alias(f"lost_{other}"))
         return parts
 
-    return side(left, "l", "r").join(side(right, "r", "l"), ["h", "rest", "lost_l", "lost_r"]).select("l", "r").distinct()
+    return side(left, "l", "r").join(side(right, "r", "l").hint("merge"), ["h", "rest", "lost_l", "lost_r"]).select("l", "r").distinct()
 
 
 def _numbered_grams(rows: DataFrame, q: int) -> DataFrame:
@@ -87,14 +89,14 @@ def _long_pairs(left: DataFrame, right: DataFrame, cutoff: float, longest: int)
     shortest, widest = F.ceil(n * band - 1e-9), F.floor(n / band + 1e-9)
     # the least over all lengths of a partner is at one of the ends: the bound is linear but for rounding
     spoiled = n - (q - 1) - F.least(_shared_at_least(n, shortest, cutoff, q), _shared_at_least(n, widest, cutoff, q), _shared_at_least(n, n, cutoff, q)) + q
-    ordered = written(grams.join(have, "g").groupBy("s", "t").agg(F.array_sort(F.collect_list(F.struct("n", "g"))).alias("x")).select("s", "t", F.col("x.g").alias("all")), "grams")
+    ordered = written(grams.join(have.hint("merge"), "g").groupBy("s", "t").agg(F.array_sort(F.collect_list(F.struct("n", "g"))).alias("x")).select("s", "t", F.col("x.g").alias("all")), "grams")
     asked = ordered.select("s", "t", F.explode(F.slice("all", F.lit(1), (spoiled + 1).cast("int"))).alias("g"))
     a, b = asked.where("s = 0").select(F.col("t").alias("l"), "g"), asked.where("s = 1").select(F.col("t").alias("r"), "g")
     lengths = (2 * F.least(F.length("l"), F.length("r")) >= F.lit(cutoff) * (F.length("l") + F.length("r")) - 1e-9) & (F.greatest(F.length("l"), F.length("r")) > longest)
-    met = a.join(b, "g").where(lengths).select("l", "r").distinct()
+    met = a.join(b.hint("merge"), "g").where(lengths).select("l", "r").distinct()
     whole_l, whole_r = ordered.where("s = 0").select(F.col("t").alias("l"), F.col("all").alias("of_l")), ordered.where("s = 1").select(F.col("t").alias("r"), F.col("all").alias("of_r"))
     enough = F.greatest(_shared_at_least(F.length("l"), F.length("r"), cutoff, q), _shared_at_least(F.length("r"), F.length("l"), cutoff, q))
-    return met.join(whole_l, "l").join(whole_r, "r").where(F.size(F.array_intersect("of_l", "of_r")) >= enough).select("l", "r")
+    return met.join(whole_l.hint("merge"), "l").join(whole_r.hint("merge"), "r").where(F.size(F.array_intersect("of_l", "of_r")) >= enough).select("l", "r")
 
 
 def candidates(left: DataFrame, right: DataFrame, cutoff: float) -> DataFrame:

@@ -58,3 +58,8 @@ def _sent_to_all(df, name):
 def test_entries_are_not_sent_to_every_task(spark, name):
     """The files of a table say little about what its rows take in memory, and the driver would hold them."""
     assert not _sent_to_all(registry.QUERIES[name](spark, "/root/testdata/sf0.001"), "part")
+
+
+def test_names_are_not_sent_to_every_task(spark):
+    """A short name has some thousand remainders: they would go through the driver."""
+    assert not _sent_to_all(registry.QUERIES["fuzzy_names"](spark, "/root/testdata/sf0.001"), "supplier")
