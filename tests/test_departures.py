@@ -152,3 +152,19 @@ def test_copies_of_centres_and_places_meet_once(spark):
             joins.append(node.metrics().apply("numOutputRows").value())
         todo += [node.children().apply(i) for i in range(node.children().size())]
     assert joins and max(joins) <= 6003
+
+
+@pytest.mark.parametrize("held", [1, 64])
+def test_queries_that_leave_a_task_keep_their_nearest(spark, monkeypatch, held):
+    """More blocks of queries than a task holds; negative ids; fewer vectors than k in a block."""
+    import numpy as np
+
+    monkeypatch.setattr(retrieval, "HELD", held)
+    monkeypatch.setattr(retrieval, "BLOCK", 7)
+    v = np.random.default_rng(3).integers(-4, 5, (90, 6)).astype(float)
+    table = spark.createDataFrame([(i - 40, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    got = retrieval.dense_search(table, table.select(F.col("id").alias("qid"), "v"), key="id", vector="v", k=9).collect()
+    unit = v / np.where((n := np.linalg.norm(v, axis=1, keepdims=True)) > 0, n, 1)
+    likeness = np.round(unit @ unit.T, 9) + 0.0
+    want = {(q - 40, int(i) - 40) for q in range(90) for i in np.lexsort((np.arange(90), -likeness[q]))[:9]}
+    assert len(got) == 810 and {(r.qid, r.key) for r in got} == want
