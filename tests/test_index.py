@@ -78,3 +78,18 @@ def test_hot_words_bring_few_windows(spark, tmp_path):
     finally:
         index._scores = real
     assert [r[1] for r in got] == [5000, 5001, 5002, 5003, 5004] and sum(scored) <= 20
+
+
+def test_postings_stay_with_their_windows(spark, tmp_path, monkeypatch):
+    """Postings are packed by term where their windows are; with few frequent terms the others' floor still bounds all scores."""
+    monkeypatch.setattr(index, "FREQUENT", 3)
+    rnd, path = random.Random(2), str(tmp_path / "index")
+    docs = {d: (rnd.choice("ab"), text_of(rnd) + f" only{d}") for d in range(300)}
+    df = lambda x: spark.createDataFrame([(p, d, t) for d, (p, t) in x.items()], SCHEMA)
+    segment = index.change(spark, path, df(docs), TOKENS, size=80, overlap=20, **NAMES)
+    new = {d: (docs[d][0], "the lamp of the tower " + docs[d][1]) for d in range(0, 300, 7)}
+    index.change(spark, path, df(new), TOKENS, removed=spark.createDataFrame([(5,)], "doc long"), size=80, overlap=20, **NAMES)
+    docs = {d: x for d, x in (docs | new).items() if d != 5}
+    assert rows(index.search(index.read(spark, path), asked(spark), TOKENS, k=4)) == plain(spark, docs)
+    held = spark.read.parquet(f"{path}/{segment}/postings")
+    assert held.where("term = 'the'").count() <= 2 * held.rdd.getNumPartitions() < held.where("term = 'the'").selectExpr("explode(posts)").count()
