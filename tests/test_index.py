@@ -1,5 +1,6 @@
 """The index that grows by segments: after any changes it searches like a new one."""
 
+import math
 import random
 
 import pytest
@@ -93,3 +94,25 @@ def test_postings_stay_with_their_windows(spark, tmp_path, monkeypatch):
     assert rows(index.search(index.read(spark, path), asked(spark), TOKENS, k=4)) == plain(spark, docs)
     held = spark.read.parquet(f"{path}/{segment}/postings")
     assert held.where("term = 'the'").count() <= 2 * held.rdd.getNumPartitions() < held.where("term = 'the'").selectExpr("explode(posts)").count()
+
+
+def test_a_task_holds_no_terms_of_other_windows(spark, monkeypatch):
+    """Terms are counted in their window's row; rare terms' weights are looked up only where they may decide."""
+    monkeypatch.setattr(retrieval, "FREQUENT", 40)
+    rnd = random.Random(3)
+    docs = {d: (rnd.choice("ab"), text_of(rnd) + f" only{d % 150} the") for d in range(200)}
+    df = spark.createDataFrame([(p, d, t) for d, (p, t) in docs.items()], SCHEMA)
+    posts = retrieval.postings(df, TOKENS, **NAMES)
+    assert "Aggregate" not in posts._jdf.queryExecution().executedPlan().toString()
+    tf = {(d, w): t.split().count(w) for d, (_, t) in docs.items() for w in t.split()}
+    assert {(r.doc, r.term): r.tf for r in posts.collect()} == tf
+    parts = {p: [d for d in docs if docs[d][0] == p] for p in "ab"}
+    idf = {(p, w): math.log((len(ds) + 1) / (sum((d, w) in tf for d in ds) + 1)) + 1 for p, ds in parts.items() for d in ds for w in docs[d][1].split()}
+    norm = {d: math.sqrt(sum((n * idf[docs[d][0], w]) ** 2 for (e, w), n in tf.items() if e == d)) for d in docs}
+    want = []
+    for qid, part, text in QUERIES:
+        qv = {w: text.split().count(w) * idf[part, w] for w in text.split() if (part, w) in idf}
+        dots = {d: sum(tf.get((d, w), 0) * idf[part, w] * x for w, x in qv.items()) for d in parts.get(part, [])}
+        best = sorted((-round(x / norm[d] / math.sqrt(sum(y * y for y in qv.values())), 9), d) for d, x in dots.items() if x)
+        want += [(qid, d, 0, round(-s, 6)) for s, d in best[:4]]
+    assert rows(retrieval.tfidf_search(posts, retrieval.idf(df, TOKENS, **NAMES), asked(spark), TOKENS, k=4)) == sorted(want)
