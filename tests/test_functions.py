@@ -143,3 +143,11 @@ def test_report_orders(spark):
     g = spark.createDataFrame([("い", 2), ("ア", 2), ("b", 5), ("B", 1)], "question string, n long")
     got = {s: [r.question for r in A.report_filter(g, sort=s).collect()] for s in ("cnt_desc", "cnt_asc", "alpha")}
     assert got == {"cnt_desc": ["b", "ア", "い"] + ["B"], "cnt_asc": ["B", "ア", "い", "b"], "alpha": ["b", "B", "ア", "い"]}
+
+
+def test_a_message_is_cut_and_measured_once(spark):
+    """The whole text's pieces are made at one place of the expression, and pieces are measured before they are joined."""
+    assert str(T.split_message(F.col("t"), 20)._jc).count("flatten(") == 1
+    text = "One 😀😀. Two three four.\n\n" + "𝒳" * 25 + ". End"
+    df = spark.createDataFrame([(text,), (None,), ("\n\n" * 30,)], "t string")
+    assert [r.p for r in df.select(T.split_message(F.col("t"), 20).alias("p")).collect()] == [["One 😀😀. Two three ", "four.", "𝒳" * 10, "𝒳" * 10, "𝒳" * 5 + ". End"], [""], ["\n" * 20]]
