@@ -145,6 +145,16 @@ def test_report_orders(spark):
     assert got == {"cnt_desc": ["b", "ア", "い"] + ["B"], "cnt_asc": ["B", "ア", "い", "b"], "alpha": ["b", "B", "ア", "い"]}
 
 
+def test_long_runs_of_space_take_no_time_of_their_square(spark):
+    """Only the ends of a text are looked at when it is stripped, whatever runs of spaces are inside."""
+    import time
+
+    df = spark.createDataFrame([(" a" + " " * 300_000 + "b　",), ("a" + " " * 300_000 + "交通",), ("é" + " " * 300_000 + "b",), (" ",), (None,)], "t string")
+    began = time.time()
+    assert [r.x for r in df.select(T.language(F.col("t")).alias("x")).collect()] == ["en", "zh-Hant", "ja", "ja", "ja"]
+    assert time.time() - began < 15
+
+
 def test_a_message_is_cut_and_measured_once(spark):
     """The whole text's pieces are made at one place of the expression, and pieces are measured before they are joined."""
     assert str(T.split_message(F.col("t"), 20)._jc).count("flatten(") == 1
